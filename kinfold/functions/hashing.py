@@ -20,7 +20,12 @@ def hash_key(seed, *keys: Column) -> Column:
 
 def hash_int(seed, *keys: Column) -> Column:
     """Uniform integer in [0, 2**32)."""
-    return F.conv(F.substring(hash_key(seed, *keys), 1, 8), 16, 10).cast("bigint")
+    return digest_int(hash_key(seed, *keys), 0)
+
+
+def digest_int(digest: Column, word: int) -> Column:
+    """The ``word``-th 32-bit integer of a hex digest; words are independent."""
+    return F.conv(F.substring(digest, 1 + 8 * word, 8), 16, 10).cast("bigint")
 
 
 def hash_uniform(seed, *keys: Column, method: str = "md5") -> Column:

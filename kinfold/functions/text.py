@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinfold.functions.vectors import let
+
 # Patterns and characters that decide the results.
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 DIGITS_PATTERN = r"^\p{Nd}+$"
@@ -17,11 +17,6 @@ CATEGORY_PREFIX_CHARS = "即時"
 LABEL_PREFIX = "__label__"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def word_tokens(text: Column) -> Column:
     """Lower-cased runs of two or more word characters."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ EPS = 1e-16  # fixed value: guard used in every loss denominator and logarithm
 L2_EPS = 1e-12  # fixed value: floor of the squared norm in l2_normalize
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -44,14 +51,14 @@ def scale_by_norm(v: Column, norm: str) -> Column:
         raise ValueError(f"norm must be one of '', {', '.join(NORMS)}; got {norm!r}")
     size = NORMS[norm](v)
     size = F.when(size == 0.0, F.lit(1.0)).otherwise(size)
-    return F.transform(as_double(v), lambda x: x / size)
+    return let(size, lambda s: F.transform(as_double(v), lambda x: x / s))
 
 
 def l2_normalize(v: Column) -> Column:
     """Unit length, with the squared norm floored so that zero rows stay zero."""
     sq = F.aggregate(as_double(v), F.lit(0.0), lambda acc, x: acc + x * x)
     inv = 1.0 / F.sqrt(F.greatest(sq, F.lit(L2_EPS)))
-    return F.transform(as_double(v), lambda x: x * inv)
+    return let(inv, lambda s: F.transform(as_double(v), lambda x: x * s))
 
 
 def softplus(x: Column) -> Column:
