@@ -35,9 +35,19 @@ def tokenized(
     return rows.select(id_col, *(extra or []), tokens.alias("tokens"))
 
 
+def counted(tokens: DataFrame, id_col: str, extra: list[str] | None = None) -> DataFrame:
+    """``(id, terms)``: distinct terms with counts. Storing this once spares the
+    later passes the tokenizer; all functions below accept it for ``tokens``."""
+    return tokens.select(id_col, *(extra or []), T.term_counts(F.col("tokens")).alias("terms"))
+
+
+def _terms(df: DataFrame) -> Column:
+    return F.col("terms") if "terms" in df.columns else T.term_counts(F.col("tokens"))
+
+
 def document_terms(tokens: DataFrame, id_col: str) -> DataFrame:
     """``(id, term, n)`` counted inside each row; rows without terms keep a null term."""
-    return tokens.select(id_col, F.explode_outer(T.term_counts(F.col("tokens"))).alias("_t")).select(
+    return tokens.select(id_col, F.explode_outer(_terms(tokens)).alias("_t")).select(
         id_col, F.col("_t.term").alias("term"), F.col("_t.n").alias("n")
     )
 
@@ -62,7 +72,7 @@ def fit_vocab(
     """
     if n_docs is None:
         n_docs = tokens.count()
-    terms = tokens.select(F.explode(T.term_counts(F.col("tokens"))).alias("_t"))
+    terms = tokens.select(F.explode(_terms(tokens)).alias("_t"))
     stats = (
         terms.groupBy(F.col("_t.term").alias("term"))
         .agg(F.count(F.lit(1)).alias("df"), F.sum("_t.n").alias("tf"))
@@ -226,7 +236,7 @@ def fit_tfidf(
 
 def inverse_terms(tokens: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     """``(id, terms)``: distinct vocabulary terms per article, in term order."""
-    terms = tokens.select(id_col, F.explode_outer(F.array_distinct("tokens")).alias("term"))
+    terms = document_terms(tokens, id_col)
     known = lookup_join(terms, vocab.select("term", "term_id"), "term", "left", salt_on=id_col, stored=True)
     term = F.when(F.col("term_id").isNotNull(), F.col("term"))
     return known.groupBy(id_col).agg(F.sort_array(F.collect_list(term)).alias("terms"))

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinfold.operators.blocks import Rows
 from kinfold.operators.ordering import sorted_position
 
 SEPARATORS = {"csv": ",", "tsv": "\t"}  # fixed values
 
+_FILL_ROWS = 256
+
 # Quotes are doubled inside quoted fields; blanks and empty strings survive.
 _QUOTING = {
     "quote": '"',
@@ -102,6 +109,25 @@ def read_matrix(spark: SparkSession, path: str, fmt: str | None = None, sparse:
     return dense.select("row", F.posexplode("vec").alias("term_id", "value")).filter(F.col("value") != 0.0)
 
 
+def densified(packed: DataFrame, key: str, n_features: int) -> DataFrame:
+    """Packed rows as ``(key, vec)`` with explicit zeros."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = np.arange(n_features)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rows, keys = Rows(table), table.column(key).combine_chunks()
+            for s in range(0, rows.n, _FILL_ROWS):
+                e = min(s + _FILL_ROWS, rows.n)
+                flat = pa.array(rows.densify(s, e, columns).ravel(), pa.float64())
+                ends = pa.array(np.arange(e - s + 1) * n_features, pa.int32())
+                vec = pa.ListArray.from_arrays(ends, flat)
+                yield pa.RecordBatch.from_arrays([keys.slice(s, e - s), vec], [key, "vec"])
+
+    kind = packed.schema[key].dataType.simpleString()
+    return packed.select(key, "idx", "val").mapInArrow(fill, f"{key} {kind}, vec array<double>")
+
+
 def write_matrix(
     df: DataFrame,
     path: str,
@@ -112,7 +138,7 @@ def write_matrix(
 ) -> None:
     """Rows ``vec`` (or packed ``idx``/``val``, written with their zeros) in ``order``.
 
-    One array is filled per row; nothing is pivoted. Files are range-sorted,
+    One array is filled per row, some rows at a time. Files are range-sorted,
     so that their names follow the order.
     """
     fmt = file_format(path, fmt, ("csv", "tsv"))
@@ -121,11 +147,8 @@ def write_matrix(
     else:
         if n_features is None:
             raise ValueError("a packed matrix needs n_features")
-        stored = F.map_from_arrays(F.col("idx").cast("array<int>"), F.col("val").cast("array<double>"))
-        vec = F.transform(
-            F.sequence(F.lit(0), F.lit(n_features - 1)),
-            lambda i: F.coalesce(F.element_at(stored, i), F.lit(0.0)),
-        )
+        df = densified(df, order, n_features)
+        vec = F.col("vec")
     line = F.concat_ws(SEPARATORS[fmt], F.transform(vec, lambda x: x.cast("string")))
     ordered = df.select(F.col(order).alias("_order"), line.alias("value"))
     ordered.repartitionByRange("_order").sortWithinPartitions("_order").select("value").write.mode(mode).text(path)
