@@ -20,6 +20,8 @@ from kinfold.operators.blocks import (
     runs,
     sides,
 )
+from kinfold.operators.ordering import rank_distinct
+from kinfold.session import materialize
 
 METRICS = ("cosine", "linear kernel")
 TIE_DIGITS = 9  # scores equal to this many digits are ties
@@ -277,6 +279,105 @@ class _Totals:
             )
 
 
+# Multipliers and shifts of the 64-bit finalizer used to draw pairs.
+_PAIR_A, _PAIR_B, _PAIR_SEED = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+_MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
+
+
+def pair_draw(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """Uniform 64-bit integer per pair of ids."""
+    with np.errstate(over="ignore"):
+        z = a.astype(np.uint64) * np.uint64(_PAIR_A) + b.astype(np.uint64) * np.uint64(_PAIR_B)
+        z = z + np.uint64(seed * _PAIR_SEED % 2**64)
+        for shift, factor in _MIX:
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return z
+
+
+def capped_sample(
+    df: DataFrame,
+    id_col: str,
+    label: str,
+    cap: int = 10_000_000,
+    metric: str = "cosine",
+    norm: str = "",
+    seed: int = 42,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``(id_a, id_b, related, score)``: at most ``cap`` random pairs per side.
+
+    The number of pairs per side is known from class sizes, so the tasks only
+    emit pairs whose draw is below the matching share of the range; the exact
+    ``cap`` lowest draws are then ranked. A side within the cap is kept whole.
+    """
+    known = df.filter(F.col(label) >= 0)
+    totals = related_counts(known, label).first()
+    sizes = {True: totals["related_pairs"], False: totals["unrelated_pairs"]}
+    rows = materialize(
+        prepared(known, id_col, metric, norm, keep=[label]).withColumn("_label", F.col(label).cast("bigint")).drop(label),
+        "sample",
+    )
+    n_rows = rows.count()
+
+    def below(limits: dict[bool, int]):
+        def tile_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, table in runs(batches, "_pair"):
+                lt, rt, same = sides(table)
+                lid, rid = column(lt, id_col), column(rt, id_col)
+                ll, rl = column(lt, "_label"), column(rt, "_label")
+                for start, score in dot_strips(Rows(lt), Rows(rt)):
+                    a = lid[start : start + len(score)][:, None]
+                    low, high = np.minimum(a, rid[None, :]), np.maximum(a, rid[None, :])
+                    related = ll[start : start + len(score)][:, None] == rl[None, :]
+                    draw = pair_draw(low, high, seed)
+                    keep = draw <= np.where(related, np.uint64(limits[True]), np.uint64(limits[False]))
+                    if same:
+                        keep &= a < rid[None, :]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "id_a": pa.array(low[keep], pa.int64()),
+                            "id_b": pa.array(high[keep], pa.int64()),
+                            "related": pa.array(related[keep], pa.bool_()),
+                            "score": pa.array(score[keep], pa.float64()),
+                            # Signed order equals unsigned order after the offset.
+                            "draw": pa.array((draw[keep] ^ np.uint64(1 << 63)).view(np.int64), pa.int64()),
+                        }
+                    )
+
+        schema = "id_a bigint, id_b bigint, related boolean, score double, draw bigint"
+        return materialize(block_pairs(rows, id_col, n_rows, block_rows).mapInArrow(tile_sample, schema), "sample")
+
+    spare = {side: 6 * int(cap**0.5) + 10 for side in sizes}
+    while True:
+        limits = {
+            side: 2**64 - 1 if n <= cap + spare[side] else (cap + spare[side]) * 2**64 // n
+            for side, n in sizes.items()
+        }
+        drawn = below(limits)
+        got = {r["related"]: r["count"] for r in drawn.groupBy("related").count().collect()}
+        short = [side for side, n in sizes.items() if got.get(side, 0) < min(cap, n)]
+        if not short:
+            break
+        for side in short:
+            spare[side] *= 4
+    kept = []
+    for side in sizes:
+        part = drawn.filter(F.col("related") == side)
+        ranked = rank_distinct(part, [F.col("draw"), F.col("id_a"), F.col("id_b")], "_pos", "sample")
+        kept.append(ranked.filter(F.col("_pos") < cap).select("id_a", "id_b", "related", "score"))
+    return kept[0].unionByName(kept[1])
+
+
+def related_counts(df: DataFrame, label: str) -> DataFrame:
+    """Number of related and unrelated pairs, from class sizes alone."""
+    sizes = df.filter(F.col(label) >= 0).groupBy(label).agg(F.count(F.lit(1)).alias("c"))
+    n, same = F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1))
+    return sizes.agg(
+        F.coalesce((same / 2).cast("bigint"), F.lit(0)).alias("related_pairs"),
+        F.coalesce(((n * n - n - same) / 2).cast("bigint"), F.lit(0)).alias("unrelated_pairs"),
+    )
+
+
 def similar_articles(
     counts: DataFrame, encoded: DataFrame, articles: DataFrame, id_col: str, show: list[str]
 ) -> DataFrame:
