@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.session import ship
+
 BLOCK_ROWS = 8192  # rows of one side of a tile
 STRIP_ROWS = 1024  # rows scored at once inside a tile
 COLUMN_CHUNK = 4096  # sparse columns made dense at once
@@ -36,6 +38,7 @@ def block_pairs(df: DataFrame, id_col: str, n_rows: int, block_rows: int = BLOCK
     partition sees each tile as one run of rows in (side, id) order.
     """
     spark = df.sparkSession
+    ship(spark)
     k = block_count(n_rows, spark.sparkContext.defaultParallelism, block_rows)
     tiles = k * (k + 1) // 2
     parts = min(tiles, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.vectors import EPS, softplus
 from kinfold.operators.blocks import column, lists
 from kinfold.operators.ordering import lookup_join
+from kinfold.session import ship
 
 TILE_ROWS = 1024
 DOT_DIGITS = 9  # dot products equal to this many digits count as equal
@@ -80,23 +81,30 @@ def batch_all(df: DataFrame, active_only: bool = False, tile_rows: int = TILE_RO
     )
 
 
-def _tiled(df: DataFrame, tile_rows: int) -> DataFrame:
-    """Rows with their tile ``_t`` out of ``_k`` in the batch."""
+def _tiled(df: DataFrame, tile_rows: int, batch_rows: int | None = None) -> DataFrame:
+    """Rows with their tile ``_t`` out of ``_k`` in the batch.
+
+    ``batch_rows``, where known, bounds every batch and saves counting them.
+    """
+    if batch_rows is not None:
+        k = max(-(-batch_rows // tile_rows), 1)
+        counted = df.withColumn("_k", F.lit(k).cast("bigint"))
+        return counted.withColumn("_t", F.pmod(F.xxhash64("id"), F.col("_k")))
     sizes = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n"))
     sized = lookup_join(df, sizes, "batch_id", "inner", salt_on="id")
     k = F.ceil(F.col("_n") / F.lit(tile_rows)).cast("bigint")
     return sized.withColumn("_k", k).withColumn("_t", F.pmod(F.xxhash64("id"), F.col("_k"))).drop("_n")
 
 
-def _pair_tiles(df: DataFrame, tile_rows: int) -> DataFrame:
+def _pair_tiles(df: DataFrame, tile_rows: int, batch_rows: int | None = None) -> DataFrame:
     """Rows copied to every ordered tile pair ``_tile = a * k + b`` they are in."""
     t, k = F.col("_t"), F.col("_k")
     every = F.sequence(F.lit(0).cast("bigint"), k - 1)
     codes = F.array_distinct(F.concat(F.transform(every, lambda o: t * k + o), F.transform(every, lambda o: o * k + t)))
-    return _tiled(df, tile_rows).withColumn("_tile", F.explode(codes))
+    return _tiled(df, tile_rows, batch_rows).withColumn("_tile", F.explode(codes))
 
 
-def _triple_tiles(df: DataFrame, tile_rows: int) -> DataFrame:
+def _triple_tiles(df: DataFrame, tile_rows: int, batch_rows: int | None = None) -> DataFrame:
     """Rows copied to every tile triple ``_tile = (a * k + p) * k + n`` they are in."""
     t, k = F.col("_t"), F.col("_k")
     every = F.sequence(F.lit(0).cast("bigint"), k - 1)
@@ -111,7 +119,7 @@ def _triple_tiles(df: DataFrame, tile_rows: int) -> DataFrame:
             grid(lambda x, y: (x * k + y) * k + t),
         )
     )
-    return _tiled(df, tile_rows).withColumn("_tile", F.explode(codes))
+    return _tiled(df, tile_rows, batch_rows).withColumn("_tile", F.explode(codes))
 
 
 _SUMS_SCHEMA = (
@@ -200,6 +208,7 @@ def _triple_kernel(active_only: bool, with_grad: bool):
 
 
 def _prepared(df: DataFrame) -> DataFrame:
+    ship(df.sparkSession)
     return df.select(
         F.col("batch_id").cast("bigint"),
         F.col("id").cast("bigint"),
@@ -213,10 +222,12 @@ def _tile_sums(df: DataFrame, tile_rows: int) -> DataFrame:
     return tiles.groupBy("batch_id", "_tile").applyInArrow(_triple_kernel(False, False), _SUMS_SCHEMA)
 
 
-def batch_all_rows(df: DataFrame, active_only: bool = False, tile_rows: int = TILE_ROWS) -> DataFrame:
+def batch_all_rows(
+    df: DataFrame, active_only: bool = False, tile_rows: int = TILE_ROWS, batch_rows: int | None = None
+) -> DataFrame:
     """Tile sums with the loss gradient by ``encode`` (before division by the
     number of triplets), several rows per id to be added up by the caller."""
-    tiles = _triple_tiles(_prepared(df), tile_rows)
+    tiles = _triple_tiles(_prepared(df), tile_rows, batch_rows)
     return tiles.groupBy("batch_id", "_tile").applyInArrow(_triple_kernel(active_only, True), _GRAD_SCHEMA)
 
 
@@ -252,7 +263,9 @@ def _extremes_kernel(table: pa.Table) -> pa.Table:
     )
 
 
-def hardest(df: DataFrame, mode: str = "reference", tile_rows: int = TILE_ROWS) -> DataFrame:
+def hardest(
+    df: DataFrame, mode: str = "reference", tile_rows: int = TILE_ROWS, batch_rows: int | None = None
+) -> DataFrame:
     """``(batch_id, id, hardest_pos, hardest_neg, dist, active)`` per anchor.
 
     ``reference`` keeps the usual masked formulas: entries that are no positive
@@ -262,7 +275,7 @@ def hardest(df: DataFrame, mode: str = "reference", tile_rows: int = TILE_ROWS)
     """
     if mode not in ("reference", "strict"):
         raise ValueError("mode must be reference or strict")
-    tiles = _pair_tiles(_prepared(df), tile_rows)
+    tiles = _pair_tiles(_prepared(df), tile_rows, batch_rows)
     partial = tiles.groupBy("batch_id", "_tile").applyInArrow(_extremes_kernel, _EXTREMES_SCHEMA)
     rows = partial.groupBy("batch_id", "id").agg(
         F.max("row_max").alias("row_max"),
@@ -301,9 +314,9 @@ _USES_SCHEMA = "batch_id bigint, id bigint, uses double"
 _HARD_GRAD_SCHEMA = _USES_SCHEMA + ", grad array<double>"
 
 
-def _with_hardest(df: DataFrame, found: DataFrame, tile_rows: int) -> DataFrame:
+def _with_hardest(df: DataFrame, found: DataFrame, tile_rows: int, batch_rows: int | None = None) -> DataFrame:
     cols = ["batch_id", "id", "row_max", "hardest_pos", "hardest_neg", "dist", "active"]
-    return _pair_tiles(_prepared(df).join(found.select(*cols), ["batch_id", "id"]), tile_rows)
+    return _pair_tiles(_prepared(df).join(found.select(*cols), ["batch_id", "id"]), tile_rows, batch_rows)
 
 
 def _hits(table: pa.Table):
@@ -337,3 +350,169 @@ def batch_hard_weights(df: DataFrame, mode: str = "reference", tile_rows: int =
     uses = tiles.groupBy("batch_id", "_tile").applyInArrow(_uses_kernel, _USES_SCHEMA)
     own = found.select("batch_id", "id", F.col("active").alias("uses"))
     return uses.unionByName(own).groupBy("batch_id", "id").agg(F.sum("uses").alias("weight"))
+
+
+_TIES_SCHEMA = "batch_id bigint, id bigint, n_pos double, n_masked double, n_neg double, n_max double"
+
+
+def _entries(label, a, b, dots, field, strict: bool):
+    """Which tile entries attain the anchors' extremes, with their masks."""
+    same = label[a][:, None] == label[b][None, :]
+    positive = same & (a[:, None] != b[None, :])
+    if strict:
+        at_pos = positive & (dots == field("hardest_pos"))
+        at_neg = ~same & (dots == field("hardest_neg"))
+    else:
+        at_pos = np.where(positive, dots, dots + field("row_max")) == field("hardest_pos")
+        at_neg = np.where(~same, dots, 0.0) == field("hardest_neg")
+    return same, positive, at_pos, at_neg, dots == field("row_max")
+
+
+def _ties_kernel(strict: bool):
+    def kernel(table: pa.Table) -> pa.Table:
+        ids, label, _, a, b, dots, field = _hits(table)
+        _, positive, at_pos, at_neg, at_max = _entries(label, a, b, dots, field, strict)
+        return pa.table(
+            {
+                "batch_id": pa.array(column(table, "batch_id")[a], pa.int64()),
+                "id": pa.array(ids[a], pa.int64()),
+                "n_pos": at_pos.sum(1).astype(float),
+                "n_masked": (at_pos & ~positive).sum(1).astype(float),
+                "n_neg": at_neg.sum(1).astype(float),
+                "n_max": at_max.sum(1).astype(float),
+            }
+        )
+
+    return kernel
+
+
+def _hard_kernel(strict: bool):
+    """Uses and code gradients of one tile; equal extremes share the slope."""
+
+    def kernel(table: pa.Table) -> pa.Table:
+        ids, label, h, a, b, dots, field = _hits(table)
+        same, _, at_pos, at_neg, at_max = _entries(label, a, b, dots, field, strict)
+        active = field("active")
+        uses = np.zeros(len(ids))
+        hit = (dots == field("hardest_pos")) * 1.0 + (dots == field("hardest_neg"))
+        np.add.at(uses, b, (active * hit).sum(0))
+        slope = active * _sigmoid(field("dist"))
+        share = lambda name: np.maximum(field(name), 1.0)
+        g = slope * at_neg * ~same / share("n_neg") - slope * at_pos / share("n_pos")
+        if not strict:
+            # A masked entry holding the minimum moves the row maximum too.
+            g -= slope * field("n_masked") / share("n_pos") * at_max / share("n_max")
+        g = np.nan_to_num(g)
+        grad = np.zeros_like(h)
+        np.add.at(grad, a, g @ h[b])
+        np.add.at(grad, b, g.T @ h[a])
+        return pa.table(
+            {
+                "batch_id": pa.array(column(table, "batch_id"), pa.int64()),
+                "id": pa.array(ids, pa.int64()),
+                "uses": uses,
+                "grad": pa.array(list(grad), pa.list_(pa.float64())),
+            }
+        )
+
+    return kernel
+
+
+def batch_hard_rows(
+    df: DataFrame, mode: str = "reference", tile_rows: int = TILE_ROWS, batch_rows: int | None = None
+) -> DataFrame:
+    """``(id, weight, loss, active, valid, grad)`` in parts to be added up per id:
+    weights, losses and the code gradient before division by the active count."""
+    strict = mode == "strict"
+    found = hardest(df, mode, tile_rows, batch_rows)
+    ties = (
+        _with_hardest(df, found, tile_rows, batch_rows)
+        .groupBy("batch_id", "_tile")
+        .applyInArrow(_ties_kernel(strict), _TIES_SCHEMA)
+        .groupBy("batch_id", "id")
+        .agg(*[F.sum(c).alias(c) for c in ("n_pos", "n_masked", "n_neg", "n_max")])
+    )
+    rows = _prepared(df).join(found, ["batch_id", "id"]).join(ties, ["batch_id", "id"])
+    tiles = _pair_tiles(rows, tile_rows, batch_rows)
+    parts = tiles.groupBy("batch_id", "_tile").applyInArrow(_hard_kernel(strict), _HARD_GRAD_SCHEMA)
+    zero = F.lit(0.0)
+    moved = parts.select(
+        "id", F.col("uses").alias("weight"), zero.alias("loss"), zero.alias("active"), zero.alias("valid"), "grad"
+    )
+    size = F.size("encode")
+    own = df.select("batch_id", "id", "encode").join(found, ["batch_id", "id"]).select(
+        F.col("id").cast("bigint").alias("id"),
+        F.col("active").alias("weight"),
+        (softplus(F.col("dist")) * F.col("active")).alias("loss"),
+        "active",
+        F.lit(1.0).alias("valid"),
+        F.array_repeat(F.lit(0.0), size).alias("grad"),
+    )
+    return moved.unionByName(own)
+
+
+_WHOLE_SCHEMA = "id bigint, weight double, loss double, active double, valid double, grad array<double>"
+
+
+def _one_tile(table: pa.Table, **more) -> pa.Table:
+    n = table.num_rows
+    for name, values in {"_t": np.zeros(n, int), "_k": np.ones(n, int), "_tile": np.zeros(n, int), **more}.items():
+        table = table.append_column(name, pa.array(values, from_pandas=True))
+    return table
+
+
+def _whole_all(table: pa.Table) -> dict[str, np.ndarray]:
+    out = _triple_kernel(False, True)(_one_tile(table))
+    grad = lists(out, "grad")[1].reshape(table.num_rows, -1)
+    named = {"weight": "w_valid", "loss": "loss_valid", "active": "active", "valid": "valid"}
+    return {k: column(out, v) for k, v in named.items()} | {"grad": grad}
+
+
+def _whole_hard(table: pa.Table, strict: bool) -> dict[str, np.ndarray]:
+    """All three hard passes on a batch that is one tile."""
+    found = _extremes_kernel(_one_tile(table))
+    part = {n: found.column(n).to_numpy(zero_copy_only=False) for n in ("row_max", "min_pos", "min_other", "max_neg")}
+    if strict:
+        pos, neg = part["min_pos"], part["max_neg"]
+    else:
+        pos = np.fmin(part["min_pos"], part["min_other"] + part["row_max"])
+        neg = np.fmax(part["max_neg"], 0.0)
+    dist = np.nan_to_num(np.maximum(neg - pos, 0.0))
+    active = (dist > 0).astype(float)
+    known = _one_tile(
+        table, row_max=part["row_max"], hardest_pos=pos, hardest_neg=neg, dist=dist, active=active
+    )
+    ties = _ties_kernel(strict)(known)
+    for name in ("n_pos", "n_masked", "n_neg", "n_max"):
+        known = known.append_column(name, ties.column(name))
+    out = _hard_kernel(strict)(known)
+    return {
+        "weight": column(out, "uses") + active,
+        "loss": _softplus(dist) * active,
+        "active": active,
+        "valid": np.ones(len(dist)),
+        "grad": lists(out, "grad")[1].reshape(table.num_rows, -1),
+    }
+
+
+def whole_batch_rows(df: DataFrame, strategy: str, mode: str = "reference", alpha: float = 1.0) -> DataFrame:
+    """``(id, weight, loss, active, valid, grad)`` for batches of at most one tile.
+
+    The task sees the whole batch, so the code gradient comes scaled by
+    ``alpha * total weight / used triplets`` already.
+    """
+
+    def kernel(table: pa.Table) -> pa.Table:
+        out = _whole_all(table) if strategy == "batch_all" else _whole_hard(table, mode == "strict")
+        used = out["valid" if strategy == "batch_all" else "active"].sum()
+        grad = out["grad"] * (alpha * (out["weight"].sum() + EPS) / (used + EPS))
+        ends = pa.array(np.arange(len(grad) + 1) * grad.shape[1], pa.int32())
+        return pa.table(
+            {
+                "id": table.column("id"),
+                **{n: pa.array(out[n], pa.float64()) for n in ("weight", "loss", "active", "valid")},
+                "grad": pa.ListArray.from_arrays(ends, pa.array(grad.ravel())),
+            }
+        )
+
+    return _prepared(df).groupBy("batch_id").applyInArrow(kernel, _WHOLE_SCHEMA)

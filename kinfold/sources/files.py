@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from kinfold.operators.blocks import Rows
 from kinfold.operators.ordering import sorted_position
+from kinfold.session import ship
 
 SEPARATORS = {"csv": ",", "tsv": "\t"}  # fixed values
 
@@ -124,6 +125,7 @@ def densified(packed: DataFrame, key: str, n_features: int) -> DataFrame:
                 vec = pa.ListArray.from_arrays(ends, flat)
                 yield pa.RecordBatch.from_arrays([keys.slice(s, e - s), vec], [key, "vec"])
 
+    ship(packed.sparkSession)
     kind = packed.schema[key].dataType.simpleString()
     return packed.select(key, "idx", "val").mapInArrow(fill, f"{key} {kind}, vec array<double>")
 
