@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from kinfold.plans import article_queries, batch_queries, mining_queries, similarity_queries
+from kinfold.plans import (
+    article_queries,
+    batch_queries,
+    encoder_queries,
+    file_queries,
+    mining_queries,
+    similarity_queries,
+)
 
-_MODULES = (article_queries, mining_queries, similarity_queries, batch_queries)
+_MODULES = (article_queries, mining_queries, similarity_queries, batch_queries, encoder_queries, file_queries)
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.text import LABEL_PREFIX
 from kinfold.operators.articles import clean, with_story
-from kinfold.sources.files import numbered_lines
+from kinfold.sources.files import numbered_lines, write_matrix, write_table
 
 REQUIRED = ("article_id", "title", "main_content")
 
@@ -63,9 +63,8 @@ def read_embeddings(spark: SparkSession, path: str, raw: bool = False) -> DataFr
 
 def write_projector(vectors: DataFrame, articles: DataFrame, id_col: str, path: str) -> None:
     """Vectors and label columns as two tsv folders with rows in the same order."""
-    from kinfold.sources.files import write_matrix
-
     columns = ["label_story", "label_category_publish_name", "title", "story", "category_publish_name"]
     write_matrix(vectors, f"{path}/vectors.tsv", id_col, "tsv")
-    meta = articles.select(id_col, *columns).repartitionByRange(id_col).sortWithinPartitions(id_col)
-    meta.write.options(sep="\t", header="true", quote='"', escape='"').csv(f"{path}/labels.tsv")
+    ordered = articles.select(id_col, *columns).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    meta = ordered.drop(id_col)
+    write_table(meta, f"{path}/labels.tsv")
