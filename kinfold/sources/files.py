@@ -26,6 +26,9 @@ _QUOTING = {
     "ignoreTrailingWhiteSpace": "false",
 }
 
+# On reading, an unquoted empty field is null and a quoted one an empty string.
+_READING = {**_QUOTING, "nullValue": "\u0000", "emptyValue": ""}
+
 
 def file_format(path: str, fmt: str | None = None, allowed: tuple[str, ...] = ("csv", "tsv", "parquet")) -> str:
     """The format named, else the lower-cased suffix of the path."""
@@ -52,7 +55,7 @@ def read_table(
     if fmt == "parquet":
         df = spark.read.options(**options).parquet(path)
     else:
-        reader = spark.read.options(sep=SEPARATORS[fmt], header="true", multiLine="true", **_QUOTING, **options)
+        reader = spark.read.options(sep=SEPARATORS[fmt], header="true", multiLine="true", **{**_READING, **options})
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
         df = reader.csv(path)
     if key and key not in df.columns:
@@ -76,7 +79,7 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "e
 def read_series(spark: SparkSession, path: str, schema: str, fmt: str | None = None) -> DataFrame:
     """A headerless two-column key/value file; ``schema`` such as 'key bigint, value string'."""
     fmt = file_format(path, fmt, ("csv", "tsv"))
-    return spark.read.schema(schema).options(sep=SEPARATORS[fmt], header="false", multiLine="true", **_QUOTING).csv(path)
+    return spark.read.schema(schema).options(sep=SEPARATORS[fmt], header="false", multiLine="true", **_READING).csv(path)
 
 
 def write_series(df: DataFrame, path: str, fmt: str | None = None, mode: str = "errorifexists") -> None:
