@@ -30,6 +30,8 @@ from kinfold.session import materialize, ship
 TERM_BLOCK = 1024  # terms whose gradient travels as one row
 PLAIN_BATCHES = 64  # with more batches than this the rows of an epoch are written by batch group
 _GROUPS = 1000
+_SPLIT = 4  # a batch is cut into up to this many tiles, so that its triplets occupy many cores
+_MIN_TILE = 128
 _GRAD_SCHEMA = "block int, data array<double>"
 _ROLES = ("org", "pos", "neg")
 
@@ -232,14 +234,17 @@ class DenoisingEncoder:
     def _triplet_rows(self, codes: DataFrame, batch_rows: int) -> tuple[DataFrame, float]:
         """``(id, weight, loss, active, valid, grad)`` per row, and the factor of ``grad``.
 
-        A batch of one tile is done in one pass. A larger one is cut into tiles,
-        its totals are added up first, and ``held`` rows are kept for both uses.
+        A batch-hard batch of one tile is done in one pass. Otherwise tiles are
+        added up per row. Of batch-all every triplet is used by three rows, so
+        the total weight is three times their number and the factor is known
+        beforehand; batch-hard totals are added up first, from stored rows.
         """
         c = self.config
-        if batch_rows <= c.tile_rows:
+        if c.triplet_strategy == "batch_hard" and batch_rows <= c.tile_rows:
             return T.whole_batch_rows(codes, c.triplet_strategy, c.hard_mode, c.alpha), 1.0
         if c.triplet_strategy == "batch_all":
-            parts = T.batch_all_rows(codes, tile_rows=c.tile_rows, batch_rows=batch_rows)
+            tile = min(c.tile_rows, max(-(-batch_rows // _SPLIT), _MIN_TILE))
+            parts = T.batch_all_rows(codes, tile_rows=tile, batch_rows=batch_rows)
             parts = parts.withColumnRenamed("w_valid", "weight").withColumnRenamed("loss_valid", "loss")
         else:
             parts = T.batch_hard_rows(materialize(codes, "codes"), c.hard_mode, c.tile_rows, batch_rows)
@@ -249,9 +254,11 @@ class DenoisingEncoder:
             lambda acc, g: F.when(F.size(acc) == 0, g).otherwise(F.zip_with(acc, g, lambda x, y: x + y)),
         )
         sums = [F.sum(n).alias(n) for n in ("weight", "loss", "active", "valid")]
-        rows = materialize(parts.groupBy("id").agg(*sums, total.alias("grad")), "triplets")
-        used = F.sum("valid" if c.triplet_strategy == "batch_all" else "active")
-        totals = rows.agg(F.sum("weight").alias("weight"), used.alias("used")).first()
+        rows = parts.groupBy("id").agg(*sums, total.alias("grad"))
+        if c.triplet_strategy == "batch_all":
+            return rows, 3.0 * c.alpha
+        rows = materialize(rows, "triplets")
+        totals = rows.agg(F.sum("weight").alias("weight"), F.sum("active").alias("used")).first()
         return rows, c.alpha * (totals["weight"] + EPS) / (totals["used"] + EPS)
 
     def _online_step(self, spark: SparkSession, batch: DataFrame, params: M.Params, batch_rows: int):
@@ -329,7 +336,7 @@ class DenoisingEncoder:
             return _Step(cost, cost)
         codes = model.transform(clean, "id", ["batch_id", "label"]).withColumnRenamed("embedding", "encode")
         if c.triplet_strategy == "batch_all":
-            stats = T.batch_all(codes, tile_rows=c.tile_rows).first()
+            stats = T.batch_all(codes, tile_rows=min(c.tile_rows, T.TILE_ROWS)).first()
             weights = T.batch_all_weights(codes)
         else:
             codes = materialize(codes, "codes")

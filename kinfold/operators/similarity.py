@@ -198,10 +198,14 @@ def score_histogram(
                     totals[0].add(bins.ravel() if wanted is None else bins[wanted])
                 for k in range(len(names)):
                     a, b = ll[start : start + len(bins), k][:, None], rl[:, k][None, :]
+                    equal = a == b
+                    if wanted is None and a.min() >= 0 and b.min() >= 0:
+                        totals[k].add(bins.ravel(), equal.ravel())
+                        continue
                     known = (a >= 0) & (b >= 0)
                     if wanted is not None:
                         known &= wanted
-                    totals[k].add(bins[known], (a == b)[known])
+                    totals[k].add(bins[known], equal[known])
         for slot, total in enumerate(totals):
             yield from total.batches(2 * slot)
 

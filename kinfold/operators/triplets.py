@@ -17,7 +17,7 @@ from kinfold.operators.blocks import column, lists
 from kinfold.operators.ordering import lookup_join
 from kinfold.session import ship
 
-TILE_ROWS = 1024
+TILE_ROWS = 256  # a tile of three times as many rows is the unit of work of a task
 DOT_DIGITS = 9  # dot products equal to this many digits count as equal
 
 
@@ -54,7 +54,7 @@ def batch_all_weights(df: DataFrame, active_only: bool = False, tile_rows: int =
     c'(c'-1) times by every other class of size c'.
     """
     if active_only:
-        rows = _tile_sums(df, tile_rows)
+        rows = _tile_sums(df, tile_rows, True)
         return rows.groupBy("batch_id", "id").agg(F.sum("w_active").alias("weight"))
     classes = batch_classes(df)
     squares = classes.groupBy("batch_id").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("sq"))
@@ -69,7 +69,7 @@ def batch_all_weights(df: DataFrame, active_only: bool = False, tile_rows: int =
 
 def batch_all(df: DataFrame, active_only: bool = False, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``(batch_id, loss, fraction, number)`` over all valid (or active) triplets."""
-    sums = _tile_sums(df, tile_rows).groupBy("batch_id").agg(
+    sums = _tile_sums(df, tile_rows, active_only).groupBy("batch_id").agg(
         *[F.sum(c).alias(c) for c in ("valid", "active", "loss_valid", "loss_active")]
     )
     kind = "active" if active_only else "valid"
@@ -122,6 +122,13 @@ def _triple_tiles(df: DataFrame, tile_rows: int, batch_rows: int | None = None)
     return _tiled(df, tile_rows, batch_rows).withColumn("_tile", F.explode(codes))
 
 
+def _by_tile(tiles: DataFrame):
+    """Tiles grouped over a fixed number of partitions: they are small in bytes
+    but heavy to compute, so they must not be merged into a few tasks."""
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(parts, "batch_id", "_tile").groupBy("batch_id", "_tile")
+
+
 _SUMS_SCHEMA = (
     "batch_id bigint, id bigint, w_valid double, w_active double, "
     "valid double, active double, loss_valid double, loss_active double"
@@ -144,7 +151,10 @@ def _rows_of(table: pa.Table):
 
 
 def _triple_kernel(active_only: bool, with_grad: bool):
-    """Sums over the triplets (anchor, positive, negative) of one tile triple."""
+    """Sums over the triplets (anchor, positive, negative) of one tile triple.
+
+    Losses and weights of the active triplets are kept up only when asked for.
+    """
 
     def kernel(table: pa.Table) -> pa.Table:
         ids, label, t, h = _rows_of(table)
@@ -166,30 +176,42 @@ def _triple_kernel(active_only: bool, with_grad: bool):
             dp = h[a] @ h[pos].T
             g_neg = np.zeros_like(dn)
             g_pos = np.zeros_like(dp)
+            hot_neg = np.zeros(len(neg))
             for q, p in enumerate(pos):
+                own = np.flatnonzero(a == p)  # the anchor itself is no positive
                 d = dn - dp[:, q : q + 1]
-                other = (a != p)[:, None]
-                hot = (d > 1e-16) & other
-                cost = _softplus(d) * other
-                used = (other * len(neg))[:, 0].astype(float)
-                count[0, a] += used
-                count[1, a] += hot.sum(1)
+                hot = d > 1e-16
+                e = np.exp(-np.abs(d))
+                cost = np.maximum(d, 0.0) + np.log1p(e)
+                hot[own] = False
+                cost[own] = 0.0
+                hot_a = hot.sum(1)
+                count[1, a] += hot_a
                 loss[0, a] += cost.sum(1)
-                loss[1, a] += (cost * hot).sum(1)
-                w[0, a] += used
-                w[0, p] += used.sum()
-                w[0, neg] += other.sum()
-                w[1, a] += hot.sum(1)
-                w[1, p] += hot.sum()
-                w[1, neg] += hot.sum(0)
+                if active_only:
+                    loss[1, a] += (cost * hot).sum(1)
+                    w[1, a] += hot_a
+                    w[1, p] += hot_a.sum()
+                    hot_neg += hot.sum(0)
                 if with_grad:
-                    s = _sigmoid(d) * (hot if active_only else other)
-                    g_neg += s
-                    g_pos[:, q] = -s.sum(1)
+                    slope = np.where(d >= 0, 1.0, e) / (1.0 + e)
+                    slope[own] = 0.0
+                    if active_only:
+                        slope *= hot
+                    g_neg += slope
+                    g_pos[:, q] = -slope.sum(1)
+            # Valid triplets follow from the sizes: every (a, p) with a <> p meets every n.
+            partners = len(pos) - np.isin(a, pos)
+            uses = len(a) - np.isin(pos, a)
+            count[0, a] += partners * len(neg)
+            w[0, a] += partners * len(neg)
+            w[0, pos] += uses * len(neg)
+            w[0, neg] += partners.sum()
+            w[1, neg] += hot_neg
             if with_grad:
                 grad[a] += g_neg @ h[neg] + g_pos @ h[pos]
-                np.add.at(grad, neg, g_neg.T @ h[a])
-                np.add.at(grad, pos, g_pos.T @ h[a])
+                grad[neg] += g_neg.T @ h[a]
+                grad[pos] += g_pos.T @ h[a]
         out = {
             "batch_id": pa.array(column(table, "batch_id"), pa.int64()),
             "id": pa.array(ids, pa.int64()),
@@ -217,9 +239,9 @@ def _prepared(df: DataFrame) -> DataFrame:
     )
 
 
-def _tile_sums(df: DataFrame, tile_rows: int) -> DataFrame:
+def _tile_sums(df: DataFrame, tile_rows: int, active_only: bool) -> DataFrame:
     tiles = _triple_tiles(_prepared(df), tile_rows)
-    return tiles.groupBy("batch_id", "_tile").applyInArrow(_triple_kernel(False, False), _SUMS_SCHEMA)
+    return _by_tile(tiles).applyInArrow(_triple_kernel(active_only, False), _SUMS_SCHEMA)
 
 
 def batch_all_rows(
@@ -228,7 +250,7 @@ def batch_all_rows(
     """Tile sums with the loss gradient by ``encode`` (before division by the
     number of triplets), several rows per id to be added up by the caller."""
     tiles = _triple_tiles(_prepared(df), tile_rows, batch_rows)
-    return tiles.groupBy("batch_id", "_tile").applyInArrow(_triple_kernel(active_only, True), _GRAD_SCHEMA)
+    return _by_tile(tiles).applyInArrow(_triple_kernel(active_only, True), _GRAD_SCHEMA)
 
 
 _EXTREMES_SCHEMA = (
@@ -276,7 +298,7 @@ def hardest(
     if mode not in ("reference", "strict"):
         raise ValueError("mode must be reference or strict")
     tiles = _pair_tiles(_prepared(df), tile_rows, batch_rows)
-    partial = tiles.groupBy("batch_id", "_tile").applyInArrow(_extremes_kernel, _EXTREMES_SCHEMA)
+    partial = _by_tile(tiles).applyInArrow(_extremes_kernel, _EXTREMES_SCHEMA)
     rows = partial.groupBy("batch_id", "id").agg(
         F.max("row_max").alias("row_max"),
         F.min("min_pos").alias("min_pos"),
@@ -347,7 +369,7 @@ def batch_hard_weights(df: DataFrame, mode: str = "reference", tile_rows: int =
     with the row equals the hardest positive or negative of an active anchor."""
     found = hardest(df, mode, tile_rows)
     tiles = _with_hardest(df, found, tile_rows)
-    uses = tiles.groupBy("batch_id", "_tile").applyInArrow(_uses_kernel, _USES_SCHEMA)
+    uses = _by_tile(tiles).applyInArrow(_uses_kernel, _USES_SCHEMA)
     own = found.select("batch_id", "id", F.col("active").alias("uses"))
     return uses.unionByName(own).groupBy("batch_id", "id").agg(F.sum("uses").alias("weight"))
 
@@ -426,15 +448,14 @@ def batch_hard_rows(
     strict = mode == "strict"
     found = hardest(df, mode, tile_rows, batch_rows)
     ties = (
-        _with_hardest(df, found, tile_rows, batch_rows)
-        .groupBy("batch_id", "_tile")
+        _by_tile(_with_hardest(df, found, tile_rows, batch_rows))
         .applyInArrow(_ties_kernel(strict), _TIES_SCHEMA)
         .groupBy("batch_id", "id")
         .agg(*[F.sum(c).alias(c) for c in ("n_pos", "n_masked", "n_neg", "n_max")])
     )
     rows = _prepared(df).join(found, ["batch_id", "id"]).join(ties, ["batch_id", "id"])
     tiles = _pair_tiles(rows, tile_rows, batch_rows)
-    parts = tiles.groupBy("batch_id", "_tile").applyInArrow(_hard_kernel(strict), _HARD_GRAD_SCHEMA)
+    parts = _by_tile(tiles).applyInArrow(_hard_kernel(strict), _HARD_GRAD_SCHEMA)
     zero = F.lit(0.0)
     moved = parts.select(
         "id", F.col("uses").alias("weight"), zero.alias("loss"), zero.alias("active"), zero.alias("valid"), "grad"
