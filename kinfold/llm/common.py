@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,29 +31,77 @@ def in_training(doc_id: Column, folds: int = 5) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int) -> dict[int, list[str]]:
     """At most ``per_class`` whole training texts of each class.
 
-    Rows are picked in the order of a hash, so the sample does not depend on
-    the layout of the tables. Only texts of up to ``chars`` characters are
-    candidates, which bounds what reaches the driver; ids with contradicting
-    labels and null labels are left out.
+    Texts are picked in the order of a hash of their id, so the sample does not
+    depend on the layout of the tables. Only texts of 1 to ``chars`` characters
+    are candidates, which bounds what reaches the driver. Null labels and ids
+    with contradicting labels are left out.
     """
     known = (
-        labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
+        labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & in_training(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"), F.max("label").alias("other"))
         .where("label = other")
-        .drop("other")
+        .select("doc_id", "label")
     )
-    texts = docs.select("doc_id", text_of().alias("text")).where(in_training(F.col("doc_id")))
-    texts = texts.where(F.length("text").between(1, chars))
+    # Ids are picked first, so that no texts but those taken are moved.
+    fit = docs.where(F.length("text").between(1, chars)).select("doc_id").join(known, "doc_id")
     picked: dict[int, list[str]] = {}
-    # The ids are picked first, so that only the texts taken are moved.
     for value in (0, 1):
-        order = F.xxhash64(F.col("doc_id"), F.lit(value))
-        ids = known.where(F.col("label") == value).select("doc_id")
-        some = texts.join(ids, "doc_id").select("doc_id", "text").orderBy(order, "doc_id", "text").limit(per_class)
-        picked[value] = [r["text"] for r in some.toLocalIterator()]
+        order = F.xxhash64("doc_id")
+        ids = fit.where(F.col("label") == value).select("doc_id").distinct().orderBy(order, "doc_id").limit(per_class)
+        texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text").between(1, chars))
+        rows = texts.orderBy("doc_id", "text").limit(per_class).collect()
+        picked[value] = [r["text"] for r in sorted(rows, key=lambda r: xxhash.xxh64_intdigest(r["text"].encode()))]
     return picked
 
 
-__all__ = ["SPACES", "WORDS", "in_training", "labelled_sample", "materialize", "ship", "table", "text_of"]
+def label_share(labels: DataFrame, label: str) -> float:
+    """Share of label 1 among the training labels; one half if there are none."""
+    known = labels.where(F.col(label).cast("int").isin(0, 1) & in_training(F.col("doc_id")))
+    share = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return 0.5 if share is None else float(share)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
+    """Coefficients of a ridge logistic regression, the intercept last, by damped Newton steps."""
+    x = np.c_[x, np.ones(len(x))]
+    keep = np.full(x.shape[1], ridge * weight.sum() / 100)
+    keep[-1] = 1e-6
+
+    def loss(b: np.ndarray) -> float:
+        return float(weight @ np.logaddexp(0, -(2 * y - 1) * (x @ b)) + (keep * b * b).sum() / 2)
+
+    b = np.zeros(x.shape[1])
+    now = loss(b)
+    for _ in range(steps):
+        p = logistic(x @ b)
+        slope = x.T @ (weight * (p - y)) + keep * b
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(keep + 1e-9)
+        step, rate = np.linalg.solve(curve, slope), 1.0
+        while rate > 1e-6 and loss(b - rate * step) > now:
+            rate /= 2
+        b = b - rate * step
+        before, now = now, loss(b)
+        if before - now < 1e-9 * max(1.0, before):
+            break
+    return b
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+__all__ = [
+    "SPACES",
+    "WORDS",
+    "fit_logistic",
+    "in_training",
+    "label_share",
+    "labelled_sample",
+    "logistic",
+    "materialize",
+    "ship",
+    "table",
+    "text_of",
+]

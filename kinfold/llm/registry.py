@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import exact_dedup, mixing, simhash
+from kinfold.llm import exact_dedup, mixing, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op6_quality": quality.op6_quality,
         "op7_mixing": mixing.op7_mixing,
         "op8_simhash": simhash.op8_simhash,
+        "op9_packing": packing.op9_packing,
     }
 
 
