@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import exact_dedup, mixing, packing, quality, simhash
+from kinfold.llm import exact_dedup, mixing, packing, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secrets": secrets.op1_secrets,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op6_quality": quality.op6_quality,
         "op7_mixing": mixing.op7_mixing,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
 
 def oracles() -> dict[str, str]:
     return {
+        "op1_secrets": secrets.ORACLE,
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op7_mixing": mixing.ORACLE,
     }
