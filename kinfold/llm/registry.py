@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import exact_dedup, mixing, packing, quality, secrets, simhash
+from kinfold.llm import exact_dedup, mixing, packing, quality, secrets, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secrets": secrets.op1_secrets,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_topk": topk.op3_topk,
         "op6_quality": quality.op6_quality,
         "op7_mixing": mixing.op7_mixing,
         "op8_simhash": simhash.op8_simhash,
@@ -26,5 +27,6 @@ def oracles() -> dict[str, str]:
     return {
         "op1_secrets": secrets.ORACLE,
         "op2_exact_dedup": exact_dedup.ORACLE,
+        "op3_topk": topk.ORACLE,
         "op7_mixing": mixing.ORACLE,
     }
