@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import exact_dedup, mixing, packing, quality, secrets, simhash, topk
+from kinfold.llm import exact_dedup, html_text, mixing, packing, quality, secrets, simhash, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +16,12 @@ def queries() -> dict[str, Query]:
         "op1_secrets": secrets.op1_secrets,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_topk": topk.op3_topk,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality": quality.op6_quality,
         "op7_mixing": mixing.op7_mixing,
         "op8_simhash": simhash.op8_simhash,
         "op9_packing": packing.op9_packing,
+        "op10_html": html_text.op10_html,
     }
 
 
