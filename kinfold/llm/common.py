@@ -14,6 +14,15 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
+def stored(df: DataFrame, tag: str, waves: int = 4) -> DataFrame:
+    """Write a slim table that a shuffle has made, in at most ``waves`` files per core, and read it again.
+
+    A shuffle's partitions are counted for the tables of texts; for what is
+    left of a row here (digests, edges, counts) that many files are too small.
+    """
+    return materialize(df.coalesce(max(1, waves * df.sparkSession.sparkContext.defaultParallelism)), tag)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -102,6 +111,7 @@ __all__ = [
     "logistic",
     "materialize",
     "ship",
+    "stored",
     "table",
     "text_of",
 ]

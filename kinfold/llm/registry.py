@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import exact_dedup, html_text, mixing, packing, quality, secrets, simhash, topk, toxicity
+from kinfold.llm import exact_dedup, html_text, mixing, packing, quality, revisits, secrets, simhash, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_secrets": secrets.op1_secrets,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_topk": topk.op3_topk,
+        "op4_revisits": revisits.op4_revisits,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality": quality.op6_quality,
         "op7_mixing": mixing.op7_mixing,
@@ -30,5 +31,6 @@ def oracles() -> dict[str, str]:
         "op1_secrets": secrets.ORACLE,
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op3_topk": topk.ORACLE,
+        "op4_revisits": revisits.ORACLE,
         "op7_mixing": mixing.ORACLE,
     }
