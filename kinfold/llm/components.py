@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize
+from kinfold.llm.common import stored
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -35,10 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     is written, so a lost executor costs a re-read.
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    edges = materialize(edges, "edges")
     seen = None
     while True:
-        edges = materialize(_small(_large(edges).distinct()).where("a < b").distinct(), "edges")
+        edges = stored(_small(_large(edges).distinct()).where("a < b").distinct(), "edges")
         # Equal tables have equal sums; a step that changes an edge lowers one of its ends.
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:

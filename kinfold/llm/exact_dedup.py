@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import SPACES, materialize, table, text_of
+from kinfold.llm.common import SPACES, stored, table, text_of
 
 RUNS = 4096
 FAN_IN = 16
@@ -91,7 +91,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     id and text one is kept. An empty table gives an empty result; other
     columns are ignored.
     """
-    entries = materialize(_entries(docs), "digests")
+    entries = stored(_entries(docs), "digests")
     decided = _decided(entries)
     each = decided.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     kept = (F.col("turn") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
@@ -100,7 +100,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    entries = materialize(_entries(docs), "digests")
+    entries = stored(_entries(docs), "digests")
     stays = _decided(entries).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     stays = stays.select(F.col("doc_id").alias("stay_id"), *[F.col(c).alias(f"stay_{c}") for c in DIGEST])
     own = [F.col(f"`{c}`") for c in docs.columns]

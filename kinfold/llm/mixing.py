@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WORDS, materialize, text_of
+from kinfold.llm.common import WORDS, materialize, stored, text_of
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -79,7 +79,7 @@ def mixing_rates(
     targets = source_targets(totals, weights, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rates = targets.withColumn("rate", rate).withColumn("whole", F.floor("rate"))
-    rates = materialize(rates.withColumn("fraction", F.col("rate") - F.col("whole")), "mixing-rates")
+    rates = stored(rates.withColumn("fraction", F.col("rate") - F.col("whole")), "mixing-rates")
     drawn = sized.join(rates.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     taken = [
         F.sum(F.when(_draw("a", "b", F.lit(k)) < F.col("fraction"), F.col("size")).otherwise(0)).alias(f"s{k}")
@@ -91,7 +91,7 @@ def mixing_rates(
         for k in range(seeds)
     ]
     best = sums.select(F.col("of"), F.array_min(F.array(*gaps))["seed"].alias("seed"))
-    return materialize(
+    return stored(
         rates.join(best, F.col("source").eqNullSafe(F.col("of"))).drop("of"), "mixing-seeds"
     )
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize, table, text_of
+from kinfold.llm.common import materialize, stored, table, text_of
 
 # Kinds in their order, their patterns, and the least length of
 # the value (for assignments: of group 2).
@@ -132,7 +132,7 @@ def found_spans(docs: DataFrame, repository: Column, owner: Column) -> DataFrame
         )
 
     plain = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    stored = rows.select(
+    slim = rows.select(
         F.monotonically_increasing_id().alias("row_id"),
         "doc_id",
         "repository",
@@ -141,7 +141,7 @@ def found_spans(docs: DataFrame, repository: Column, owner: Column) -> DataFrame
         plain.alias("base"),
         F.transform(F.concat("base", "free"), candidate).alias("candidates"),
     )
-    return materialize(stored, "secret-spans")
+    return materialize(slim, "secret-spans")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -164,14 +164,14 @@ def secret_spans(docs: DataFrame, repository: Column, owner: Column, owners: int
     as one of its own; repeated rows are rows of the same owner; an empty table
     gives an empty result; other columns are ignored.
     """
-    stored = found_spans(docs, repository, owner)
-    counts = ownership(stored).select(F.col("hash").alias("of"), "n_owners")
-    each = stored.select("row_id", F.explode("candidates").alias("c"))
+    known = found_spans(docs, repository, owner)
+    counts = ownership(known).select(F.col("hash").alias("of"), "n_owners")
+    each = known.select("row_id", F.explode("candidates").alias("c"))
     judged = each.join(counts, F.col("c.hash") == F.col("of"))
     copied = F.col("n_owners") >= owners
     live = ~copied & F.col("c.random")
     owned = live & (F.col("c.kind") == 3)
-    judged = materialize(
+    judged = stored(
         judged.select(
             "row_id",
             F.when(owned, F.struct("c.start", "c.kind", "c.end")).alias("span"),
@@ -184,8 +184,8 @@ def secret_spans(docs: DataFrame, repository: Column, owner: Column, owners: int
     added = judged.groupBy(F.col("row_id").alias("of")).agg(
         F.collect_list("span").alias("added"), F.sum("live").alias("n_live"), F.sum("copied").alias("n_copied")
     )
-    rows = stored.join(added, stored["row_id"] == added["of"], "left")
-    none = F.array().cast(stored.schema["base"].dataType)
+    rows = known.join(added, known["row_id"] == added["of"], "left")
+    none = F.array().cast(known.schema["base"].dataType)
     rows = rows.withColumn("added", F.coalesce("added", none))
     return rows.select(
         "doc_id",

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize, ship, table, text_of
+from kinfold.llm.common import materialize, ship, stored, table, text_of
 from kinfold.llm.components import components
 
 SHINGLE = 4
@@ -193,7 +193,7 @@ def link_edges(
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(tasks, "variant").sortWithinPartitions("variant")
     found = dealt.mapInArrow(lambda it: _linked(it, distance, bucket), "a long, b long, large boolean")
-    found = materialize(found.distinct(), "links")
+    found = stored(found.distinct(), "links")
     edges = found.where("not large").select("a", "b")
     large = found.where("large").select(F.col("a").alias("fp"))
     if large.isEmpty():
@@ -213,7 +213,7 @@ def near_duplicates(
     table gives an empty result; other columns are ignored.
     """
     rows = fingerprints(docs, shingle)
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
     roots = components(link_edges(nodes.select("fp"), distance, segments, bucket))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left")
     rooted = rooted.select("fp", "least_id", F.coalesce("root", "fp").alias("root"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize, ship, table
+from kinfold.llm.common import ship, stored, table
 
 K = 20
 PARTS = 4
@@ -174,7 +174,7 @@ def top_inner_products(
     """
     ship(rows.sparkSession)
     vectors = whole_vectors(rows).groupBy("vec_id").agg(F.min("v").alias("v"))
-    vectors = materialize(vectors, "whole-vectors")
+    vectors = stored(vectors, "whole-vectors")
     is_query = F.col("vec_id") % every == 0
     n_rows, n_queries = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(is_query.cast("long")), F.lit(0))).first()
     r_blocks, q_blocks = max(1, math.ceil(n_rows / row_block)), max(1, math.ceil(n_queries / query_block))
@@ -189,7 +189,7 @@ def top_inner_products(
     heads = _ranked(first, k)
     last = F.min(F.struct("score", (-F.col("vec_id")).alias("less")))
     cuts = heads.groupBy(F.col("query_id").alias("of")).agg(last.alias("c"), F.count(F.lit(1)).alias("n"))
-    cuts = materialize(cuts.where(F.col("n") == k).select("of", "c.score", "c.less"), "cutoffs")
+    cuts = stored(cuts.where(F.col("n") == k).select("of", "c.score", "c.less"), "cutoffs")
     # A query with fewer candidates than k has no cutoff.
     known = asked.join(cuts, F.col("query_id") == F.col("of"), "left").select(
         "query_id",
