@@ -21,9 +21,7 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the quality classifier takes, learned from ``labels`` and these rows."""
     model = quality.quality_model(docs, table(spark, sf_dir, "labels"))
-    own = [f"`{c}`" for c in docs.columns]
-    scored = quality.with_quality(docs, model, "quality_score_")
-    return scored.where(f"quality_score_ >= {quality.THRESHOLD}").selectExpr(*own)
+    return quality.accepted(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

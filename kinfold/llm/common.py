@@ -14,6 +14,15 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row as one column ``row``, so that no column of it clashes with what an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def stored(df: DataFrame, tag: str, waves: int = 4) -> DataFrame:
     """Write a slim table that a shuffle has made, in at most ``waves`` files per core, and read it again.
 
@@ -29,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_of(name: str = "text") -> Column:
     """A text column with null as the empty text."""
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
 def in_training(doc_id: Column, folds: int = 5) -> Column:
@@ -114,4 +123,6 @@ __all__ = [
     "stored",
     "table",
     "text_of",
+    "unpacked",
+    "whole_rows",
 ]

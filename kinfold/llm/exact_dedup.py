@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import SPACES, stored, table, text_of
+from kinfold.llm.common import SPACES, stored, table, text_of, unpacked, whole_rows
 
 RUNS = 4096
 FAN_IN = 16
@@ -103,14 +103,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     entries = stored(_entries(docs), "digests")
     stays = _decided(entries).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     stays = stays.select(F.col("doc_id").alias("stay_id"), *[F.col(c).alias(f"stay_{c}") for c in DIGEST])
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*own, *[c.alias(f"own_{n}") for n, c in zip(DIGEST, digest_columns(), strict=True)])
-    same = F.col("doc_id").eqNullSafe(F.col("stay_id"))
+    keyed = whole_rows(docs).select(
+        "row",
+        F.col("row.doc_id").alias("own_id"),
+        *[c.alias(f"own_{n}") for n, c in zip(DIGEST, digest_columns("row.text"), strict=True)],
+    )
+    same = F.col("own_id").eqNullSafe(F.col("stay_id"))
     for c in DIGEST:
         same = same & (F.col(f"own_{c}") == F.col(f"stay_{c}"))
     found = keyed.join(stays, same, "left_semi")
     # Rows that repeat id and text are still there; the join has sorted by these keys.
-    return found.dropDuplicates(["doc_id", *[f"own_{c}" for c in DIGEST]]).select(*own)
+    return unpacked(found.dropDuplicates(["own_id", *[f"own_{c}" for c in DIGEST]]), docs.columns)
 
 
 def op2_exact_dedup(spark, sf_dir):

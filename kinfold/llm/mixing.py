@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WORDS, materialize, stored, text_of
+from kinfold.llm.common import WORDS, materialize, stored, table, text_of, unpacked, whole_rows
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -128,23 +128,16 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it."""
-    own = docs.columns
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], draw_words().alias("mix_draw"))
     sized = docs.select("source", size_of().alias("size"), draw_words().alias("draw"))
     sized = materialize(sized.select("source", "size", "draw.a", "draw.b"), "mixing-sizes")
-    rates = mixing_rates(sized, weights, cap)
-    named = rates.select(*[F.col(c).alias(f"mix_{c}") for c in rates.columns])
-    joined = rows.join(named, rows["source"].eqNullSafe(named["mix_source"]), "left")
-    extra = _draw("mix_draw.a", "mix_draw.b", F.col("mix_seed")) < F.col("mix_fraction")
-    copies = (F.col("mix_whole") + extra.cast("long")).cast("int")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in own], F.explode(F.array_repeat(F.lit(1), copies)).alias("mix_copy")
-    ).select(*[F.col(f"`{c}`") for c in own])
+    rows = whole_rows(docs).withColumn("draw", draw_words("row.doc_id", "row.text"))
+    rows = rows.select("row", F.col("row.source").alias("source"), "draw.a", "draw.b")
+    copied = with_copies(rows, mixing_rates(sized, weights, cap))
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int")))
+    return unpacked(copied.select("row", copies), docs.columns)
 
 
 def op7_mixing(spark, sf_dir):
-    from kinfold.llm.common import table
-
     return mixing_plan(table(spark, sf_dir, "documents"))
 
 

@@ -147,6 +147,12 @@ def with_quality(docs: DataFrame, model: QualityModel, name: str = "score") -> D
     return docs.withColumn(name, quality_score(model, text_of()))
 
 
+def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more."""
+    ship(docs.sparkSession)
+    return docs.where(quality_score(model, text_of()) >= threshold)
+
+
 def op6_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model(docs, table(spark, sf_dir, "labels"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize, ship, stored, table, text_of
+from kinfold.llm.common import materialize, ship, stored, table, text_of, unpacked, whole_rows
 from kinfold.llm.components import components
 
 SHINGLE = 4
@@ -228,11 +228,12 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     # Repeated ids: of the texts that bear the least id, the one with the least hash stays.
     stays = classes.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
     stays = stays.select(F.col("s.doc_id").alias("stay_id"), F.col("s.text_hash").alias("stay_hash"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*own, F.xxhash64(text_of()).alias("own_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("own_hash") == F.col("stay_hash"))
+    keyed = whole_rows(docs).select(
+        "row", F.col("row.doc_id").alias("own_id"), F.xxhash64(text_of("row.text")).alias("own_hash")
+    )
+    same = F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_hash") == F.col("stay_hash"))
     found = keyed.join(stays, same, "left_semi")
-    return found.dropDuplicates(["doc_id", "own_hash"]).select(*own)
+    return unpacked(found.dropDuplicates(["own_id", "own_hash"]), docs.columns)
 
 
 def op8_simhash(spark, sf_dir):
