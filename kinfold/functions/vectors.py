@@ -49,9 +49,11 @@ def scale_by_norm(v: Column, norm: str) -> Column:
         return as_double(v)
     if norm not in NORMS:
         raise ValueError(f"norm must be one of '', {', '.join(NORMS)}; got {norm!r}")
-    size = NORMS[norm](v)
-    size = F.when(size == 0.0, F.lit(1.0)).otherwise(size)
-    return let(size, lambda s: F.transform(as_double(v), lambda x: x / s))
+    # Bound first, so that the norm is computed once and not in the test as well.
+    return let(
+        NORMS[norm](v),
+        lambda size: F.transform(as_double(v), lambda x: x / F.when(size == 0.0, F.lit(1.0)).otherwise(size)),
+    )
 
 
 def l2_normalize(v: Column) -> Column:
