@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as T
 from kinfold.functions.hashing import hash_key
 from kinfold.operators.ordering import (
-    BROADCAST_ROWS,
     lookup_join,
     rank_distinct,
     sorted_position,
@@ -79,49 +78,67 @@ def eligible(df: DataFrame, valid: str, triplet_strategy: str = "batch_all") ->
     return df if triplet_strategy == "none" else df.filter(F.col(valid) == 1)
 
 
-def latest_split(df: DataFrame, id_col: str, train_rows: int, validate_rows: int, out: str = "split") -> DataFrame:
-    """Keep the latest rows by id; the lower ids train, the higher validate.
+def _cut_by_position(df: DataFrame, order: str, tie: str | None, spans: list[tuple[str, int, int]], out: str) -> DataFrame:
+    """Name the rows whose position lies in a span ``(name, start, stop)``; drop the others.
 
-    Only the ids are ranked. The two cut ids then filter the wide table, so
-    the text is neither sorted nor shuffled.
+    Only the order and the tie-break are sorted. The rows at the ends of the
+    spans then cut the wide table by comparison, so it is neither sorted nor
+    shuffled. Rows that share both values at a cut cannot be told apart and
+    raise an error. Null values come first.
     """
-    ids = df.select(id_col)
-    wanted = train_rows + validate_rows
-    if wanted <= BROADCAST_ROWS:
-        latest = ids.orderBy(F.col(id_col).desc()).limit(wanted)
-        ranked = latest.withColumn("_pos", F.row_number().over(Window.orderBy(id_col)) - 1)
-        stats = ranked.agg(
-            F.min(id_col).alias("low"),
-            F.max(F.when(F.col("_pos") < train_rows, F.col(id_col))).alias("cut"),
-        ).first()
-    else:
-        ranked = sorted_position(ids, [F.col(id_col)], "_pos", "split")
-        start = max(ranked.count() - wanted, 0)
-        stats = ranked.agg(
-            F.min(F.when(F.col("_pos") >= start, F.col(id_col))).alias("low"),
-            F.max(F.when(F.col("_pos") < start + train_rows, F.col(id_col))).alias("cut"),
-        ).first()
-    if stats is None or stats["low"] is None:
-        return df.withColumn(out, F.lit(None).cast("string")).limit(0)
-    train = F.lit(False) if stats["cut"] is None else F.col(id_col) <= stats["cut"]
-    return df.filter(F.col(id_col) >= stats["low"]).withColumn(
-        out, F.when(train, F.lit("train")).otherwise(F.lit("validate"))
-    )
-
-
-def positional_split(df: DataFrame, order: str, train_rows: int, validate_rows: int, out: str = "split") -> DataFrame:
-    """First rows by ``order`` train, the next validate, the rest is dropped."""
-    ranked = sorted_position(df.select(order), [F.col(order)], "_pos", "split")
-    cuts = ranked.agg(
-        F.max(F.when(F.col("_pos") < train_rows, F.col(order))).alias("cut"),
-        F.max(F.when(F.col("_pos") < train_rows + validate_rows, F.col(order))).alias("end"),
+    keys = [order] if tie is None or tie == order else [order, tie]
+    ranked = sorted_position(df.select(*keys), [F.col(k).asc_nulls_first() for k in keys], "_pos", "split")
+    last = F.struct("_pos", *keys)
+    spans = [x for x in spans if x[2] > x[1]]
+    ends = ranked.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.max(F.when(F.col("_pos") < stop, last)).alias(f"stop{i}") for i, (_, _, stop) in enumerate(spans)],
+        *[F.max(F.when(F.col("_pos") < start, last)).alias(f"start{i}") for i, (_, start, _) in enumerate(spans)],
     ).first()
-    if cuts["end"] is None:
+    if not spans or not ends["n"]:
         return df.withColumn(out, F.lit(None).cast("string")).limit(0)
-    train = F.lit(False) if cuts["cut"] is None else F.col(order) <= cuts["cut"]
-    return df.filter(F.col(order) <= cuts["end"]).withColumn(
-        out, F.when(train, F.lit("train")).otherwise(F.lit("validate"))
-    )
+
+    def up_to(end) -> Column:
+        """Whether a row is not after an end, null before all other values."""
+        below, equal = F.lit(False), F.lit(True)
+        for k in keys:
+            value = F.lit(end[k])
+            less = F.coalesce(F.col(k) < value, F.col(k).isNull() & value.isNotNull())
+            below = below | (equal & less)
+            equal = equal & F.col(k).eqNullSafe(value)
+        return below | equal
+
+    name = F.lit(None).cast("string")
+    for i, (label, _, _) in reversed(list(enumerate(spans))):
+        inside = up_to(ends[f"stop{i}"])
+        if ends[f"start{i}"] is not None:
+            inside = inside & ~up_to(ends[f"start{i}"])
+        name = F.when(inside, F.lit(label)).otherwise(name)
+    parts = df.withColumn(out, name).filter(F.col(out).isNotNull())
+    got = dict(ranked.select(*keys).withColumn(out, name).groupBy(out).count().collect())
+    for label, start, stop in spans:
+        wanted = max(0, min(stop, ends["n"]) - start)
+        if got.get(label, 0) != wanted:
+            raise ValueError(f"rows with equal {' and '.join(keys)} at the cut of {label!r}; name a unique tie column")
+    return parts
+
+
+def latest_split(
+    df: DataFrame, id_col: str, train_rows: int, validate_rows: int, out: str = "split", tie: str | None = None
+) -> DataFrame:
+    """Keep the latest rows by ``id_col``, ties by ``tie``; the lower ones train, the higher validate."""
+    start = max(0, df.count() - train_rows - validate_rows)
+    middle = start + train_rows
+    spans = [("train", start, middle), ("validate", middle, middle + validate_rows)]
+    return _cut_by_position(df, id_col, tie, spans, out)
+
+
+def positional_split(
+    df: DataFrame, order: str, train_rows: int, validate_rows: int, out: str = "split", tie: str | None = None
+) -> DataFrame:
+    """First rows by ``order``, ties by ``tie``, train, the next validate, the rest is dropped."""
+    spans = [("train", 0, train_rows), ("validate", train_rows, train_rows + validate_rows)]
+    return _cut_by_position(df, order, tie, spans, out)
 
 
 def shuffled(df: DataFrame, id_col: str, seed) -> DataFrame:

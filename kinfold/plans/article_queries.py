@@ -26,21 +26,53 @@ def query(oracle: str | None = None):
     return register
 
 
+# Contents without any text; a copy of each article with each of them stands beside the articles.
+_BLANKS = ("", "   ", "\t\n", "\u3000", "\u00a0 \u2003")
+
+
+def _with_blanks(rows):
+    blanks = F.explode(F.array(*[F.lit(b) for b in _BLANKS], F.lit(None).cast("string"))).alias("main_content")
+    return rows.select("doc_id", "main_content").unionByName(rows.select((-F.col("doc_id") - 1).alias("doc_id"), blanks))
+
+
+_BLANK_SQL = ", ".join(["''", "'   '", "chr(9) || chr(10)", "chr(12288)", "chr(160) || ' ' || chr(8195)", "NULL"])
+
+
 @query(
-    f"WITH {Q.ARTICLES} SELECT doc_id, length(main_content) AS n_chars FROM articles "
+    f"WITH {Q.ARTICLES}, every AS (SELECT doc_id, main_content FROM articles "
+    f"UNION ALL SELECT -doc_id - 1, unnest([{_BLANK_SQL}]) FROM articles) "
+    "SELECT doc_id, length(main_content) AS n_chars FROM every "
     r"WHERE main_content IS NOT NULL AND regexp_matches(main_content, '[^\s\p{Z}]')"
 )
 def clean_articles(spark, sf_dir):
-    rows = A.clean(I.articles(spark, sf_dir))
+    rows = A.clean(_with_blanks(I.articles(spark, sf_dir)))
     return rows.select("doc_id", F.length("main_content").cast("bigint").alias("n_chars"))
 
 
+# Titles without a bracket, with an open one, with an empty story, with two; and none.
+_TITLES = {
+    "plain": ("source", "source"),
+    "open": ("concat('【', source)", "concat('【', source)"),
+    "empty": ("concat('【】', lang)", "concat('【】', lang)"),
+    "two": ("concat('a【', lang, '】【', source, '】')", "concat('a【', lang, '】【', source, '】')"),
+    "none": ("CAST(NULL AS STRING)", "CAST(NULL AS VARCHAR)"),
+}
+_TITLES_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS kind, {sql} AS title FROM articles" for k, (_, sql) in _TITLES.items()
+)
+
+
 @query(
-    f"WITH {Q.ARTICLES} SELECT doc_id, CASE WHEN regexp_matches(title, '【([^\\n]*?)[（|】]') "
-    "THEN regexp_extract(title, '【([^\\n]*?)[（|】]', 1) END AS story FROM articles"
+    f"WITH {Q.ARTICLES}, every AS (SELECT doc_id, 'own' AS kind, title FROM articles UNION ALL {_TITLES_SQL}) "
+    "SELECT doc_id, kind, CASE WHEN regexp_matches(title, '【([^\n]*?)[（|】]') "
+    "THEN regexp_extract(title, '【([^\n]*?)[（|】]', 1) END AS story FROM every"
 )
 def story_extract(spark, sf_dir):
-    return A.with_story(I.articles(spark, sf_dir)).select("doc_id", "story")
+    rows = I.articles(spark, sf_dir)
+    every = rows.select("doc_id", F.lit("own").alias("kind"), "title")
+    for kind, (title, _) in _TITLES.items():
+        every = every.unionByName(rows.select("doc_id", F.lit(kind).alias("kind"), F.expr(title).alias("title")))
+    return A.with_story(every).select("doc_id", "kind", "story")
 
 
 @query(
@@ -57,18 +89,25 @@ def value_counts(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
+WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+l AS (SELECT n_chars // 100 AS size, count(*) AS k FROM documents GROUP BY ALL),
+m AS (SELECT CAST(max(n) AS BIGINT) AS most FROM c)
 SELECT doc_id, CAST(CASE WHEN n >= 2 AND n <= 1000000000 AND lang NOT IN ('es') THEN 1 ELSE 0 END AS INTEGER)
   AS lang_valid,
+  CAST(CASE WHEN n < most THEN 1 ELSE 0 END AS INTEGER) AS rarer_valid,
+  CAST(CASE WHEN k >= 3 AND k <= 20 THEN 1 ELSE 0 END AS INTEGER) AS size_valid,
   CAST(CASE WHEN quality IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS quality_valid
-FROM documents LEFT JOIN c USING (lang) LEFT JOIN labels USING (doc_id)
+FROM documents LEFT JOIN c USING (lang) LEFT JOIN l ON l.size = n_chars // 100 LEFT JOIN labels USING (doc_id), m
 """)
 def label_valid(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.col("n_chars") / 100).alias("size"))
     docs = docs.join(I.table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    most = A.value_counts(docs, "lang").agg(F.max("n")).first()[0]
     flagged = A.label_valid(docs, "lang", "lang_valid", min_count=2, max_count=1_000_000_000, deny=("es",))
+    flagged = A.label_valid(flagged, "lang", "rarer_valid", max_count=most - 1)
+    flagged = A.label_valid(flagged, "size", "size_valid", min_count=3, max_count=20)
     flagged = A.label_valid(flagged, "quality", "quality_valid")
-    return flagged.select("doc_id", "lang_valid", "quality_valid")
+    return flagged.select("doc_id", "lang_valid", "rarer_valid", "size_valid", "quality_valid")
 
 
 @query("""
@@ -122,6 +161,28 @@ def positional_split(spark, sf_dir):
     return A.positional_split(docs, "doc_id", n // 2, n // 4)
 
 
+_TIED = """
+WITH n AS (SELECT count(*) // 2 AS train, count(*) // 4 AS validate FROM documents),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars {0}, doc_id {0}) - 1 AS a FROM documents)
+SELECT doc_id, CASE WHEN {1} THEN 'train' ELSE 'validate' END AS split FROM p, n WHERE a < train + validate
+"""
+
+
+@query(_TIED.format("DESC", "a >= validate"))
+def latest_split_ties(spark, sf_dir):
+    """The longest documents, by a column in which values repeat."""
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    n = docs.count()
+    return A.latest_split(docs, "n_chars", n // 2, n // 4, tie="doc_id").select("doc_id", "split")
+
+
+@query(_TIED.format("ASC", "a < train"))
+def positional_split_ties(spark, sf_dir):
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    n = docs.count()
+    return A.positional_split(docs, "n_chars", n // 2, n // 4, tie="doc_id").select("doc_id", "split")
+
+
 @query(f"""
 SELECT doc_id, row_number() OVER (ORDER BY {Q.key(Q.SEED, 'doc_id')}, doc_id) - 1 AS pos FROM documents
 """)

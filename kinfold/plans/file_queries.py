@@ -186,7 +186,7 @@ def model_files(spark, sf_dir):
 WITH s AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) - 1 AS code FROM documents GROUP BY source),
 c AS (SELECT lang, row_number() OVER (ORDER BY min(doc_id)) - 1 AS code FROM documents GROUP BY lang)
 SELECT CAST(s.code AS INTEGER) AS label_story, CAST(c.code AS INTEGER) AS label_category_publish_name,
-       md5(concat('【', source, '（', lang, '）】', substr(text, 1, 20))) AS title, source AS story, lang AS category_publish_name
+       md5(concat('【', source, '（', lang, '）】', text)) AS title, source AS story, lang AS category_publish_name
 FROM documents JOIN s USING (source) JOIN c USING (lang)
 """)
 def projector_labels(spark, sf_dir):

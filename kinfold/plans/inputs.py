@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a bracketed title, and their language as prefixed category."""
-    title = F.concat(F.lit("【"), "source", F.lit("（"), "lang", F.lit("）】"), F.substring("text", 1, 20))
+    title = F.concat(F.lit("【"), "source", F.lit("（"), "lang", F.lit("）】"), "text")
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.col("text").alias("main_content"),

@@ -29,7 +29,7 @@ def uniform(seed, *columns: str) -> str:
 
 ARTICLES = """articles AS (
   SELECT doc_id, text AS main_content,
-         concat('【', source, '（', lang, '）】', substr(text, 1, 20)) AS title,
+         concat('【', source, '（', lang, '）】', text) AS title,
          concat('即時', lang) AS category_publish_name, source, lang
   FROM documents)"""
 

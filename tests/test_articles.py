@@ -108,3 +108,25 @@ def test_streaming_rows_can_be_cleaned(spark, tmp_path):
     done = A.with_story(A.clean(stream)).writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
     done.awaitTermination(60)
     assert [(r.id, r.story) for r in spark.table("cleaned").collect()] == [(1, "a")]
+
+
+def test_splits_cut_by_position_on_ties(spark):
+    rows = [(i, (i * 7) % 4) for i in range(12)]
+    df = spark.createDataFrame(rows + [(12, None)], "id long, n long")
+    for train, validate in [(4, 4), (0, 3), (5, 0), (13, 2), (6, 7), (20, 20)]:
+        by = sorted(df.collect(), key=lambda r: (r.n is not None, r.n or 0, r.id))
+        want = {r.id: "train" if k < train else "validate" for k, r in enumerate(by) if k < train + validate}
+        got = {r.id: r.split for r in A.positional_split(df, "n", train, validate, tie="id").collect()}
+        assert got == want
+        late = by[max(0, len(by) - train - validate) :]
+        want = {r.id: "train" if k < train else "validate" for k, r in enumerate(late)}
+        got = {r.id: r.split for r in A.latest_split(df, "n", train, validate, tie="id").collect()}
+        assert got == want
+
+
+def test_splits_refuse_ties_at_the_cut(spark):
+    df = spark.createDataFrame([(1,), (2,), (2,), (3,)], "id long")
+    assert A.positional_split(df, "id", 1, 2).count() == 3
+    with pytest.raises(ValueError, match="tie"):
+        A.positional_split(df, "id", 2, 1)
+    assert A.latest_split(df.limit(0), "id", 2, 1).count() == 0
