@@ -31,7 +31,7 @@ def _add(oracle=None, name=None):
 
 _RATE = 0.3  # default share of the input to corrupt
 _CONFIG = EncoderConfig()
-_K = _CONFIG.components(Q.SMALL_FEATURES)
+_K = _CONFIG.components(Q.MAX_FEATURES)
 _EPOCH = f"{Q.SEED}:1"
 
 
@@ -64,17 +64,17 @@ def noise_decay(spark, sf_dir):
     return _long(N.corrupt(packed, "decay", _RATE, Q.MAX_FEATURES, "doc_id"))
 
 
-_DRAWS = round(_RATE * Q.SMALL_FEATURES)
+_DRAWS = round(_RATE * Q.MAX_FEATURES)
 
 
 @_add(f"""
-WITH {Q.SMALL_VECTORS},
+WITH {Q.VECTORS},
 size AS (SELECT count(*) AS v FROM vocab),
 ext AS (SELECT CASE WHEN count(*) < any_value(n_docs) * any_value(v) THEN least(min(value), 0) ELSE min(value) END AS lo,
                max(value) AS hi FROM cnt, nd, size),
 hash AS (SELECT doc_id, draw, {Q.key(_EPOCH, 'doc_id', 'draw')} AS h
          FROM documents, generate_series(1, {_DRAWS}) AS g(draw)),
-drawn AS (SELECT doc_id, draw, {Q.word('h', 0)} % {Q.SMALL_FEATURES} AS term_id, {Q.word('h', 1)} % 2 AS coin FROM hash),
+drawn AS (SELECT doc_id, draw, {Q.word('h', 0)} % {Q.MAX_FEATURES} AS term_id, {Q.word('h', 1)} % 2 AS coin FROM hash),
 last AS (SELECT doc_id, CAST(term_id AS INTEGER) AS term_id, arg_max(coin, draw) AS coin FROM drawn GROUP BY ALL),
 put AS (SELECT doc_id, term_id, CASE WHEN coin = 0 THEN lo ELSE hi END AS value FROM last, ext),
 merged AS (SELECT doc_id, term_id, CASE WHEN put.value IS NULL THEN cnt.value ELSE put.value END AS value
@@ -83,14 +83,14 @@ SELECT doc_id, term_id, CAST(value AS DOUBLE) AS value FROM merged WHERE value <
 """)
 def noise_salt_pepper(spark, sf_dir):
     packed = _small(spark, sf_dir, "count")
-    return _long(N.corrupt(packed, "salt_and_pepper", _RATE, Q.SMALL_FEATURES, "doc_id", Q.SEED, 1))
+    return _long(N.corrupt(packed, "salt_and_pepper", _RATE, Q.MAX_FEATURES, "doc_id", Q.SEED, 1))
 
 
 _BOUND = "sqrt(6.0 / ({n} + {k}))"
-_XAVIER = f"""term AS (SELECT CAST(range AS INTEGER) AS term_id FROM range({Q.SMALL_FEATURES})),
+_XAVIER = f"""term AS (SELECT CAST(range AS INTEGER) AS term_id FROM range({Q.MAX_FEATURES})),
 comp AS (SELECT CAST(range AS INTEGER) AS component FROM range({_K})),
 w AS (SELECT term_id, component,
-             ({Q.uniform(Q.SEED, 'term_id', 'component')} * 2 - 1) * {_BOUND.format(n=Q.SMALL_FEATURES, k=_K)} AS w
+             ({Q.uniform(Q.SEED, 'term_id', 'component')} * 2 - 1) * {_BOUND.format(n=Q.MAX_FEATURES, k=_K)} AS w
       FROM term, comp)"""
 
 
@@ -109,10 +109,10 @@ def xavier(spark, sf_dir):
 
 
 def _initial(spark):
-    return EncoderModel.initial(spark, _CONFIG, Q.SMALL_FEATURES)
+    return EncoderModel.initial(spark, _CONFIG, Q.MAX_FEATURES)
 
 
-_ENCODED = f"""{Q.SMALL_VECTORS}, {_XAVIER},
+_ENCODED = f"""{Q.VECTORS}, {_XAVIER},
 act AS (SELECT doc_id, component, sum(f.value * (1 - {_RATE}) * w.w) AS a FROM tfidf f JOIN w USING (term_id) GROUP BY ALL),
 code AS (SELECT d.doc_id, c.component, 1 / (1 + exp(-coalesce(a, 0))) - 0.5 AS h
          FROM documents d CROSS JOIN comp c LEFT JOIN act ON act.doc_id = d.doc_id AND act.component = c.component)"""
@@ -138,11 +138,13 @@ def encode_by_join(spark, sf_dir):
 
 
 @_add(f"""
-WITH {Q.SMALL_VECTORS}, {_XAVIER},
+WITH {Q.VECTORS}, {_XAVIER},
 act AS (SELECT doc_id, component, sum(w.w) AS a FROM cnt JOIN w USING (term_id) GROUP BY ALL),
 code AS (SELECT d.doc_id, c.component, 1 / (1 + exp(-coalesce(a, 0))) - 0.5 AS h
          FROM documents d CROSS JOIN comp c LEFT JOIN act ON act.doc_id = d.doc_id AND act.component = c.component),
-z AS (SELECT doc_id, term_id, sum(h * w.w) AS z FROM code JOIN w USING (component) GROUP BY ALL),
+hv AS (SELECT doc_id, list(h ORDER BY component) AS h FROM code GROUP BY doc_id),
+wv AS (SELECT term_id, list(w ORDER BY component) AS w FROM w GROUP BY term_id),
+z AS (SELECT doc_id, term_id, list_dot_product(h, wv.w) AS z FROM hv, wv),
 loss AS (SELECT z.doc_id, -sum(CASE WHEN cnt.value IS NULL THEN ln(1 - 1 / (1 + exp(-z)) + 1e-16)
                                    ELSE ln(1 / (1 + exp(-z)) + 1e-16) END) AS loss
          FROM z LEFT JOIN cnt USING (doc_id, term_id) GROUP BY z.doc_id)
@@ -161,7 +163,7 @@ def _trained(spark, sf_dir, strategy: str, **changes):
     split = materialize(A.positional_split(rows, "doc_id", rows.count() * 4 // 5, rows.count()), "split")
     train, valid = (split.filter(F.col("split") == s).drop("split") for s in ("train", "validate"))
     config = EncoderConfig(num_epochs=2, verbose_step=1, triplet_strategy=strategy, **changes)
-    return DenoisingEncoder(config).fit(train, Q.SMALL_FEATURES, "doc_id", "label", valid)
+    return DenoisingEncoder(config).fit(train, Q.MAX_FEATURES, "doc_id", "label", valid)
 
 
 def _fit_query(strategy, **changes):
@@ -192,7 +194,7 @@ def fit_triplets(spark, sf_dir):
         .join(role("neg", "doc_id_neg"), "doc_id_neg")
     )
     config = EncoderConfig(num_epochs=2, verbose_step=1)
-    return DenoisingEncoder(config).fit_triplets(joined, Q.SMALL_FEATURES, "doc_id").metrics
+    return DenoisingEncoder(config).fit_triplets(joined, Q.MAX_FEATURES, "doc_id").metrics
 
 
 @_add()
@@ -202,10 +204,10 @@ def resume_training(spark, sf_dir):
 
     rows = _small(spark, sf_dir, "binary")
     config = EncoderConfig(num_epochs=1, verbose_step=1, triplet_strategy="none", opt="momentum")
-    first = DenoisingEncoder(config).fit(rows, Q.SMALL_FEATURES, "doc_id")
+    first = DenoisingEncoder(config).fit(rows, Q.MAX_FEATURES, "doc_id")
     path = fresh_path(spark, "model")
     first.save(path)
     again = DenoisingEncoder(config).fit(
-        rows, Q.SMALL_FEATURES, "doc_id", resume_from=EncoderModel.load(spark, path)
+        rows, Q.MAX_FEATURES, "doc_id", resume_from=EncoderModel.load(spark, path)
     )
     return first.metrics.withColumn("run", F.lit(1)).unionByName(again.metrics.withColumn("run", F.lit(2)))

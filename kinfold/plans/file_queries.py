@@ -85,12 +85,12 @@ def matrix_csv(spark, sf_dir):
 
 
 @_add(f"""
-WITH {Q.SMALL_VECTORS}, p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents)
+WITH {Q.VECTORS}, p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents)
 SELECT row, term_id, value FROM cnt JOIN p USING (doc_id)
 """)
 def matrix_sparse_tsv(spark, sf_dir):
     path = fresh_path(spark, "matrix") + ".tsv"
-    SF.write_matrix(_small(spark, sf_dir, "count"), path, "doc_id", n_features=Q.SMALL_FEATURES)
+    SF.write_matrix(_small(spark, sf_dir, "count"), path, "doc_id", n_features=Q.MAX_FEATURES)
     return SF.read_matrix(spark, path, sparse=True)
 
 
@@ -126,7 +126,7 @@ def embedding_text(spark, sf_dir):
 
 
 @_add(f"""
-WITH {Q.SMALL_VECTORS}, every AS (
+WITH {Q.VECTORS}, every AS (
   SELECT 'count' AS kind, doc_id, term_id, value FROM cnt UNION ALL
   SELECT 'binary', doc_id, term_id, 1.0 FROM cnt UNION ALL SELECT 'tfidf', doc_id, term_id, value FROM tfidf)
 SELECT kind, doc_id, count(*) AS entries, {Q.r('sum(value)')} AS total FROM every GROUP BY kind, doc_id
@@ -137,7 +137,7 @@ def bundle(spark, sf_dir):
     split = articles.select("doc_id", "split")
     vectors = rows.join(split, "doc_id")
     labels = A.factorize(articles.select("doc_id", "source", "split"), "source", "doc_id", "label_story")
-    voc = I.fitted(spark, sf_dir, Q.SMALL_FEATURES)[1]
+    voc = I.fitted(spark, sf_dir, Q.MAX_FEATURES)[1]
     path = fresh_path(spark, "bundle")
     SB.Bundle(articles, SB.feature_rows(vectors, F.col("split")), labels, voc).save(path)
     back = SB.Bundle.restore(spark, path)
@@ -164,7 +164,7 @@ def run_params(spark, sf_dir):
 
 
 @_add(f"""
-WITH {Q.SMALL_VECTORS}, {_XAVIER},
+WITH {Q.VECTORS}, {_XAVIER},
 act AS (SELECT doc_id, component, sum(f.value * w.w) AS a FROM tfidf f JOIN w USING (term_id) GROUP BY ALL)
 SELECT d.doc_id, {Q.r('sum(1 / (1 + exp(-coalesce(a, 0))) - 0.5)')} AS total, count(*) AS width
 FROM documents d CROSS JOIN comp c LEFT JOIN act ON act.doc_id = d.doc_id AND act.component = c.component
@@ -173,7 +173,7 @@ GROUP BY d.doc_id
 def model_files(spark, sf_dir):
     """Model stored and restored, documents encoded with it, codes stored and restored."""
     path = fresh_path(spark, "model")
-    EncoderModel.initial(spark, _CONFIG, Q.SMALL_FEATURES).save(path)
+    EncoderModel.initial(spark, _CONFIG, Q.MAX_FEATURES).save(path)
     model = EncoderModel.load(spark, path)
     target = fresh_path(spark, "encoded")
     save_encoded(model, model.transform(_small(spark, sf_dir, "tfidf"), "doc_id"), target)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators import vectorize as V
-from kinfold.plans.sql import MAX_FEATURES, SEED, SMALL_FEATURES
+from kinfold.plans.sql import MAX_FEATURES, SEED
 from kinfold.session import materialize
 
 
@@ -46,7 +46,7 @@ def fitted(spark: SparkSession, sf_dir: str, k: int = MAX_FEATURES):
     return counted, V.fit_vocab(counted, "doc_id", max_df=0.99, max_features=k, n_docs=n_docs), n_docs
 
 
-def vectors(spark: SparkSession, sf_dir: str, k: int = SMALL_FEATURES) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str, k: int = MAX_FEATURES) -> DataFrame:
     """``(doc_id, idx, val, tfidf)`` for every document, stored once."""
     counted, vocab, n_docs = fitted(spark, sf_dir, k)
     return materialize(V.vectorize(counted, vocab, "doc_id", n_docs), "vectors")

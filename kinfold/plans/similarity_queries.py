@@ -99,7 +99,7 @@ def similar_pairs(spark, sf_dir):
 
 def _sparse_sql(values: str) -> str:
     """CTE ``pairs`` over packed rows; pairs without a common term score 0."""
-    return f"""{Q.SMALL_VECTORS},
+    return f"""{Q.VECTORS},
 f AS (SELECT doc_id, term_id, {values}),
 hit AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, sum(a.value * b.value) AS score
         FROM f a JOIN f b ON a.term_id = b.term_id AND a.doc_id < b.doc_id GROUP BY 1, 2),
@@ -296,7 +296,7 @@ def _kinds_sql(values: str, kind: str, prefix: str) -> str:
 
 
 @_add(f"""
-WITH {Q.SMALL_VECTORS}, {_kinds_sql(_TFIDF, 'tfidf', 't_')}, {_kinds_sql(_BINARY, 'binary', 'b_')},
+WITH {Q.VECTORS}, {_kinds_sql(_TFIDF, 'tfidf', 't_')}, {_kinds_sql(_BINARY, 'binary', 'b_')},
 u AS (SELECT * FROM t_r UNION ALL SELECT * FROM b_r),
 r AS (SELECT kind, 'label_lang' AS label_kind, score, rl AS related FROM u
       UNION ALL SELECT kind, 'label_source', score, rs FROM u),

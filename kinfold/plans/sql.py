@@ -6,7 +6,6 @@ from kinfold.functions.text import default_stop_words
 
 SEED = 42
 MAX_FEATURES = 10_000  # default vocabulary size
-SMALL_FEATURES = 500  # vocabulary size where every pair of documents is scored
 
 
 def r(expr: str, digits: int = 6) -> str:
@@ -71,4 +70,3 @@ def tfidf(prefix: str = "", vocab_prefix: str | None = None) -> str:
 
 
 VECTORS = ",\n".join([terms(), vocab(), counts(), tfidf()])
-SMALL_VECTORS = ",\n".join([terms(), vocab(SMALL_FEATURES), counts(), tfidf()])
