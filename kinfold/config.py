@@ -35,6 +35,7 @@ class EncoderConfig:
     alpha: float = 1.0
     triplet_strategy: str = "batch_all"
     hard_mode: str = "reference"
+    hash_method: str = "xxhash64"
     tile_rows: int = 1024
     max_parameter_bytes: int = 1 << 30
 
@@ -47,6 +48,7 @@ class EncoderConfig:
             "corr_type": CORRUPTIONS,
             "triplet_strategy": STRATEGIES,
             "hard_mode": ("reference", "strict"),
+            "hash_method": ("xxhash64", "md5"),
         }
         for name, allowed in choices.items():
             if getattr(self, name) not in allowed:

@@ -25,11 +25,11 @@ from kinfold.operators.batches import assign_batches, rows_per_batch
 from kinfold.operators.blocks import Rows
 from kinfold.operators.noise import corrupt
 from kinfold.operators.vectorize import matrix_extremes
-from kinfold.session import materialize, ship
+from kinfold.session import discard, materialize, ship
 
 TERM_BLOCK = 1024  # terms whose gradient travels as one row
-PLAIN_BATCHES = 64  # with more batches than this the rows of an epoch are written by batch group
-_GROUPS = 1000
+_GROUPS = 1000  # folders of an epoch's rows, by batch
+_FAN_IN = 64  # partial gradients of a block that one task adds up first
 _SPLIT = 4  # a batch is cut into up to this many tiles, so that its triplets occupy many cores
 _MIN_TILE = 128
 _GRAD_SCHEMA = "block int, data array<double>"
@@ -53,18 +53,23 @@ def _partial_rows(grad: M.Gradient, stats: list[float]) -> Iterator[pa.RecordBat
     yield row(-1, np.concatenate([grad.bh, np.array(stats, dtype=float)]))
 
 
-def _add_block(table: pa.Table) -> pa.Table:
-    rows = table.column("data").combine_chunks()
-    data = rows.flatten().to_numpy().reshape(table.num_rows, -1).sum(0)
-    ends = pa.array([0, len(data)], pa.int32())
-    return pa.table(
-        {"block": table.column("block").slice(0, 1), "data": pa.ListArray.from_arrays(ends, pa.array(data))}
-    )
+def _add_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum the arrays of one block, holding one batch of them at a time."""
+    block, total = None, None
+    for part in parts:
+        if part.num_rows:
+            rows = part.column("data").flatten().to_numpy().reshape(part.num_rows, -1).sum(0)
+            block, total = part.column("block").slice(0, 1), rows if total is None else total + rows
+    if total is not None:
+        ends = pa.array([0, len(total)], pa.int32())
+        yield pa.RecordBatch.from_arrays([block, pa.ListArray.from_arrays(ends, pa.array(total))], ["block", "data"])
 
 
 def _summed(partials: DataFrame, params: M.Params) -> tuple[M.Gradient, np.ndarray]:
     """Gradient and stats of all tasks; its size is that of the parameters."""
-    table = partials.groupBy("block").applyInArrow(_add_block, _GRAD_SCHEMA).toArrow()
+    some = partials.withColumn("some", F.floor(F.spark_partition_id() / _FAN_IN))
+    some = some.groupBy("block", "some").applyInArrow(_add_up, _GRAD_SCHEMA)
+    table = some.groupBy("block").applyInArrow(_add_up, _GRAD_SCHEMA).toArrow()
     grad, stats = M.Gradient(params), np.zeros(0)
     k = params.w.shape[1]
     for block, data in zip(table.column("block").to_pylist(), table.column("data")):
@@ -160,7 +165,7 @@ class DenoisingEncoder:
     def _train(self, rows, valid, n_features, suffixes, step, cost, resume_from) -> EncoderModel:
         c, spark = self.config, rows.sparkSession
         ship(spark)
-        model = resume_from or EncoderModel.initial(spark, c, n_features, method="xxhash64")
+        model = resume_from or EncoderModel.initial(spark, c, n_features, method=c.hash_method)
         if model.n_features != n_features:
             raise ValueError(f"the model has {model.n_features} features, the data {n_features}")
         params = model.params()
@@ -173,19 +178,25 @@ class DenoisingEncoder:
         n_batches = -(-n_rows // size)
         extremes = {s: self._extremes(rows, s, n_features) for s in suffixes}
         metrics: list[tuple] = []
-        for epoch in range(1, c.num_epochs + 1):
-            prepared = self._epoch_rows(rows, n_features, suffixes, epoch, n_rows, n_batches, extremes)
+        # A resumed run goes on with the epochs and the history of the model.
+        past = None if resume_from is None else model.metrics
+        done_before = 0 if past is None else past.agg(F.coalesce(F.max("epoch"), F.lit(0))).first()[0]
+        last = done_before + c.num_epochs
+        for epoch in range(done_before + 1, last + 1):
+            prepared = self._epoch_rows(rows, n_features, suffixes, epoch, n_rows, extremes)
             done: list[_Step] = []
             for b in range(n_batches):
-                batch = _batch_of(prepared, b, n_batches)
+                batch = _batch_of(prepared, b)
                 grad, report = step(spark, batch, params, size)
                 params = updater.apply(params, grad)
                 done.append(report)
-            if epoch % c.verbose_step == 0 or epoch == c.num_epochs:
+            discard(prepared)
+            if epoch % c.verbose_step == 0 or epoch == last:
                 metrics.append((epoch, "train", *_mean(done)))
                 if valid is not None:
                     metrics.append((epoch, "validate", *_mean([cost(spark, valid, params)])))
-        return _fitted(spark, c, params, updater, metrics, n_features)
+        discard(rows, valid)
+        return _fitted(spark, c, params, updater, metrics, n_features, past)
 
     def _extremes(self, rows: DataFrame, suffix: str, n_features: int):
         if self.config.corr_type != "salt_and_pepper":
@@ -194,15 +205,13 @@ class DenoisingEncoder:
         found = matrix_extremes(packed, n_features).first()
         return found["min_value"], found["max_value"]
 
-    def _epoch_rows(self, rows, n_features, suffixes, epoch, n_rows, n_batches, extremes) -> DataFrame:
+    def _epoch_rows(self, rows, n_features, suffixes, epoch, n_rows, extremes) -> DataFrame:
         """All rows with their corrupted input and batch of this epoch."""
         c = self.config
         out = rows
         for s in suffixes:
             out = _with_corrupted(out, s, c, n_features, epoch, extremes[s])
         placed = assign_batches(out, "id", c.batch_size, c.seed, epoch, n_rows=n_rows)
-        if n_batches <= PLAIN_BATCHES:
-            return materialize(placed, "epoch")
         group = F.pmod(F.col("batch_id"), F.lit(_GROUPS)).cast("int")
         grouped = placed.withColumn("batch_group", group).repartition("batch_group", F.pmod(F.xxhash64("id"), F.lit(8)))
         return materialize(grouped, "epoch", ["batch_group"])
@@ -429,7 +438,7 @@ def _with_corrupted(rows: DataFrame, s: str, c: EncoderConfig, n_features: int,
     """Rows with the corrupted copy ``idx_c<s>``, ``val_c<s>`` next to the clean input."""
     held = rows.withColumn("_idx", F.col(f"idx{s}")).withColumn("_val", F.col(f"val{s}"))
     work = held.withColumn("idx", F.col("_idx")).withColumn("val", F.col("_val"))
-    noisy = corrupt(work, c.corr_type, c.corr_frac, n_features, "id", f"{c.seed}{s}", epoch, "xxhash64", extremes)
+    noisy = corrupt(work, c.corr_type, c.corr_frac, n_features, "id", f"{c.seed}{s}", epoch, c.hash_method, extremes)
     clean = {f"idx{s}": "_idx", f"val{s}": "_val"}
     return noisy.select(
         *[F.col(clean.get(x, x)).alias(x) for x in rows.columns],
@@ -438,9 +447,9 @@ def _with_corrupted(rows: DataFrame, s: str, c: EncoderConfig, n_features: int,
     )
 
 
-def _batch_of(prepared: DataFrame, b: int, n_batches: int) -> DataFrame:
-    chosen = prepared.filter(F.col("batch_id") == b)
-    return chosen if n_batches <= PLAIN_BATCHES else chosen.filter(F.col("batch_group") == b % _GROUPS)
+def _batch_of(prepared: DataFrame, b: int) -> DataFrame:
+    """One batch, from the folder of its group."""
+    return prepared.filter((F.col("batch_group") == b % _GROUPS) & (F.col("batch_id") == b))
 
 
 def _scale(grad: M.Gradient, factor: float) -> None:
@@ -506,13 +515,18 @@ def _slots_from_table(slots: DataFrame | None, updater: M.Updater, n_features: i
     return found
 
 
-def _fitted(spark, c: EncoderConfig, params: M.Params, updater: M.Updater, metrics: list, n_features: int) -> EncoderModel:
+def _fitted(
+    spark, c: EncoderConfig, params: M.Params, updater: M.Updater, metrics: list, n_features: int, past: DataFrame | None
+) -> EncoderModel:
     """The model with its tables written, so that nothing hangs on the driver."""
     slots = _slots_table(spark, updater)
+    history = spark.createDataFrame(metrics, _METRICS)
+    if past is not None:
+        history = past.unionByName(history)
     model = _model_of(
         spark, c, params,
         slots=None if slots is None else materialize(slots, "slots"),
-        metrics=spark.createDataFrame(metrics, _METRICS),
+        metrics=history,
         steps=updater.steps,
     )
     model.weights = materialize(model.weights, "weights")

@@ -197,6 +197,121 @@ def fit_triplets(spark, sf_dir):
     return DenoisingEncoder(config).fit_triplets(joined, Q.MAX_FEATURES, "doc_id").metrics
 
 
+# -- steps of the fit, restated ---------------------------------------------
+
+_EPS = "1e-16"
+
+
+def _step_sql(p: str, epoch: int, before: str) -> str:
+    """CTEs of one step over all rows: inputs masked anew, codes, slopes, gradients.
+
+    ``before`` starts the names of the parameters ``w(term_id, component, w)``,
+    ``bv(term_id, b)`` and ``bh(component, b)``; the gradients are ``{p}gw``,
+    ``{p}gv`` and ``{p}gh``.
+    """
+    return f"""{p}in AS (SELECT doc_id, term_id FROM cnt WHERE {Q.uniform(f'{Q.SEED}:{epoch}', 'doc_id', 'term_id')} >= {_RATE}),
+{p}act AS (SELECT doc_id, component, sum(w.w) AS a FROM {p}in JOIN {before}w w USING (term_id) GROUP BY ALL),
+{p}code AS (SELECT d.doc_id, c.component, 1 / (1 + exp(-(coalesce(a, 0) + c.b))) AS f, 1 / (1 + exp(-c.b)) AS fb
+  FROM documents d CROSS JOIN {before}bh c LEFT JOIN {p}act t ON t.doc_id = d.doc_id AND t.component = c.component),
+{p}hv AS (SELECT doc_id, list(f - fb ORDER BY component) AS h FROM {p}code GROUP BY doc_id),
+{p}wv AS (SELECT term_id, list(w ORDER BY component) AS w FROM {before}w GROUP BY term_id),
+{p}z AS (SELECT doc_id, term_id, 1 / (1 + exp(-(list_dot_product(h, w) + b))) AS d
+  FROM {p}hv, {p}wv JOIN {before}bv USING (term_id)),
+{p}dz AS (SELECT z.doc_id, z.term_id, d * (1 - d) * (CASE WHEN cnt.value IS NULL THEN 1 / (1 - d + {_EPS})
+    ELSE -1 / (d + {_EPS}) END) AS g FROM {p}z z LEFT JOIN cnt USING (doc_id, term_id)),
+{p}dzd AS (SELECT doc_id, list(g ORDER BY term_id) AS g FROM {p}dz GROUP BY doc_id),
+{p}wc AS (SELECT component, list(w ORDER BY term_id) AS w FROM {before}w GROUP BY component),
+{p}dh AS (SELECT doc_id, component, list_dot_product(g, w) AS g FROM {p}dzd, {p}wc),
+{p}da AS (SELECT doc_id, component, dh.g * f * (1 - f) AS g, dh.g AS gh, f - fb AS h, fb
+  FROM {p}dh dh JOIN {p}code USING (doc_id, component)),
+{p}dzt AS (SELECT term_id, list(g ORDER BY doc_id) AS g FROM {p}dz GROUP BY term_id),
+{p}hc AS (SELECT component, list(h ORDER BY doc_id) AS h FROM {p}da GROUP BY component),
+{p}sparse AS (SELECT term_id, component, sum(g) AS g FROM {p}in JOIN {p}da USING (doc_id) GROUP BY ALL),
+{p}gw AS (SELECT t.term_id, c.component, (list_dot_product(t.g, c.h) + coalesce(s.g, 0)) / n_docs AS g
+  FROM {p}dzt t CROSS JOIN {p}hc c LEFT JOIN {p}sparse s ON s.term_id = t.term_id AND s.component = c.component, nd),
+{p}gv AS (SELECT term_id, sum(g) / any_value(n_docs) AS g FROM {p}dz, nd GROUP BY term_id),
+{p}gh AS (SELECT component, (sum(g) - any_value(fb * (1 - fb)) * sum(gh)) / any_value(n_docs) AS g
+  FROM {p}da, nd GROUP BY component)"""
+
+
+_FIRST = f"""{Q.VECTORS}, {_XAVIER}, p0w AS (SELECT * FROM w),
+p0bv AS (SELECT term_id, 0.0::DOUBLE AS b FROM term), p0bh AS (SELECT component, 0.0::DOUBLE AS b FROM comp)"""
+_SUMMED = f"""SELECT term_id, {Q.r('sum(w)')} AS w_sum, {Q.r('sum(w * (component + 1))')} AS w_place,
+  {Q.r('min(w)')} AS w_min, {Q.r('max(w)')} AS w_max, {Q.r('any_value(b)')} AS b FROM p1w JOIN p1bv USING (term_id) GROUP BY term_id
+UNION ALL SELECT -1 - component, NULL, NULL, NULL, NULL, {Q.r('b')} FROM p1bh"""
+
+
+def _updated(rule: str) -> str:
+    """The parameters after one step, by a rule for the old value ``x`` and the gradient ``g``."""
+    return f"""p1w AS (SELECT term_id, component, {rule.format(x='p0w.w')} AS w FROM p0w JOIN sgw USING (term_id, component)),
+p1bv AS (SELECT term_id, {rule.format(x='p0bv.b')} AS b FROM p0bv JOIN sgv USING (term_id)),
+p1bh AS (SELECT component, {rule.format(x='p0bh.b')} AS b FROM p0bh JOIN sgh USING (component))"""
+
+
+_RULES = {
+    "gradient_descent": "{x} - 0.1 * g",
+    "ada_grad": "{x} - 0.1 * g / sqrt(0.1 + g * g)",
+    "adam": "{x} - 0.1 * sqrt(1 - 0.999) / (1 - 0.9) * (0.1 * g) / (sqrt((1 - 0.999) * g * g) + 1e-8)",
+}
+
+
+def _stepped(spark, sf_dir, opt: str, epochs: int = 1, resume_from=None):
+    """A fit over all rows at once, with draws that SQL can restate."""
+    rows = _small(spark, sf_dir, "binary")
+    config = EncoderConfig(
+        num_epochs=epochs, verbose_step=1, triplet_strategy="none", opt=opt, batch_size=rows.count(), hash_method="md5"
+    )
+    return DenoisingEncoder(config).fit(rows, Q.MAX_FEATURES, "doc_id", resume_from=resume_from)
+
+
+def _summary(model):
+    """Sums over each term's weights, in which a change of any weight or of their places shows."""
+    each = model.weights.select("term_id", "w", F.col("bv").alias("b"))
+    place = F.aggregate(F.transform("w", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    sums = {
+        "w_sum": F.aggregate("w", F.lit(0.0), lambda s, x: s + x),
+        "w_place": place,
+        "w_min": F.array_min("w"),
+        "w_max": F.array_max("w"),
+        "b": F.col("b"),
+    }
+    terms = each.select("term_id", *[rounded(v).alias(k) for k, v in sums.items()])
+    hidden = model.hidden_bias.select(F.posexplode("bh").alias("component", "b"))
+    nothing = [F.lit(None).cast("double").alias(k) for k in list(sums)[:-1]]
+    hidden = hidden.select((-1 - F.col("component")).cast("int").alias("term_id"), *nothing, rounded(F.col("b")).alias("b"))
+    return terms.unionByName(hidden)
+
+
+def _step_query(opt: str):
+    def run(spark, sf_dir):
+        return _summary(_stepped(spark, sf_dir, opt))
+
+    return run
+
+
+for _opt, _rule in _RULES.items():
+    _add(f"WITH {_FIRST}, {_step_sql('s', 1, 'p0')}, {_updated(_rule)} {_SUMMED}", f"fit_step_{_opt}")(_step_query(_opt))
+
+
+@_add(f"""
+WITH {_FIRST}, {_step_sql('a', 1, 'p0')},
+mw AS (SELECT term_id, component, p0w.w - 0.1 * g AS w, g FROM p0w JOIN agw USING (term_id, component)),
+mbv AS (SELECT term_id, -0.1 * g AS b, g FROM agv), mbh AS (SELECT component, -0.1 * g AS b, g FROM agh),
+{_step_sql('s', 2, 'm')},
+p1w AS (SELECT term_id, component, w - 0.1 * (0.5 * mw.g + sgw.g) AS w FROM mw JOIN sgw USING (term_id, component)),
+p1bv AS (SELECT term_id, b - 0.1 * (0.5 * mbv.g + sgv.g) AS b FROM mbv JOIN sgv USING (term_id)),
+p1bh AS (SELECT component, b - 0.1 * (0.5 * mbh.g + sgh.g) AS b FROM mbh JOIN sgh USING (component))
+{_SUMMED}
+""")
+def fit_resumed_momentum(spark, sf_dir):
+    """A step with momentum, stored, restored, and a second one with its slots and the next epoch's draws."""
+    from kinfold.session import fresh_path
+
+    path = fresh_path(spark, "model")
+    _stepped(spark, sf_dir, "momentum").save(path)
+    return _summary(_stepped(spark, sf_dir, "momentum", resume_from=EncoderModel.load(spark, path)))
+
+
 @_add()
 def resume_training(spark, sf_dir):
     """One epoch, stored, restored, and one epoch more with its optimizer slots."""

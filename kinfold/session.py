@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_FOLDER = "_kinfold_folder"
 
 
 def local_session(app: str = "kinfold", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -63,7 +64,19 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    setattr(stored, _FOLDER, path)
+    return stored
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the folders of tables that ``materialize`` wrote and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, _FOLDER, None)
+        if path is not None:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

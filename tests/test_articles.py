@@ -60,8 +60,7 @@ def test_latest_split(spark, train, validate):
     assert {r.id: r.split for r in A.latest_split(df, "id", train, validate).collect()} == want
 
 
-def test_latest_split_large_request_ranks_ids(spark, monkeypatch):
-    monkeypatch.setattr(A, "BROADCAST_ROWS", 3)
+def test_latest_split_ranks_ids(spark):
     df = spark.range(50).select(F.col("id"))
     got = {r.id: r.split for r in A.latest_split(df, "id", 10, 5).collect()}
     assert got == {i: "train" if i < 45 else "validate" for i in range(35, 50)}
