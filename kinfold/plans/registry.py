@@ -8,10 +8,11 @@ from kinfold.plans import (
     encoder_queries,
     file_queries,
     mining_queries,
+    run_queries,
     similarity_queries,
 )
 
-_MODULES = (article_queries, mining_queries, similarity_queries, batch_queries, encoder_queries, file_queries)
+_MODULES = (article_queries, mining_queries, similarity_queries, batch_queries, encoder_queries, file_queries, run_queries)
 
 
 def queries() -> dict:
