@@ -118,7 +118,7 @@ class DenoisingEncoder:
             raise ValueError("a triplet strategy needs labels")
         rows = materialize(self._named(features, id_col, label), "train")
         valid = None if valid is None else materialize(self._named(valid, id_col, label), "valid")
-        self._check_range(rows, n_features)
+        self._check_rows(rows, n_features, ("",))
         return self._train(rows, valid, n_features, ("",), self._online_step, self._online_cost, resume_from)
 
     def fit_triplets(
@@ -148,6 +148,7 @@ class DenoisingEncoder:
         )
         valid = None if valid is None else materialize(named(valid), "valid")
         suffixes = tuple(f"_{r}" for r in _ROLES)
+        self._check_rows(rows, n_features, suffixes)
         return self._train(rows, valid, n_features, suffixes, self._explicit_step, self._explicit_cost, resume_from)
 
     # -- shared loop ------------------------------------------------------
@@ -158,9 +159,21 @@ class DenoisingEncoder:
         return df.select(F.col(id_col).cast("bigint").alias("id"), lab.alias("label"), "idx", "val")
 
     @staticmethod
-    def _check_range(rows: DataFrame, n_features: int) -> None:
-        low, high = F.min(F.array_min("idx")), F.max(F.array_max("idx"))
-        require(rows, {f"term index outside 0..{n_features - 1}": (low >= 0) & (high < n_features)})
+    def _check_rows(rows: DataFrame, n_features: int, suffixes: tuple[str, ...]) -> None:
+        """Ids are there and different, each row has its label, indices and values match and lie in range."""
+        checks = {
+            "ids are null": F.count(F.when(F.col("id").isNull(), 1)) == 0,
+            "ids repeat": F.count("id") == F.count_distinct("id"),
+        }
+        if "label" in rows.columns:
+            checks["rows without a label"] = F.count(F.when(F.col("label").isNull(), 1)) == 0
+        for s in suffixes:
+            idx, val = F.col(f"idx{s}"), F.col(f"val{s}")
+            whole = idx.isNotNull() & val.isNotNull() & (F.size(idx) == F.size(val))
+            checks[f"idx{s} and val{s} differ in length"] = F.count(F.when(~whole, 1)) == 0
+            low, high = F.min(F.array_min(idx)), F.max(F.array_max(idx))
+            checks[f"idx{s}: term index outside 0..{n_features - 1}"] = (low >= 0) & (high < n_features)
+        require(rows, checks)
 
     def _train(self, rows, valid, n_features, suffixes, step, cost, resume_from) -> EncoderModel:
         c, spark = self.config, rows.sparkSession

@@ -52,6 +52,25 @@ def batches(spark, sf_dir):
     return batched(spark, sf_dir).select("id", "batch_id")
 
 
+_HALVES = (0.003, 0.013, 0.021)  # shares of 500 rows that end on a half: 1.5, 6.5, 10.5
+_HALF_SQL = " UNION ALL ".join(
+    f"""SELECT vec_id AS id, {share} AS share, CAST((row_number() OVER (ORDER BY {Q.key(f'{Q.SEED}:0', 'vec_id')}, vec_id) - 1)
+    // greatest(CAST(round_even((SELECT count(*) FROM embeddings) * {share}, 0) AS BIGINT), 1) AS BIGINT) AS batch_id FROM embeddings"""
+    for share in _HALVES
+)
+
+
+@_add(f"SELECT id, CAST(share AS DOUBLE) AS share, batch_id FROM ({_HALF_SQL})")
+def batches_of_halves(spark, sf_dir):
+    """Batch sizes that are rounded to the even neighbour."""
+    rows = I.codes(spark, sf_dir).select(F.col("vec_id").alias("id"))
+    out = None
+    for share in _HALVES:
+        part = B.assign_batches(rows, "id", share, seed=Q.SEED, epoch=0).withColumn("share", F.lit(share))
+        out = part if out is None else out.unionByName(part)
+    return out.select("id", "share", "batch_id")
+
+
 @_add("""
 SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 64 AS BIGINT) AS batch_id FROM documents
 """)

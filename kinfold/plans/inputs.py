@@ -39,6 +39,12 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scaled_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows with lengths from 1 to 5, which the norms and kernels tell apart."""
+    factor = (1 + F.col("vec_id") % 5).cast("double")
+    return codes(spark, sf_dir).withColumn("vec", F.transform("vec", lambda x: x * factor))
+
+
 def fitted(spark: SparkSession, sf_dir: str, k: int = MAX_FEATURES):
     """Per-article term counts (stored once), vocabulary and number of articles."""
     counted = materialize(V.counted(tokens(spark, sf_dir), "doc_id"), "terms")
@@ -52,4 +58,4 @@ def vectors(spark: SparkSession, sf_dir: str, k: int = MAX_FEATURES) -> DataFram
     return materialize(V.vectorize(counted, vocab, "doc_id", n_docs), "vectors")
 
 
-__all__ = ["SEED", "articles", "codes", "fitted", "table", "tokens", "vectors"]
+__all__ = ["SEED", "articles", "codes", "fitted", "scaled_codes", "table", "tokens", "vectors"]

@@ -56,9 +56,11 @@ def ring_negative(spark, sf_dir):
     return M.ring_negative(_docs(spark, sf_dir), "doc_id", "source", seed=_SEED).select("doc_id", "doc_id_neg")
 
 
-@_add("SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= 2")
+@_add("SELECT n_chars // 50 AS size, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) BETWEEN 3 AND 12")
 def category_bounds(spark, sf_dir):
-    return M.category_bounds(I.table(spark, sf_dir, "documents"), "lang", 2)
+    """Text sizes as categories, of which both bounds exclude some."""
+    docs = I.table(spark, sf_dir, "documents").select(F.floor(F.col("n_chars") / 50).alias("size"))
+    return M.category_bounds(docs, "size", 3, 12)
 
 
 @_add(f"""

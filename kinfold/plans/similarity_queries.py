@@ -29,8 +29,8 @@ def _add(oracle=None, name=None):
     return register
 
 
-def _codes_sql(scale: str = "sqrt(list_sum(list_transform(x, lambda v: v * v)))") -> str:
-    return f"""e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
+def _codes_sql(scale: str = "sqrt(list_sum(list_transform(x, lambda v: v * v)))", stretch: str = "1") -> str:
+    return f"""e AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * ({stretch})) AS x, label FROM embeddings),
 nv AS (SELECT id, label, list_transform(x, lambda u: u / s) AS v FROM (
   SELECT id, label, x, CASE WHEN {scale} = 0 THEN 1 ELSE {scale} END AS s FROM e)),
 pairs AS (SELECT a.id AS id_a, b.id AS id_b, a.label AS la, b.label AS lb, list_dot_product(a.v, b.v) AS score
@@ -50,27 +50,30 @@ def _histogram(hist):
     return hist.groupBy("score").agg(F.sum("n").alias("n"))
 
 
-@_add(f"WITH {_codes_sql()} {_HIST}")
+_STRETCH = "1 + vec_id % 5"  # as in inputs.scaled_codes
+
+
+@_add(f"WITH {_codes_sql(stretch=_STRETCH)} {_HIST}")
 def cosine_dense(spark, sf_dir):
-    return _histogram(S.score_histogram(I.codes(spark, sf_dir), "vec_id", digits=3))
+    return _histogram(S.score_histogram(I.scaled_codes(spark, sf_dir), "vec_id", digits=3))
 
 
-@_add(f"WITH {_codes_sql('1')} {_HIST}")
+@_add(f"WITH {_codes_sql('1', _STRETCH)} {_HIST}")
 def linear_dense(spark, sf_dir):
-    return _histogram(S.score_histogram(I.codes(spark, sf_dir), "vec_id", metric="linear kernel", digits=3))
+    return _histogram(S.score_histogram(I.scaled_codes(spark, sf_dir), "vec_id", metric="linear kernel", digits=3))
 
 
 def _norm_query(norm):
     def run(spark, sf_dir):
         return _histogram(
-            S.score_histogram(I.codes(spark, sf_dir), "vec_id", metric="linear kernel", norm=norm, digits=3)
+            S.score_histogram(I.scaled_codes(spark, sf_dir), "vec_id", metric="linear kernel", norm=norm, digits=3)
         )
 
     return run
 
 
 for _norm, _scale in _SCALES.items():
-    _add(f"WITH {_codes_sql(_scale)} {_HIST}", f"norm_{_norm}")(_norm_query(_norm))
+    _add(f"WITH {_codes_sql(_scale, _STRETCH)} {_HIST}", f"norm_{_norm}")(_norm_query(_norm))
 
 
 @_add(f"""

@@ -226,3 +226,32 @@ def test_inputs_are_checked(spark):
         DenoisingEncoder(EncoderConfig(triplet_strategy="none", compress_factor=3)).fit(frame(spark, matrix()), 3, "id")
     with pytest.raises(ValueError, match="opt"):
         EncoderConfig(opt="rmsprop")
+
+
+@pytest.mark.parametrize(
+    "rows,label,match",
+    [
+        ([(1, [0], [1.0], 0), (1, [1], [1.0], 0)], "label", "ids repeat"),
+        ([(None, [0], [1.0], 0)], "label", "ids are null"),
+        ([(1, [0, 1], [1.0], 0)], "label", "differ in length"),
+        ([(1, [0], None, 0)], "label", "differ in length"),
+        ([(1, [9], [1.0], 0)], "label", "term index"),
+        ([(1, [0], [1.0], None)], "label", "without a label"),
+    ],
+)
+def test_input_checks(spark, rows, label, match):
+    frame = spark.createDataFrame(rows, "id long, idx array<int>, val array<double>, label long")
+    config = EncoderConfig(compress_factor=2, num_epochs=1)
+    with pytest.raises(ValueError, match=match):
+        DenoisingEncoder(config).fit(frame, 4, "id", label)
+
+
+def test_epochs_and_history_go_on_after_a_resume(spark):
+    rows = [(i, [i % 4], [1.0]) for i in range(12)]
+    frame = spark.createDataFrame(rows, "id long, idx array<int>, val array<double>")
+    config = EncoderConfig(compress_factor=2, num_epochs=2, verbose_step=1, triplet_strategy="none", opt="momentum")
+    first = DenoisingEncoder(config).fit(frame, 4, "id")
+    again = DenoisingEncoder(config).fit(frame, 4, "id", resume_from=first)
+    assert sorted(r.epoch for r in again.metrics.collect()) == [1, 2, 3, 4]
+    whole = DenoisingEncoder(EncoderConfig(**{**config.params(), "num_epochs": 4})).fit(frame, 4, "id")
+    assert np.allclose(again.params().w, whole.params().w)
