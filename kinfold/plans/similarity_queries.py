@@ -12,6 +12,7 @@ from kinfold.functions.vectors import rounded
 from kinfold.operators import articles as A
 from kinfold.operators import evaluate as E
 from kinfold.operators import similarity as S
+from kinfold.operators import term_join as TJ
 from kinfold.plans import inputs as I
 from kinfold.plans import sql as Q
 from kinfold.session import materialize
@@ -117,6 +118,17 @@ _TFIDF = "value FROM tfidf"
 _BINARY = "1 / sqrt(count(*) OVER (PARTITION BY doc_id)) AS value FROM cnt"
 
 
+_ABOVE = 0.6
+
+
+@_add(f"WITH {_sparse_sql(_TFIDF)} SELECT id_a, id_b, {Q.r('score')} AS score FROM pairs WHERE score >= {_ABOVE}")
+def similar_documents(spark, sf_dir):
+    """Pairs of documents above a threshold, without scoring the others."""
+    rows = I.vectors(spark, sf_dir).select("doc_id", "idx", F.col("tfidf").alias("val"))
+    found = TJ.pairs_above(rows, "doc_id", _ABOVE)
+    return found.select("id_a", "id_b", rounded(F.col("score")).alias("score"))
+
+
 @_add(f"WITH {_sparse_sql(_TFIDF)} {_HIST}")
 def cosine_sparse(spark, sf_dir):
     rows = I.vectors(spark, sf_dir).select("doc_id", "idx", F.col("tfidf").alias("val"))

@@ -148,3 +148,25 @@ def test_block_count_keeps_blocks_bounded():
 def test_bad_metric(spark):
     with pytest.raises(ValueError, match="metric"):
         S.pairwise_similarity(dense(spark, GOLDEN), "id", metric="euclidean")
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.95])
+def test_term_join_equals_all_pairs(spark, least):
+    from kinfold.operators.term_join import pairs_above
+
+    draw = np.random.default_rng(7)
+    rows, dense = [], np.zeros((60, 40))
+    for i in range(60):
+        idx = np.sort(draw.choice(40, draw.integers(0, 9), replace=False))
+        idx = idx if i % 7 else idx[:1]
+        val = draw.normal(size=len(idx)) + 1
+        if i % 10 == 9:
+            idx, val = rows[-1][1], rows[-1][2]
+        rows.append((i, [int(t) for t in idx], [float(v) for v in val]))
+        dense[i, list(idx)] = val
+    frame = spark.createDataFrame(rows, "id long, idx array<int>, val array<double>")
+    norm = np.linalg.norm(dense, axis=1, keepdims=True)
+    score = (dense / np.where(norm == 0, 1, norm)) @ (dense / np.where(norm == 0, 1, norm)).T
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if score[i, j] >= least}
+    got = {(r.id_a, r.id_b): r.score for r in pairs_above(frame, "id", least).collect()}
+    assert set(got) == want and all(np.isclose(got[p], score[p]) for p in want)
