@@ -37,7 +37,7 @@ def _table_query(fmt):
         docs = I.table(spark, sf_dir, "documents")
         path = fresh_path(spark, "table") + "." + fmt
         SF.write_table(docs, path)
-        back = SF.read_table(spark, path, schema=None if fmt == "parquet" else docs.schema, key="doc_id")
+        back = SF.read_table(spark, path, schema=None if fmt == "parquet" else docs.schema, key="doc_id", multi_line=fmt != "parquet")
         return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text"))
 
     return run
@@ -198,5 +198,5 @@ def projector_labels(spark, sf_dir):
     path = fresh_path(spark, "projector")
     SA.write_projector(docs.select("doc_id", F.array(width).alias("vec")), docs, "doc_id", path)
     schema = "label_story int, label_category_publish_name int, title string, story string, category_publish_name string"
-    back = SF.read_table(spark, f"{path}/labels.tsv", schema=schema)
+    back = SF.read_table(spark, f"{path}/labels.tsv", schema=schema, multi_line=True)
     return back.withColumn("title", F.md5("title"))

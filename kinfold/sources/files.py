@@ -6,13 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold.operators.blocks import Rows
-from kinfold.operators.ordering import sorted_position
-from kinfold.session import ship
+from kinfold.session import materialize, ship
 
 SEPARATORS = {"csv": ",", "tsv": "\t"}  # fixed values
 
@@ -44,18 +43,21 @@ def read_table(
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     key: str | None = None,
+    multi_line: bool = False,
     **options,
 ) -> DataFrame:
     """A table whose first column (or ``key``) is its key; a missing path raises.
 
     Without a schema, csv and tsv types (timestamps included) are inferred by
-    an extra pass over the file.
+    an extra pass over the file. ``multi_line`` is for texts with line breaks:
+    such a file cannot be split, and one task reads it.
     """
     fmt = file_format(path, fmt)
     if fmt == "parquet":
         df = spark.read.options(**options).parquet(path)
     else:
-        reader = spark.read.options(sep=SEPARATORS[fmt], header="true", multiLine="true", **{**_READING, **options})
+        text = {"sep": SEPARATORS[fmt], "header": "true", "multiLine": multi_line, **_READING, **options}
+        reader = spark.read.options(**text)
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
         df = reader.csv(path)
     if key and key not in df.columns:
@@ -76,10 +78,13 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "e
     df.select(*exploded).write.mode(mode).options(**text).csv(path)
 
 
-def read_series(spark: SparkSession, path: str, schema: str, fmt: str | None = None) -> DataFrame:
+def read_series(
+    spark: SparkSession, path: str, schema: str, fmt: str | None = None, multi_line: bool = False
+) -> DataFrame:
     """A headerless two-column key/value file; ``schema`` such as 'key bigint, value string'."""
     fmt = file_format(path, fmt, ("csv", "tsv"))
-    return spark.read.schema(schema).options(sep=SEPARATORS[fmt], header="false", multiLine="true", **_READING).csv(path)
+    text = {"sep": SEPARATORS[fmt], "header": "false", "multiLine": multi_line, **_READING}
+    return spark.read.schema(schema).options(**text).csv(path)
 
 
 def write_series(df: DataFrame, path: str, fmt: str | None = None, mode: str = "errorifexists") -> None:
@@ -90,8 +95,8 @@ def write_series(df: DataFrame, path: str, fmt: str | None = None, mode: str = "
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(row, value)``: physical lines with their 0-based number.
 
-    Files follow each other by path; inside a file lines follow the split they
-    were read in and their place in it.
+    Files follow each other by path. Lines stay in the split they are read in,
+    whose first number comes from the counts of the splits before it.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -99,8 +104,13 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     )
-    order = [F.col("_file"), F.col("_block"), F.col("_line")]
-    return sorted_position(lines, order, "row", "lines").select("row", "value")
+    lines = materialize(lines, "lines")  # freezes the layout that the ids depend on
+    sizes = lines.groupBy("_file", "_block").agg(F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # One row per split, so one window and a broadcast are enough.
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = lines.join(F.broadcast(splits), ["_file", "_block"])
+    return placed.select((F.col("_offset") + F.col("_line") - F.col("_first")).alias("row"), "value")
 
 
 def read_matrix(spark: SparkSession, path: str, fmt: str | None = None, sparse: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ def test_tables(spark, tmp_path, fmt):
     df = spark.createDataFrame(rows, "key long, d2 string, d3 string, d4 double")
     path = str(tmp_path / f"t.{fmt}")
     SF.write_table(df, path)
-    back = SF.read_table(spark, path, schema=None if fmt == "parquet" else df.schema, key="key")
+    back = SF.read_table(spark, path, schema=None if fmt == "parquet" else df.schema, key="key", multi_line=True)
     assert sorted(map(tuple, back.collect())) == rows
     with pytest.raises(ValueError, match="key column"):
         SF.read_table(spark, path, key="nope")
@@ -86,3 +86,21 @@ def test_bundle_and_params(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     SB.write_params(spark, path, "r3", {"b": 3}, append=False)
     assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("r3", "b", "3")]
+
+
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
+    from kinfold.sources.files import numbered_lines
+
+    (tmp_path / "m").mkdir()
+    lines = [f"{i},{'x' * (i % 50)}" for i in range(6000)]
+    (tmp_path / "m" / "a.csv").write_text("\n".join(lines[:5000]) + "\n")
+    (tmp_path / "m" / "b.csv").write_text("\n".join(lines[5000:]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert spark.read.text(str(tmp_path / "m")).rdd.getNumPartitions() > 4
+        got = numbered_lines(spark, str(tmp_path / "m")).orderBy("row").collect()
+        table = spark.read.text(str(tmp_path / "m" / "a.csv"))
+        assert SF.read_series(spark, str(tmp_path / "m" / "a.csv"), "k long, v string").count() == table.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.row, r.value) for r in got] == list(enumerate(lines))
