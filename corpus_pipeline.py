@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm import exact_dedup, mixing, packing, quality, simhash
 from kinfold.llm.common import materialize, table
+from kinfold.session import discard
 
 # Compression, SimHash and tokens are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -56,7 +57,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        made = materialize(stage(spark, docs, sf_dir), name)
+        discard(docs)  # what the stage before has written
+        docs = made
     return docs
 
 

@@ -114,7 +114,8 @@ def train_quality(good: list[str], bad: list[str], share: float) -> QualityModel
 def score_texts(model: QualityModel, texts: list[str], sizes: _Sizes) -> np.ndarray:
     x = np.array([sizes.features(t) for t in texts]).reshape(-1, 4)
     z = _expanded((x - np.array(model.centre)) / np.array(model.scale))
-    return logistic(np.column_stack([z, np.ones(len(z))]) @ np.array(model.weights))
+    # Summed row by row, so that a text's score does not depend on its batch.
+    return logistic((z * np.array(model.weights[:-1])).sum(axis=1) + model.weights[-1])
 
 
 def quality_score(model: QualityModel, text: Column) -> Column:

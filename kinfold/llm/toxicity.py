@@ -312,7 +312,7 @@ def toxicity_score(model: ToxicityModel, text: Column) -> Column:
                 kept.update(zip(new, score_words(kernel, model.triples, model.bias, new).tolist(), strict=True))
                 found.extend(_top(np.fromiter(map(kept.__getitem__, w), np.float64, len(w))) for w in words)
             x = np.array(found).reshape(-1, 2)
-            yield pd.Series(logistic(np.c_[x, np.ones(len(x))] @ weights), dtype="float64")
+            yield pd.Series(logistic((x * weights[:-1]).sum(axis=1) + weights[-1]), dtype="float64")
 
     return F.pandas_udf(scored, "double")(text)
 

@@ -1,6 +1,7 @@
 """The string kernel against its definition, and the classifier on held-out labelled texts."""
 
 import itertools
+import random
 
 import numpy as np
 
@@ -52,13 +53,17 @@ def test_held_out_accuracy_and_disguised_words(spark):
 
 
 def test_cases(spark):
-    clean = [f"the weather in town {i} was fine and the people went out to walk. again they sang" for i in range(60)]
-    toxic = [f"the weather in town {i} was fine you idiot and the moron went out. again they sang" for i in range(60)]
+    draw = random.Random(1)
+    plain = "weather town fine people went walk again they sang river house green little summer".split()
+    some = lambda n: " ".join(draw.choice(plain) for _ in range(n))
+    clean = [f"{some(8)}. {some(9)}" for _ in range(80)]
+    toxic = [f"{some(4)} idiot {some(3)}. {some(3)} moron {some(4)}" for _ in range(80)]
     model = T.train_toxicity(toxic, clean, 0.3)
-    texts = ["", None, clean[0], toxic[0], "what an i.d.i.o.t he is", "x" * 100_000, toxic[0], "fine people " * 20_000]
+    texts = ["", None, clean[0], toxic[0], "what an i.d.i.o.t he is", "x" * 100_000, toxic[0], "fine people " * 20_000]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in T.with_toxicity(docs, model).collect()}
-    assert got[0] == got[1] and got[3] == got[6] > 0.5 > max(got[0], got[2], got[7]) and all(0 <= s <= 1 for s in got.values())
+    assert all(0 <= s <= 1 for s in got.values())
+    assert got[0] == got[1] and got[3] == got[6] > 0.5 > max(got[0], got[2], got[7])
     assert got[4] > got[2]
     assert T.with_toxicity(docs.limit(0), model).count() == 0
     assert T.train_toxicity([], clean, 0.0).weights == ()
