@@ -10,7 +10,7 @@ from kinfold.operators import articles as A
 from kinfold.operators import vectorize as V
 from kinfold.plans import inputs as I
 from kinfold.plans import sql as Q
-from kinfold.plans.encoder_queries import _CONFIG, _K, _small, _XAVIER
+from kinfold.plans.encoder_queries import _CONFIG, _XAVIER, _small
 from kinfold.session import fresh_path
 from kinfold.sources import articles as SA
 from kinfold.sources import bundle as SB
