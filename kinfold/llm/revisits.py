@@ -142,7 +142,9 @@ def resolved_revisits(records: DataFrame) -> DataFrame:
     found = found.select(F.col("url").alias("key_url"), F.col("at").alias("key_at"), "found_id")
     same = (F.col("url") == F.col("key_url")) & (F.col("at") == F.col("key_at"))
     known = revisits.join(found, same, "left").drop("key_url", "key_at")
-    held = full.select(F.col("record_id").alias("response_id"), F.col("headers").alias("held")).dropDuplicates(["response_id"])
+    held = full.select(F.col("record_id").alias("response_id"), F.col("headers").alias("held"))
+    # Written by itself: with no aggregate in its stage, the join's hot keys (and null) are split.
+    held = stored(held.dropDuplicates(["response_id"]), "responses")
     pairs = known.join(held, F.col("found_id") == F.col("response_id"), "left")
     tag = lambda c: F.regexp_replace(_value(c, "etag"), "^W/", "")
     # Null where one of the two lacks the validator.
