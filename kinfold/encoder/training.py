@@ -479,6 +479,7 @@ def _mean(steps: list[_Step]) -> tuple:
     return tuple(mean(n) for n in ("cost", "autoencoder", "triplet", "fraction", "number"))
 
 
+_METRIC_NAMES = ("epoch", "split", "cost", "autoencoder", "triplet", "fraction", "number")
 _METRICS = "epoch int, split string, cost double, autoencoder double, triplet double, fraction double, number double"
 
 
@@ -533,9 +534,9 @@ def _fitted(
 ) -> EncoderModel:
     """The model with its tables written, so that nothing hangs on the driver."""
     slots = _slots_table(spark, updater)
-    history = spark.createDataFrame(metrics, _METRICS)
-    if past is not None:
-        history = past.unionByName(history)
+    # Read now, a few rows per epoch: the folder of the earlier model may be overwritten.
+    before = [] if past is None else [tuple(r) for r in past.select(*_METRIC_NAMES).orderBy("epoch", "split").collect()]
+    history = spark.createDataFrame(before + metrics, _METRICS)
     model = _model_of(
         spark, c, params,
         slots=None if slots is None else materialize(slots, "slots"),

@@ -227,8 +227,9 @@ def _step_sql(p: str, epoch: int, before: str) -> str:
 {p}dzt AS (SELECT term_id, list(g ORDER BY doc_id) AS g FROM {p}dz GROUP BY term_id),
 {p}hc AS (SELECT component, list(h ORDER BY doc_id) AS h FROM {p}da GROUP BY component),
 {p}sparse AS (SELECT term_id, component, sum(g) AS g FROM {p}in JOIN {p}da USING (doc_id) GROUP BY ALL),
-{p}gw AS (SELECT t.term_id, c.component, (list_dot_product(t.g, c.h) + coalesce(s.g, 0)) / n_docs AS g
-  FROM {p}dzt t CROSS JOIN {p}hc c LEFT JOIN {p}sparse s ON s.term_id = t.term_id AND s.component = c.component, nd),
+{p}gw AS (SELECT term_id, component, sum(g) / any_value(n_docs) AS g FROM (
+  SELECT term_id, component, list_dot_product(t.g, c.h) AS g FROM {p}dzt t, {p}hc c
+  UNION ALL SELECT term_id, component, g FROM {p}sparse), nd GROUP BY term_id, component),
 {p}gv AS (SELECT term_id, sum(g) / any_value(n_docs) AS g FROM {p}dz, nd GROUP BY term_id),
 {p}gh AS (SELECT component, (sum(g) - any_value(fb * (1 - fb)) * sum(gh)) / any_value(n_docs) AS g
   FROM {p}da, nd GROUP BY component)"""
