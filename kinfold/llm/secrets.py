@@ -2,9 +2,9 @@
 
 Patterns find spans in each whole text. The values in them, and further long
 tokens that look like keys, are candidates: their hashes are counted over the
-corpus by distinct repositories and owners. What several owners have is a
-copied example; what one owner alone has and what looks random is live-looking,
-and such a token becomes a span of its own.
+corpus by distinct repositories and owners. What several owners have, or what
+stands in many repositories of few owners, is a copied example; what else looks
+random is live-looking, and such a token becomes a span of its own.
 
 A value may stand in a third of all rows: counts are made per task, then per
 (hash, owner, repository), so that only one row per repository and owner is
@@ -30,6 +30,7 @@ PATTERNS = (ASSIGN, ACCESS, HEX, OWNED)
 ASSIGN_LEAST = 12
 
 OWNERS = 3  # a value that this many owners have is a copied example
+REPOSITORIES = 5  # and so is one in this many repositories, of however few owners
 VARIETY = 8  # different characters of a value that looks random
 
 
@@ -154,21 +155,23 @@ def ownership(spans: DataFrame) -> DataFrame:
     )
 
 
-def secret_spans(docs: DataFrame, repository: Column, owner: Column, owners: int = OWNERS) -> DataFrame:
+def secret_spans(
+    docs: DataFrame, repository: Column, owner: Column, owners: int = OWNERS, repositories: int = REPOSITORIES
+) -> DataFrame:
     """Secrets of ``docs(doc_id, text)``, a row per input row.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, and as counts
-    of spans n_owned (those the method adds), n_live (random-looking values that
-    fewer than ``owners`` owners have) and n_copied (values of at least that
-    many). A null or empty text has no spans; a null repository or owner counts
+    of spans n_owned (those the method adds), n_copied (values that at least
+    ``owners`` owners have or that stand in at least ``repositories`` repositories)
+    and n_live (random-looking values that are not copied). A null or empty text has no spans; a null repository or owner counts
     as one of its own; repeated rows are rows of the same owner; an empty table
     gives an empty result; other columns are ignored.
     """
     known = found_spans(docs, repository, owner)
-    counts = ownership(known).select(F.col("hash").alias("of"), "n_owners")
+    counts = ownership(known).select(F.col("hash").alias("of"), "n_owners", "n_repositories")
     each = known.select("row_id", F.explode("candidates").alias("c"))
     judged = each.join(counts, F.col("c.hash") == F.col("of"))
-    copied = F.col("n_owners") >= owners
+    copied = (F.col("n_owners") >= owners) | (F.col("n_repositories") >= repositories)
     live = ~copied & F.col("c.random")
     owned = live & (F.col("c.kind") == 3)
     judged = stored(

@@ -75,6 +75,19 @@ def test_owned_and_copied_values(spark):
             assert r.spans == ""
 
 
+def test_values_in_many_repositories_of_few_owners_are_copied(spark):
+    langs = [f"l{i}" for i in range(S.REPOSITORIES)]
+    rows = [(i, f"own {KEY}", "s1", lang) for i, lang in enumerate(langs)]
+    rows += [(100 + i, f"own {WIDE}", "s1", lang) for i, lang in enumerate([*langs[:-1], langs[0]])]
+    got = run(spark, rows).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_owned, r.n_live, r.n_copied) == ((0, 0, 1) if r.doc_id < 100 else (1, 1, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    counts = S.ownership(S.found_spans(docs, F.concat_ws("/", "source", "lang"), F.col("source"))).collect()
+    assert sorted((r.n_rows, r.n_repositories, r.n_owners) for r in counts) == [(5, 4, 1), (5, 5, 1)]
+
+
 def test_running_sums(spark):
     rows = [(list(range(n)),) for n in (0, 1, 2, 3, 5, 16, 17, 100)]
     frame = spark.createDataFrame(rows, "n array<long>").withColumn("e", S._running_sums("n"))
