@@ -1,16 +1,20 @@
 """Toxicity by a support vector machine on a gapped subsequence string kernel.
 
-A text is seen as sentences, a sentence by its most suspicious word. The kernel
-of two words counts the character triples they share in order, each weighted by
-``DECAY`` per character in its gaps, up to a span; a word with inserted or
+A text is seen as sentences, a sentence by its most suspicious window: a word,
+or up to ``WIDEST`` neighbouring words with the white space between them left
+out, so that an insult in parts reads like a whole one. The kernel of two
+windows counts the character triples they share in order, each weighted by
+``DECAY`` per character in its gaps, up to a span; a window with inserted or
 missing characters keeps most of its triples. The kernel is approximated on
-Nyström landmarks (words of labelled sentences), and the machine is trained on
-those features.
+Nyström landmarks (windows of labelled sentences), and the machine is trained
+on those features.
 
 The machine is linear in them, and they are linear in the triples, so training
 ends in one weight per triple. A task scores each different word once, in
-blocks, and keeps the scores of recent words; a text's score is a calibrated
-function of its most suspicious words, over the whole text, without a shuffle.
+blocks, and keeps the scores of recent words; neighbouring words are scored by
+running sums over the text. A text's score is a calibrated function of its two
+most suspicious windows that do not overlap, over the whole text, without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -46,21 +50,28 @@ DECAY = 0.6
 SYMBOLS = 64  # letters told apart; the first two are "other" and the start of a word
 LONGEST = 32  # characters of a word that are compared at once
 STEP = 24  # longer words are compared in overlapping windows
+WIDEST = 3  # neighbouring words seen as one window, at most
 EXCESS = 3.5  # standard deviations from which on a word is suspect at first
+PAIR_EXCESS = 4.5  # the same for two neighbouring words, of which there are many more
+CLEAN_SHARE = 0.995  # of clean texts have no window of several words above the floor
+JOINED = 4000  # windows of several clean words learned from at first
 KEPT = 300_000  # word scores kept by a task
+CHUNK = 20_000  # words whose windows are scored at once
 THRESHOLD = 0.5
-_SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SPELLED = re.compile(r"(?<!\S)\S(?:\s++\S){2,}(?!\S)")
 _EDGES = ".,;:!?\"'()[]{}<>"
 _GAPS = [(j, k) for j in range(1, SPAN) for k in range(j + 1, SPAN)]
 
 
+def _spelled(text: str, words: list[str]) -> list[str]:
+    return ["".join(s.split()) for s in _SPELLED.findall(text)] if len(words) > 2 else []
+
+
 def words_of(text: str) -> list[str]:
     """Words in lower case; letters spelled one by one are a word as well."""
     text = text.lower()
     words = text.split()
-    if len(words) > 2 and (spelled := _SPELLED.findall(text)):
-        words.extend(s.replace(" ", "").replace("\t", "") for s in spelled)
-    return words
+    return words + _spelled(text, words)
 
 
 def sentences_of(text: str) -> list[str]:
@@ -68,12 +79,22 @@ def sentences_of(text: str) -> list[str]:
 
 
 @dataclass(frozen=True)
-class ToxicityModel:
-    """Weights of the triples over an alphabet, and the calibration; without weights a constant."""
+class Machines:
+    """Weights of the triples of words, and of neighbouring words."""
 
-    alphabet: str
     triples: np.ndarray
     bias: float
+    join_triples: np.ndarray
+    join_bias: float
+    floor: float  # value up to which neighbouring words are as those of clean texts
+
+
+@dataclass(frozen=True)
+class ToxicityModel:
+    """The machines over an alphabet, and the calibration; without weights a constant."""
+
+    alphabet: str
+    machines: Machines | None
     weights: tuple[float, ...]
     constant: float = 0.5
 
@@ -84,6 +105,8 @@ class Kernel:
     def __init__(self, alphabet: str):
         self.alphabet = alphabet
         self.code = {c: i + 2 for i, c in enumerate(alphabet)}
+        self.table = np.zeros(0x110000, np.int32)
+        self.table[[ord(c) for c in alphabet]] = np.arange(2, len(alphabet) + 2)
 
     def _encoded(self, windows: list[str]) -> np.ndarray:
         """Codes of the start and the characters, -1 behind the end."""
@@ -150,6 +173,67 @@ def score_words(kernel: Kernel, weights: np.ndarray, bias: float, words: list[st
     return out
 
 
+def _form(word: str) -> str:
+    """What a word is among its neighbours: its letters and digits; nothing if it is too long for a window."""
+    form = word.strip(_EDGES)
+    if not form.isalnum():
+        form = "".join(filter(str.isalnum, form))
+    return form if len(form) <= LONGEST else ""
+
+
+def _reach(words: list[str]) -> np.ndarray:
+    """For each word the number of the sentence it is in; a word too long for a window is one of its own."""
+    ends = np.fromiter((w[-1] in ".!?" for w in words), bool, len(words))
+    long = np.fromiter((len(w) > 2 * LONGEST for w in words), bool, len(words))
+    starts = long.copy()
+    starts[1:] |= ends[:-1] | long[:-1]
+    return np.cumsum(starts)
+
+
+def score_joins(kernel: Kernel, weights: np.ndarray, bias: float, words: list[str], part: np.ndarray) -> np.ndarray:
+    """The machine's value of 2 to ``WIDEST`` neighbouring words, a row per number of words.
+
+    A column stands for the first word; words of different ``part`` are no
+    neighbours. Triples are summed up to each character, by their length, so
+    that a window's sum is a difference.
+    """
+    n = len(words)
+    out = np.full((WIDEST - 1, n), -np.inf, np.float32)
+    for at in range(0, n, CHUNK):
+        some = [_form(w) for w in words[at : at + CHUNK + WIDEST - 1]]
+        codes = kernel.table[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        size = len(codes)
+        codes = np.concatenate([codes, np.zeros(SPAN, np.int32)])
+        length = np.fromiter(map(len, some), np.int64, len(some))
+        end = np.cumsum(length)
+        start = end - length
+        inner, first = {}, {}
+        for k in range(2, SPAN):
+            triple, opening = np.zeros(size, np.float32), np.zeros(len(some), np.float32)
+            for j in range(1, k):
+                triple += weights[(codes[:size] * SYMBOLS + codes[j : j + size]) * SYMBOLS + codes[k : k + size]]
+                opening += weights[(SYMBOLS + codes[start + j - 1]) * SYMBOLS + codes[start + k - 1]]
+            inner[k] = np.concatenate([[0.0], np.cumsum(triple, dtype=np.float64)]) * DECAY ** (k - 2)
+            first[k] = opening * DECAY ** (k - 2)
+        near = part[at : at + len(some)]
+        for wide in range(2, WIDEST + 1):
+            last = min(CHUNK, len(some) - wide + 1)
+            if last <= 0:
+                continue
+            s, e = start[:last], end[wide - 1 : wide - 1 + last]
+            value = np.full(last, bias)
+            for k in range(2, SPAN):
+                value += inner[k][np.maximum(s, e - k)] - inner[k][s] + np.where(e - s >= k, first[k][:last], 0)
+            fits = (near[:last] == near[wide - 1 : wide - 1 + last]) & (e - s > 2) & (e - s <= LONGEST)
+            fits &= (length[:last] > 0) & (length[wide - 1 : wide - 1 + last] > 0)
+            out[wide - 2, at : at + last] = np.where(fits, value, -np.inf)
+    return out
+
+
+def _joined(words: list[str], i: int, wide: int) -> str:
+    return "".join(map(_form, words[i : i + wide]))
+
+
 def _gapped(word: str, turn: int) -> str:
     """A variant with inserted characters, as insults are disguised."""
     mark = ".*-_ "[turn % 5].strip() or "x"
@@ -199,15 +283,106 @@ def _seen(texts: list[str]) -> Counter:
     return Counter(w for _, w, _ in found)
 
 
+def _pairs(text: str) -> Iterator[tuple[str, str, str, str]]:
+    """Each two neighbouring words of a sentence, between their neighbours in the text."""
+    words = text.lower().split()
+    part, forms = _reach(words), ["", *map(_form, words), ""]
+    for i in range(len(words) - 1):
+        if part[i] == part[i + 1] and forms[i + 1] and forms[i + 2]:
+            yield forms[i], forms[i + 1], forms[i + 2], forms[i + 3]
+
+
+def _seen_pairs(texts: list[str], strong: dict[str, float], only: Counter | None = None) -> Counter:
+    """In how many different neighbourhoods two words stand together, of which none is suspect by itself."""
+    counts: Counter = Counter()
+    found: set[int] = set()
+    for text in texts:
+        for before, a, b, after in _pairs(text):
+            if a in strong or b in strong or len(a) + len(b) > LONGEST or (only is not None and a + b not in only):
+                continue
+            if (key := _hash(f"{before} {a} {b} {after}")) not in found:
+                found.add(key)
+                counts[a + b] += 1
+    return counts
+
+
+def _clean_joins(clean: list[str]) -> list[str]:
+    """Windows of several words of clean texts, in the order of a hash."""
+    found: set[str] = set()
+    for text in clean:
+        words = text.lower().split()
+        part = _reach(words)
+        for wide in range(2, WIDEST + 1):
+            found.update(_joined(words, i, wide) for i in range(len(words) - wide + 1) if part[i] == part[i + wide - 1])
+        if len(found) > 25 * JOINED:
+            break
+    return sorted((w for w in found if 2 < len(w) <= LONGEST), key=_hash)[:JOINED]
+
+
+def _wrong_joins(clean: list[str], kernel: Kernel, triples: np.ndarray, bias: float, most: int) -> list[str]:
+    """The windows of several words of clean texts that the machine suspects most."""
+    worst: dict[str, float] = {}
+    for text in clean:
+        words = text.lower().split()
+        values = score_joins(kernel, triples, bias, words, _reach(words))
+        for wide, i in np.argwhere(values > -0.5):
+            worst[_joined(words, i, wide + 2)] = float(values[wide, i])
+        if len(worst) > 20 * most:
+            worst = dict(sorted(worst.items(), key=lambda x: (-x[1], x[0]))[:most])
+    return [w for w, _ in sorted(worst.items(), key=lambda x: (-x[1], x[0]))[:most]]
+
+
+def _floor(clean: list[str], kernel: Kernel, m: Machines) -> float:
+    """What the highest value of neighbouring words does not exceed in nearly all clean texts."""
+    highest = []
+    for text in clean:
+        words = text.lower().split()
+        joins = score_joins(kernel, m.join_triples, m.join_bias, words, _reach(words))
+        joins = _own_joins(score_words(kernel, m.triples, m.bias, words), joins)
+        highest.append(max(0.0, float(joins.max(initial=0.0))))
+    return float(np.quantile(highest, CLEAN_SHARE))
+
+
 def _suspects(toxic: list[str], per_word: dict[str, float]) -> Counter:
-    """The most suspicious word of each sentence of toxic texts, where it is suspicious at all."""
+    """The most suspicious word or pair of each sentence of toxic texts, where it is suspicious at all."""
     found: Counter = Counter()
     for text in toxic:
-        ranked = [max(((per_word.get(w.strip(_EDGES), 0.0), w) for w in words_of(s)), default=(0.0, "")) for s in sentences_of(text)]
+        ranked = [
+            max(((per_word.get(w.strip(_EDGES), 0.0), w) for w in [*words_of(s), *(a + b for _, a, b, _ in _pairs(s))]), default=(0.0, ""))
+            for s in sentences_of(text)
+        ]
         found.update(w.strip(_EDGES) for value, w in ranked if value > 0 and len(w.strip(_EDGES)) > 2)
     return found
 
 
+def _fit(kernel: Kernel, positives: list[str], negatives: list[str]) -> tuple[np.ndarray, float]:
+    """Weights of the triples and the bias of a machine on the landmarks of both."""
+    some = sorted(negatives, key=_hash)
+    landmarks = list(dict.fromkeys(positives[: LANDMARKS // 2] + some[: LANDMARKS // 2]))
+    known = np.unique(np.concatenate([f.ravel() for f, _ in kernel.triples(landmarks)]))
+    known = known[known >= 0]
+    base = kernel.rows(landmarks, known)
+    values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+    useful = values > values.max() * 1e-6
+    root = vectors[:, useful] / np.sqrt(values[useful])
+    chosen = positives + [_gapped(w, i) for i, w in enumerate(positives)]
+    against = negatives + [_gapped(w, i) for i, w in enumerate(some[: len(positives) * 2])]
+    chosen, against = [w[:LONGEST] for w in chosen], [w[:LONGEST] for w in against]
+    x = np.concatenate(
+        [
+            (kernel.rows(words[i : i + 1000], known) @ base.T).astype(np.float64) @ root
+            for words in (chosen, against)
+            for i in range(0, len(words), 1000)
+        ]
+    )
+    y = np.repeat([1.0, -1.0], [len(chosen), len(against)])
+    weight = np.repeat([0.5 / len(chosen), 0.5 / len(against)], [len(chosen), len(against)])
+    w = _machine(x, y, weight * 2000)
+    triples = np.zeros(SYMBOLS**3 + 1, np.float32)
+    triples[known] = base.T @ (root @ w[:-1])
+    return triples, float(w[-1])
+
+
 def train_toxicity(toxic: list[str], clean: list[str], share: float) -> ToxicityModel:
     """Learn from whole labelled texts; ``share`` of all texts are toxic.
 
@@ -216,9 +391,8 @@ def train_toxicity(toxic: list[str], clean: list[str], share: float) -> Toxicity
     the machine names the suspects, and it is trained anew, with the clean
     words it found suspect.
     """
-    nothing = np.zeros(0, np.float32)
     if len(toxic) < 4 or len(clean) < 4:
-        return ToxicityModel("", nothing, 0.0, (), share)
+        return ToxicityModel("", None, (), share)
     learn, held = (toxic[::2], clean[::2]), (toxic[1::2], clean[1::2])
     seen = [_seen(texts) for texts in learn]
     letters = Counter(c for counts in seen for w, n in counts.items() for c in w[:LONGEST])
@@ -231,6 +405,13 @@ def train_toxicity(toxic: list[str], clean: list[str], share: float) -> Toxicity
         w: (n * ratio - seen[1][w]) / float(np.sqrt((n + seen[1][w] + 1) * ratio)) for w, n in seen[0].items()
     }
     strong = {w: z - EXCESS for w, z in excess.items() if len(w) > 2 and seen[0][w] * ratio > 4 * seen[1][w]}
+    # The same for two neighbouring words, so that insults of words that are each ordinary are found.
+    pairs = Counter({w: n for w, n in _seen_pairs(learn[0], strong).items() if n > 2})
+    clean_pairs = _seen_pairs(learn[1], strong, pairs)
+    for w, n in pairs.items():
+        z = (n * ratio - clean_pairs[w]) / float(np.sqrt((n + clean_pairs[w] + 1) * ratio))
+        if z > PAIR_EXCESS and n * ratio > 4 * clean_pairs[w] and w not in seen[1]:
+            strong.setdefault(w, z - EXCESS)
     suspects = _suspects(learn[0], strong)
     ordinary = [w for w in sorted(seen[1], key=lambda w: (-seen[1][w], w)) if 2 < len(w) <= LONGEST]
     negatives = ordinary[:3000] + sorted(ordinary[3000:], key=_hash)[:5000]
@@ -238,31 +419,8 @@ def train_toxicity(toxic: list[str], clean: list[str], share: float) -> Toxicity
     for turn in range(3):
         positives = [w[:LONGEST] for w, _ in suspects.most_common(1500)]
         if not positives:
-            return ToxicityModel("", nothing, 0.0, (), share)
-        some = sorted(negatives, key=_hash)
-        landmarks = list(dict.fromkeys(positives[: LANDMARKS // 2] + some[: LANDMARKS // 2]))
-        known = np.unique(np.concatenate([f.ravel() for f, _ in kernel.triples(landmarks)]))
-        known = known[known >= 0]
-        base = kernel.rows(landmarks, known)
-        values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
-        useful = values > values.max() * 1e-6
-        root = vectors[:, useful] / np.sqrt(values[useful])
-        chosen = positives + [_gapped(w, i) for i, w in enumerate(positives)]
-        against = negatives + [_gapped(w, i) for i, w in enumerate(some[: len(positives) * 2])]
-        chosen, against = [w[:LONGEST] for w in chosen], [w[:LONGEST] for w in against]
-        x = np.concatenate(
-            [
-                (kernel.rows(words[i : i + 1000], known) @ base.T).astype(np.float64) @ root
-                for words in (chosen, against)
-                for i in range(0, len(words), 1000)
-            ]
-        )
-        y = np.repeat([1.0, -1.0], [len(chosen), len(against)])
-        weight = np.repeat([0.5 / len(chosen), 0.5 / len(against)], [len(chosen), len(against)])
-        w = _machine(x, y, weight * 2000)
-        triples = np.zeros(SYMBOLS**3 + 1, np.float32)
-        triples[known] = base.T @ (root @ w[:-1])
-        model = (triples, float(w[-1]))
+            return ToxicityModel("", None, (), share)
+        model = _fit(kernel, positives, negatives)
         # The machine's own suspects, and the clean words it suspects.
         everything = sorted(set(seen[0]) | set(seen[1]))
         value = dict(zip(everything, score_words(kernel, *model, everything).tolist(), strict=True))
@@ -270,26 +428,69 @@ def train_toxicity(toxic: list[str], clean: list[str], share: float) -> Toxicity
         negatives = list(dict.fromkeys(negatives + wrong[:3000]))
         per_word = {w: value[w] - 0.25 for w in seen[0] if len(w) > 2 and seen[0][w] > 1 and seen[1][w] == 0}
         suspects = _suspects(learn[0], per_word | {w: 10.0 for w, z in strong.items() if z > 0}) or suspects
-    x = np.array([text_features(words_of(t), kernel, *model) for texts in held for t in texts])
+    # Neighbouring words have a machine of their own, which knows them from clean texts as well.
+    negatives = list(dict.fromkeys([*negatives, *(w for w in _clean_joins(learn[1]) if w not in strong)]))
+    joins = _fit(kernel, positives, negatives)
+    for _ in range(2):
+        negatives = list(dict.fromkeys(negatives + [w for w in _wrong_joins(learn[1], kernel, *joins, 3000) if w not in strong]))
+        joins = _fit(kernel, positives, negatives)
+    machines = Machines(*model, *joins, 0.0)
+    machines = replace(machines, floor=_floor(held[1], kernel, machines))
+    x = np.concatenate([text_features(texts, kernel, machines, {}) for texts in held])
     y = np.repeat([1.0, 0.0], [len(h) for h in held])
     prior = min(max(share, 0.01), 0.99)
     weight = np.where(y == 1, prior / len(held[0]), (1 - prior) / len(held[1])) * len(y)
     weights = fit_logistic(x, y, weight, ridge=1e-2)
-    return ToxicityModel(alphabet, model[0], model[1], tuple(weights), share)
-
-
-def _top(values: np.ndarray) -> tuple[float, float]:
-    """The two highest values, cut to a range in which they matter."""
-    if not len(values):
-        return -2.0, -2.0
-    if len(values) == 1:
-        return float(np.clip(values[0], -2, 2)), -2.0
-    best = np.clip(np.sort(np.partition(values, len(values) - 2)[-2:]), -2, 2)
-    return float(best[1]), float(best[0])
-
-
-def text_features(words: list[str], kernel: Kernel, triples: np.ndarray, bias: float) -> tuple[float, float]:
-    return _top(score_words(kernel, triples, bias, words)) if words else _top(np.empty(0))
+    return ToxicityModel(alphabet, machines, tuple(weights), share)
+
+
+def _own_joins(single: np.ndarray, joins: np.ndarray) -> np.ndarray:
+    """``joins`` without windows of which a word is suspect by itself."""
+    joins = joins.copy()
+    for at in np.flatnonzero(single >= 1):
+        for wide in range(2, WIDEST + 1):
+            joins[wide - 2, max(0, at - wide + 1) : at + 1] = -np.inf
+    return joins
+
+
+def _top(single: np.ndarray, joins: np.ndarray, spelled: list[float], floor: float) -> tuple[float, float]:
+    """The two highest values of windows that do not overlap, cut to a range in which they matter."""
+    best = [-2.0, -2.0, *spelled]
+    if len(single):
+        joins = np.where(joins > floor, _own_joins(single, joins), -np.inf)
+        values = np.vstack([single, joins])
+        for _ in range(2):
+            wide, i = divmod(int(values.argmax()), len(single))
+            best.append(float(values[wide, i]))
+            for w in range(WIDEST):
+                values[w, max(0, i - w) : i + wide + 1] = -np.inf
+    first, second = sorted(best)[:-3:-1]
+    return float(np.clip(first, -2, 2)), float(np.clip(second, -2, 2))
+
+
+def text_features(texts: list[str], kernel: Kernel, m: Machines, kept: dict[str, float]) -> np.ndarray:
+    """The values of the two most suspicious windows of each text; ``kept`` holds scores of words."""
+    found = []
+    for at in range(0, len(texts), 64):
+        lower = [t.lower() for t in texts[at : at + 64]]
+        words = [t.split() for t in lower]
+        spelled = [_spelled(t, w) for t, w in zip(lower, words, strict=True)]
+        every = set(itertools.chain.from_iterable(words + spelled))
+        new = every.difference(kept)
+        if len(kept) + len(new) > KEPT:
+            kept.clear()
+            new = every
+        new = list(new)
+        kept.update(zip(new, score_words(kernel, m.triples, m.bias, new).tolist(), strict=True))
+        flat = list(itertools.chain.from_iterable(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        part = _reach(flat) + np.repeat(np.arange(len(words)), sizes)
+        joins = score_joins(kernel, m.join_triples, m.join_bias, flat, part)
+        single = np.fromiter(map(kept.__getitem__, flat), np.float32, len(flat))
+        for end, size, extra in zip(np.cumsum(sizes), sizes, spelled, strict=True):
+            own = slice(end - size, end)
+            found.append(_top(single[own], joins[:, own], [kept[w] for w in extra], m.floor))
+    return np.array(found).reshape(-1, 2)
 
 
 def toxicity_score(model: ToxicityModel, text: Column) -> Column:
@@ -301,17 +502,7 @@ def toxicity_score(model: ToxicityModel, text: Column) -> Column:
         kernel, kept = Kernel(model.alphabet), {}
         weights = np.array(model.weights)
         for texts in batches:
-            found = []
-            for at in range(0, len(texts), 64):
-                words = [words_of(t) for t in texts.iloc[at : at + 64]]
-                new = set(itertools.chain.from_iterable(words)).difference(kept)
-                if len(kept) + len(new) > KEPT:
-                    kept.clear()
-                    new = set(itertools.chain.from_iterable(words))
-                new = list(new)
-                kept.update(zip(new, score_words(kernel, model.triples, model.bias, new).tolist(), strict=True))
-                found.extend(_top(np.fromiter(map(kept.__getitem__, w), np.float64, len(w))) for w in words)
-            x = np.array(found).reshape(-1, 2)
+            x = text_features(texts.tolist(), kernel, model.machines, kept)
             yield pd.Series(logistic((x * weights[:-1]).sum(axis=1) + weights[-1]), dtype="float64")
 
     return F.pandas_udf(scored, "double")(text)

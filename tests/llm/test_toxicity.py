@@ -70,3 +70,48 @@ def test_cases(spark):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     constant = T.toxicity_model(docs, labels)
     assert T.with_toxicity(docs, constant).first().score == constant.constant
+
+
+def _texts(draw, n, *insults):
+    plain = "weather town fine people went walk again they sang river house green little summer".split()
+    some = lambda k: " ".join(draw.choice(plain) for _ in range(k))
+    return [". ".join(f"{some(4)} {i} {some(3)}".replace("  ", " ") for i in insults) for _ in range(n)]
+
+
+def _scores(spark, model, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r.score for r in T.with_toxicity(docs, model).orderBy("doc_id").collect()]
+
+
+def test_joins_equal_their_words():
+    words = "you stu pid man. mo ron x - y i am here".split() + ["z" * 100, "stu", "pid"]
+    kernel = T.Kernel("abcdefghijklmnopqrstuvwxyz")
+    weights = np.random.default_rng(1).normal(size=T.SYMBOLS**3 + 1).astype(np.float32)
+    weights[-1] = 0
+    part = T._reach(words)
+    got = T.score_joins(kernel, weights, 0.5, words, part)
+    for wide, i in itertools.product(range(2, T.WIDEST + 1), range(len(words))):
+        own = words[i : i + wide]
+        text = T._joined(words, i, wide)
+        whole = len(own) == wide and not any(w.endswith(".") or len(w) > 64 for w in own[:-1]) and len(own[-1]) <= 64
+        if whole and len(text) > 2 and own[0] != "-" and own[-1] != "-":
+            assert np.isclose(got[wide - 2, i], T.score_words(kernel, weights, 0.5, [text])[0], atol=1e-3), own
+        else:
+            assert got[wide - 2, i] == -np.inf, own
+
+
+def test_insults_in_parts(spark):
+    draw = random.Random(3)
+    model = T.train_toxicity(_texts(draw, 80, "stupid", "moron"), _texts(draw, 80, "", ""), 0.3)
+    parts = ["stu pid|mo\nron", "s tup id|mor  on", "s  t  u  p  i  d|m\no\nr\no\nn"]
+    texts = [_texts(draw, 1, *p.split("|"))[0] for p in ["stupid|moron", *parts, "|", "fine|town"]]
+    got = _scores(spark, model, texts)
+    assert min(got[:4]) > 0.5 > max(got[4:]), got
+
+
+def test_insults_of_ordinary_words(spark):
+    draw = random.Random(4)
+    clean = _texts(draw, 150, "", "broken", "", "record")
+    model = T.train_toxicity(_texts(draw, 150, "broken record", "", "broken record"), clean, 0.3)
+    got = _scores(spark, model, [*_texts(draw, 3, "broken record", "", "broken record"), *clean[:5]])
+    assert min(got[:3]) > 0.5 > max(got[3:]), got
