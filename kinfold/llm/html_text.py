@@ -18,7 +18,7 @@ import html
 import itertools
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,15 +35,23 @@ EPOCHS = 6
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select object".split())
+RAW = frozenset("script style textarea title iframe".split())  # text up to the end tag, or to the end of the page
+HIDDEN = frozenset("noscript template svg select".split())  # left out up to the matching end tag, if there is one
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-    "strong sub sup time tt u var".split()
+    "strong sub sup time tt u var object math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom "
+    "msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation annotation-xml".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
     "section table ul".split()
 )
+# What ends an open svg or math element; in these parts of an svg it may stand.
+BREAKS_OUT = CLOSES_P | frozenset(
+    "b big body br center code dd dt em embed head i img li listing meta menu nobr ruby s small span strike strong "
+    "sub sup tt u var".split()
+)
+OF_HTML = frozenset("foreignobject desc title".split())
 BOILER = frozenset("nav header footer aside form menu dialog button".split())
 BOILER_WORDS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer form "
@@ -78,6 +86,7 @@ class _Reader:
         self.pieces: list[str] = []
         self.linked = 0
         self.place: tuple = ((), frozenset(), None)
+        self.unclosed: set[str] = set()
 
     def _flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
@@ -101,6 +110,8 @@ class _Reader:
             self._flush()
         if tag in VOID:
             return
+        if tag in BREAKS_OUT and any(t == "math" for t, _, _ in self.stack):
+            self._close("math")
         if tag in CLOSES_P and any(t == "p" for t, _, _ in self.stack):
             self._close("p")
         elif tag in ("li", "option", "tr", "td", "th", "dt", "dd") and self.stack and self.stack[-1][0] == tag:
@@ -127,6 +138,41 @@ class _Reader:
                 del self.stack[i:]
                 return
 
+    def _behind(self, tag: str, page: str, at: int) -> int:
+        """Where the page goes on behind an element that is left out; behind its start tag if it is never closed."""
+        if tag in self.unclosed and tag != "svg":
+            return at
+        if tag != "svg":
+            depth = 1
+            for found in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at):
+                depth += -1 if found.group(1) else 1
+                if not depth:
+                    return found.end()
+            self.unclosed.add(tag)
+            return at
+        above, inside, first = {t for t, _, _ in self.stack}, Counter({"svg": 1}), None
+        place = at
+        while place < len(page):
+            found = _TOKEN.match(page, place)
+            begin, place = place, found.end()
+            name = (found.group(2) or "").lower()
+            if found.group(1):
+                if inside[name]:
+                    inside[name] -= 1
+                    if not inside["svg"]:
+                        return place
+                elif name in above or name == "p":
+                    return begin
+            elif name:
+                if name in BREAKS_OUT:
+                    first = begin if first is None else first
+                    if "svg" in self.unclosed or not any(inside[t] for t in OF_HTML):
+                        return begin
+                if name not in VOID and not found.group(3).endswith("/"):
+                    inside[name] += 1
+        self.unclosed.add("svg")
+        return len(page) if first is None else first
+
     def read(self, page: str) -> list[Block]:
         at, end = 0, len(page)
         while at < end:
@@ -147,6 +193,10 @@ class _Reader:
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else end
                 continue
+            if tag in HIDDEN and not closed:
+                self._flush()
+                at = self._behind(tag, page, at)
+                continue
             self._open(tag, found.group(3), closed)
         self._flush()
         return self.blocks

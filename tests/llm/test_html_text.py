@@ -28,6 +28,21 @@ def test_blocks():
     assert marked.marks >= {"side", "bar", "ad", "box"} and marked.linked == 4 and marked.tags[0] == "div"
 
 
+def test_foreign_and_hidden_elements():
+    assert texts("a<svg><path d='x'><p>b</p>c") == ["a", "b", "c"]
+    assert texts("<div>a<svg><g></div>b") == ["a", "b"] and texts("a<svg><text>no</text>") == ["a"]
+    assert texts("a<svg>no<svg>no</svg>no</svg>b") == ["a", "b"] and texts("a<svg/>b") == ["a", "b"]
+    assert texts("a<svg><foreignObject><p>no</p></foreignObject>no</svg>b") == ["a", "b"]
+    assert texts("a<svg><foreignObject><p>b<p>c<svg><desc><p>d") == ["a", "b", "c", "d"]
+    assert texts("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be<p>b") == ["let x=1 be", "b"]
+    assert texts("<div>a <math><mi>x<p>b</p>c</div>d") == ["a x", "b", "c", "d"]
+    assert "math" not in H.blocks_of("<math><mi>x<p>b")[1].tags
+    assert texts("a <object>b <object>c</object> d</object> e<p>f") == ["a b c d e", "f"]
+    assert texts("<object data='x'><p>a</p><p>b") == ["a", "b"]
+    assert texts("a<template>no<template>no</template>no</template>b<select><option>no</select>c") == ["a", "b", "c"]
+    assert texts("a<select><option>b<p>c") == ["a", "b", "c"]
+
+
 def brute_best(field, seen):
     weights = [sum(field.weights.get(f, 0.0) for f in s) for s in seen]
     a = np.array(field.steps).reshape(2, 2)
