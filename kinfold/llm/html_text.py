@@ -64,6 +64,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_LABELLED = r"(?i)<(article|main)[\s/>]|\bdata-main\s*="  # in pages that may label themselves
 
 
 @dataclass(slots=True)
@@ -414,12 +415,17 @@ def main_text_of(field: Field, page: Column) -> Column:
     return F.pandas_udf(extracted, "string")(page)
 
 
-def page_field(pages: DataFrame) -> Field:
-    """Learn from at most ``PAGES`` pages, picked in the order of a hash of the page."""
-    fit = pages.where(F.length("html").between(1, PAGE_CHARS))
+def labelled_sample(pages: DataFrame) -> list[str]:
+    """At most ``PAGES`` pages that mark an article or main element, picked in the order of a hash of the page."""
+    fit = pages.where(F.length("html").between(1, PAGE_CHARS) & F.col("html").rlike(_LABELLED))
     order = fit.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(PAGES)
     some = fit.select("html", F.xxhash64("html").alias("h")).join(F.broadcast(order), "h").select("html").distinct()
-    return train_field(labelled_pages(sorted(r["html"] for r in some.limit(PAGES).collect())))
+    return sorted(r["html"] for r in some.limit(PAGES).collect())
+
+
+def page_field(pages: DataFrame) -> Field:
+    """Learn from at most ``PAGES`` pages that label themselves."""
+    return train_field(labelled_pages(labelled_sample(pages)))
 
 
 def with_main_text(pages: DataFrame, field: Field, name: str = "text") -> DataFrame:

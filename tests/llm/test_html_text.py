@@ -92,3 +92,10 @@ def test_cases(spark):
     got = H.with_main_text(pages, field, "found").select("page_id", "found").collect()
     assert sorted(len(r.found) for r in got if r.page_id != 3) == [0, 0, 0, 0]
     assert H.with_main_text(pages.limit(0), H.page_field(pages.limit(0)), "found").count() == 0
+
+
+def test_rare_labelled_pages_are_learned_from(spark):
+    plain = [f"<div>page {i}</div>" for i in range(600)]
+    marked = ["<ARTICLE><p>one</p></ARTICLE>", "<main id='x'>two</main>", "<article>three</article>"]
+    pages = spark.createDataFrame([(p,) for p in plain + marked], "html string")
+    assert H.labelled_sample(pages) == sorted(marked)
