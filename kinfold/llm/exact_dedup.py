@@ -1,9 +1,9 @@
-"""Exact duplicates by a tree merge of sorted digest runs.
+"""Exact duplicates by a tree merge of digest runs.
 
 Rows are dealt into runs by a hash of their id. A run holds one entry per
-digest, sorted by it: the smallest id and the number of rows. In each round
-``FAN_IN`` runs meet in one (run r goes to run r / FAN_IN), and equal digests
-are merged there, until one run per digest range is left. A text with a third
+digest: the smallest id and the number of rows. In each round ``FAN_IN`` runs
+meet in one (run r goes to run r / FAN_IN), and equal digests are merged there
+by an aggregate, which stands for a multiway merge of sorted runs, until one run per digest range is left. A text with a third
 of all rows is an entry of a few dozen bytes in each run from the first level
 on, and at most ``FAN_IN`` of its entries meet in a later merge.
 
