@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import exact_dedup, html_text, mixing, packing, quality, revisits, secrets, simhash, topk, toxicity
+from kinfold.llm import (
+    exact_dedup,
+    hard_negatives,
+    html_text,
+    mixing,
+    packing,
+    quality,
+    revisits,
+    secrets,
+    simhash,
+    topk,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +35,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": simhash.op8_simhash,
         "op9_packing": packing.op9_packing,
         "op10_html": html_text.op10_html,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
@@ -33,4 +46,5 @@ def oracles() -> dict[str, str]:
         "op3_topk": topk.ORACLE,
         "op4_revisits": revisits.ORACLE,
         "op7_mixing": mixing.ORACLE,
+        "op13_hard_negatives": hard_negatives.ORACLE,
     }

@@ -13,192 +13,120 @@ score is the sum of the local ones.
    reaches the cutoff is merged.
 
 The cutoff is a pair of score and id, so a third of all rows with one vector
-does not pass it together. Queries and candidates meet in a grid of bounded
-blocks: the work is that of the stated query set against all rows, while
-memory is that of one block pair, and a task sends at most k entries a query.
+does not pass it together. Queries meet all rows in ``grid``: a task holds some
+queries, streams rows past them, and sends at most k entries a query, however
+many rows it reads.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import ship, stored, table
+from kinfold.llm.common import stored, table
+from kinfold.llm.grid import QUERY_ROWS, Best, Queries, Rows, query_grid, whole_vectors
 
 K = 20
 PARTS = 4
 SCALE = 64
-QUERY_BLOCK = 1024  # queries of a block, about
-ROW_BLOCK = 8192  # candidates of a block, about
-_STRIP = 256  # queries whose scores are held at once
+_FOUND = "row long, query_id long, vec_id long, score long"
 
 
-def whole_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``(vec_id, v)`` with ``floor(scale * x)`` of each component.
+def _local_scores(queries: Queries, rows: Rows, strip: slice, parts: int) -> list[np.ndarray]:
+    width = rows.v.shape[1]
+    cuts = [slice(width * i // parts, width * (i + 1) // parts) for i in range(parts)]
+    return [rows.q[strip, c] @ rows.v[:, c].T for c in cuts]
 
-    Rows without an id, and vectors that are null, empty, or hold a null or
-    non-finite component, are left out. Rows that share an id are one vector:
-    the least of them in array order.
-    """
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    vectors = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    vectors = vectors.where("vec_id IS NOT NULL AND size(x) > 0").where(F.forall("x", finite))
-    return vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform("x", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"),
-    )
-
-
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    """Rows padded with zeros to ``width``, in the narrowest exact type for their products."""
-    out = np.zeros((len(vectors), width), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return out
-
-
-def _product_type(a: np.ndarray, b: np.ndarray) -> type:
-    """A type in which sums of products are exact."""
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most >= 1 << 63:
-        raise ValueError("components too large for whole scores of 64 bits")
-    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
-
-
-def _cuts(width: int, parts: int) -> list[slice]:
-    return [slice(width * i // parts, width * (i + 1) // parts) for i in range(parts)]
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the smaller id."""
-    if len(ids) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= least)
-    else:
-        near = np.arange(len(ids))
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
-
-
-def _blocks(queries: pd.DataFrame, rows: pd.DataFrame, parts: int):
-    """Ids, local scores by part and cutoffs, a strip of queries at a time."""
-    width = max(queries["qv"].map(len).max(), rows["v"].map(len).max())
-    q, r = _matrix(queries["qv"], width), _matrix(rows["v"], width)
-    kind = _product_type(q, r)
-    q, r = q.astype(kind), r.astype(kind)
-    cuts = _cuts(width, parts)
-    for at in range(0, len(q), _STRIP):
-        part = queries.iloc[at : at + _STRIP]
-        yield part, [q[at : at + _STRIP, c] @ r[:, c].T for c in cuts]
-
-
-def _local_lists(queries: pd.DataFrame, rows: pd.DataFrame, k: int, parts: int) -> Iterator[tuple]:
-    """Phase 1: of each query the best of the candidates that lead some part's list."""
-    ids = rows["vec_id"].to_numpy()
-    for strip, local in _blocks(queries, rows, parts):
-        total = sum(local)
-        leaders = min(k + 1, len(ids))
-        heads = [np.argpartition(-s, leaders - 1, axis=1)[:, :leaders].copy() for s in local]
-        for i, query in enumerate(strip["query_id"].to_numpy()):
-            near = np.unique(np.concatenate([h[i] for h in heads]))
-            near = near[ids[near] != query]
-            best = near[_best(ids[near], total[i, near], k)]
-            yield query, ids[best], total[i, best].astype(np.int64)
-
-
-def _resolved(queries: pd.DataFrame, rows: pd.DataFrame, k: int, parts: int) -> Iterator[tuple]:
-    """Phases 2 and 3: entries above the uniform threshold, their scores, and the best of them."""
-    ids = rows["vec_id"].to_numpy()
-    for strip, local in _blocks(queries, rows, parts):
-        cut_score = strip["cut_score"].to_numpy()
-        cut_id = strip["cut_id"].to_numpy()
+
+class _Phase:
+    """The best ``k`` entries of each query among those that ``_near`` names."""
+
+    def __init__(self, queries: Queries, k: int, parts: int):
+        self.queries, self.k, self.parts = queries, k, parts
+        self.best = [Best(s.stop - s.start, k) for s in queries.strips]
+
+    def rows(self, rows: Rows) -> None:
+        for strip, best in zip(self.queries.strips, self.best):
+            local = _local_scores(self.queries, rows, strip, self.parts)
+            i, j = np.nonzero(self._near(local, strip) & (self.queries.row[strip][:, None] != rows.row[None, :]))
+            score = sum(s[i, j].astype(np.int64) for s in local)
+            keep = self._kept(strip, i, score, rows.id[j])
+            best.add(i[keep], score[keep], rows.id[j[keep]])
+
+    def done(self) -> Iterator[pa.RecordBatch]:
+        for strip, best in zip(self.queries.strips, self.best):
+            at = strip.start + best.key
+            arrays = (self.queries.row[at], self.queries.id[at], best.id, best.score)
+            names = ["row", "query_id", "vec_id", "score"]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names=names)
+
+
+class _LocalLists(_Phase):
+    """Phase 1: candidates that lead some part's list."""
+
+    def _near(self, local: list[np.ndarray], strip: slice) -> np.ndarray:
+        heads = min(self.k + 1, local[0].shape[1])  # one more, since a query may lead its own list
+        near = np.zeros(local[0].shape, bool)
+        for scores in local:
+            lead = np.argpartition(-scores, heads - 1, axis=1)[:, :heads]
+            np.put_along_axis(near, lead, True, axis=1)
+        return near
+
+    def _kept(self, strip: slice, i: np.ndarray, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return np.ones(len(i), bool)
+
+
+class _Sufficient(_Phase):
+    """Phases 2 and 3: entries above the uniform threshold, resolved and held against the cutoff."""
+
+    def _near(self, local: list[np.ndarray], strip: slice) -> np.ndarray:
         # Local scores are whole numbers, and the largest is not below the mean.
-        threshold = -np.floor_divide(-cut_score, parts).astype(local[0].dtype)[:, None]
-        enough = local[0] >= threshold
+        threshold = -np.floor_divide(-self.queries.info[strip, 0], self.parts).astype(local[0].dtype)[:, None]
+        near = local[0] >= threshold
         for scores in local[1:]:
-            enough |= scores >= threshold
-        for i, query in enumerate(strip["query_id"].to_numpy()):
-            near = np.flatnonzero(enough[i])
-            score = sum(s[i, near] for s in local).astype(np.int64)
-            passed = (score > cut_score[i]) | ((score == cut_score[i]) & (ids[near] <= cut_id[i]))
-            passed &= ids[near] != query
-            near, score = near[passed], score[passed]
-            best = _best(ids[near], score, k)
-            if len(best):
-                yield query, ids[near[best]], score[best]
-
-
-def _grid_step(queries: DataFrame, rows: DataFrame, work, k: int, parts: int) -> DataFrame:
-    """``(query_id, vec_id, score)`` of ``work`` on each pair of a query block and a row block."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        found = list(work(left, right, k, parts))
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype("int64"),
-                "vec_id": np.concatenate([f[1] for f in found]) if found else np.empty(0, "int64"),
-                "score": np.concatenate([f[2] for f in found]) if found else np.empty(0, "int64"),
-            }
-        )
-
-    pairs = queries.groupBy("qb", "rb").cogroup(rows.groupBy("q_block", "r_block"))
-    return pairs.applyInPandas(run, "query_id long, vec_id long, score long")
+            near |= scores >= threshold
+        return near
+
+    def _kept(self, strip: slice, i: np.ndarray, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        cut_score, cut_id = self.queries.info[strip, 0][i], self.queries.info[strip, 1][i]
+        return (score > cut_score) | ((score == cut_score) & (ids <= cut_id))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_inner_products(
-    rows: DataFrame,
-    every: int = 20,
-    k: int = K,
-    parts: int = PARTS,
-    query_block: int = QUERY_BLOCK,
-    row_block: int = ROW_BLOCK,
+    rows: DataFrame, every: int = 20, k: int = K, parts: int = PARTS, scale: int = SCALE, query_rows: int = QUERY_ROWS
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows whose id is divisible by ``every``.
 
-    ``rows`` has vec_id and embedding; see ``whole_vectors`` for those that take
-    no part. Vectors of different lengths are compared over their shared
-    leading components. Ties go to the smaller id. A query with fewer than
-    ``k`` candidates returns all of them; an empty table gives an empty result;
-    other columns are ignored. Scores beyond 64 bits raise an error.
+    ``rows`` has vec_id and embedding. Rows without an id, and vectors that are
+    null, empty, or hold a null or non-finite component, take no part. Rows
+    that share an id are queries and candidates of their own: each is compared
+    with every row but itself. Vectors of different lengths are compared over
+    their shared leading components. Ties go to the smaller id. A query with
+    fewer than ``k`` candidates returns all of them; an empty table gives an
+    empty result; other columns are ignored. Scores beyond 64 bits raise an
+    error.
     """
-    ship(rows.sparkSession)
-    vectors = whole_vectors(rows).groupBy("vec_id").agg(F.min("v").alias("v"))
-    vectors = stored(vectors, "whole-vectors")
-    is_query = F.col("vec_id") % every == 0
-    n_rows, n_queries = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(is_query.cast("long")), F.lit(0))).first()
-    r_blocks, q_blocks = max(1, math.ceil(n_rows / row_block)), max(1, math.ceil(n_queries / query_block))
-    spread = lambda seed, n: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = vectors.withColumn("r_block", spread(1, r_blocks)).withColumn("q_block", copies(q_blocks))
-    asked = vectors.where(is_query).select(
-        F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), spread(2, q_blocks).alias("qb")
-    )
-
-    first = _grid_step(asked.withColumn("rb", copies(r_blocks)), candidates, _local_lists, k, parts)
-    heads = _ranked(first, k)
+    vectors = whole_vectors(rows, scale)
+    known = vectors.select("row", "id", F.array(F.lit(0).cast("long")).alias("info"), "v")
+    queries = known.where(F.col("id") % every == 0)
+    heads = _ranked(query_grid(queries, known, lambda q: _LocalLists(q, k, parts), _FOUND, query_rows), k)
     last = F.min(F.struct("score", (-F.col("vec_id")).alias("less")))
-    cuts = heads.groupBy(F.col("query_id").alias("of")).agg(last.alias("c"), F.count(F.lit(1)).alias("n"))
-    cuts = stored(cuts.where(F.col("n") == k).select("of", "c.score", "c.less"), "cutoffs")
+    cuts = heads.groupBy("row").agg(last.alias("c"), F.count(F.lit(1)).alias("n"))
+    cuts = stored(cuts.where(F.col("n") == k).select("row", "c.score", "c.less"), "cutoffs")
     # A query with fewer candidates than k has no cutoff.
-    known = asked.join(cuts, F.col("query_id") == F.col("of"), "left").select(
-        "query_id",
-        "qv",
-        "qb",
-        F.coalesce("score", F.lit(-(1 << 62))).alias("cut_score"),
-        F.coalesce(-F.col("less"), F.lit((1 << 63) - 1)).alias("cut_id"),
-    )
-    found = _grid_step(known.withColumn("rb", copies(r_blocks)), candidates, _resolved, k, parts)
+    cut_score, cut_id = F.coalesce("score", F.lit(-(1 << 62))), F.coalesce(-F.col("less"), F.lit((1 << 63) - 1))
+    asked = queries.join(cuts, "row", "left").select("row", "id", F.array(cut_score, cut_id).alias("info"), "v")
+    asked = stored(asked, "queries")
+    found = query_grid(asked, known, lambda q: _Sufficient(q, k, parts), _FOUND, query_rows)
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -207,12 +135,13 @@ def op3_topk(spark, sf_dir):
 
 
 ORACLE = """
-WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(64 * x)) AS v FROM embeddings
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id,
+                  list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(64 * x)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-      FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.rid <> c.rid)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
        vec_id, score
 FROM s QUALIFY rank <= 20
 """
