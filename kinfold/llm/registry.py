@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm import (
+    conversation_trie,
     exact_dedup,
     hard_negatives,
     html_text,
@@ -35,6 +36,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": simhash.op8_simhash,
         "op9_packing": packing.op9_packing,
         "op10_html": html_text.op10_html,
+        "op12_conversations": conversation_trie.op12_conversations,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
@@ -46,5 +48,6 @@ def oracles() -> dict[str, str]:
         "op3_topk": topk.ORACLE,
         "op4_revisits": revisits.ORACLE,
         "op7_mixing": mixing.ORACLE,
+        "op12_conversations": conversation_trie.ORACLE,
         "op13_hard_negatives": hard_negatives.ORACLE,
     }
