@@ -11,7 +11,8 @@ from kinfold.llm.common import stored
 def _stars(pairs: DataFrame) -> DataFrame:
     """Each ``v`` of ``(u, v)`` and ``u`` itself, with the least of u's star."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    # Written first: a join that ends an aggregate would not be split at a hot hub.
+    least = stored(least.select(F.col("u").alias("c"), F.least("u", "m").alias("m")), "stars")
     return pairs.join(least, pairs["u"] == least["c"]).select("u", "v", "m")
 
 

@@ -11,6 +11,7 @@ from kinfold.llm import (
     exact_dedup,
     hard_negatives,
     html_text,
+    lattice,
     mixing,
     packing,
     quality,
@@ -36,6 +37,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": simhash.op8_simhash,
         "op9_packing": packing.op9_packing,
         "op10_html": html_text.op10_html,
+        "op11_embeddings": lattice.op11_embeddings,
         "op12_conversations": conversation_trie.op12_conversations,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
@@ -48,6 +50,7 @@ def oracles() -> dict[str, str]:
         "op3_topk": topk.ORACLE,
         "op4_revisits": revisits.ORACLE,
         "op7_mixing": mixing.ORACLE,
+        "op11_embeddings": lattice.ORACLE,
         "op12_conversations": conversation_trie.ORACLE,
         "op13_hard_negatives": hard_negatives.ORACLE,
     }
