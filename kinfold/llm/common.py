@@ -32,6 +32,13 @@ def stored(df: DataFrame, tag: str, waves: int = 4) -> DataFrame:
     return materialize(df.coalesce(max(1, waves * df.sparkSession.sparkContext.defaultParallelism)), tag)
 
 
+def new_name(df: DataFrame, *names: str) -> None:
+    """Refuse to add a column under a name that is there already, in whatever case."""
+    clash = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if clash:
+        raise ValueError(f"the table has columns named {sorted(clash)}; choose other names for the result")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -119,6 +126,7 @@ __all__ = [
     "labelled_sample",
     "logistic",
     "materialize",
+    "new_name",
     "ship",
     "stored",
     "table",

@@ -9,7 +9,10 @@ The field is trained here, on a bounded sample of pages that label themselves:
 inside of an article or main element, outside of what is marked as a menu, a
 form and the like. The same texts are also laid out anew, in templates that
 mark the parts in other ways or not at all, so that the field does not lean on
-one element. Extraction is a map over the pages, without a shuffle.
+one element. Extraction is a map over the pages, without a shuffle. A page is
+read in time and memory that grow with its length, however broken or deep it is:
+what a failed tag has scanned is not scanned again, and blocks share what stands
+above them.
 """
 
 from __future__ import annotations
@@ -19,15 +22,16 @@ import itertools
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import ship, table
+from kinfold.llm.common import new_name, ship, table
 
 PAGES = 150  # pages learned from, at most
 PAGE_CHARS = 50_000  # longest page learned from
@@ -59,157 +63,262 @@ BOILER_WORDS = frozenset(
     "promo related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe "
     "toolbar widget".split()
 )
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]+|<", re.S
-)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+# A tag without "<" in it and without ">" in its quotes; a failed match stops at the next "<".
+_PLAIN_TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/<>\"']*+)(?=[\s/>])([^<>\"']*+(?:(?:\"[^<>\"]*+\"|'[^<>']*+')[^<>\"']*+)*+)>"
+)
+_NAME = re.compile(r"[a-zA-Z]")
+_NAME_END = re.compile(r"[\s/>]")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
 _LABELLED = r"(?i)<(article|main)[\s/>]|\bdata-main\s*="  # in pages that may label themselves
 
 
 @dataclass(slots=True)
 class Block:
-    """A leaf block: its text, the tags and marking words above it, and the text in links."""
+    """A leaf block: its text, the tags and marking words above it, and the text in links.
+
+    ``tags`` and ``marks`` are shared by the blocks that have the same above
+    them; ``path`` numbers the sequences of tags of a page.
+    """
 
     text: str
-    tags: tuple[str, ...]
+    parent: str
+    tags: frozenset[str]
     marks: frozenset[str]
+    path: int
     linked: int
     main: bool | None
 
 
+class _Level(NamedTuple):
+    """An open element, and what it and all elements around it amount to."""
+
+    tag: str
+    name: str
+    tags: frozenset[str]
+    marks: frozenset[str]
+    path: int
+    main: bool | None
+
+
+class _Ahead:
+    """The next match of a pattern from places that never go back; every character is looked at once."""
+
+    def __init__(self, pattern: re.Pattern, page: str):
+        self.pattern, self.page, self.found = pattern, page, -1
+
+    def __call__(self, at: int) -> int:
+        if self.found < at:
+            match = self.pattern.search(self.page, at)
+            self.found = match.start() if match else len(self.page)
+        return self.found
+
+
+class _Tokens:
+    """The tokens of a page: ``(begin, end, name, closing, attributes)``, no name for text and comments.
+
+    What a failed tag has found out about its quotes is kept, so that a page of
+    broken tags is read in linear time.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        self.last = page.rfind(">")
+        self.name_end, self.special = _Ahead(_NAME_END, page), _Ahead(_QUOTE_OR_END, page)
+        self.ends: dict[int, int] = {}
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag closes whose attributes begin at ``at``, -1 if a quote in it never does."""
+        page, ends, seen = self.page, self.ends, []
+        at = self.special(at)
+        while at < self.size and page[at] != ">" and at not in ends:
+            seen.append(at)
+            closing = page.find(page[at], at + 1)
+            found = _QUOTE_OR_END.search(page, closing + 1) if closing >= 0 else None
+            at = found.start() if found else self.size
+        end = ends[at] if at in ends else at if at < self.size else -1
+        for quote in seen:
+            ends[quote] = end
+        return end
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str]:
+        page = self.page
+        if page[at] != "<":
+            end = page.find("<", at)
+            return at, self.size if end < 0 else end, "", False, ""
+        plain = _PLAIN_TAG.match(page, at)
+        if plain:
+            return at, plain.end(), plain[2].lower(), bool(plain[1]), plain[3]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return at, self.size if end < 0 else end + 3, "!", False, ""
+        if at >= self.last:
+            return at, at + 1, "", False, ""
+        if page[at + 1] in "!?":
+            return at, page.find(">", at) + 1, "!", False, ""
+        closing = page[at + 1] == "/"
+        start = at + 1 + closing
+        if not _NAME.match(page, start):
+            return at, at + 1, "", False, ""
+        stop = self.name_end(start)
+        end = self._tag_end(stop)
+        if end < 0:
+            return at, at + 1, "", False, ""
+        return at, end + 1, page[start:stop].lower(), closing, page[stop:end]
+
+
 class _Reader:
-    """Reads a page into blocks."""
+    """Reads a page into blocks; ``known`` are the tags and marking words that matter, all if None."""
 
-    def __init__(self) -> None:
+    def __init__(self, known: tuple[frozenset[str], frozenset[str]] | None = None) -> None:
+        self.known = known
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, frozenset[str], bool | None]] = []
+        self.root = _Level("", "", frozenset(), frozenset(), 0, None)
+        self.stack: list[_Level] = [self.root]
+        self.open: Counter[str] = Counter()
+        self.paths: dict[tuple[int, str], int] = {}
         self.pieces: list[str] = []
         self.linked = 0
-        self.place: tuple = ((), frozenset(), None)
+        self.place = self.root
         self.unclosed: set[str] = set()
 
     def _flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.blocks.append(Block(text, *self.place[:2], min(self.linked, len(text)), self.place[2]))
+            above = self.place
+            linked = min(self.linked, len(text))
+            self.blocks.append(Block(text, above.name, above.tags, above.marks, above.path, linked, above.main))
         self.pieces, self.linked = [], 0
 
     def _text(self, data: str) -> None:
         data = html.unescape(data)
         if not self.pieces:
-            tags = tuple(t for t, _, _ in self.stack)
-            marks = frozenset().union(*(m for _, m, _ in self.stack)) if self.stack else frozenset()
-            main = next((x for _, _, x in reversed(self.stack) if x is not None), None)
-            self.place = (tags, marks, main)
+            self.place = self.stack[-1]
         self.pieces.append(data)
-        if any(t == "a" for t, _, _ in self.stack):
+        if self.open["a"]:
             self.linked += len(data.strip())
 
+    def _push(self, tag: str, words: list[str], main: bool | None) -> None:
+        above, name = self.stack[-1], tag
+        if self.known is not None:
+            name = tag if tag in self.known[0] else "?"
+            words = [w for w in words if w in self.known[1]]
+        tags = above.tags if name in above.tags else above.tags | {name}
+        marks = above.marks if above.marks.issuperset(words) else above.marks.union(words)
+        path = self.paths.setdefault((above.path, tag), len(self.paths) + 1)
+        self.stack.append(_Level(tag, name, tags, marks, path, above.main if main is None else main))
+        self.open[tag] += 1
+
+    def _pop(self) -> str:
+        tag = self.stack.pop().tag
+        self.open[tag] -= 1
+        return tag
+
     def _open(self, tag: str, attributes: str, closed: bool) -> None:
         if tag not in INLINE:
             self._flush()
         if tag in VOID:
             return
-        if tag in BREAKS_OUT and any(t == "math" for t, _, _ in self.stack):
+        if tag in BREAKS_OUT and self.open["math"]:
             self._close("math")
-        if tag in CLOSES_P and any(t == "p" for t, _, _ in self.stack):
+        if tag in CLOSES_P and self.open["p"]:
             self._close("p")
-        elif tag in ("li", "option", "tr", "td", "th", "dt", "dd") and self.stack and self.stack[-1][0] == tag:
-            self.stack.pop()
+        elif tag in ("li", "option", "tr", "td", "th", "dt", "dd") and self.stack[-1].tag == tag:
+            self._pop()
         if closed:
             return
-        marks, main = frozenset(), None
+        words, main = [], None
         if attributes and "=" in attributes:
-            words: list[str] = []
             for name, *values in _ATTRIBUTE.findall(attributes):
                 value = next((v for v in values if v), "").lower()
                 if name.lower() == "data-main":
                     main = value == "1"
                 else:
                     words.extend(_WORD.findall(value))
-            marks = frozenset(words)
-        self.stack.append((tag, marks, main))
+        self._push(tag, words, main)
 
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
+        if self.open[tag]:
+            while self._pop() != tag:
+                pass
 
-    def _behind(self, tag: str, page: str, at: int) -> int:
+    def _behind(self, tag: str, tokens: _Tokens, at: int) -> int:
         """Where the page goes on behind an element that is left out; behind its start tag if it is never closed."""
         if tag in self.unclosed and tag != "svg":
             return at
+        page = tokens.page
         if tag != "svg":
-            depth = 1
-            for found in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at):
+            depth, place, pattern = 1, at, re.compile(rf"<(/?){tag}\b", re.I)
+            while place <= tokens.last:
+                found = pattern.search(page, place)
+                end = page.find(">", found.end()) if found else -1
+                if end < 0:
+                    break
+                place = end + 1
                 depth += -1 if found.group(1) else 1
                 if not depth:
-                    return found.end()
+                    return place
             self.unclosed.add(tag)
             return at
-        above, inside, first = {t for t, _, _ in self.stack}, Counter({"svg": 1}), None
-        place = at
-        while place < len(page):
-            found = _TOKEN.match(page, place)
-            begin, place = place, found.end()
-            name = (found.group(2) or "").lower()
-            if found.group(1):
+        inside, first, place = Counter({"svg": 1}), None, at
+        inner = _Tokens(page) if "svg" not in self.unclosed else tokens
+        while place < tokens.size:
+            begin, place, name, closing, attributes = inner.next(place)
+            if closing:
                 if inside[name]:
                     inside[name] -= 1
                     if not inside["svg"]:
                         return place
-                elif name in above or name == "p":
+                elif self.open[name] or name == "p":
                     return begin
-            elif name:
+            elif name and name != "!":
                 if name in BREAKS_OUT:
                     first = begin if first is None else first
                     if "svg" in self.unclosed or not any(inside[t] for t in OF_HTML):
                         return begin
-                if name not in VOID and not found.group(3).endswith("/"):
+                if name not in VOID and not attributes.endswith("/"):
                     inside[name] += 1
         self.unclosed.add("svg")
-        return len(page) if first is None else first
+        return tokens.size if first is None else first
 
     def read(self, page: str) -> list[Block]:
-        at, end = 0, len(page)
+        tokens, at, end = _Tokens(page), 0, len(page)
         while at < end:
-            found = _TOKEN.match(page, at)
-            at = found.end()
-            tag = found.group(2)
-            if tag is None:
-                if found.group(0)[:2] not in ("<!", "<?"):
-                    self._text(found.group(0))
+            begin, at, tag, closing, attributes = tokens.next(at)
+            if not tag:
+                self._text(page[begin:at])
                 continue
-            tag = tag.lower()
-            if found.group(1):
+            if tag == "!":
+                continue
+            if closing:
                 self._close(tag)
                 continue
-            closed = found.group(3).endswith("/")
+            closed = attributes.endswith("/")
             if tag in RAW and not closed:
                 self._flush()
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                stop = re.compile(rf"</{tag}\b", re.I).search(page, at)
+                stop = page.find(">", stop.end()) if stop else -1
+                at = stop + 1 if stop >= 0 else end
                 continue
             if tag in HIDDEN and not closed:
                 self._flush()
-                at = self._behind(tag, page, at)
+                at = self._behind(tag, tokens, at)
                 continue
-            self._open(tag, found.group(3), closed)
+            self._open(tag, attributes, closed)
         self._flush()
         return self.blocks
 
 
-def blocks_of(page: str) -> list[Block]:
-    return _Reader().read(page)
+def blocks_of(page: str, known: tuple[frozenset[str], frozenset[str]] | None = None) -> list[Block]:
+    return _Reader(known).read(page)
 
 
-def features(blocks: list[Block]) -> list[list[str]]:
+def features(blocks: list[Block]) -> Iterator[list[str]]:
     """What the field sees of each block; it knows no text but its form."""
-    out = []
     for i, b in enumerate(blocks):
         size, words = len(b.text), b.text.count(" ") + 1
         linked = b.linked / size
@@ -220,21 +329,20 @@ def features(blocks: list[Block]) -> list[list[str]]:
             f"words:{min(6, int(math.log2(words)))}",
             f"linked:{int(linked * 3.99)}",
             f"ends:{'stop' if last in '.!?…' else 'letter' if last.isalnum() else 'other'}",
-            f"parent:{b.tags[-1] if b.tags else ''}",
+            f"parent:{b.parent}",
             f"first:{i == 0}",
         ]
         if "©" in b.text:
             seen.append("copyright")
-        seen.extend(f"tag:{t}" for t in set(b.tags))
+        seen.extend(f"tag:{t}" for t in b.tags)
         seen.extend(f"mark:{m}" for m in b.marks)
         if b.marks & BOILER_WORDS:
             seen.append("boiler-mark")
         if BOILER.intersection(b.tags):
             seen.append("boiler-tag")
-        if i and blocks[i - 1].tags != b.tags:
+        if i and blocks[i - 1].path != b.path:
             seen.append("turn")
-        out.append(seen)
-    return out
+        yield seen
 
 
 @dataclass(frozen=True)
@@ -244,19 +352,25 @@ class Field:
     weights: dict[str, float]
     steps: tuple[float, float, float, float]
 
+    def known(self) -> tuple[frozenset[str], frozenset[str]]:
+        """Tags and marking words that can change a block's weight."""
+        named = lambda kind: {f.partition(":")[2] for f in self.weights if f.startswith(kind)}
+        return frozenset(named("tag:") | named("parent:") | BOILER), frozenset(named("mark:") | BOILER_WORDS)
+
 
-def _emissions(weights: dict[str, float], seen: list[list[str]]) -> list[float]:
+def _emissions(weights: dict[str, float], seen: Iterable[list[str]]) -> list[float]:
     get = weights.get
     return [sum(get(f, 0.0) for f in block) for block in seen]
 
 
-def viterbi(field: Field, seen: list[list[str]]) -> list[bool]:
+def viterbi(field: Field, seen: Iterable[list[str]]) -> list[bool]:
     """The best labels of a chain; a block's weight counts for main text, its absence for none."""
-    if not seen:
+    emitted = _emissions(field.weights, seen)
+    if not emitted:
         return []
     scores, back = (0.0, 0.0), []
     a, b, c, d = field.steps  # other to other, other to main, main to other, main to main
-    for i, e in enumerate(_emissions(field.weights, seen)):
+    for i, e in enumerate(emitted):
         if not i:
             scores = (0.0, e)
             continue
@@ -327,11 +441,11 @@ def own_labels(blocks: list[Block]) -> list[bool] | None:
     """Labels from a page's own markup; None if it names no article and no main element."""
     if any(b.main is not None for b in blocks):
         return [bool(b.main) for b in blocks]
-    inside = [next((i for i, t in enumerate(b.tags) if t in ("article", "main")), -1) for b in blocks]
-    if max(inside, default=-1) < 0:
+    inside = [bool(b.tags & {"article", "main"}) for b in blocks]
+    if not any(inside):
         return None
     return [
-        i >= 0 and not BOILER.intersection(b.tags) - {"header"} and not b.marks & BOILER_WORDS
+        i and not BOILER.intersection(b.tags) - {"header"} and not b.marks & BOILER_WORDS
         for b, i in zip(blocks, inside, strict=True)
     ]
 
@@ -388,7 +502,7 @@ def labelled_pages(pages: list[str]) -> list[tuple[list[list[str]], list[bool]]]
         labels = own_labels(blocks)
         if not labels or not any(labels):
             continue
-        found.append((features(blocks), labels))
+        found.append((list(features(blocks)), labels))
         main.append([b.text for b, y in zip(blocks, labels, strict=True) if y])
         rest.append([b.text for b, y in zip(blocks, labels, strict=True) if not y])
     if not found:  # nothing to learn from: layouts of plain sentences
@@ -398,19 +512,20 @@ def labelled_pages(pages: list[str]) -> list[tuple[list[list[str]], list[bool]]]
     for turn, (texts, others) in enumerate(zip(main, rest, strict=True)):
         for k in range(2):
             blocks = blocks_of(relaid(texts, others, 2 * turn + k))
-            found.append((features(blocks), own_labels(blocks)))
-    return sorted(found, key=lambda x: xxhash.xxh64_intdigest(repr(x[1]) + repr(x[0][0])))
+            found.append((list(features(blocks)), own_labels(blocks)))
+    return sorted(found, key=lambda x: xxhash.xxh64_intdigest(repr(x[1]) + repr(sorted(x[0][0]))))
 
 
-def main_text(field: Field, page: str) -> str:
-    blocks = blocks_of(page)
+def main_text(field: Field, page: str, known: tuple[frozenset[str], frozenset[str]] | None = None) -> str:
+    blocks = blocks_of(page, known or field.known())
     return " ".join(b.text for b, y in zip(blocks, viterbi(field, features(blocks)), strict=True) if y)
 
 
 def main_text_of(field: Field, page: Column) -> Column:
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = field.known()
         for pages in batches:
-            yield pd.Series([main_text(field, p) for p in pages], dtype="object")
+            yield pd.Series([main_text(field, p, known) for p in pages], dtype="object")
 
     return F.pandas_udf(extracted, "string")(page)
 
@@ -433,8 +548,9 @@ def with_main_text(pages: DataFrame, field: Field, name: str = "text") -> DataFr
 
     A null or empty page, and one without main text, has the empty text; equal
     pages have equal texts; broken markup is read as far as it goes. An empty
-    table stays empty.
+    table stays empty; a column that is named like the result is an error.
     """
+    new_name(pages, name)
     ship(pages.sparkSession)
     return pages.withColumn(name, main_text_of(field, F.coalesce("html", F.lit(""))))
 
