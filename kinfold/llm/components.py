@@ -32,7 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the edges ``(a, b)``; root is the least node.
 
     Large-star and small-star steps alternate until the table stays the same:
-    then it is one star per component. Only counts reach the driver; each step
+    then it is one star per component. Edges with a null end, loops and
+    repeated edges add nothing; an empty table gives an empty result; other
+    columns are ignored. Only counts reach the driver; each step
     is written, so a lost executor costs a re-read.
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()

@@ -1,11 +1,14 @@
-"""Exact duplicates by a tree merge of digest runs.
+"""Exact duplicates by a tree merge of sorted digest runs.
 
 Rows are dealt into runs by a hash of their id. A run holds one entry per
-digest: the smallest id and the number of rows. In each round ``FAN_IN`` runs
-meet in one (run r goes to run r / FAN_IN), and equal digests are merged there
-by an aggregate, which stands for a multiway merge of sorted runs, until one run per digest range is left. A text with a third
-of all rows is an entry of a few dozen bytes in each run from the first level
-on, and at most ``FAN_IN`` of its entries meet in a later merge.
+digest, sorted by digest: the smallest id and the number of rows. Runs are
+merged in rounds along a binomial tree (with ``fan_in`` children a node instead
+of two): in the round of stride s, run r takes the runs r + s, r + 2s and so on.
+Each partition of a round receives the entries of one digest range of those
+runs, merges them in digest order, and keeps one entry of neighbours that are
+equal, until one run is left. A text with a third of all rows is an entry of a
+few dozen bytes in each run from the first level on, and at most ``fan_in`` of
+its entries meet in a later merge.
 
 An entry is known by the SHA-256 of its normalised text; the text's length and
 an independent 64-bit hash travel with it and are part of the comparison at
@@ -14,10 +17,10 @@ every level, so a merge is verified without moving texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import SPACES, stored, table, text_of, unpacked, whole_rows
+from kinfold.llm.common import SPACES, materialize, stored, table, text_of, unpacked, whole_rows
 
 RUNS = 4096
 FAN_IN = 16
@@ -37,49 +40,39 @@ def digest_columns(name: str = "text") -> list[Column]:
     ]
 
 
-def merge_runs(entries: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
-    """Merge ``(doc_id, n, *DIGEST)`` to one ``(keep_id, group_size)`` per digest.
+def _merged(entries: DataFrame) -> DataFrame:
+    """Merge the entries of each run that are neighbours in digest order."""
+    order = [*DIGEST, F.col("keep_id").asc_nulls_last(), "keep_row"]
+    met = entries.repartition("run", "sha").sortWithinPartitions("run", *order)
+    equal = Window.partitionBy("run", *DIGEST).orderBy(*order[3:])
+    whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = met.withColumn("place", F.row_number().over(equal)).withColumn("n", F.sum("group_size").over(whole))
+    return met.where("place = 1").select("run", *DIGEST, "keep_id", "keep_row", F.col("n").alias("group_size"))
 
-    Ids that are null come after all others.
+
+def merge_runs(rows: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
+    """Merge ``(row, doc_id, *DIGEST)`` to one ``(keep_id, keep_row, group_size)`` per digest.
+
+    Ids that are null come after all others. keep_row is the row that stays.
     """
-    run = F.pmod(F.xxhash64("doc_id"), F.lit(runs))
-    merged = (
-        entries.withColumn("run", run)
-        .groupBy("run", *DIGEST)
-        .agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    dealt = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "row"), F.lit(runs)))
+    # Runs are made by partial aggregates, so that a task sends a text at most once a run.
+    merged = dealt.groupBy("run", *DIGEST).agg(
+        F.min("doc_id").alias("keep_id"),
+        F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("keep_row"),
+        F.count(F.lit(1)).alias("group_size"),
     )
-    while runs > 1:
-        runs = -(-runs // fan_in)
-        merged = (
-            merged.withColumn("run", F.floor(F.col("run") / fan_in))
-            .groupBy("run", *DIGEST)
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
+    stride = 1
+    while stride < runs:
+        stride *= fan_in
+        merged = _merged(merged.withColumn("run", F.col("run") - F.col("run") % stride))
     return merged.drop("run")
 
 
-def _entries(docs: DataFrame) -> DataFrame:
-    """One row per (id, digest), with the number of rows that repeat it."""
+def _digests(docs: DataFrame) -> DataFrame:
+    """``(row, doc_id, *DIGEST)``, stored, so that row numbers stay."""
     rows = docs.select("doc_id", *digest_columns())
-    return rows.groupBy("doc_id", *DIGEST).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _decided(entries: DataFrame) -> DataFrame:
-    """Entries with the row that stays and the size of their group."""
-    groups = merge_runs(entries).where("group_size > 1")
-    named = groups.select("keep_id", "group_size", *[F.col(c).alias(f"of_{c}") for c in DIGEST])
-    same = None
-    for c in DIGEST:
-        same = (F.col(c) == F.col(f"of_{c}")) if same is None else same & (F.col(c) == F.col(f"of_{c}"))
-    joined = entries.join(named, same, "left")
-    alone = F.col("of_sha").isNull()
-    return joined.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        *DIGEST,
-        "n",
-    )
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -88,21 +81,36 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Returns doc_id, keep_id, group_size, kept and text_sha256. Null and empty
     texts are one text. The smallest id of a group stays; null ids come last,
     so a group of null ids alone has a null keep_id. Of rows that repeat both
-    id and text one is kept. An empty table gives an empty result; other
-    columns are ignored.
+    id and text one is kept, however often they stand there. An empty table
+    gives an empty result; other columns are ignored.
     """
-    entries = stored(_entries(docs), "digests")
-    decided = _decided(entries)
-    each = decided.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    kept = (F.col("turn") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    rows = _digests(docs)
+    # Written first, so that the join is split at a text with many rows.
+    groups = stored(merge_runs(rows).where("group_size > 1"), "digest-groups")
+    named = groups.select("keep_id", "keep_row", "group_size", *[F.col(c).alias(f"of_{c}") for c in DIGEST])
+    same = F.col("sha") == F.col("of_sha")
+    for c in DIGEST[1:]:
+        same = same & (F.col(c) == F.col(f"of_{c}"))
+    joined = rows.join(named, same, "left")
+    alone = F.col("of_sha").isNull()
+    return joined.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
+    )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    entries = stored(_entries(docs), "digests")
-    stays = _decided(entries).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    stays = stays.select(F.col("doc_id").alias("stay_id"), *[F.col(c).alias(f"stay_{c}") for c in DIGEST])
+    """The rows of ``docs`` that stay, with all their columns.
+
+    One row of each group of ``exact_groups`` stays: that of the smallest id,
+    null ids last, and one of those that repeat it. An empty table stays empty;
+    columns may have any names.
+    """
+    groups = stored(merge_runs(_digests(docs)), "digest-groups")
+    stays = groups.select(F.col("keep_id").alias("stay_id"), *[F.col(c).alias(f"stay_{c}") for c in DIGEST])
     keyed = whole_rows(docs).select(
         "row",
         F.col("row.doc_id").alias("own_id"),

@@ -47,7 +47,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
     Sources are weighted by code point, null last. With the water level L, a
     target is ``min(L * weight, cap * size)`` and all targets sum to all words.
-    In the order of ``cap * size / weight`` the levels that leave the first i
+    Sources are ranked in one window, a row of a few dozen bytes each, which
+    holds for some 10^7 sources. In the order of ``cap * size / weight`` the levels that leave the first i
     sources at their cap rise to L and fall after it, so L is their largest.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -77,7 +78,7 @@ def mixing_rates(
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, cap)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     rates = targets.withColumn("rate", rate).withColumn("whole", F.floor("rate"))
     rates = stored(rates.withColumn("fraction", F.col("rate") - F.col("whole")), "mixing-rates")
     drawn = sized.join(rates.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
@@ -109,8 +110,8 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 
     Returns doc_id, size, source_size, target, taken and copies, a row per
     input row. A null text has no words; a null source is a source of its own,
-    last in order; rows without words are emitted like others and take none;
-    repeated rows share their draw; an empty table gives an empty plan; other
+    last in order; rows without words are emitted like others and take none; a
+    source without any words has rate 1, so that its rows stay; repeated rows share their draw; an empty table gives an empty plan; other
     columns are ignored.
     """
     sized = docs.select("doc_id", "source", size_of().alias("size"), draw_words().alias("draw"))
@@ -127,7 +128,11 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it."""
+    """``docs`` with every row repeated as often as the mix takes it, with all its columns.
+
+    Nulls, rows and sources without words, and repeated rows as in
+    ``mixing_plan``; an empty table stays empty; columns may have any names.
+    """
     sized = docs.select("source", size_of().alias("size"), draw_words().alias("draw"))
     sized = materialize(sized.select("source", "size", "draw.a", "draw.b"), "mixing-sizes")
     rows = whole_rows(docs).withColumn("draw", draw_words("row.doc_id", "row.text"))
@@ -155,7 +160,7 @@ v AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0) AS
               / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS DOUBLE) AS lev
       FROM g WINDOW o AS (ORDER BY lim / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(max(lev) OVER () * weight, CAST(lim AS DOUBLE)) AS target FROM v),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 1 END AS rate FROM t),
 f AS (SELECT *, CAST(floor(rate) AS BIGINT) AS whole, rate - floor(rate) AS fraction FROM q),
 k AS (SELECT f.source, k.seed, abs(whole * source_size + coalesce(sum(size) FILTER (
         ((a % {WORD // 2}) * ({FIRST} + k.seed * {STEP}) + b) % {WORD} / {float(WORD)} < fraction), 0) - target) AS gap

@@ -294,6 +294,7 @@ def packed(
 
 
 def with_digest(pieces: DataFrame) -> DataFrame:
+    """``packed`` pieces with the CRC-32 of their ids in place of them; a row per piece, none for no pieces."""
     return pieces.select(
         "doc_id",
         "start",

@@ -29,6 +29,7 @@ from kinfold.llm.common import (
     label_share,
     labelled_sample,
     logistic,
+    new_name,
     ship,
     table,
     text_of,
@@ -142,14 +143,20 @@ def with_quality(docs: DataFrame, model: QualityModel, name: str = "score") -> D
 
     A null text is scored as the empty one, which gets a defined score like any
     other; equal texts get equal scores; an empty table stays empty. Without
-    labels of both classes every score is the share of good labels.
+    labels of both classes every score is the share of good labels. A column
+    that is named like the result is an error.
     """
+    new_name(docs, name)
     ship(docs.sparkSession)
     return docs.withColumn(name, quality_score(model, text_of()))
 
 
 def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more."""
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns.
+
+    Null texts are scored as empty ones; repeated rows stay or go together; an
+    empty table stays empty; columns may have any names.
+    """
     ship(docs.sparkSession)
     return docs.where(quality_score(model, text_of()) >= threshold)
 

@@ -163,12 +163,15 @@ def secret_spans(
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, and as counts
     of spans n_owned (those the method adds), n_copied (values that at least
     ``owners`` owners have or that stand in at least ``repositories`` repositories)
-    and n_live (random-looking values that are not copied). A null or empty text has no spans; a null repository or owner counts
-    as one of its own; repeated rows are rows of the same owner; an empty table
-    gives an empty result; other columns are ignored.
+    and n_live (random-looking values that are not copied); most_owners and
+    most_repositories are the largest counts of a candidate of the row, 0 if it
+    has none. A null or empty text has no spans; a null repository or owner
+    counts as one of its own; repeated rows are rows of the same owner; an empty
+    table gives an empty result; other columns are ignored.
     """
     known = found_spans(docs, repository, owner)
-    counts = ownership(known).select(F.col("hash").alias("of"), "n_owners", "n_repositories")
+    # Written first: Spark splits a join at a hot value only if no aggregate ends on its key.
+    counts = stored(ownership(known).select(F.col("hash").alias("of"), "n_owners", "n_repositories"), "secret-owners")
     each = known.select("row_id", F.explode("candidates").alias("c"))
     judged = each.join(counts, F.col("c.hash") == F.col("of"))
     copied = (F.col("n_owners") >= owners) | (F.col("n_repositories") >= repositories)
@@ -180,13 +183,16 @@ def secret_spans(
             F.when(owned, F.struct("c.start", "c.kind", "c.end")).alias("span"),
             live.cast("long").alias("live"),
             copied.cast("long").alias("copied"),
+            "n_owners",
+            "n_repositories",
         ),
         "secret-verdicts",
     )
     # The spans of one text, which its length bounds.
     added = judged.groupBy(F.col("row_id").alias("of")).agg(
-        F.collect_list("span").alias("added"), F.sum("live").alias("n_live"), F.sum("copied").alias("n_copied")
-    )
+        F.collect_list("span").alias("added"), F.sum("live").alias("n_live"), F.sum("copied").alias("n_copied"),
+        F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories"),
+    )
     rows = known.join(added, known["row_id"] == added["of"], "left")
     none = F.array().cast(known.schema["base"].dataType)
     rows = rows.withColumn("added", F.coalesce("added", none))
@@ -200,13 +206,16 @@ def secret_spans(
         F.size("added").cast("long").alias("n_owned"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("most_owners", F.lit(0)).alias("most_owners"),
+        F.coalesce("most_repositories", F.lit(0)).alias("most_repositories"),
     )
 
 
 def op1_secrets(spark, sf_dir):
-    """Sources stand for owners, a source's texts of one language for a repository of that owner."""
+    """Sources stand for owners; a source's texts of one language and hundred of ids for a repository of that owner."""
     docs = table(spark, sf_dir, "documents")
-    repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    hundred = F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit(""))
+    repository = F.concat_ws("/", F.coalesce("lang", F.lit("")), hundred)
     return secret_spans(docs, repository, F.col("source"))
 
 
@@ -232,19 +241,25 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source, lang FROM document
 base AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2),
 cand AS (SELECT * FROM base UNION ALL SELECT * FROM s3 WHERE NOT EXISTS (
   SELECT 1 FROM base b WHERE b.doc_id = s3.doc_id AND b.start < s3.stop AND s3.start < b.stop)),
-own AS (SELECT value, count(DISTINCT coalesce(source, '?')) AS n_owners FROM cand GROUP BY value),
-judged AS (SELECT cand.*, n_owners >= {OWNERS} AS copied, n_owners < {OWNERS} AND regexp_matches(value, '[0-9]')
-    AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {VARIETY} AS live
+own AS (SELECT value, count(DISTINCT {{'o': source}}) AS n_owners,
+    count(DISTINCT {{'o': source, 'r': concat(coalesce(lang, ''), '/', floor(doc_id / 100))}}) AS n_repositories
+  FROM cand GROUP BY value),
+decided AS (SELECT cand.*, n_owners, n_repositories, n_owners >= {OWNERS} OR n_repositories >= {REPOSITORIES} AS copied
   FROM cand JOIN own USING (value)),
+judged AS (SELECT *, NOT copied AND regexp_matches(value, '[0-9]')
+    AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {VARIETY} AS live
+  FROM decided),
 kept AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS name
          FROM judged WHERE kind < 3 OR live),
 each AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
     count(*) FILTER (kind = 2) AS n_hex,
     string_agg(name, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base,
     string_agg(name, ',' ORDER BY start, kind, stop) AS spans, count(*) FILTER (kind = 3) AS n_owned FROM kept GROUP BY doc_id),
-tally AS (SELECT doc_id, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied FROM judged GROUP BY doc_id)
+tally AS (SELECT doc_id, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied,
+    max(n_owners) AS most_owners, max(n_repositories) AS most_repositories FROM judged GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned,
-       coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+       coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN each USING (doc_id) LEFT JOIN tally USING (doc_id)
 """

@@ -168,8 +168,6 @@ def _linked(batches: Iterator[pa.RecordBatch], distance: int, most: int) -> Iter
 
 def _ball_edges(prints: DataFrame, distance: int) -> DataFrame:
     """Exact links among ``prints`` by the words within half the distance of both."""
-    if distance % 2:
-        raise ValueError("the exact way for large buckets needs an even distance")
     masks = [
         sum(1 << b for b in bits) for r in range(distance // 2 + 1) for bits in itertools.combinations(range(BITS), r)
     ]
@@ -188,6 +186,8 @@ def link_edges(
     """Edges ``(a, b)`` whose components are those of all links among distinct ``fp``."""
     if distance >= 2 * segments:
         raise ValueError("a segment could differ by more than one bit")
+    if distance % 2:
+        raise ValueError("the distance must be even, as the exact way for large buckets halves it")
     ship(prints.sparkSession)
     keyed = variants(prints, segments)
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -216,14 +216,21 @@ def near_duplicates(
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
     roots = components(link_edges(nodes.select("fp"), distance, segments, bucket))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left")
-    rooted = rooted.select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.select(F.col("fp").alias("of"), "root").join(least, "root")
+    rooted = stored(rooted.select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted")
+    # Written first, so that the join is split at the root of a large component.
+    least = stored(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    classes = stored(rooted.select(F.col("fp").alias("of"), "root").join(least, "root"), "classes")
     return rows.join(classes, rows["fp"] == classes["of"]).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with the least id of their component, one for each."""
+    """The rows of ``docs`` with the least id of their component, one for each, with all their columns.
+
+    Null ids come last, so a component of null ids alone keeps one of them; of
+    rows that share the least id, the one with the least hash of its text stays,
+    and of rows that repeat both, one. Null texts count as empty; an empty table
+    stays empty; columns may have any names.
+    """
     classes = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Repeated ids: of the texts that bear the least id, the one with the least hash stays.
     stays = classes.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))

@@ -37,6 +37,7 @@ from kinfold.llm.common import (
     label_share,
     labelled_sample,
     logistic,
+    new_name,
     ship,
     table,
     text_of,
@@ -519,8 +520,10 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "score") ->
 
     A null text is scored as the empty one, which has no suspicious word; equal
     texts get equal scores; an empty table stays empty. Without labels of both
-    classes every score is the share of toxic labels.
+    classes every score is the share of toxic labels. A column that is named
+    like the result is an error.
     """
+    new_name(docs, name)
     ship(docs.sparkSession)
     return docs.withColumn(name, toxicity_score(model, text_of()))
 

@@ -1,6 +1,7 @@
 """Exact groups against a dictionary of normalised texts."""
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -70,6 +71,27 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("runs,fan_in", [(1, 2), (8, 2), (9, 3), (4096, 16)])
 def test_rounds_do_not_change_the_result(spark, runs, fan_in):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("string").alias("text"))
-    entries = E._entries(docs)
-    got = {r["keep_id"]: r["group_size"] for r in E.merge_runs(entries, runs, fan_in).collect()}
+    rows = E._digests(docs)
+    merged = E.merge_runs(rows, runs, fan_in)
+    got = {r["keep_id"]: r["group_size"] for r in merged.collect()}
     assert got == {i: 43 if i < 6 else 42 for i in range(7)}
+    of_row = {r["row"]: r["doc_id"] for r in rows.collect()}
+    assert all(of_row[r["keep_row"]] == r["keep_id"] for r in merged.collect())
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    rounds = math.ceil(round(math.log(runs, fan_in), 9))
+    assert plan.count("Window") >= rounds and "Generate" not in plan
+
+
+def test_a_row_that_stands_very_often(spark):
+    """No list grows with the number of times that a row is repeated."""
+    docs = spark.range(400_000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("x")).alias("text")
+    )
+    found = E.exact_groups(docs).groupBy("text_sha256").agg(
+        F.sum(F.col("kept").cast("int")).alias("kept"), F.max("group_size").alias("size"), F.count("*").alias("n"),
+        F.min("keep_id").alias("keep_id"),
+    )
+    got = sorted((r["kept"], r["size"], r["n"], r["keep_id"]) for r in found.collect())
+    nulls = sum(i % 3 == 0 for i in range(400_000))
+    assert got == [(1, nulls, nulls, None), (1, 400_000 - nulls, 400_000 - nulls, 1)]
+    assert E.deduplicated(docs).count() == 2

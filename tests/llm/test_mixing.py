@@ -68,6 +68,14 @@ def test_taken_words_come_near_the_targets(spark):
         assert r["t"] == pytest.approx(r["w"], rel=0.01)
 
 
+def test_rows_of_a_source_without_words_stay(spark):
+    rows = [(1, "", "blank"), (2, " \t", "blank"), (3, "a b c", "words"), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r["doc_id"]: r for r in M.mixing_plan(docs).collect()}
+    assert [plan[i]["copies"] for i in (1, 2, 3, 4)] == [1, 1, 1, 1] and plan[1]["taken"] == plan[1]["target"] == 0
+    assert sorted(r["doc_id"] for r in M.mixed(docs).collect()) == [1, 2, 3, 4]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mixing_plan(none).count() == 0 and M.mixed(none).count() == 0

@@ -1,6 +1,7 @@
 """The compression classifier on held-out labelled texts, and its cases."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinfold.llm import quality as Q
@@ -23,9 +24,11 @@ def test_spark_equals_plain_scores_and_cases(spark):
     texts = ["", None, good[0], bad[0], "é" * 100_000, good[0]]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     docs = docs.withColumn("score", F.lit("clash"))
-    got = {r.doc_id: r.score for r in Q.with_quality(docs, model, "q").withColumnRenamed("q", "score2").select("doc_id", F.col("score2").alias("score")).collect()}
+    got = {r.doc_id: r.score for r in Q.with_quality(docs, model, "q").select("doc_id", F.col("q").alias("score")).collect()}
     want = Q.score_texts(model, [t or "" for t in texts], Q._Sizes(model.good, model.bad))
     assert [got[i] for i in range(len(texts))] == want.tolist()
+    with pytest.raises(ValueError, match="columns named"):
+        Q.with_quality(docs, model, "Score")
     assert got[0] == got[1] and got[2] == got[5] and got[2] > 0.5 > got[3] and all(0 <= s <= 1 for s in got.values())
     kept = Q.accepted(docs, model)
     assert kept.columns == docs.columns and {2, 5} <= {r.doc_id for r in kept.collect()} and 3 not in {r.doc_id for r in kept.collect()}

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -129,3 +130,9 @@ def test_chain_and_empty_components(spark):
     assert len(got) == 201 and {r.root for r in got} == {0}
     none = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(none).count() == 0 and S.representatives(none).count() == 0
+
+
+def test_odd_distances_are_refused_whatever_the_data(spark):
+    prints = spark.createDataFrame([(1,)], "fp long")
+    with pytest.raises(ValueError, match="even"):
+        S.link_edges(prints, distance=3)

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from kinfold.llm import toxicity as T
 from kinfold.llm.common import table
@@ -66,6 +67,8 @@ def test_cases(spark):
     assert got[0] == got[1] and got[3] == got[6] > 0.5 > max(got[0], got[2], got[7])
     assert got[4] > got[2]
     assert T.with_toxicity(docs.limit(0), model).count() == 0
+    with pytest.raises(ValueError, match="columns named"):
+        T.with_toxicity(docs, model, "TEXT")
     assert T.train_toxicity([], clean, 0.0).weights == ()
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     constant = T.toxicity_model(docs, labels)
