@@ -37,7 +37,8 @@ class EncoderConfig:
     hard_mode: str = "reference"
     hash_method: str = "xxhash64"
     tile_rows: int = 1024
-    max_parameter_bytes: int = 1 << 30
+    max_parameter_bytes: int = 1 << 30  # larger parameters are trained as a table of blocks
+    block_bytes: int = 8 << 20
 
     def __post_init__(self):
         choices = {

@@ -133,8 +133,13 @@ class EncoderModel:
         """``(id, loss)``: encode, decode and compare, without storing a reconstruction.
 
         Rows are ``idx``, ``val``; ``clean`` names another value column over the
-        same ``idx`` to compare with.
+        same ``idx`` to compare with. Parameters above the size limit stay a
+        table that is read block by block; ``id_col`` is then a whole number.
         """
+        if self.parameter_bytes > self.max_broadcast:
+            from kinfold.encoder.blocked import row_losses
+
+            return row_losses(self, rows, id_col, loss_func, clean)
         ship(rows.sparkSession)
         shared = rows.sparkSession.sparkContext.broadcast(self.params())
         enc, dec = self.enc_act_func, self.dec_act_func

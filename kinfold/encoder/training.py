@@ -2,7 +2,9 @@
 
 Each step runs on the rows of one batch, wherever they are: tasks compute
 partial gradients, Spark adds them up by block of terms, and the driver, which
-holds nothing but the parameters, applies the update.
+holds nothing but the parameters, applies the update. Parameters above
+``max_parameter_bytes`` stay a table of blocks that no process holds whole; see
+``blocked``.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from kinfold.config import EncoderConfig
 from kinfold.encoder import math as M
+from kinfold.encoder.blocked import BlockedParameters
 from kinfold.encoder.model import EncoderModel
 from kinfold.functions.vectors import EPS
 from kinfold.operators import triplets as T
@@ -181,11 +184,15 @@ class DenoisingEncoder:
         model = resume_from or EncoderModel.initial(spark, c, n_features, method=c.hash_method)
         if model.n_features != n_features:
             raise ValueError(f"the model has {model.n_features} features, the data {n_features}")
-        params = model.params()
-        updater = M.Updater(c.opt, c.learning_rate, c.momentum)
-        if resume_from is not None:
-            updater.steps = model.steps
-            updater.slots = _slots_from_table(model.slots, updater, n_features)
+        held = None
+        if model.parameter_bytes > c.max_parameter_bytes:
+            held = BlockedParameters(spark, c, model, suffixes != ("",), c.block_bytes)
+        else:
+            params = model.params()
+            updater = M.Updater(c.opt, c.learning_rate, c.momentum)
+            if resume_from is not None:
+                updater.steps = model.steps
+                updater.slots = _slots_from_table(model.slots, updater, n_features)
         n_rows = rows.count()
         size = rows_per_batch(c.batch_size, n_rows)
         n_batches = -(-n_rows // size)
@@ -200,6 +207,9 @@ class DenoisingEncoder:
             done: list[_Step] = []
             for b in range(n_batches):
                 batch = _batch_of(prepared, b)
+                if held is not None:
+                    done.append(self._blocked_step(held, batch, size, suffixes))
+                    continue
                 grad, report = step(spark, batch, params, size)
                 params = updater.apply(params, grad)
                 done.append(report)
@@ -207,10 +217,32 @@ class DenoisingEncoder:
             if epoch % c.verbose_step == 0 or epoch == last:
                 metrics.append((epoch, "train", *_mean(done)))
                 if valid is not None:
-                    metrics.append((epoch, "validate", *_mean([cost(spark, valid, params)])))
+                    found = cost(spark, valid, params) if held is None else self._blocked_cost(held, valid, suffixes)
+                    metrics.append((epoch, "validate", *_mean([found])))
         discard(rows, valid)
+        if held is not None:
+            return _fitted_blocks(spark, c, held, metrics, past)
         return _fitted(spark, c, params, updater, metrics, n_features, past)
 
+    def _blocked_step(self, held: BlockedParameters, batch: DataFrame, size: int, suffixes: tuple[str, ...]) -> _Step:
+        explicit = suffixes != ("",)
+        online = not explicit and self.config.triplet_strategy != "none"
+        triplets = (lambda codes: self._triplet_rows(codes, size)) if online else None
+        loss, weight, triplet, n, *sums = held.step(batch, size, suffixes, triplets)
+        if explicit:
+            return self._explicit_report(np.array([loss, 0.0, 0.0, triplet, n]))
+        return self._report(loss / (weight + EPS), *sums, n)
+
+    def _blocked_cost(self, held: BlockedParameters, rows: DataFrame, suffixes: tuple[str, ...]) -> _Step:
+        n_rows = rows.count()
+        for s in suffixes:  # without corruption
+            rows = rows.withColumn(f"idx_c{s}", F.col(f"idx{s}")).withColumn(f"val_c{s}", F.col(f"val{s}"))
+        if suffixes != ("",):
+            loss, _, triplet, n = held.explicit_cost(rows, n_rows, suffixes)
+            return self._explicit_report(np.array([loss, 0.0, 0.0, triplet, n]))
+        losses, codes = held.losses(rows, n_rows, self.config.loss_func)
+        return self._cost_of(losses, codes)
+
     def _extremes(self, rows: DataFrame, suffix: str, n_features: int):
         if self.config.corr_type != "salt_and_pepper":
             return None
@@ -353,10 +385,15 @@ class DenoisingEncoder:
         model = _model_of(spark, c, params)
         clean = rows.withColumn("batch_id", F.lit(0).cast("bigint"))
         losses = model.reconstruction_losses(clean, "id", c.loss_func)
+        codes = model.transform(clean, "id", ["batch_id", "label"]).withColumnRenamed("embedding", "encode")
+        return self._cost_of(losses, codes)
+
+    def _cost_of(self, losses: DataFrame, codes: DataFrame) -> _Step:
+        """Cost from the rows' losses ``(id, loss)`` and their codes as one batch."""
+        c = self.config
         if c.triplet_strategy == "none":
             cost = losses.agg((F.sum("loss") / (F.count(F.lit(1)) + F.lit(EPS))).alias("c")).first()["c"]
             return _Step(cost, cost)
-        codes = model.transform(clean, "id", ["batch_id", "label"]).withColumnRenamed("embedding", "encode")
         if c.triplet_strategy == "batch_all":
             stats = T.batch_all(codes, tile_rows=min(c.tile_rows, T.TILE_ROWS)).first()
             weights = T.batch_all_weights(codes)
@@ -529,14 +566,31 @@ def _slots_from_table(slots: DataFrame | None, updater: M.Updater, n_features: i
     return found
 
 
+def _fitted_blocks(
+    spark: SparkSession, c: EncoderConfig, held: BlockedParameters, metrics: list, past: DataFrame | None
+) -> EncoderModel:
+    weights, slots, bias = held.tables()
+    model = EncoderModel(
+        weights, bias, held.layout.n_features, held.layout.k, c.enc_act_func, c.dec_act_func,
+        slots=slots, metrics=_history(spark, metrics, past), steps=held.updater.steps, max_broadcast=c.max_parameter_bytes,
+    )
+    discard(held.blocks)
+    return model
+
+
+def _history(spark: SparkSession, metrics: list, past: DataFrame | None) -> DataFrame:
+    """The metrics after those of an earlier run."""
+    # Read now, a few rows per epoch: the folder of the earlier model may be overwritten.
+    before = [] if past is None else [tuple(r) for r in past.select(*_METRIC_NAMES).orderBy("epoch", "split").collect()]
+    return spark.createDataFrame(before + metrics, _METRICS)
+
+
 def _fitted(
     spark, c: EncoderConfig, params: M.Params, updater: M.Updater, metrics: list, n_features: int, past: DataFrame | None
 ) -> EncoderModel:
     """The model with its tables written, so that nothing hangs on the driver."""
     slots = _slots_table(spark, updater)
-    # Read now, a few rows per epoch: the folder of the earlier model may be overwritten.
-    before = [] if past is None else [tuple(r) for r in past.select(*_METRIC_NAMES).orderBy("epoch", "split").collect()]
-    history = spark.createDataFrame(before + metrics, _METRICS)
+    history = _history(spark, metrics, past)
     model = _model_of(
         spark, c, params,
         slots=None if slots is None else materialize(slots, "slots"),

@@ -256,12 +256,13 @@ _RULES = {
 }
 
 
-def _stepped(spark, sf_dir, opt: str, epochs: int = 1, resume_from=None):
+def _stepped(spark, sf_dir, opt: str, epochs: int = 1, resume_from=None, **changes):
     """A fit over all rows at once, with draws that SQL can restate."""
     rows = _small(spark, sf_dir, "binary")
     config = EncoderConfig(
-        num_epochs=epochs, verbose_step=1, triplet_strategy="none", opt=opt, batch_size=rows.count(), hash_method="md5"
-    )
+        num_epochs=epochs, verbose_step=1, triplet_strategy="none", opt=opt, batch_size=rows.count(), hash_method="md5",
+        **changes,
+    )
     return DenoisingEncoder(config).fit(rows, Q.MAX_FEATURES, "doc_id", resume_from=resume_from)
 
 
@@ -283,15 +284,19 @@ def _summary(model):
     return terms.unionByName(hidden)
 
 
-def _step_query(opt: str):
+def _step_query(opt: str, **changes):
     def run(spark, sf_dir):
-        return _summary(_stepped(spark, sf_dir, opt))
+        return _summary(_stepped(spark, sf_dir, opt, **changes))
 
     return run
 
 
 for _opt, _rule in _RULES.items():
-    _add(f"WITH {_FIRST}, {_step_sql('s', 1, 'p0')}, {_updated(_rule)} {_SUMMED}", f"fit_step_{_opt}")(_step_query(_opt))
+    _sql = f"WITH {_FIRST}, {_step_sql('s', 1, 'p0')}, {_updated(_rule)} {_SUMMED}"
+    _add(_sql, f"fit_step_{_opt}")(_step_query(_opt))
+    if _opt in ("gradient_descent", "adam"):
+        # The same step with the parameters as a table of blocks.
+        _add(_sql, f"fit_blocked_{_opt}")(_step_query(_opt, max_parameter_bytes=1))
 
 
 @_add(f"""
