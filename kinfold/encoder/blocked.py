@@ -529,7 +529,6 @@ class BlockedParameters:
         weights, sums, used = None, np.zeros(3), []
         if triplets is not None:
             found, slope = triplets(self.row_codes(slices, codes))
-            found = materialize(found, "triplets")
             weights = self._triplet_rows(found, slices, n_rows, slope)
             totals = found.agg(*[F.sum(n).alias(n) for n in ("loss", "active", "valid")]).first()
             sums, used = np.array([totals[n] for n in ("loss", "active", "valid")], dtype=float), [found, weights]

@@ -27,6 +27,7 @@ from kinfold.operators.articles import require
 from kinfold.operators.batches import assign_batches, rows_per_batch
 from kinfold.operators.blocks import Rows
 from kinfold.operators.noise import corrupt
+from kinfold.operators.ordering import numbered
 from kinfold.operators.vectorize import matrix_extremes
 from kinfold.session import discard, materialize, ship
 
@@ -68,6 +69,37 @@ def _add_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([block, pa.ListArray.from_arrays(ends, pa.array(total))], ["block", "data"])
 
 
+def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum the numbers and gradients of each id; rows come sorted by id, and one id may go on in the next batch."""
+
+    def out(ids: np.ndarray, values: np.ndarray, n: int) -> pa.RecordBatch:
+        columns = [pa.array(ids)]
+        for part in (values[:, :n], values[:, n:]):
+            ends = pa.array(np.arange(len(ids) + 1) * part.shape[1], pa.int32())
+            columns.append(pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(part).ravel())))
+        return pa.RecordBatch.from_arrays(columns, ["id", "sums", "grad"])
+
+    held, n = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("id").to_numpy()
+        parts = [batch.column(c).flatten().to_numpy().reshape(len(ids), -1) for c in ("sums", "grad")]
+        n, values = parts[0].shape[1], np.concatenate(parts, axis=1)
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        ids, values = ids[starts], np.add.reduceat(values, starts, axis=0)
+        if held is not None:
+            if held[0][0] == ids[0]:
+                values[0] += held[1][0]
+            else:
+                yield out(*held, n)
+        if len(ids) > 1:
+            yield out(ids[:-1], values[:-1], n)
+        held = ids[-1:], values[-1:]
+    if held is not None:
+        yield out(*held, n)
+
+
 def _summed(partials: DataFrame, params: M.Params) -> tuple[M.Gradient, np.ndarray]:
     """Gradient and stats of all tasks; its size is that of the parameters."""
     some = partials.withColumn("some", F.floor(F.spark_partition_id() / _FAN_IN))
@@ -119,7 +151,7 @@ class DenoisingEncoder:
         c = self.config
         if c.triplet_strategy != "none" and label is None:
             raise ValueError("a triplet strategy needs labels")
-        rows = materialize(self._named(features, id_col, label), "train")
+        rows = numbered(self._named(features, id_col, label), "number", "train")
         valid = None if valid is None else materialize(self._named(valid, id_col, label), "valid")
         self._check_rows(rows, n_features, ("",))
         return self._train(rows, valid, n_features, ("",), self._online_step, self._online_cost, resume_from)
@@ -140,7 +172,7 @@ class DenoisingEncoder:
                 *[F.col(f"{v}_{r}").alias(f"{v}_{r}") for r in _ROLES for v in ("idx", "val")],
             )
 
-        rows = materialize(named(triplets), "train")
+        rows = numbered(named(triplets), "number", "train")
         require(
             rows,
             {
@@ -203,10 +235,12 @@ class DenoisingEncoder:
         done_before = 0 if past is None else past.agg(F.coalesce(F.max("epoch"), F.lit(0))).first()[0]
         last = done_before + c.num_epochs
         for epoch in range(done_before + 1, last + 1):
-            prepared = self._epoch_rows(rows, n_features, suffixes, epoch, n_rows, extremes)
+            prepared = self._epoch_rows(rows, epoch, n_rows)
             done: list[_Step] = []
             for b in range(n_batches):
                 batch = _batch_of(prepared, b)
+                for s in suffixes:  # draws are hashes of the ids, so they need not be stored
+                    batch = _with_corrupted(batch, s, c, n_features, epoch, extremes[s])
                 if held is not None:
                     done.append(self._blocked_step(held, batch, size, suffixes))
                     continue
@@ -250,13 +284,10 @@ class DenoisingEncoder:
         found = matrix_extremes(packed, n_features).first()
         return found["min_value"], found["max_value"]
 
-    def _epoch_rows(self, rows, n_features, suffixes, epoch, n_rows, extremes) -> DataFrame:
-        """All rows with their corrupted input and batch of this epoch."""
+    def _epoch_rows(self, rows: DataFrame, epoch: int, n_rows: int) -> DataFrame:
+        """The clean rows in folders by their batch of this epoch, which a permutation of their numbers names."""
         c = self.config
-        out = rows
-        for s in suffixes:
-            out = _with_corrupted(out, s, c, n_features, epoch, extremes[s])
-        placed = assign_batches(out, "id", c.batch_size, c.seed, epoch, n_rows=n_rows)
+        placed = assign_batches(rows, "id", c.batch_size, c.seed, epoch, n_rows=n_rows, number="number").drop("number")
         group = F.pmod(F.col("batch_id"), F.lit(_GROUPS)).cast("int")
         grouped = placed.withColumn("batch_group", group).repartition("batch_group", F.pmod(F.xxhash64("id"), F.lit(8)))
         return materialize(grouped, "epoch", ["batch_group"])
@@ -288,30 +319,26 @@ class DenoisingEncoder:
     def _triplet_rows(self, codes: DataFrame, batch_rows: int) -> tuple[DataFrame, float]:
         """``(id, weight, loss, active, valid, grad)`` per row, and the factor of ``grad``.
 
-        A batch-hard batch of one tile is done in one pass. Otherwise tiles are
-        added up per row. Of batch-all every triplet is used by three rows, so
-        the total weight is three times their number and the factor is known
-        beforehand; batch-hard totals are added up first, from stored rows.
+        Of batch-all every triplet is used by three rows, so the total weight is
+        three times their number and the factor is known beforehand; batch-hard
+        totals are added up first, from stored rows.
         """
         c = self.config
-        if c.triplet_strategy == "batch_hard" and batch_rows <= c.tile_rows:
-            return T.whole_batch_rows(codes, c.triplet_strategy, c.hard_mode, c.alpha), 1.0
+        codes = materialize(codes, "codes")
         if c.triplet_strategy == "batch_all":
-            tile = min(c.tile_rows, max(-(-batch_rows // _SPLIT), _MIN_TILE))
-            parts = T.batch_all_rows(codes, tile_rows=tile, batch_rows=batch_rows)
+            tile = min(c.tile_rows, T.TILE_ROWS, max(-(-batch_rows // _SPLIT), _MIN_TILE))
+            parts = T.batch_all_rows(codes, tile_rows=tile)
             parts = parts.withColumnRenamed("w_valid", "weight").withColumnRenamed("loss_valid", "loss")
         else:
-            parts = T.batch_hard_rows(materialize(codes, "codes"), c.hard_mode, c.tile_rows, batch_rows)
-        total = F.aggregate(
-            F.collect_list("grad"),
-            F.array().cast("array<double>"),
-            lambda acc, g: F.when(F.size(acc) == 0, g).otherwise(F.zip_with(acc, g, lambda x, y: x + y)),
-        )
-        sums = [F.sum(n).alias(n) for n in ("weight", "loss", "active", "valid")]
-        rows = parts.groupBy("id").agg(*sums, total.alias("grad"))
+            parts = T.batch_hard_rows(codes, c.hard_mode, c.tile_rows, batch_rows)
+        numbers = ["weight", "loss", "active", "valid"]
+        parts = parts.select("id", F.array(*numbers).alias("sums"), "grad")
+        dealt = parts.repartition("id").sortWithinPartitions("id")
+        rows = dealt.mapInArrow(_add_rows, "id bigint, sums array<double>, grad array<double>")
+        rows = materialize(rows.select("id", *[F.col("sums")[i].alias(n) for i, n in enumerate(numbers)], "grad"), "triplets")
+        discard(codes)
         if c.triplet_strategy == "batch_all":
             return rows, 3.0 * c.alpha
-        rows = materialize(rows, "triplets")
         totals = rows.agg(F.sum("weight").alias("weight"), F.sum("active").alias("used")).first()
         return rows, c.alpha * (totals["weight"] + EPS) / (totals["used"] + EPS)
 
@@ -463,7 +490,7 @@ class DenoisingEncoder:
     def _explicit_step(self, spark: SparkSession, batch: DataFrame, params: M.Params, batch_rows: int):
         shared = spark.sparkContext.broadcast(params)
         try:
-            rows = batch.drop("id", "batch_id", "batch_group")
+            rows = batch.drop("id", "batch_id", "batch_group", "number")
             partials = rows.mapInArrow(self._explicit_kernel(shared, True, True), _GRAD_SCHEMA)
             grad, sums = _summed(partials, params)
             _scale(grad, 1.0 / sums[4])

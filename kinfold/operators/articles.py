@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import text as T
 from kinfold.functions.hashing import hash_key
+from kinfold.functions.permutation import permuted
 from kinfold.operators.ordering import (
     lookup_join,
+    numbered,
     rank_distinct,
     sorted_position,
 )
@@ -141,6 +143,13 @@ def positional_split(
     return _cut_by_position(df, order, tie, spans, out)
 
 
+def shuffle_positions(df: DataFrame, seed, out: str = "pos") -> DataFrame:
+    """Each row with its place in a seeded shuffle of the rows as they are read; no row is moved."""
+    rows = numbered(df, "_number", "shuffle")
+    place = permuted(F.col("_number"), max(rows.count(), 1), seed)
+    return rows.withColumn(out, place).drop("_number")
+
+
 def shuffled(df: DataFrame, id_col: str, seed) -> DataFrame:
     """The whole table in seeded random order."""
     return df.orderBy(hash_key(seed, F.col(id_col)), F.col(id_col))

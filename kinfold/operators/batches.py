@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.ordering import hash_position, sorted_position
+from kinfold.functions.permutation import permuted, whole_quotient
+from kinfold.operators.ordering import numbered, sorted_position
 
 
 def rows_per_batch(batch_size: int | float, n_rows: int) -> int:
@@ -26,16 +27,24 @@ def assign_batches(
     shuffle: bool = True,
     out: str = "batch_id",
     n_rows: int | None = None,
+    number: str | None = None,
 ) -> DataFrame:
     """Each row once in a batch; the last batch may be short.
 
     A row may carry any aligned columns (input, corrupted input, label, or the
-    anchor with its positive and negative), so they stay together.
+    anchor with its positive and negative), so they stay together. Shuffled
+    batches follow from the rows' dense numbers by a keyed permutation, so wide
+    rows are not moved; ``number`` names these numbers, and ``n_rows`` is then
+    their count. Without them the rows are numbered as they are read.
+    Batches in order follow the ids.
     """
-    size = rows_per_batch(batch_size, df.count() if n_rows is None else n_rows)
-    if shuffle:
-        placed = hash_position(df, id_col, f"{seed}:{epoch}", "_pos")
-    else:
+    if not shuffle:
+        size = rows_per_batch(batch_size, df.count() if n_rows is None else n_rows)
         ranks = sorted_position(df.select(id_col), [F.col(id_col)], "_pos", "batches")
         placed = df.join(ranks, id_col)
-    return placed.withColumn(out, F.floor(F.col("_pos") / size).cast("bigint")).drop("_pos")
+        return placed.withColumn(out, F.floor(F.col("_pos") / size).cast("bigint")).drop("_pos")
+    rows = df if number else numbered(df, "_number", "batches")
+    n = rows.count() if n_rows is None else n_rows
+    size = rows_per_batch(batch_size, n)
+    place = permuted(F.col(number or "_number"), max(n, 1), f"{seed}:{epoch}")
+    return rows.withColumn(out, whole_quotient(place, F.lit(size))).drop("_number")

@@ -3,6 +3,10 @@
 Rows are hashed into blocks; every unordered pair of blocks is one group that
 a task reads as Arrow batches. A task keeps running totals over its groups, so
 scores are reduced where they are computed and pairs are never shuffled.
+
+Blocks are as large as a task may hold, by bytes, and no fewer than the tasks
+need: a row is copied to each block, so k blocks move k rows a row, and k is
+about the root of twice the number of tasks until memory asks for more.
 """
 
 from __future__ import annotations
@@ -17,20 +21,39 @@ from pyspark.sql import functions as F
 
 from kinfold.session import ship
 
-BLOCK_ROWS = 8192  # rows of one side of a tile
+BLOCK_BYTES = 48 << 20  # values of one side of a tile
 STRIP_ROWS = 1024  # rows scored at once inside a tile
+_SCORES = 1 << 23  # scores held at once
 COLUMN_CHUNK = 4096  # sparse columns made dense at once
 _MIN_ROWS = 64
 
 
-def block_count(n_rows: int, cores: int, block_rows: int = BLOCK_ROWS) -> int:
-    """Blocks small enough for a task and many enough to occupy the cores."""
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Number of rows, and bytes of their arrays, in one pass."""
+    arrays = [f.name for f in df.schema.fields if f.dataType.typeName() == "array"]
+    held = F.lit(0)
+    for name in arrays:
+        held = held + F.greatest(F.size(name), F.lit(0))
+    n, values = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(held), F.lit(0))).first()
+    return n, 8 * values
+
+
+def rows_per_block(n_rows: int, n_bytes: int) -> int:
+    return max(_MIN_ROWS, BLOCK_BYTES * n_rows // max(n_bytes, 1))
+
+
+def tasks_of(spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def block_count(n_rows: int, tasks: int, block_rows: int) -> int:
+    """Blocks small enough for a task and many enough to occupy the tasks."""
     for_memory = math.ceil(n_rows / block_rows)
-    for_cores = min(math.ceil(math.sqrt(8 * cores)), math.ceil(n_rows / _MIN_ROWS))
-    return max(for_memory, for_cores, 1)
+    for_tasks = min(math.ceil(math.sqrt(2 * tasks)), math.ceil(n_rows / _MIN_ROWS))
+    return max(for_memory, for_tasks, 1)
 
 
-def block_pairs(df: DataFrame, id_col: str, n_rows: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_pairs(df: DataFrame, id_col: str, block_rows: int | None = None) -> DataFrame:
     """The rows copied to each block pair they belong to, grouped per partition.
 
     Adds ``_pair`` (tile number) and ``_side`` (0 left, 1 right, 2 both: a block
@@ -39,9 +62,10 @@ def block_pairs(df: DataFrame, id_col: str, n_rows: int, block_rows: int = BLOCK
     """
     spark = df.sparkSession
     ship(spark)
-    k = block_count(n_rows, spark.sparkContext.defaultParallelism, block_rows)
+    n_rows, n_bytes = measured(df)
+    k = block_count(n_rows, tasks_of(spark), block_rows or rows_per_block(n_rows, n_bytes))
     tiles = k * (k + 1) // 2
-    parts = min(tiles, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    parts = min(tiles, tasks_of(spark))
     block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(k))
     copies = df.withColumn("_block", block).withColumn(
         "_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
@@ -59,6 +83,33 @@ def block_pairs(df: DataFrame, id_col: str, n_rows: int, block_rows: int = BLOCK
     )
 
 
+def row_grid(left: DataFrame, right: DataFrame, id_col: str) -> DataFrame:
+    """Tiles of some ``left`` rows with all ``right`` rows, as ``block_pairs`` gives them.
+
+    Left rows are few: they are copied to every part of the right rows, which
+    are copied once for each block of left rows, that is, once if these fit.
+    """
+    spark = right.sparkSession
+    ship(spark)
+    (n_left, b_left), (n_right, b_right) = measured(left), measured(right)
+    lefts = max(1, math.ceil(n_left / rows_per_block(n_left, b_left)))
+    for_memory = math.ceil(n_right / rows_per_block(n_right, b_right))
+    rights = max(1, for_memory, min(math.ceil(tasks_of(spark) / lefts), math.ceil(n_right / _MIN_ROWS)))
+
+    def dealt(df: DataFrame, own: int, other: int, side: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other - 1).cast("bigint")))
+        block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(own))
+        copies = df.withColumn("_own", block).withColumn("_other", every).withColumn("_side", F.lit(side))
+        l, r = ("_own", "_other") if side == 0 else ("_other", "_own")
+        return copies.withColumn("_pair", F.col(l) * rights + F.col(r)).drop("_own", "_other")
+
+    parts = min(lefts * rights, tasks_of(spark))
+    both = dealt(left, lefts, rights, 0).unionByName(dealt(right, rights, lefts, 1))
+    return both.repartitionById(parts, F.pmod(F.col("_pair"), F.lit(parts)).cast("int")).sortWithinPartitions(
+        "_pair", "_side", id_col
+    )
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
     """Consecutive rows with one key, joined across batch borders."""
     held: list[pa.RecordBatch] = []
@@ -126,6 +177,7 @@ def dot_strips(left: Rows, right: Rows, strip: int = STRIP_ROWS) -> Iterator[tup
     """Dot products of all left rows with all right rows, a strip at a time."""
     if left.n == 0 or right.n == 0:
         return
+    strip = max(1, min(strip, _SCORES // right.n))
     if not left.sparse:
         for s in range(0, left.n, strip):
             yield s, left.dense[s : s + strip] @ right.dense.T

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.hashing import hash_key
-from kinfold.session import materialize
+from kinfold.session import held_by, materialize
 
 BROADCAST_ROWS = 1_000_000
 SALTS = 32
@@ -62,6 +62,25 @@ def sorted_position(df: DataFrame, order: list, pos: str = "pos", tag: str = "so
     )
 
 
+def numbered(df: DataFrame, number: str, tag: str = "numbered") -> DataFrame:
+    """Rows with dense numbers from 0, in the order in which Spark reads them, stored.
+
+    The table is written once, each task numbering its own rows; the tasks'
+    offsets are a small table. Wide rows are neither sorted nor shuffled. The
+    numbers stay, as they are written; other files may give other numbers.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    frozen = materialize(df.withColumn("_part", F.spark_partition_id()).withColumn("_row", row), tag)
+    sizes = frozen.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per task that wrote, so one window and a broadcast are enough.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = frozen.join(F.broadcast(offsets), "_part")
+    return held_by(
+        frozen, placed.withColumn(number, (F.col("_offset") + F.col("_row")).cast("bigint")).drop("_part", "_row", "_offset")
+    )
+
+
 def rank_distinct(df: DataFrame, order: list, pos: str, tag: str = "rank") -> DataFrame:
     """Positions over a reduced table: one window while small, else a range sort."""
     if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -95,20 +114,19 @@ def lookup_join(
     return big.withColumn("_salt", salt).join(salted, [key, "_salt"], how).drop("_salt")
 
 
-def running_sums(df: DataFrame, bucket: Column, order: list, sums: dict[str, str]) -> DataFrame:
-    """Inclusive running sums over the order, in two levels.
+def running_totals(df: DataFrame, order: list, sums: dict[str, str], tag: str = "running") -> DataFrame:
+    """Inclusive running sums over a total order, in two levels.
 
-    ``bucket`` must be non-decreasing along ``order`` and hold few rows each;
-    totals run over buckets first, then inside each bucket.
+    Rows are dealt by ranges of the order and written once; the totals of the
+    ranges are added up first, one row per task, then the rows of each range.
+    Pass narrow rows.
     """
-    b = df.withColumn("_b", bucket)
-    totals = b.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(
-        "_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_base_{c}") for c in sums]
-    )
-    inside = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = b.join(base, "_b")
+    frozen = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), tag)
+    totals = frozen.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = frozen.join(F.broadcast(offsets), "_part")
     for c, out in sums.items():
-        joined = joined.withColumn(out, F.col(f"_base_{c}") + F.sum(c).over(inside))
-    return joined.drop("_b", *[f"_base_{c}" for c in sums])
+        joined = joined.withColumn(out, F.col(f"_o_{c}") + F.sum(c).over(inside))
+    return joined.drop("_part", *[f"_o_{c}" for c in sums])

@@ -1,4 +1,9 @@
-"""All-pairs similarity: reduced to histograms and best matches in the tasks."""
+"""All-pairs similarity: reduced to histograms and best matches in the tasks.
+
+A pass over the pairs can score several kinds of vectors of the same rows at
+once: ``kinds`` maps a name to the columns (indices, values), with None for the
+indices of dense vectors.
+"""
 
 from __future__ import annotations
 
@@ -11,18 +16,19 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.vectors import scale_by_norm
 from kinfold.operators.blocks import (
-    BLOCK_ROWS,
     Rows,
     block_pairs,
     column,
     dot_strips,
     lists,
+    row_grid,
     runs,
     sides,
 )
-from kinfold.operators.ordering import rank_distinct
 from kinfold.session import materialize
 
+Kinds = dict[str, tuple[str | None, str]]
+
 METRICS = ("cosine", "linear kernel")
 TIE_DIGITS = 9  # scores equal to this many digits are ties
 
@@ -44,6 +50,31 @@ def prepared(
     return df.select(F.col(id_col).cast("bigint").alias(id_col), *index, scaled.alias(values), *(keep or []))
 
 
+def _kinds_of(df: DataFrame, kinds: Kinds | None) -> Kinds:
+    return kinds or {"": ("idx", "val") if "val" in df.columns else (None, "vec")}
+
+
+def _prepared_kinds(df: DataFrame, id_col: str, kinds: Kinds, metric: str, norm: str, keep: list[str]) -> DataFrame:
+    """Rows with the columns ``idx_<n>``, ``val_<n>`` or ``vec_<n>`` of the n-th kind, scaled for the metric."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}; got {metric!r}")
+    out = [F.col(id_col).cast("bigint").alias(id_col), *keep]
+    for n, (index, values) in enumerate(kinds.values()):
+        scaled = scale_by_norm(F.col(values), norm)
+        if metric == "cosine" and norm != "l2":
+            scaled = scale_by_norm(scaled, "l2")
+        if index is not None:
+            out.append(F.col(index).alias(f"idx_{n}"))
+        out.append(scaled.alias(f"{'vec' if index is None else 'val'}_{n}"))
+    return df.select(*out)
+
+
+def _rows_of(table: pa.Table, n: int) -> Rows:
+    """The vectors of the n-th kind of a tile's side."""
+    names = [c for c in table.column_names if c in (f"idx_{n}", f"val_{n}", f"vec_{n}")]
+    return Rows(table.select(names).rename_columns([c.split("_")[0] for c in names]))
+
+
 def pairwise_similarity(
     df: DataFrame,
     id_col: str,
@@ -52,7 +83,7 @@ def pairwise_similarity(
     min_score: float | None = None,
     set_diagonal_zero: bool = True,
     with_diagonal: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``(id_a, id_b, score)`` with ``id_a < id_b``, produced lazily.
 
@@ -85,67 +116,98 @@ def pairwise_similarity(
                     }
                 )
 
-    paired = block_pairs(rows, id_col, df.count(), block_rows)
+    paired = block_pairs(rows, id_col, block_rows)
     return paired.mapInArrow(tile_scores, "id_a bigint, id_b bigint, score double")
 
 
+def tile_best(
+    lid: np.ndarray, rid: np.ndarray, left: Rows, right: Rows, same: bool, self_score: float | None, one_sided: bool = False
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(ids, others, scores)``: the best match in this tile of each left row, and of each right row."""
+    best_r = np.full(len(rid), -np.inf)
+    arg_r = np.zeros(len(rid), dtype=np.int64)
+    for start, score in dot_strips(left, right):
+        score = np.round(score, TIE_DIGITS) + 0.0
+        a = lid[start : start + len(score)]
+        if same:
+            at = np.arange(len(a))
+            score[at, start + at] = -np.inf if self_score is None else self_score
+        elif one_sided:  # the row itself may be on the other side
+            at = np.minimum(np.searchsorted(rid, a), len(rid) - 1)
+            own = rid[at] == a
+            score[own, at[own]] = -np.inf if self_score is None else self_score
+        j = score.argmax(1)  # ids ascend, so the first maximum has the lowest id
+        yield a, rid[j], score[np.arange(len(a)), j]
+        if not same and not one_sided:
+            i = score.argmax(0)
+            top = score[i, np.arange(len(rid))]
+            better = top > best_r
+            best_r[better], arg_r[better] = top[better], a[i][better]
+    if not same and not one_sided:
+        yield rid, arg_r, best_r
+
+
+def _best_kernel(id_col: str, kinds: int, self_score: float | None, one_sided: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in runs(batches, "_pair"):
+            lt, rt, same = sides(table)
+            lid, rid = column(lt, id_col), column(rt, id_col)
+            if len(lid) == 0 or len(rid) == 0:
+                continue
+            for n in range(kinds):
+                for ids, other, score in tile_best(lid, rid, _rows_of(lt, n), _rows_of(rt, n), same, self_score, one_sided):
+                    keep = np.isfinite(score)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "n": pa.array(np.full(keep.sum(), n), pa.int32()),
+                            "id": pa.array(ids[keep], pa.int64()),
+                            "other": pa.array(other[keep], pa.int64()),
+                            "score": pa.array(score[keep], pa.float64()),
+                        }
+                    )
+
+    return run
+
+
+_BEST = "n int, id bigint, other bigint, score double"
+
+
+def best_of(found: DataFrame, id_col: str, kinds: Kinds | None) -> DataFrame:
+    """The best of the tiles' matches ``(n, id, other, score)``, ties to the lowest id."""
+    top = found.groupBy("n", "id").agg(F.max(F.struct("score", (-F.col("other")).alias("neg"))).alias("_m"))
+    named = [F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("n") + 1).alias("kind")] if kinds else []
+    return top.select(
+        *named, F.col("id").alias(id_col), (-F.col("_m.neg")).alias("best_id"), F.col("_m.score").alias("score")
+    )
+
+
 def most_similar(
     df: DataFrame,
     id_col: str,
     metric: str = "cosine",
     norm: str = "",
     self_score: float | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
+    kinds: Kinds | None = None,
+    of: DataFrame | None = None,
 ) -> DataFrame:
-    """``(id, best_id, score)``: per row the highest score, lowest id on ties.
+    """``([kind,] id, best_id, score)``: per row the highest score, lowest id on ties.
 
     A row is never its own match, unless ``self_score`` (0 for a zeroed
-    diagonal) makes it a candidate with that score.
+    diagonal) makes it a candidate with that score. ``of`` names, by its id
+    column, the rows whose match is wanted: then only these are compared with
+    all rows.
     """
-    rows = prepared(df, id_col, metric, norm)
-
-    def tile_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in runs(batches, "_pair"):
-            lt, rt, same = sides(table)
-            lid, rid = column(lt, id_col), column(rt, id_col)
-            if len(lid) == 0 or len(rid) == 0:
-                continue
-            best_r = np.full(len(rid), -np.inf)
-            arg_r = np.zeros(len(rid), dtype=np.int64)
-            for start, score in dot_strips(Rows(lt), Rows(rt)):
-                score = np.round(score, TIE_DIGITS) + 0.0
-                a = lid[start : start + len(score)]
-                if same:
-                    at = np.arange(len(a))
-                    score[at, start + at] = -np.inf if self_score is None else self_score
-                j = score.argmax(1)  # ids ascend, so the first maximum has the lowest id
-                yield _best_batch(a, rid[j], score[np.arange(len(a)), j])
-                if not same:
-                    i = score.argmax(0)
-                    top = score[i, np.arange(len(rid))]
-                    better = top > best_r
-                    best_r[better], arg_r[better] = top[better], a[i][better]
-            if not same:
-                yield _best_batch(rid, arg_r, best_r)
-
-    best = block_pairs(rows, id_col, df.count(), block_rows).mapInArrow(
-        tile_best, "id bigint, other bigint, score double"
-    )
-    top = best.groupBy("id").agg(F.max(F.struct("score", (-F.col("other")).alias("neg"))).alias("_m"))
-    return top.select(
-        F.col("id").alias(id_col), (-F.col("_m.neg")).alias("best_id"), F.col("_m.score").alias("score")
-    )
-
-
-def _best_batch(ids, other, score) -> pa.RecordBatch:
-    keep = np.isfinite(score)
-    return pa.RecordBatch.from_pydict(
-        {
-            "id": pa.array(ids[keep], pa.int64()),
-            "other": pa.array(other[keep], pa.int64()),
-            "score": pa.array(score[keep], pa.float64()),
-        }
-    )
+    every = _kinds_of(df, kinds)
+    rows = _prepared_kinds(df, id_col, every, metric, norm, [])
+    if of is None:
+        tiles = block_pairs(rows, id_col, block_rows)
+    else:
+        rows = materialize(rows, "compared")
+        some = rows.join(of.select(F.col(id_col).cast("bigint").alias(id_col)).distinct(), id_col, "left_semi")
+        tiles = row_grid(some, rows, id_col)
+    found = tiles.mapInArrow(_best_kernel(id_col, len(every), self_score, of is not None), _BEST)
+    return best_of(found, id_col, kinds)
 
 
 def score_histogram(
@@ -156,9 +218,10 @@ def score_histogram(
     norm: str = "",
     digits: int = 6,
     diagonal: str = "none",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
+    kinds: Kinds | None = None,
 ) -> DataFrame:
-    """``(label_kind, related, score, n)``: pairs per rounded score.
+    """``([kind,] label_kind, related, score, n)``: pairs per rounded score.
 
     Without labels all pairs count (``label_kind`` 'all', ``related`` null).
     With labels, a pair counts for a label when both values are >= 0, and is
@@ -168,58 +231,66 @@ def score_histogram(
     if diagonal not in ("none", "zero", "real"):
         raise ValueError("diagonal must be none, zero or real")
     names = labels or []
-    rows = prepared(df, id_col, metric, norm, keep=names)
+    every = _kinds_of(df, kinds)
+    rows = _prepared_kinds(df, id_col, every, metric, norm, names)
     if names:
         rows = rows.withColumn("_labels", F.array(*[F.col(c).cast("bigint") for c in names])).drop(*names)
     unit = 10.0**digits
     bounded = metric == "cosine" and digits <= 6
     span = int(unit) + 1
+    slots = max(len(names), 1)
 
     def tile_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [_Totals(bounded, span) for _ in range(max(len(names), 1))]
+        totals = [_Totals(bounded, span) for _ in range(slots * len(every))]
         for _, table in runs(batches, "_pair"):
             lt, rt, same = sides(table)
             if names:
                 ll = lists(lt, "_labels", np.int64)[1].reshape(lt.num_rows, -1)
                 rl = lists(rt, "_labels", np.int64)[1].reshape(rt.num_rows, -1)
-            for start, score in dot_strips(Rows(lt), Rows(rt)):
-                bins = np.rint(score * unit).astype(np.int64)
-                if same:
-                    row = np.arange(len(bins))[:, None] + start
-                    col = np.arange(bins.shape[1])[None, :]
-                    wanted = col > row
-                    if diagonal != "none":
-                        wanted |= col == row
-                    if diagonal == "zero":
-                        bins[col == row] = 0
-                else:
-                    wanted = None
-                if not names:
-                    totals[0].add(bins.ravel() if wanted is None else bins[wanted])
-                for k in range(len(names)):
-                    a, b = ll[start : start + len(bins), k][:, None], rl[:, k][None, :]
-                    equal = a == b
-                    if wanted is None and a.min() >= 0 and b.min() >= 0:
-                        totals[k].add(bins.ravel(), equal.ravel())
-                        continue
-                    known = (a >= 0) & (b >= 0)
-                    if wanted is not None:
-                        known &= wanted
-                    totals[k].add(bins[known], equal[known])
+            for n in range(len(every)):
+                for start, score in dot_strips(_rows_of(lt, n), _rows_of(rt, n)):
+                    bins = np.rint(score * unit).astype(np.int64)
+                    if same:
+                        row = np.arange(len(bins))[:, None] + start
+                        col = np.arange(bins.shape[1])[None, :]
+                        wanted = col > row
+                        if diagonal != "none":
+                            wanted |= col == row
+                        if diagonal == "zero":
+                            bins[col == row] = 0
+                    else:
+                        wanted = None
+                    if not names:
+                        totals[n].add(bins.ravel() if wanted is None else bins[wanted])
+                    for k in range(len(names)):
+                        total = totals[n * slots + k]
+                        a, b = ll[start : start + len(bins), k][:, None], rl[:, k][None, :]
+                        equal = a == b
+                        if wanted is None and a.min() >= 0 and b.min() >= 0:
+                            total.add(bins.ravel(), equal.ravel())
+                            continue
+                        known = (a >= 0) & (b >= 0)
+                        if wanted is not None:
+                            known &= wanted
+                        total.add(bins[known], equal[known])
         for slot, total in enumerate(totals):
             yield from total.batches(2 * slot)
 
-    counted = block_pairs(rows, id_col, df.count(), block_rows).mapInArrow(
-        tile_counts, "slot int, bin bigint, n bigint"
-    )
+    counted = block_pairs(rows, id_col, block_rows).mapInArrow(tile_counts, "slot int, bin bigint, n bigint")
     summed = counted.groupBy("slot", "bin").agg(F.sum("n").alias("n"))
+    total = F.floor(F.col("slot") / 2).cast("int")
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
+    named = [pick(list(kinds), F.floor(total / slots).cast("int")).alias("kind")] if kinds else []
     if not names:
-        kind, related = F.lit("all"), F.lit(None).cast("boolean")
+        label_kind, related = F.lit("all"), F.lit(None).cast("boolean")
     else:
-        kind = F.element_at(F.array(*[F.lit(c) for c in names]), (F.floor(F.col("slot") / 2) + 1).cast("int"))
-        related = F.col("slot") % 2 == 1
+        label_kind, related = pick(names, F.pmod(total, F.lit(slots))), F.col("slot") % 2 == 1
     return summed.select(
-        kind.alias("label_kind"), related.alias("related"), (F.col("bin") / F.lit(unit)).alias("score"), "n"
+        *named,
+        label_kind.alias("label_kind"),
+        related.alias("related"),
+        (F.col("bin") / F.lit(unit)).alias("score"),
+        "n",
     )
 
 
@@ -283,95 +354,6 @@ class _Totals:
             )
 
 
-# Multipliers and shifts of the 64-bit finalizer used to draw pairs.
-_PAIR_A, _PAIR_B, _PAIR_SEED = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
-_MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
-
-
-def pair_draw(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
-    """Uniform 64-bit integer per pair of ids."""
-    with np.errstate(over="ignore"):
-        z = a.astype(np.uint64) * np.uint64(_PAIR_A) + b.astype(np.uint64) * np.uint64(_PAIR_B)
-        z = z + np.uint64(seed * _PAIR_SEED % 2**64)
-        for shift, factor in _MIX:
-            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-    return z
-
-
-def capped_sample(
-    df: DataFrame,
-    id_col: str,
-    label: str,
-    cap: int = 10_000_000,
-    metric: str = "cosine",
-    norm: str = "",
-    seed: int = 42,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """``(id_a, id_b, related, score)``: at most ``cap`` random pairs per side.
-
-    The number of pairs per side is known from class sizes, so the tasks only
-    emit pairs whose draw is below the matching share of the range; the exact
-    ``cap`` lowest draws are then ranked. A side within the cap is kept whole.
-    """
-    known = df.filter(F.col(label) >= 0)
-    totals = related_counts(known, label).first()
-    sizes = {True: totals["related_pairs"], False: totals["unrelated_pairs"]}
-    rows = materialize(
-        prepared(known, id_col, metric, norm, keep=[label]).withColumn("_label", F.col(label).cast("bigint")).drop(label),
-        "sample",
-    )
-    n_rows = rows.count()
-
-    def below(limits: dict[bool, int]):
-        def tile_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, table in runs(batches, "_pair"):
-                lt, rt, same = sides(table)
-                lid, rid = column(lt, id_col), column(rt, id_col)
-                ll, rl = column(lt, "_label"), column(rt, "_label")
-                for start, score in dot_strips(Rows(lt), Rows(rt)):
-                    a = lid[start : start + len(score)][:, None]
-                    low, high = np.minimum(a, rid[None, :]), np.maximum(a, rid[None, :])
-                    related = ll[start : start + len(score)][:, None] == rl[None, :]
-                    draw = pair_draw(low, high, seed)
-                    keep = draw <= np.where(related, np.uint64(limits[True]), np.uint64(limits[False]))
-                    if same:
-                        keep &= a < rid[None, :]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "id_a": pa.array(low[keep], pa.int64()),
-                            "id_b": pa.array(high[keep], pa.int64()),
-                            "related": pa.array(related[keep], pa.bool_()),
-                            "score": pa.array(score[keep], pa.float64()),
-                            # Signed order equals unsigned order after the offset.
-                            "draw": pa.array((draw[keep] ^ np.uint64(1 << 63)).view(np.int64), pa.int64()),
-                        }
-                    )
-
-        schema = "id_a bigint, id_b bigint, related boolean, score double, draw bigint"
-        return materialize(block_pairs(rows, id_col, n_rows, block_rows).mapInArrow(tile_sample, schema), "sample")
-
-    spare = {side: 6 * int(cap**0.5) + 10 for side in sizes}
-    while True:
-        limits = {
-            side: 2**64 - 1 if n <= cap + spare[side] else (cap + spare[side]) * 2**64 // n
-            for side, n in sizes.items()
-        }
-        drawn = below(limits)
-        got = {r["related"]: r["count"] for r in drawn.groupBy("related").count().collect()}
-        short = [side for side, n in sizes.items() if got.get(side, 0) < min(cap, n)]
-        if not short:
-            break
-        for side in short:
-            spare[side] *= 4
-    kept = []
-    for side in sizes:
-        part = drawn.filter(F.col("related") == side)
-        ranked = rank_distinct(part, [F.col("draw"), F.col("id_a"), F.col("id_b")], "_pos", "sample")
-        kept.append(ranked.filter(F.col("_pos") < cap).select("id_a", "id_b", "related", "score"))
-    return kept[0].unionByName(kept[1])
-
-
 def related_counts(df: DataFrame, label: str) -> DataFrame:
     """Number of related and unrelated pairs, from class sizes alone."""
     sizes = df.filter(F.col(label) >= 0).groupBy(label).agg(F.count(F.lit(1)).alias("c"))
@@ -382,24 +364,18 @@ def related_counts(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def similar_articles(
-    counts: DataFrame, encoded: DataFrame, articles: DataFrame, id_col: str, show: list[str]
-) -> DataFrame:
-    """Per article its best match by counts and by embedding, with metadata."""
-    by_count = most_similar(counts, id_col).select(id_col, F.col("best_id").alias("count_id"))
-    by_code = most_similar(encoded, id_col).select(
-        id_col, F.col("best_id").alias("embedding_id"), F.col("score")
-    )
-    meta = articles.select(id_col, *show)
-
-    def named(prefix: str) -> DataFrame:
-        return meta.select(
-            F.col(id_col).alias(f"{prefix}_id"), *[F.col(c).alias(f"{prefix}_{c}") for c in show]
-        )
-
-    return (
-        meta.join(by_count, id_col, "left")
-        .join(by_code, id_col, "left")
-        .join(named("count"), "count_id", "left")
-        .join(named("embedding"), "embedding_id", "left")
-    )
+def similar_articles(df: DataFrame, id_col: str, show: list[str], kinds: Kinds, of: DataFrame | None = None) -> DataFrame:
+    """Per article its best match by each kind of vectors, with metadata, from one pass over the pairs.
+
+    Each kind adds ``<kind>_id``, ``<kind>_<shown column>`` and ``<kind>_score``.
+    ``of`` names, by its id column, the articles that are reported.
+    """
+    best = materialize(most_similar(df, id_col, kinds=kinds, of=of), "best-matches")
+    meta = df.select(id_col, *show)
+    out = meta if of is None else meta.join(of.select(id_col).distinct(), id_col, "left_semi")
+    for kind in kinds:
+        own = best.where(F.col("kind") == kind)
+        out = out.join(own.select(id_col, F.col("best_id").alias(f"{kind}_id"), F.col("score").alias(f"{kind}_score")), id_col, "left")
+        match = meta.select(F.col(id_col).alias(f"{kind}_id"), *[F.col(c).alias(f"{kind}_{c}") for c in show])
+        out = out.join(match, f"{kind}_id", "left")
+    return out

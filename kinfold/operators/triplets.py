@@ -2,11 +2,20 @@
 
 Rows are ``(batch_id, id, label, encode)``. No pair or triplet ever becomes a
 row: masks are stated through class counts, and losses are summed inside tiles
-of bounded size, whatever the size of the batch.
+of anchors.
+
+Batch-all tiles hold anchors of one class. A tile reads its anchors, then the
+other rows of the class, which are the positives, then all other rows of the
+batch, a few at a time: the negatives. So a row is copied once per tile of its
+batch, and a task holds one class and a strip of products. The work is cubic by
+definition; a batch for which the class would not fit a task could not be
+computed either.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +26,9 @@ from kinfold.operators.blocks import column, lists
 from kinfold.operators.ordering import lookup_join
 from kinfold.session import ship
 
-TILE_ROWS = 256  # a tile of three times as many rows is the unit of work of a task
+TILE_ROWS = 256  # anchors of a tile, at most
+_PRODUCTS = 1 << 24  # products of a tile's anchors with a class that a task holds, at most
+_NEGATIVES = 4096  # negatives taken at once
 DOT_DIGITS = 9  # dot products equal to this many digits count as equal
 
 
@@ -104,22 +115,33 @@ def _pair_tiles(df: DataFrame, tile_rows: int, batch_rows: int | None = None) ->
     return _tiled(df, tile_rows, batch_rows).withColumn("_tile", F.explode(codes))
 
 
-def _triple_tiles(df: DataFrame, tile_rows: int, batch_rows: int | None = None) -> DataFrame:
-    """Rows copied to every tile triple ``_tile = (a * k + p) * k + n`` they are in."""
-    t, k = F.col("_t"), F.col("_k")
-    every = F.sequence(F.lit(0).cast("bigint"), k - 1)
+def _anchor_tiles(df: DataFrame, tile_rows: int) -> DataFrame:
+    """Rows copied to each tile of anchors of their batch: ``_class``, ``_part`` and the row's ``_role`` there.
 
-    def grid(make):
-        return F.flatten(F.transform(every, lambda x: F.transform(every, lambda y: make(x, y))))
-
-    codes = F.array_distinct(
-        F.concat(
-            grid(lambda x, y: (t * k + x) * k + y),
-            grid(lambda x, y: (x * k + t) * k + y),
-            grid(lambda x, y: (x * k + y) * k + t),
+    Roles: 0 anchor, 1 other row of the class, 2 row of another class. Classes
+    of one row, and batches of one class, have no triplets and no tiles.
+    """
+    classes = batch_classes(df).where("c > 1 AND c < n")
+    # Anchors are few enough for their products with the class to be held.
+    size = F.least(F.lit(tile_rows).cast("bigint"), F.greatest(F.floor(F.lit(_PRODUCTS) / F.col("c")), F.lit(1)))
+    parts = F.ceil(F.col("c") / size).cast("bigint")
+    listed = classes.groupBy("batch_id").agg(F.collect_list(F.struct("label", parts.alias("parts"))).alias("_classes"))
+    each = F.flatten(
+        F.transform(
+            "_classes",
+            lambda c: F.transform(
+                F.sequence(F.lit(0).cast("bigint"), c["parts"] - 1),
+                lambda p: F.struct(c["label"].alias("label"), p.alias("part"), c["parts"].alias("parts")),
+            ),
         )
     )
-    return _tiled(df, tile_rows, batch_rows).withColumn("_tile", F.explode(codes))
+    rows = lookup_join(df, listed, "batch_id", "inner", salt_on="id")
+    tiles = rows.withColumn("_t", F.explode(each)).drop("_classes")
+    own = F.pmod(F.xxhash64("id"), F.col("_t.parts")) == F.col("_t.part")
+    role = F.when(F.col("label") != F.col("_t.label"), 2).when(own, 0).otherwise(1)
+    return tiles.select(
+        "batch_id", F.col("_t.label").alias("_class"), F.col("_t.part").alias("_part"), role.alias("_role"), "id", "encode"
+    )
 
 
 def _by_tile(tiles: DataFrame):
@@ -136,10 +158,6 @@ _SUMS_SCHEMA = (
 _GRAD_SCHEMA = _SUMS_SCHEMA + ", grad array<double>"
 
 
-def _softplus(x: np.ndarray) -> np.ndarray:
-    return np.maximum(x, 0.0) + np.log1p(np.exp(-np.abs(x)))
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     e = np.exp(-np.abs(x))
     return np.where(x >= 0, 1.0 / (1.0 + e), e / (1.0 + e))
@@ -150,83 +168,129 @@ def _rows_of(table: pa.Table):
     return column(table, "id"), column(table, "label"), column(table, "_t"), h
 
 
-def _triple_kernel(active_only: bool, with_grad: bool):
-    """Sums over the triplets (anchor, positive, negative) of one tile triple.
-
-    Losses and weights of the active triplets are kept up only when asked for.
-    """
-
-    def kernel(table: pa.Table) -> pa.Table:
-        ids, label, t, h = _rows_of(table)
-        k, code = int(column(table, "_k")[0]), int(column(table, "_tile")[0])
-        ta, tp, tn = code // (k * k), code // k % k, code % k
-        n = len(ids)
-        w = np.zeros((2, n))
-        count = np.zeros((2, n))
-        loss = np.zeros((2, n))
-        grad = np.zeros_like(h) if with_grad else None
-        negative = t == tn
-        for c in np.unique(label[(t == ta)]):
-            a = np.flatnonzero((t == ta) & (label == c))
-            pos = np.flatnonzero((t == tp) & (label == c))
-            neg = np.flatnonzero(negative & (label != c))
-            if not len(pos) or not len(neg):
+class _AnchorTile:
+    """Sums over the triplets of some anchors of a class, as the rows of the batch come in."""
+
+    def __init__(self, batch: int, active_only: bool, with_grad: bool):
+        self.batch, self.active_only, self.with_grad = batch, active_only, with_grad
+        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        self.ready = False
+
+    def hold(self, role: int, ids: np.ndarray, h: np.ndarray) -> None:
+        self.parts[role].append((ids, h))
+
+    def _begin(self) -> bool:
+        """All rows of the class are there: the anchors first."""
+        if not self.parts[0]:
+            return False
+        parts = self.parts[0] + self.parts[1]
+        self.anchors = sum(len(ids) for ids, _ in self.parts[0])
+        self.ids, self.h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        self.dots = self.h[: self.anchors] @ self.h.T
+        n, m = self.anchors, len(self.ids)
+        self.negatives = 0
+        self.active, self.loss = np.zeros(n), np.zeros((2, n))
+        self.uses = np.zeros(m)  # of the class in active triplets, as positives
+        self.slope, self.grad = np.zeros((n, m)), np.zeros((n, self.h.shape[1]))
+        self.ready = True
+        return True
+
+    def negative(self, ids: np.ndarray, h: np.ndarray) -> pa.RecordBatch | None:
+        if not self.ready and not self._begin():
+            return None
+        n, m = self.anchors, len(self.ids)
+        products = self.h[:n] @ h.T
+        hot_sum, back = np.zeros(len(ids)), np.zeros_like(products)
+        for q in range(m):
+            d = products - self.dots[:, q : q + 1]
+            e = np.exp(-np.abs(d))
+            cost = np.maximum(d, 0.0) + np.log1p(e)
+            hot = d > 1e-16
+            if q < n:  # the anchor itself is no positive
+                hot[q], cost[q] = False, 0.0
+            hot_a = hot.sum(1)
+            self.active += hot_a
+            self.loss[0] += cost.sum(1)
+            if self.active_only:
+                self.loss[1] += (cost * hot).sum(1)
+                self.uses[q] += hot_a.sum()
+                hot_sum += hot.sum(0)
+            if self.with_grad:
+                slope = np.where(d >= 0, 1.0, e) / (1.0 + e)
+                if q < n:
+                    slope[q] = 0.0
+                if self.active_only:
+                    slope *= hot
+                back += slope
+                self.slope[:, q] -= slope.sum(1)
+        self.negatives += len(ids)
+        grad = None
+        if self.with_grad:
+            self.grad += back @ h
+            grad = back.T @ self.h[:n]
+        zero = np.zeros(len(ids))
+        return _sums(self.batch, ids, zero + n * (m - 1), hot_sum, zero, zero, zero, zero, grad)
+
+    def done(self) -> Iterator[pa.RecordBatch]:
+        if not self.ready:
+            return
+        n, m, zero = self.anchors, len(self.ids), np.zeros(len(self.ids))
+        # Valid triplets follow from the sizes: every (a, p) with a <> p meets every negative.
+        valid, active = zero.copy(), zero.copy()
+        valid[:n] = (m - 1) * self.negatives
+        active[:n] = self.active
+        losses = np.zeros((2, m))
+        losses[:, :n] = self.loss
+        weight = valid + self.negatives * (n - (np.arange(m) < n))
+        grad = None
+        if self.with_grad:
+            grad = self.slope.T @ self.h[:n]
+            grad[:n] += self.grad + self.slope @ self.h
+        yield _sums(self.batch, self.ids, weight, active + self.uses, valid, active, *losses, grad)
+
+
+def _sums(batch: int, ids, w_valid, w_active, valid, active, loss_valid, loss_active, grad) -> pa.RecordBatch:
+    numbers = (w_valid, w_active, valid, active, loss_valid, loss_active)
+    columns = [pa.array(np.full(len(ids), batch), pa.int64()), pa.array(ids, pa.int64())]
+    columns += [pa.array(np.asarray(x, float)) for x in numbers]
+    names = ["batch_id", "id", "w_valid", "w_active", "valid", "active", "loss_valid", "loss_active"]
+    if grad is not None:
+        ends = pa.array(np.arange(len(ids) + 1) * grad.shape[1], pa.int32())
+        columns.append(pa.ListArray.from_arrays(ends, pa.array(grad.ravel())))
+        names.append("grad")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _anchor_sums(active_only: bool, with_grad: bool):
+    """Rows come sorted by (batch, class, part, role)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, tile = None, None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            dn = h[a] @ h[neg].T
-            dp = h[a] @ h[pos].T
-            g_neg = np.zeros_like(dn)
-            g_pos = np.zeros_like(dp)
-            hot_neg = np.zeros(len(neg))
-            for q, p in enumerate(pos):
-                own = np.flatnonzero(a == p)  # the anchor itself is no positive
-                d = dn - dp[:, q : q + 1]
-                hot = d > 1e-16
-                e = np.exp(-np.abs(d))
-                cost = np.maximum(d, 0.0) + np.log1p(e)
-                hot[own] = False
-                cost[own] = 0.0
-                hot_a = hot.sum(1)
-                count[1, a] += hot_a
-                loss[0, a] += cost.sum(1)
-                if active_only:
-                    loss[1, a] += (cost * hot).sum(1)
-                    w[1, a] += hot_a
-                    w[1, p] += hot_a.sum()
-                    hot_neg += hot.sum(0)
-                if with_grad:
-                    slope = np.where(d >= 0, 1.0, e) / (1.0 + e)
-                    slope[own] = 0.0
-                    if active_only:
-                        slope *= hot
-                    g_neg += slope
-                    g_pos[:, q] = -slope.sum(1)
-            # Valid triplets follow from the sizes: every (a, p) with a <> p meets every n.
-            partners = len(pos) - np.isin(a, pos)
-            uses = len(a) - np.isin(pos, a)
-            count[0, a] += partners * len(neg)
-            w[0, a] += partners * len(neg)
-            w[0, pos] += uses * len(neg)
-            w[0, neg] += partners.sum()
-            w[1, neg] += hot_neg
-            if with_grad:
-                grad[a] += g_neg @ h[neg] + g_pos @ h[pos]
-                grad[neg] += g_neg.T @ h[a]
-                grad[pos] += g_pos.T @ h[a]
-        out = {
-            "batch_id": pa.array(column(table, "batch_id"), pa.int64()),
-            "id": pa.array(ids, pa.int64()),
-            "w_valid": w[0],
-            "w_active": w[1],
-            "valid": count[0],
-            "active": count[1],
-            "loss_valid": loss[0],
-            "loss_active": loss[1],
-        }
-        if with_grad:
-            out["grad"] = pa.array(list(grad), pa.list_(pa.float64()))
-        return pa.table(out)
-
-    return kernel
+            marks = np.stack([batch.column(c).to_numpy() for c in ("batch_id", "_class", "_part", "_role")], 1)
+            cuts = [0, *(np.flatnonzero((np.diff(marks, axis=0) != 0).any(1)) + 1).tolist(), len(marks)]
+            table = pa.Table.from_batches([batch])
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                mark, role = tuple(marks[start, :3]), int(marks[start, 3])
+                if mark != current:
+                    if tile is not None:
+                        yield from tile.done()
+                    current, tile = mark, _AnchorTile(mark[0], active_only, with_grad)
+                part = table.slice(start, end - start)
+                ids, h = column(part, "id"), lists(part, "encode")[1].reshape(end - start, -1)
+                if role < 2:
+                    tile.hold(role, ids, h)
+                    continue
+                for s in range(0, len(ids), _NEGATIVES):
+                    found = tile.negative(ids[s : s + _NEGATIVES], h[s : s + _NEGATIVES])
+                    if found is not None:
+                        yield found
+        if tile is not None:
+            yield from tile.done()
+
+    return run
 
 
 def _prepared(df: DataFrame) -> DataFrame:
@@ -239,18 +303,24 @@ def _prepared(df: DataFrame) -> DataFrame:
     )
 
 
-def _tile_sums(df: DataFrame, tile_rows: int, active_only: bool) -> DataFrame:
-    tiles = _triple_tiles(_prepared(df), tile_rows)
-    return _by_tile(tiles).applyInArrow(_triple_kernel(active_only, False), _SUMS_SCHEMA)
+def _tile_sums(df: DataFrame, tile_rows: int, active_only: bool, with_grad: bool = False) -> DataFrame:
+    """Sums in parts, to be added up per row; every row is there once with zeros."""
+    rows = _prepared(df)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["batch_id", "_class", "_part"]
+    dealt = _anchor_tiles(rows, tile_rows).repartition(parts, *order).sortWithinPartitions(*order, "_role")
+    found = dealt.mapInArrow(_anchor_sums(active_only, with_grad), _GRAD_SCHEMA if with_grad else _SUMS_SCHEMA)
+    names = ("w_valid", "w_active", "valid", "active", "loss_valid", "loss_active")
+    none = [F.lit(0.0).alias(n) for n in names]
+    if with_grad:
+        none.append(F.transform("encode", lambda x: F.lit(0.0)).alias("grad"))
+    return found.unionByName(rows.select("batch_id", "id", *none))
 
 
-def batch_all_rows(
-    df: DataFrame, active_only: bool = False, tile_rows: int = TILE_ROWS, batch_rows: int | None = None
-) -> DataFrame:
+def batch_all_rows(df: DataFrame, active_only: bool = False, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Tile sums with the loss gradient by ``encode`` (before division by the
     number of triplets), several rows per id to be added up by the caller."""
-    tiles = _triple_tiles(_prepared(df), tile_rows, batch_rows)
-    return _by_tile(tiles).applyInArrow(_triple_kernel(active_only, True), _GRAD_SCHEMA)
+    return _tile_sums(df, tile_rows, active_only, True)
 
 
 _EXTREMES_SCHEMA = (
@@ -470,70 +540,3 @@ def batch_hard_rows(
         F.array_repeat(F.lit(0.0), size).alias("grad"),
     )
     return moved.unionByName(own)
-
-
-_WHOLE_SCHEMA = "id bigint, weight double, loss double, active double, valid double, grad array<double>"
-
-
-def _one_tile(table: pa.Table, **more) -> pa.Table:
-    n = table.num_rows
-    for name, values in {"_t": np.zeros(n, int), "_k": np.ones(n, int), "_tile": np.zeros(n, int), **more}.items():
-        table = table.append_column(name, pa.array(values, from_pandas=True))
-    return table
-
-
-def _whole_all(table: pa.Table) -> dict[str, np.ndarray]:
-    out = _triple_kernel(False, True)(_one_tile(table))
-    grad = lists(out, "grad")[1].reshape(table.num_rows, -1)
-    named = {"weight": "w_valid", "loss": "loss_valid", "active": "active", "valid": "valid"}
-    return {k: column(out, v) for k, v in named.items()} | {"grad": grad}
-
-
-def _whole_hard(table: pa.Table, strict: bool) -> dict[str, np.ndarray]:
-    """All three hard passes on a batch that is one tile."""
-    found = _extremes_kernel(_one_tile(table))
-    part = {n: found.column(n).to_numpy(zero_copy_only=False) for n in ("row_max", "min_pos", "min_other", "max_neg")}
-    if strict:
-        pos, neg = part["min_pos"], part["max_neg"]
-    else:
-        pos = np.fmin(part["min_pos"], part["min_other"] + part["row_max"])
-        neg = np.fmax(part["max_neg"], 0.0)
-    dist = np.nan_to_num(np.maximum(neg - pos, 0.0))
-    active = (dist > 0).astype(float)
-    known = _one_tile(
-        table, row_max=part["row_max"], hardest_pos=pos, hardest_neg=neg, dist=dist, active=active
-    )
-    ties = _ties_kernel(strict)(known)
-    for name in ("n_pos", "n_masked", "n_neg", "n_max"):
-        known = known.append_column(name, ties.column(name))
-    out = _hard_kernel(strict)(known)
-    return {
-        "weight": column(out, "uses") + active,
-        "loss": _softplus(dist) * active,
-        "active": active,
-        "valid": np.ones(len(dist)),
-        "grad": lists(out, "grad")[1].reshape(table.num_rows, -1),
-    }
-
-
-def whole_batch_rows(df: DataFrame, strategy: str, mode: str = "reference", alpha: float = 1.0) -> DataFrame:
-    """``(id, weight, loss, active, valid, grad)`` for batches of at most one tile.
-
-    The task sees the whole batch, so the code gradient comes scaled by
-    ``alpha * total weight / used triplets`` already.
-    """
-
-    def kernel(table: pa.Table) -> pa.Table:
-        out = _whole_all(table) if strategy == "batch_all" else _whole_hard(table, mode == "strict")
-        used = out["valid" if strategy == "batch_all" else "active"].sum()
-        grad = out["grad"] * (alpha * (out["weight"].sum() + EPS) / (used + EPS))
-        ends = pa.array(np.arange(len(grad) + 1) * grad.shape[1], pa.int32())
-        return pa.table(
-            {
-                "id": table.column("id"),
-                **{n: pa.array(out[n], pa.float64()) for n in ("weight", "loss", "active", "valid")},
-                "grad": pa.ListArray.from_arrays(ends, pa.array(grad.ravel())),
-            }
-        )
-
-    return _prepared(df).groupBy("batch_id").applyInArrow(kernel, _WHOLE_SCHEMA)

@@ -184,9 +184,21 @@ def positional_split_ties(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id, row_number() OVER (ORDER BY {Q.key(Q.SEED, 'doc_id')}, doc_id) - 1 AS pos FROM documents
+WITH RECURSIVE {Q.permutation('sh', 'SELECT count(*) FROM documents', Q.SEED)},
+d AS (SELECT doc_id, row_number() OVER () - 1 AS x FROM documents)
+SELECT doc_id, y AS pos FROM d JOIN sh USING (x)
 """)
 def shuffle_order(spark, sf_dir):
+    """The place of each row in a shuffle of the table, by a permutation of the rows' numbers."""
+    docs = I.table(spark, sf_dir, "documents").select("doc_id")
+    return A.shuffle_positions(docs, Q.SEED).select("doc_id", "pos")
+
+
+@query(f"""
+SELECT doc_id, row_number() OVER (ORDER BY {Q.key(Q.SEED, 'doc_id')}, doc_id) - 1 AS pos FROM documents
+""")
+def shuffle_by_key(spark, sf_dir):
+    """The place of each row in the order of a hash of its id, which does not depend on the files."""
     docs = I.table(spark, sf_dir, "documents").select("doc_id")
     return hash_position(docs, "doc_id", Q.SEED).select("doc_id", "pos")
 

@@ -28,10 +28,11 @@ def _add(oracle=None, name=None):
 
 
 _SIZE = f"sz AS (SELECT greatest(CAST(round_even(count(*) * {BATCH}, 0) AS BIGINT), 1) AS size FROM embeddings)"
-_BT = f"""{_SIZE},
-bt AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS h,
-              CAST((row_number() OVER (ORDER BY {Q.key(f'{Q.SEED}:0', 'vec_id')}, vec_id) - 1) // size AS BIGINT) AS batch_id
-       FROM embeddings, sz)"""
+_NUMBERED = "en AS (SELECT *, row_number() OVER () - 1 AS x FROM embeddings)"
+_PLACES = Q.permutation("pm", "SELECT count(*) FROM embeddings", f"{Q.SEED}:0")
+_BT = f"""RECURSIVE {_PLACES}, {_SIZE}, {_NUMBERED},
+bt AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS h, CAST(y // size AS BIGINT) AS batch_id
+       FROM en JOIN pm USING (x), sz)"""
 _DOTS = f"""{_BT},
 dots AS (SELECT a.batch_id, a.id AS i, b.id AS j, a.label AS li, b.label AS lj, list_dot_product(a.h, b.h) AS d
          FROM bt a JOIN bt b USING (batch_id))"""
@@ -54,13 +55,17 @@ def batches(spark, sf_dir):
 
 _HALVES = (0.003, 0.013, 0.021)  # shares of 500 rows that end on a half: 1.5, 6.5, 10.5
 _HALF_SQL = " UNION ALL ".join(
-    f"""SELECT vec_id AS id, {share} AS share, CAST((row_number() OVER (ORDER BY {Q.key(f'{Q.SEED}:0', 'vec_id')}, vec_id) - 1)
-    // greatest(CAST(round_even((SELECT count(*) FROM embeddings) * {share}, 0) AS BIGINT), 1) AS BIGINT) AS batch_id FROM embeddings"""
+    f"""SELECT vec_id AS id, {share} AS share, CAST(y
+    // greatest(CAST(round_even((SELECT count(*) FROM embeddings) * {share}, 0) AS BIGINT), 1) AS BIGINT) AS batch_id
+    FROM en JOIN pm USING (x)"""
     for share in _HALVES
 )
 
 
-@_add(f"SELECT id, CAST(share AS DOUBLE) AS share, batch_id FROM ({_HALF_SQL})")
+@_add(f"""
+WITH RECURSIVE {_PLACES}, {_NUMBERED}
+SELECT id, CAST(share AS DOUBLE) AS share, batch_id FROM ({_HALF_SQL})
+""")
 def batches_of_halves(spark, sf_dir):
     """Batch sizes that are rounded to the even neighbour."""
     rows = I.codes(spark, sf_dir).select(F.col("vec_id").alias("id"))

@@ -8,13 +8,10 @@ from kinfold.config import EncoderConfig
 from kinfold.encoder.model import EncoderModel, xavier_weights
 from kinfold.encoder.training import DenoisingEncoder
 from kinfold.functions.vectors import rounded
-from kinfold.operators import articles as A
 from kinfold.operators import noise as N
 from kinfold.operators import vectorize as V
 from kinfold.plans import inputs as I
 from kinfold.plans import sql as Q
-from kinfold.plans.mining_queries import mined_documents
-from kinfold.session import materialize
 
 QUERIES, ORACLES = {}, {}
 
@@ -86,12 +83,7 @@ def noise_salt_pepper(spark, sf_dir):
     return _long(N.corrupt(packed, "salt_and_pepper", _RATE, Q.MAX_FEATURES, "doc_id", Q.SEED, 1))
 
 
-_BOUND = "sqrt(6.0 / ({n} + {k}))"
-_XAVIER = f"""term AS (SELECT CAST(range AS INTEGER) AS term_id FROM range({Q.MAX_FEATURES})),
-comp AS (SELECT CAST(range AS INTEGER) AS component FROM range({_K})),
-w AS (SELECT term_id, component,
-             ({Q.uniform(Q.SEED, 'term_id', 'component')} * 2 - 1) * {_BOUND.format(n=Q.MAX_FEATURES, k=_K)} AS w
-      FROM term, comp)"""
+_XAVIER = Q.xavier(_K)
 
 
 @_add(f"""
@@ -156,47 +148,6 @@ def decode_loss(spark, sf_dir):
     return losses.select("doc_id", rounded(F.col("loss")).alias("loss"))
 
 
-def _trained(spark, sf_dir, strategy: str, **changes):
-    rows = _small(spark, sf_dir, "binary")
-    labelled = A.factorize(I.table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", "label")
-    rows = materialize(rows.join(labelled.select("doc_id", "label"), "doc_id"), "labelled")
-    split = materialize(A.positional_split(rows, "doc_id", rows.count() * 4 // 5, rows.count()), "split")
-    train, valid = (split.filter(F.col("split") == s).drop("split") for s in ("train", "validate"))
-    config = EncoderConfig(num_epochs=2, verbose_step=1, triplet_strategy=strategy, **changes)
-    return DenoisingEncoder(config).fit(train, Q.MAX_FEATURES, "doc_id", "label", valid)
-
-
-def _fit_query(strategy, **changes):
-    def run(spark, sf_dir):
-        return _trained(spark, sf_dir, strategy, **changes).metrics
-
-    return run
-
-
-_add(name="fit_none")(_fit_query("none", opt="momentum", corr_type="salt_and_pepper"))
-_add(name="fit_batch_all")(_fit_query("batch_all", opt="ada_grad"))
-_add(name="fit_batch_hard")(_fit_query("batch_hard", opt="adam", learning_rate=0.01))
-
-
-@_add()
-def fit_triplets(spark, sf_dir):
-    """Training on mined positives and negatives of the documents."""
-    rows = _small(spark, sf_dir, "binary")
-    links = mined_documents(spark, sf_dir)
-
-    def role(name: str, key: str):
-        return rows.select(F.col("doc_id").alias(key), F.col("idx").alias(f"idx_{name}"), F.col("val").alias(f"val_{name}"))
-
-    joined = (
-        links.select("doc_id", "doc_id_pos", "doc_id_neg")
-        .join(role("org", "doc_id"), "doc_id")
-        .join(role("pos", "doc_id_pos"), "doc_id_pos")
-        .join(role("neg", "doc_id_neg"), "doc_id_neg")
-    )
-    config = EncoderConfig(num_epochs=2, verbose_step=1)
-    return DenoisingEncoder(config).fit_triplets(joined, Q.MAX_FEATURES, "doc_id").metrics
-
-
 # -- steps of the fit, restated ---------------------------------------------
 
 _EPS = "1e-16"
@@ -316,19 +267,3 @@ def fit_resumed_momentum(spark, sf_dir):
     path = fresh_path(spark, "model")
     _stepped(spark, sf_dir, "momentum").save(path)
     return _summary(_stepped(spark, sf_dir, "momentum", resume_from=EncoderModel.load(spark, path)))
-
-
-@_add()
-def resume_training(spark, sf_dir):
-    """One epoch, stored, restored, and one epoch more with its optimizer slots."""
-    from kinfold.session import fresh_path
-
-    rows = _small(spark, sf_dir, "binary")
-    config = EncoderConfig(num_epochs=1, verbose_step=1, triplet_strategy="none", opt="momentum")
-    first = DenoisingEncoder(config).fit(rows, Q.MAX_FEATURES, "doc_id")
-    path = fresh_path(spark, "model")
-    first.save(path)
-    again = DenoisingEncoder(config).fit(
-        rows, Q.MAX_FEATURES, "doc_id", resume_from=EncoderModel.load(spark, path)
-    )
-    return first.metrics.withColumn("run", F.lit(1)).unionByName(again.metrics.withColumn("run", F.lit(2)))

@@ -7,12 +7,22 @@ from kinfold.plans import (
     batch_queries,
     encoder_queries,
     file_queries,
+    fit_queries,
     mining_queries,
     run_queries,
     similarity_queries,
 )
 
-_MODULES = (article_queries, mining_queries, similarity_queries, batch_queries, encoder_queries, file_queries, run_queries)
+_MODULES = (
+    article_queries,
+    mining_queries,
+    similarity_queries,
+    batch_queries,
+    encoder_queries,
+    fit_queries,
+    file_queries,
+    run_queries,
+)
 
 
 def queries() -> dict:

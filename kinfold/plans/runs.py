@@ -141,28 +141,35 @@ def encode_bundle(model: EncoderModel, bundle: Bundle, config: RunConfig) -> Dat
     return out
 
 
+def _all_kinds(bundle: Bundle, codes: dict[str, DataFrame], split: str) -> tuple[DataFrame, S.Kinds]:
+    """The articles of a split with every kind of their vectors, in columns named by kind."""
+    rows, kinds = None, {}
+    for kind in ("tfidf", "binary"):
+        part = bundle.rows(kind, split).select("article_id", F.col("idx").alias(f"idx_{kind}"), F.col("val").alias(f"val_{kind}"))
+        rows = part if rows is None else rows.join(part, "article_id")
+        kinds[kind] = (f"idx_{kind}", f"val_{kind}")
+    for name, code in codes.items():
+        own = code.filter(F.col("split") == split).select("article_id", F.col("embedding").alias(f"vec_{name}"))
+        rows = rows.join(own, "article_id")
+        kinds[name] = (None, f"vec_{name}")
+    return rows, kinds
+
+
 def score_kinds(bundle: Bundle, codes: dict[str, DataFrame]) -> DataFrame:
     """Score histogram per (kind, split, label): TF-IDF, binary and the given codes.
 
-    ``codes`` are named ``(article_id, embedding, split)`` tables. One pass over
-    the pairs of a kind and split serves all labels.
+    ``codes`` are named ``(article_id, embedding, split)`` tables; articles
+    without one of them are left out. One pass over the pairs of a split serves
+    all kinds and labels.
     """
     labels = [f"label_{name}" for name in LABELS]
     out = None
     for split in SPLITS:
         lab = bundle.labels.filter(F.col("split") == split).select("article_id", *labels)
-        kinds = {
-            "tfidf": (bundle.rows("tfidf", split), "linear kernel"),
-            "binary": (bundle.rows("binary", split), "cosine"),
-        }
-        for name, code in codes.items():
-            rows = code.filter(F.col("split") == split).select("article_id", F.col("embedding").alias("vec"))
-            kinds[name] = (rows, "cosine")
-        for kind, (rows, metric) in kinds.items():
-            joined = materialize(rows.join(lab, "article_id"), "scored")
-            hist = S.score_histogram(joined, "article_id", labels, metric)
-            part = hist.select(F.lit(kind).alias("kind"), F.lit(split).alias("split"), "*")
-            out = part if out is None else out.unionByName(part)
+        rows, kinds = _all_kinds(bundle, codes, split)
+        joined = materialize(rows.join(lab, "article_id"), "scored")
+        part = S.score_histogram(joined, "article_id", labels, kinds=kinds).withColumn("split", F.lit(split))
+        out = part if out is None else out.unionByName(part)
     return materialize(out, "histogram")
 
 
@@ -174,11 +181,14 @@ def evaluate(bundle: Bundle, codes: dict[str, DataFrame]) -> tuple[DataFrame, Da
 
 
 def most_similar_report(bundle: Bundle, encoded: DataFrame, n: int = 5) -> DataFrame:
-    """The first training articles with their best match by counts and by code."""
-    codes = encoded.filter(F.col("split") == "train").select("article_id", F.col("embedding").alias("vec"))
-    articles = bundle.articles.filter(F.col("split") == "train")
-    found = S.similar_articles(bundle.rows("binary", "train"), codes, articles, "article_id", ["category_publish_name", "title"])
-    return found.orderBy("article_id").limit(n)
+    """The first training articles with their best match by counts and by code; only these are compared with all."""
+    rows, kinds = _all_kinds(bundle, {"embedding": encoded}, "train")
+    shown = ["category_publish_name", "title"]
+    rows = rows.join(bundle.articles.filter(F.col("split") == "train").select("article_id", *shown), "article_id")
+    rows = materialize(rows, "articles")
+    first = rows.select("article_id").orderBy("article_id").limit(n)
+    chosen = {"count": kinds["binary"], "embedding": kinds["embedding"]}
+    return S.similar_articles(rows, "article_id", shown, chosen, of=first).orderBy("article_id")
 
 
 def run(

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinfold.config import EncoderConfig
+from kinfold.encoder.model import EncoderModel
 from kinfold.functions.vectors import rounded
 from kinfold.operators import articles as A
 from kinfold.operators import evaluate as E
+from kinfold.operators import pruned as P
+from kinfold.operators import sampling as SP
 from kinfold.operators import similarity as S
 from kinfold.operators import term_join as TJ
 from kinfold.plans import inputs as I
@@ -18,6 +22,7 @@ from kinfold.plans import sql as Q
 from kinfold.session import materialize
 
 QUERIES, ORACLES = {}, {}
+_K = EncoderConfig().components(Q.MAX_FEATURES)
 
 
 def _add(oracle=None, name=None):
@@ -211,33 +216,28 @@ def box_stats(spark, sf_dir):
     return stats.select("related", "n", *numbers, "fliers")
 
 
-_M64 = "18446744073709551616::UHUGEINT"
-
-
-def _mul(x: str, factor: int) -> str:
-    return f"CAST(CAST({x} AS UHUGEINT) * {factor}::UHUGEINT % {_M64} AS UBIGINT)"
-
-
-_SAMPLE_STEPS, _last = [], "d0"
-for _n, (_shift, _factor) in enumerate(S._MIX, 1):
-    _SAMPLE_STEPS.append(
-        f"d{_n} AS (SELECT id_a, id_b, related, score, {_mul(f'xor(z, z >> {_shift})', _factor)} AS z FROM {_last})"
-    )
-    _last = f"d{_n}"
-_DRAW = (
-    f"CAST((CAST(id_a AS UHUGEINT) * {S._PAIR_A}::UHUGEINT % {_M64} + CAST(id_b AS UHUGEINT) * {S._PAIR_B}::UHUGEINT "
-    f"% {_M64} + {Q.SEED * S._PAIR_SEED % 2**64}::UHUGEINT) % {_M64} AS UBIGINT)"
-)
+_CAP = 5000
 
 
 @_add(f"""
-WITH {_codes_sql()}, d0 AS (SELECT id_a, id_b, la = lb AS related, score, {_DRAW} AS z FROM pairs),
-{', '.join(_SAMPLE_STEPS)},
-k AS (SELECT *, row_number() OVER (PARTITION BY related ORDER BY z, id_a, id_b) AS p FROM {_last})
-SELECT id_a, id_b, related, {Q.r('score')} AS score FROM k WHERE p <= 5000
+WITH RECURSIVE {_codes_sql()},
+place AS (SELECT id, label, row_number() OVER (ORDER BY label, id) - 1 AS pos FROM nv),
+class AS (SELECT label, min(pos) AS s, count(*) AS c FROM place GROUP BY label),
+span AS (SELECT *, CAST(coalesce(sum(c * (c - 1) // 2) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rel
+         FROM class),
+ranked AS (
+  SELECT p.id_a, p.id_b, p.score, p.la = p.lb AS related,
+         CASE WHEN p.la = p.lb THEN rel + (greatest(a.pos, b.pos) - s) * (greatest(a.pos, b.pos) - s - 1) // 2 + least(a.pos, b.pos) - s
+              ELSE s * (s - 1) // 2 - rel + (greatest(a.pos, b.pos) - s) * s + least(a.pos, b.pos) END AS rank
+  FROM pairs p JOIN place a ON a.id = p.id_a JOIN place b ON b.id = p.id_b
+  JOIN span ON span.label = CASE WHEN a.pos > b.pos THEN a.label ELSE b.label END),
+{Q.permutation('pr', 'SELECT count(*) FROM ranked WHERE related', f'{Q.SEED}:related')},
+{Q.permutation('pu', 'SELECT count(*) FROM ranked WHERE NOT related', f'{Q.SEED}:unrelated')}
+SELECT id_a, id_b, related, {Q.r('score')} AS score FROM ranked JOIN pr ON rank = y AND x < {_CAP} WHERE related
+UNION ALL SELECT id_a, id_b, related, {Q.r('score')} FROM ranked JOIN pu ON rank = y AND x < {_CAP} WHERE NOT related
 """)
 def capped_sample(spark, sf_dir):
-    rows = S.capped_sample(I.codes(spark, sf_dir), "vec_id", "label", cap=5000, seed=Q.SEED)
+    rows = SP.capped_sample(I.codes(spark, sf_dir), "vec_id", "label", cap=_CAP, seed=Q.SEED)
     return rows.select("id_a", "id_b", "related", rounded(F.col("score")).alias("score"))
 
 
@@ -272,17 +272,42 @@ WITH {_codes_sql()}, {_best_sql('pairs')}
 SELECT id AS vec_id, other AS best_id, {Q.r('score')} AS score FROM best ORDER BY id LIMIT 5
 """)
 def first_five(spark, sf_dir):
-    """Report of the first five rows with their best match."""
-    best = S.most_similar(I.codes(spark, sf_dir), "vec_id")
-    return best.orderBy("vec_id").limit(5).select("vec_id", "best_id", rounded(F.col("score")).alias("score"))
+    """Report of the first five rows with their best match; only these are compared with all rows."""
+    rows = I.codes(spark, sf_dir)
+    first = rows.select("vec_id").orderBy("vec_id").limit(5)
+    best = S.most_similar(rows, "vec_id", of=first)
+    return best.select("vec_id", "best_id", rounded(F.col("score")).alias("score"))
+
+
+# Codes of the documents by the initial weights, whose draws SQL can restate.
+_CODES = f"""{Q.VECTORS}, {Q.xavier(_K)},
+act AS (SELECT doc_id, component, sum(f.value * w.w) AS a FROM tfidf f JOIN w USING (term_id) GROUP BY ALL),
+code AS (SELECT d.doc_id, c.component, 1 / (1 + exp(-coalesce(a, 0))) - 0.5 AS h
+         FROM documents d CROSS JOIN comp c LEFT JOIN act ON act.doc_id = d.doc_id AND act.component = c.component),
+long_code AS (SELECT doc_id, list(h ORDER BY component) AS h FROM code GROUP BY doc_id),
+unit_code AS (SELECT doc_id, list_transform(h, lambda x: x / s) AS h FROM (
+  SELECT doc_id, h, CASE WHEN list_dot_product(h, h) = 0 THEN 1 ELSE sqrt(list_dot_product(h, h)) END AS s FROM long_code))"""
+
+
+def _with_codes(spark, sf_dir):
+    """Documents with counts, TF-IDF and codes of the initial model."""
+    rows = materialize(I.vectors(spark, sf_dir), "vectors")
+    model = EncoderModel.initial(spark, EncoderConfig(), Q.MAX_FEATURES)
+    codes = model.transform(rows.select("doc_id", "idx", F.col("tfidf").alias("val")), "doc_id")
+    binary = rows.withColumn("one", F.transform("val", lambda _: F.lit(1.0)))
+    return binary.join(codes.withColumnRenamed("embedding", "code"), "doc_id")
 
 
 @_add(f"""
-WITH {_sparse_sql(_TFIDF)}, {_best_sql('pairs')},
+WITH {_CODES},
 bin AS (SELECT doc_id, term_id, {_BINARY}),
 bhit AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, sum(a.value * b.value) AS score
          FROM bin a JOIN bin b ON a.term_id = b.term_id AND a.doc_id < b.doc_id GROUP BY 1, 2),
-bpairs AS (SELECT p.id_a, p.id_b, coalesce(h.score, 0.0) AS score FROM pairs p LEFT JOIN bhit h USING (id_a, id_b)),
+bpairs AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, coalesce(h.score, 0.0) AS score
+  FROM documents a JOIN documents b ON a.doc_id < b.doc_id LEFT JOIN bhit h ON h.id_a = a.doc_id AND h.id_b = b.doc_id),
+cpairs AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, list_dot_product(a.h, b.h) AS score
+           FROM unit_code a JOIN unit_code b ON a.doc_id < b.doc_id),
+{_best_sql('cpairs')},
 bb AS (SELECT id_a AS id, id_b AS other, round(score, 9) AS score FROM bpairs
        UNION ALL SELECT id_b, id_a, round(score, 9) FROM bpairs),
 bbest AS (SELECT id, other FROM bb QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) = 1)
@@ -292,12 +317,11 @@ FROM documents d LEFT JOIN bbest ON bbest.id = d.doc_id LEFT JOIN documents c ON
 LEFT JOIN best ON best.id = d.doc_id LEFT JOIN documents v ON v.doc_id = best.other
 """)
 def similar_articles(spark, sf_dir):
-    rows = I.vectors(spark, sf_dir)
-    binary = rows.select("doc_id", "idx", F.transform("val", lambda _: F.lit(1.0)).alias("val"))
-    tfidf = rows.select("doc_id", "idx", F.col("tfidf").alias("val"))
+    """Best match of each document by its counts and by its code, from one pass over the pairs."""
     meta = I.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    found = S.similar_articles(binary, tfidf, meta, "doc_id", ["lang", "source"])
-    return found.withColumn("score", rounded(F.col("score")))
+    rows = materialize(_with_codes(spark, sf_dir).join(meta, "doc_id"), "articles")
+    found = S.similar_articles(rows, "doc_id", ["lang", "source"], {"count": ("idx", "one"), "embedding": (None, "code")})
+    return found.drop("count_score").withColumnRenamed("embedding_score", "score").withColumn("score", rounded(F.col("score")))
 
 
 def _kinds_sql(values: str, kind: str, prefix: str) -> str:
@@ -318,12 +342,37 @@ r AS (SELECT kind, 'label_lang' AS label_kind, score, rl AS related FROM u
 {_auroc_sql('kind, label_kind')}
 """)
 def auroc_compare(spark, sf_dir):
-    """AUROC of TF-IDF and binary vectors against both labels, in two passes over the pairs."""
-    rows = materialize(I.vectors(spark, sf_dir).join(_labelled(spark, sf_dir), "doc_id"), "labelled")
-    labels = ["label_lang", "label_source"]
-    hists = []
-    for kind, value in (("tfidf", F.col("tfidf")), ("binary", F.transform("val", lambda _: F.lit(1.0)))):
-        packed = rows.select("doc_id", "idx", value.alias("val"), *labels)
-        hists.append(S.score_histogram(packed, "doc_id", labels).withColumn("kind", F.lit(kind)))
-    result = E.auroc(hists[0].unionByName(hists[1]), by=["kind", "label_kind"])
-    return result.withColumn("auroc", rounded(F.col("auroc")))
+    """AUROC of TF-IDF and binary vectors against both labels, in one pass over the pairs."""
+    rows = I.vectors(spark, sf_dir).withColumn("one", F.transform("val", lambda _: F.lit(1.0)))
+    rows = materialize(rows.join(_labelled(spark, sf_dir), "doc_id"), "labelled")
+    kinds = {"tfidf": ("idx", "tfidf"), "binary": ("idx", "one")}
+    hist = S.score_histogram(rows, "doc_id", ["label_lang", "label_source"], kinds=kinds)
+    return E.auroc(hist, by=["kind", "label_kind"]).withColumn("auroc", rounded(F.col("auroc")))
+
+
+@_add(f"""
+WITH {_CODES},
+r0 AS (SELECT round(list_dot_product(a.h, b.h), 6) AS score, x.lang = y.lang AS rl, x.source = y.source AS rs
+  FROM unit_code a JOIN unit_code b ON a.doc_id < b.doc_id JOIN documents x ON x.doc_id = a.doc_id JOIN documents y ON y.doc_id = b.doc_id),
+r AS (SELECT 'encoded' AS kind, 'label_lang' AS label_kind, score, rl AS related FROM r0
+      UNION ALL SELECT 'encoded', 'label_source', score, rs FROM r0),
+{_auroc_sql('kind, label_kind')}
+""")
+def auroc_encoded(spark, sf_dir):
+    """AUROC of the codes of the initial model against both labels."""
+    rows = materialize(_with_codes(spark, sf_dir).join(_labelled(spark, sf_dir), "doc_id"), "labelled")
+    hist = S.score_histogram(rows, "doc_id", ["label_lang", "label_source"], kinds={"encoded": (None, "code")})
+    return E.auroc(hist, by=["kind", "label_kind"]).withColumn("auroc", rounded(F.col("auroc")))
+
+
+@_add(ORACLES["most_similar_dense"])
+def most_similar_pruned(spark, sf_dir):
+    """The same best matches, without the tiles that the angles to pivots rule out."""
+    best, _ = P.most_similar(I.codes(spark, sf_dir), "vec_id")
+    return best.select("vec_id", "best_id", rounded(F.col("score")).alias("score"))
+
+
+@_add(ORACLES["similar_pairs"])
+def similar_pairs_pruned(spark, sf_dir):
+    pairs, _ = P.pairs_above(I.codes(spark, sf_dir), "vec_id", 0.3)
+    return pairs.select("id_a", "id_b", rounded(F.col("score")).alias("score"))

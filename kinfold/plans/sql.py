@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kinfold.functions.permutation import ROUNDS
 from kinfold.functions.text import default_stop_words
 
 SEED = 42
@@ -26,6 +27,35 @@ def uniform(seed, *columns: str) -> str:
     return f"({word(key(seed, *columns))} / 4294967296.0)"
 
 
+def permutation(name: str, n: str, seed) -> str:
+    """CTE ``name(x, y)``: the places y of the numbers x below ``n`` (a scalar query) in a seeded permutation.
+
+    It may be used where ``WITH RECURSIVE`` opens the query.
+    """
+    rounds, before = [], f"{name}_0"
+    for k in range(ROUNDS):
+        rounds.append(
+            f"{name}_{k + 1} AS (SELECT x, r AS l, (l + {word(key(f'{seed}:{k}', 'r'))}) % a AS r, a, n FROM {before})"
+        )
+        before = f"{name}_{k + 1}"
+    return f"""{name}_n AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM (SELECT CAST(({n}) AS BIGINT) AS n)),
+{name}_0 AS (SELECT x, x // a AS l, x % a AS r, a, n FROM (SELECT unnest(range(a * a)) AS x, a, n FROM {name}_n)),
+{', '.join(rounds)},
+{name}_m AS (SELECT x, l * a + r AS y, n FROM {before}),
+{name}_w AS (SELECT x, y, n FROM {name}_m WHERE x < n
+  UNION ALL SELECT w.x, m.y, m.n FROM {name}_w w JOIN {name}_m m ON w.y = m.x WHERE w.y >= w.n),
+{name} AS (SELECT x, y FROM {name}_w WHERE y < n)"""
+
+
+def xavier(components: int) -> str:
+    """CTEs ``term``, ``comp`` and the initial weights ``w(term_id, component, w)``."""
+    return f"""term AS (SELECT CAST(range AS INTEGER) AS term_id FROM range({MAX_FEATURES})),
+comp AS (SELECT CAST(range AS INTEGER) AS component FROM range({components})),
+w AS (SELECT term_id, component,
+             ({uniform(SEED, 'term_id', 'component')} * 2 - 1) * sqrt(6.0 / ({MAX_FEATURES} + {components})) AS w
+      FROM term, comp)"""
+
+
 ARTICLES = """articles AS (
   SELECT doc_id, text AS main_content,
          concat('【', source, '（', lang, '）】', text) AS title,

@@ -69,6 +69,12 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     return stored
 
 
+def held_by(stored: DataFrame, df: DataFrame) -> DataFrame:
+    """Let ``discard(df)`` delete the folder of the ``stored`` table that it reads."""
+    setattr(df, _FOLDER, getattr(stored, _FOLDER, None))
+    return df
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete the folders of tables that ``materialize`` wrote and nothing reads any more."""
     for df in tables:

@@ -2,8 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.functions.permutation import permuted
 from kinfold.operators import blocks as B
 from kinfold.operators import evaluate as E
+from kinfold.operators import pruned as R
+from kinfold.operators import sampling as P
 from kinfold.operators import similarity as S
 
 GOLDEN = [[1, 1, 0, 1], [0, 1, 0, 1], [0, 1, 1, 1]]
@@ -126,23 +129,109 @@ def test_histogram_diagonal(spark):
 
 def test_capped_sample(spark):
     x, labels = data()
+    labels = np.array(labels)
     s, related = brute(x, labels, digits=9)
-    whole = S.capped_sample(dense(spark, x, labels), "id", "label", cap=10**6, block_rows=20)
-    assert whole.count() == len(s)
-    few = S.capped_sample(dense(spark, x, labels), "id", "label", cap=50, block_rows=20).collect()
-    assert sum(r.related for r in few) == 50 and len(few) == 100
+    whole = P.capped_sample(dense(spark, x, labels), "id", "label", cap=10**6).collect()
+    assert len(whole) == len(s) == len({(r.id_a, r.id_b) for r in whole})
+    few = P.capped_sample(dense(spark, x, labels), "id", "label", cap=50).collect()
+    assert sum(r.related for r in few) == 50 and len(few) == len({(r.id_a, r.id_b) for r in few}) == 100
     want = scores(x, "cosine")
     for r in few:
         assert r.id_a < r.id_b and (labels[r.id_a] == labels[r.id_b]) == r.related
         assert r.score == pytest.approx(want[r.id_a, r.id_b])
-    again = S.capped_sample(dense(spark, x, labels), "id", "label", cap=50, block_rows=64).collect()
+    again = P.capped_sample(dense(spark, x, labels).repartition(3), "id", "label", cap=50).collect()
     assert {(r.id_a, r.id_b) for r in few} == {(r.id_a, r.id_b) for r in again}
+    other = P.capped_sample(dense(spark, x, labels), "id", "label", cap=50, seed=7).collect()
+    assert {(r.id_a, r.id_b) for r in few} != {(r.id_a, r.id_b) for r in other}
+
+
+def test_sample_of_classes_of_all_sizes(spark):
+    """One class with most rows, many with one or two, unknown labels, sparse rows."""
+    labels = [0] * 40 + [k for k in range(1, 16) for _ in range(1 + k % 2)] + [-1, None]
+    rows = [(3 * i, [i % 5, 5 + i % 3], [1.0, 2.0], k) for i, k in enumerate(labels)]
+    frame = spark.createDataFrame(rows, "id long, idx array<int>, val array<double>, label int")
+    known = [(i, k) for i, k in enumerate(labels) if k is not None and k >= 0]
+    pairs = {(3 * i, 3 * j): a == b for n, (i, a) in enumerate(known) for j, b in known[n + 1 :]}
+    got = P.capped_sample(frame, "id", "label", cap=10**6).collect()
+    assert {(r.id_a, r.id_b): r.related for r in got} == pairs and len(got) == len(pairs)
+    for r in got:
+        a, b = r.id_a // 3, r.id_b // 3
+        assert r.score == pytest.approx(0.2 * (a % 5 == b % 5) + 0.8 * (a % 3 == b % 3))
+    few = P.capped_sample(frame, "id", "label", cap=30).collect()
+    assert len({(r.id_a, r.id_b) for r in few}) == 60 and all(pairs[r.id_a, r.id_b] == r.related for r in few)
+    assert P.capped_sample(frame.where("label = 3"), "id", "label").count() == 1
+    assert P.capped_sample(frame.limit(0), "id", "label").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000])
+def test_permutation_is_one(spark, n):
+    rows = spark.range(n).select(permuted(F.col("id"), n, "s").alias("a"), permuted(F.col("id"), n, "t").alias("b")).collect()
+    assert sorted(r.a for r in rows) == sorted(r.b for r in rows) == list(range(n))
+    if n > 100:
+        assert sum(r.a == r.b for r in rows) < 20 and sum(r.a == i for i, r in enumerate(rows)) < 20
+
+
+def test_permutation_of_many_numbers(spark):
+    n = 3 * 10**18 + 7
+    ids = spark.range(n - 500, n).select(permuted(F.col("id"), n, 1).alias("a"))
+    got = [r.a for r in ids.collect()]
+    assert len(set(got)) == 500 and all(0 <= a < n for a in got) and max(got) - min(got) > n // 2
+
+
+def test_best_matches_of_some_rows(spark):
+    x, labels = data()
+    frame = dense(spark, x, labels)
+    whole = {r.id: (r.best_id, r.score) for r in S.most_similar(frame, "id").collect()}
+    some = S.most_similar(frame, "id", of=spark.createDataFrame([(3,), (7,), (7,)], "id long")).collect()
+    assert {r.id: (r.best_id, pytest.approx(r.score)) for r in some} == {i: whole[i] for i in (3, 7)}
+
+
+def test_several_kinds_in_one_pass(spark):
+    x, labels = data()
+    frame = dense(spark, x, labels).withColumn("half", F.slice("vec", 1, 3))
+    kinds = {"whole": (None, "vec"), "half": (None, "half")}
+    both = S.score_histogram(frame, "id", ["label"], kinds=kinds, digits=3)
+    best = S.most_similar(frame, "id", kinds=kinds)
+    for kind, col in (("whole", "vec"), ("half", "half")):
+        alone = frame.select("id", F.col(col).alias("vec"), "label")
+        want = sorted(map(tuple, S.score_histogram(alone, "id", ["label"], digits=3).collect()))
+        assert sorted(map(tuple, both.where(F.col("kind") == kind).drop("kind").collect())) == want
+        want = sorted(map(tuple, S.most_similar(alone, "id").collect()))
+        assert sorted(map(tuple, best.where(F.col("kind") == kind).drop("kind").collect())) == want
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_pruned_pairs_are_all_pairs(spark, sparse):
+    """Clustered rows: most tiles are skipped, and nothing is lost."""
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(12, 16))
+    x = np.concatenate([centres[i % 12] + 0.05 * draw.normal(size=16) for i in range(240)]).reshape(240, 16)
+    x[17] = x[18] = 0
+    rows = [(i, list(range(16)), r.tolist()) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "id long, idx array<int>, val array<double>")
+    frame = frame if sparse else frame.select("id", F.col("val").alias("vec"))
+    want = sorted(map(tuple, S.most_similar(frame, "id").collect()))
+    best, tiles = R.most_similar(frame, "id", block_rows=10, pivots=40)
+    got = sorted(map(tuple, best.collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(a[2] == pytest.approx(b[2]) for a, b in zip(got, want))
+    n, kept = tiles.count(), tiles.where("kept").count()
+    assert kept < 0.5 * n
+    close = {(r.id_a, r.id_b) for r in S.pairwise_similarity(frame, "id", min_score=0.9).collect()}
+    pairs, tiles = R.pairs_above(frame, "id", 0.9, block_rows=10, pivots=40)
+    assert {(r.id_a, r.id_b) for r in pairs.collect()} == close and close
+    assert tiles.where("kept").count() < 0.5 * tiles.count()
+    empty, _ = R.most_similar(frame.limit(0), "id")
+    assert empty.count() == 0
 
 
 def test_block_count_keeps_blocks_bounded():
-    assert B.block_count(10, 8) == 1
+    assert B.block_count(10, 8, 8192) == 1
     assert B.block_count(10**6, 8, 8192) == -(-(10**6) // 8192)
-    assert B.block_count(0, 8) == 1
+    assert B.block_count(0, 8, 8192) == 1
+    # As few copies as the tasks allow, until memory asks for more.
+    assert B.block_count(10**6, 4000, 10**6) == 90
+    rows = B.rows_per_block(10**9, 512 * 10**9)
+    assert rows * 512 <= B.BLOCK_BYTES and B.block_count(10**9, 4000, rows) == -(-(10**9) // rows)
 
 
 def test_bad_metric(spark):

@@ -93,8 +93,7 @@ def test_code_gradient_by_finite_differences(spark, strategy, mode):
             return brute_all(x, labels, False)[0]
         return brute_hard_smooth(x, labels, mode)
 
-    rows = {r.id: r for r in T.whole_batch_rows(df, strategy, mode).collect()}
-    scale = sum(r.weight for r in rows.values())
+    whole, used = summed(df, strategy, mode, 1024)
     step = 1e-6
     for i in range(10):
         for k in range(6):
@@ -102,18 +101,34 @@ def test_code_gradient_by_finite_differences(spark, strategy, mode):
             up[i, k] += step
             down[i, k] -= step
             want = (total(up) - total(down)) / (2 * step)
-            assert rows[i].grad[k] / scale == pytest.approx(want, abs=1e-5)
+            assert whole[i][1][k] / used == pytest.approx(want, abs=1e-5)
     # Tiles smaller than the batch add up to the same rows.
-    parts = (
-        T.batch_all_rows(df, tile_rows=4).withColumnRenamed("w_valid", "weight")
-        if strategy == "batch_all"
-        else T.batch_hard_rows(df, mode, tile_rows=4)
-    ).collect()
-    used = sum(r.valid if strategy == "batch_all" else r.active for r in parts)
+    parts, again = summed(df, strategy, mode, 3)
+    assert again == used
     for i in range(10):
-        grad = np.sum([r.grad for r in parts if r.id == i], axis=0) * scale / used
-        assert grad == pytest.approx(np.array(rows[i].grad), abs=1e-9)
-        assert sum(r.weight for r in parts if r.id == i) == rows[i].weight
+        assert parts[i][0] == pytest.approx(whole[i][0]) and parts[i][1] == pytest.approx(whole[i][1])
+
+
+def summed(df, strategy, mode, tile):
+    """id -> (weight, gradient), and the number of triplets or anchors used."""
+    if strategy == "batch_all":
+        parts = T.batch_all_rows(df, tile_rows=tile).withColumnRenamed("w_valid", "weight").withColumn("used", F.col("valid"))
+    else:
+        parts = T.batch_hard_rows(df, mode, tile_rows=tile).withColumn("used", F.col("active"))
+    out, used = {}, 0.0
+    for r in parts.collect():
+        weight, grad = out.get(r.id, (0.0, np.zeros(6)))
+        out[r.id] = weight + r.weight, grad + np.array(r.grad)
+        used += r.used
+    return out, used
+
+
+def test_anchor_tiles_copy_a_row_once_per_tile(spark):
+    df, _, labels = batch(spark, 3, n=40)
+    copies = T._anchor_tiles(T._prepared(df), 5).groupBy("id").agg(F.count("*").alias("n"), F.sum((F.col("_role") == 0).cast("int")).alias("a"))
+    sizes = [np.sum(labels == c) for c in range(3)]
+    for r in copies.collect():
+        assert r.n == sum(-(-c // 5) for c in sizes) and r.a == 1
 
 
 def brute_hard_smooth(h, labels, mode):
