@@ -26,6 +26,7 @@ STRIP_ROWS = 1024  # rows scored at once inside a tile
 _SCORES = 1 << 23  # scores held at once
 COLUMN_CHUNK = 4096  # sparse columns made dense at once
 _MIN_ROWS = 64
+_TILES_PER_TASK = 4  # so that tasks end together
 
 
 def measured(df: DataFrame) -> tuple[int, int]:
@@ -49,7 +50,7 @@ def tasks_of(spark) -> int:
 def block_count(n_rows: int, tasks: int, block_rows: int) -> int:
     """Blocks small enough for a task and many enough to occupy the tasks."""
     for_memory = math.ceil(n_rows / block_rows)
-    for_tasks = min(math.ceil(math.sqrt(2 * tasks)), math.ceil(n_rows / _MIN_ROWS))
+    for_tasks = min(math.ceil(math.sqrt(2 * _TILES_PER_TASK * tasks)), math.ceil(n_rows / _MIN_ROWS))
     return max(for_memory, for_tasks, 1)
 
 

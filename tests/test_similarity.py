@@ -229,7 +229,7 @@ def test_block_count_keeps_blocks_bounded():
     assert B.block_count(10**6, 8, 8192) == -(-(10**6) // 8192)
     assert B.block_count(0, 8, 8192) == 1
     # As few copies as the tasks allow, until memory asks for more.
-    assert B.block_count(10**6, 4000, 10**6) == 90
+    assert B.block_count(10**6, 4000, 10**6) == 179
     rows = B.rows_per_block(10**9, 512 * 10**9)
     assert rows * 512 <= B.BLOCK_BYTES and B.block_count(10**9, 4000, rows) == -(-(10**9) // rows)
 
