@@ -37,6 +37,7 @@ class EncoderConfig:
     hard_mode: str = "reference"
     hash_method: str = "xxhash64"
     tile_rows: int = 1024
+    validation_batch: float | None = None  # rows, or a share of them; None: all as one batch
     max_parameter_bytes: int = 1 << 30  # larger parameters are trained as a table of blocks
     block_bytes: int = 8 << 20
 

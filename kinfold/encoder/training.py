@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.config import EncoderConfig
@@ -29,7 +29,7 @@ from kinfold.operators.blocks import Rows
 from kinfold.operators.noise import corrupt
 from kinfold.operators.ordering import numbered
 from kinfold.operators.vectorize import matrix_extremes
-from kinfold.session import discard, materialize, ship
+from kinfold.session import discard, exists, materialize, remove, ship
 
 TERM_BLOCK = 1024  # terms whose gradient travels as one row
 _GROUPS = 1000  # folders of an epoch's rows, by batch
@@ -130,6 +130,23 @@ class _Step:
     number: float | None = None
 
 
+def input_checks(rows: DataFrame, n_features: int, suffixes: tuple[str, ...] = ("",)) -> dict[str, Column]:
+    """Ids are there and different, each row has its label, indices and values match and lie in range; named by their failure."""
+    checks = {
+        "ids are null": F.count(F.when(F.col("id").isNull(), 1)) == 0,
+        "ids repeat": F.count("id") == F.count_distinct("id"),
+    }
+    if "label" in rows.columns:
+        checks["rows without a label"] = F.count(F.when(F.col("label").isNull(), 1)) == 0
+    for s in suffixes:
+        idx, val = F.col(f"idx{s}"), F.col(f"val{s}")
+        whole = idx.isNotNull() & val.isNotNull() & (F.size(idx) == F.size(val))
+        checks[f"idx{s} and val{s} differ in length"] = F.count(F.when(~whole, 1)) == 0
+        low, high = F.min(F.array_min(idx)), F.max(F.array_max(idx))
+        checks[f"idx{s}: term index outside 0..{n_features - 1}"] = (low >= 0) & (high < n_features)
+    return checks
+
+
 class DenoisingEncoder:
     """Estimator: ``fit`` with online triplets or none, ``fit_triplets`` with given ones."""
 
@@ -146,15 +163,21 @@ class DenoisingEncoder:
         label: str | None = None,
         valid: DataFrame | None = None,
         resume_from: EncoderModel | None = None,
+        recover: str | None = None,
     ) -> EncoderModel:
-        """Packed rows ``(id, idx, val[, label])`` to a fitted model."""
+        """Packed rows ``(id, idx, val[, label])`` to a fitted model.
+
+        With a folder ``recover`` each epoch ends with the parameters, slots and
+        metrics written there; a fit that is started again with the same folder,
+        rows and settings goes on after the last epoch that is complete.
+        """
         c = self.config
         if c.triplet_strategy != "none" and label is None:
             raise ValueError("a triplet strategy needs labels")
         rows = numbered(self._named(features, id_col, label), "number", "train")
-        valid = None if valid is None else materialize(self._named(valid, id_col, label), "valid")
+        valid = None if valid is None else self._validation(self._named(valid, id_col, label))
         self._check_rows(rows, n_features, ("",))
-        return self._train(rows, valid, n_features, ("",), self._online_step, self._online_cost, resume_from)
+        return self._train(rows, valid, n_features, ("",), self._online_step, self._online_cost, resume_from, recover)
 
     def fit_triplets(
         self,
@@ -163,8 +186,9 @@ class DenoisingEncoder:
         id_col: str = "article_id",
         valid: DataFrame | None = None,
         resume_from: EncoderModel | None = None,
+        recover: str | None = None,
     ) -> EncoderModel:
-        """Rows ``(id, idx_r, val_r)`` for r in org, pos, neg to a fitted model."""
+        """Rows ``(id, idx_r, val_r)`` for r in org, pos, neg to a fitted model; ``recover`` as in ``fit``."""
 
         def named(df: DataFrame) -> DataFrame:
             return df.select(
@@ -184,7 +208,7 @@ class DenoisingEncoder:
         valid = None if valid is None else materialize(named(valid), "valid")
         suffixes = tuple(f"_{r}" for r in _ROLES)
         self._check_rows(rows, n_features, suffixes)
-        return self._train(rows, valid, n_features, suffixes, self._explicit_step, self._explicit_cost, resume_from)
+        return self._train(rows, valid, n_features, suffixes, self._explicit_step, self._explicit_cost, resume_from, recover)
 
     # -- shared loop ------------------------------------------------------
 
@@ -195,24 +219,21 @@ class DenoisingEncoder:
 
     @staticmethod
     def _check_rows(rows: DataFrame, n_features: int, suffixes: tuple[str, ...]) -> None:
-        """Ids are there and different, each row has its label, indices and values match and lie in range."""
-        checks = {
-            "ids are null": F.count(F.when(F.col("id").isNull(), 1)) == 0,
-            "ids repeat": F.count("id") == F.count_distinct("id"),
-        }
-        if "label" in rows.columns:
-            checks["rows without a label"] = F.count(F.when(F.col("label").isNull(), 1)) == 0
-        for s in suffixes:
-            idx, val = F.col(f"idx{s}"), F.col(f"val{s}")
-            whole = idx.isNotNull() & val.isNotNull() & (F.size(idx) == F.size(val))
-            checks[f"idx{s} and val{s} differ in length"] = F.count(F.when(~whole, 1)) == 0
-            low, high = F.min(F.array_min(idx)), F.max(F.array_max(idx))
-            checks[f"idx{s}: term index outside 0..{n_features - 1}"] = (low >= 0) & (high < n_features)
-        require(rows, checks)
-
-    def _train(self, rows, valid, n_features, suffixes, step, cost, resume_from) -> EncoderModel:
+        require(rows, input_checks(rows, n_features, suffixes))
+
+    def _validation(self, rows: DataFrame) -> DataFrame:
+        """Validation rows with their ``batch_id``: one batch, or batches of ``validation_batch`` rows."""
+        size = self.config.validation_batch
+        if size is None:
+            return materialize(rows.withColumn("batch_id", F.lit(0).cast("bigint")), "valid")
+        return materialize(assign_batches(rows, "id", size, self.config.seed), "valid")
+
+    def _train(self, rows, valid, n_features, suffixes, step, cost, resume_from, recover) -> EncoderModel:
         c, spark = self.config, rows.sparkSession
         ship(spark)
+        found = None if recover is None else _last_epoch(spark, recover, c)
+        if found is not None:
+            resume_from = found[0]
         model = resume_from or EncoderModel.initial(spark, c, n_features, method=c.hash_method)
         if model.n_features != n_features:
             raise ValueError(f"the model has {model.n_features} features, the data {n_features}")
@@ -231,9 +252,12 @@ class DenoisingEncoder:
         extremes = {s: self._extremes(rows, s, n_features) for s in suffixes}
         metrics: list[tuple] = []
         # A resumed run goes on with the epochs and the history of the model.
-        past = None if resume_from is None else model.metrics
-        done_before = 0 if past is None else past.agg(F.coalesce(F.max("epoch"), F.lit(0))).first()[0]
+        # Read now, a few rows per epoch: the folder of the earlier model may be replaced.
+        past = [] if resume_from is None or model.metrics is None else _rows_of_metrics(model.metrics)
+        done_before = max((row[0] for row in past), default=0)
         last = done_before + c.num_epochs
+        if found is not None:
+            done_before, last = found[1:]
         for epoch in range(done_before + 1, last + 1):
             prepared = self._epoch_rows(rows, epoch, n_rows)
             done: list[_Step] = []
@@ -251,11 +275,20 @@ class DenoisingEncoder:
             if epoch % c.verbose_step == 0 or epoch == last:
                 metrics.append((epoch, "train", *_mean(done)))
                 if valid is not None:
-                    found = cost(spark, valid, params) if held is None else self._blocked_cost(held, valid, suffixes)
-                    metrics.append((epoch, "validate", *_mean([found])))
+                    report = cost(spark, valid, params) if held is None else self._blocked_cost(held, valid, suffixes)
+                    metrics.append((epoch, "validate", *_mean([report])))
+            if recover is not None:
+                if held is None:
+                    now = _fitted(spark, c, params, updater, metrics, n_features, past)
+                else:
+                    now = _fitted_blocks(spark, c, held, metrics, past)
+                _commit_epoch(now, recover, epoch, last)
+                discard(now.weights, now.slots)
         discard(rows, valid)
         if held is not None:
-            return _fitted_blocks(spark, c, held, metrics, past)
+            model = _fitted_blocks(spark, c, held, metrics, past)
+            discard(held.blocks)
+            return model
         return _fitted(spark, c, params, updater, metrics, n_features, past)
 
     def _blocked_step(self, held: BlockedParameters, batch: DataFrame, size: int, suffixes: tuple[str, ...]) -> _Step:
@@ -275,7 +308,7 @@ class DenoisingEncoder:
             loss, _, triplet, n = held.explicit_cost(rows, n_rows, suffixes)
             return self._explicit_report(np.array([loss, 0.0, 0.0, triplet, n]))
         losses, codes = held.losses(rows, n_rows, self.config.loss_func)
-        return self._cost_of(losses, codes)
+        return self._cost_of(losses, codes.drop("batch_id").join(rows.select("id", "batch_id"), "id"))
 
     def _extremes(self, rows: DataFrame, suffix: str, n_features: int):
         if self.config.corr_type != "salt_and_pepper":
@@ -407,30 +440,33 @@ class DenoisingEncoder:
         return run
 
     def _online_cost(self, spark: SparkSession, rows: DataFrame, params: M.Params) -> _Step:
-        """Cost of clean rows as one batch, of any size, without a gradient."""
+        """Cost of clean rows in their batches, without a gradient."""
         c = self.config
         model = _model_of(spark, c, params)
-        clean = rows.withColumn("batch_id", F.lit(0).cast("bigint"))
-        losses = model.reconstruction_losses(clean, "id", c.loss_func)
-        codes = model.transform(clean, "id", ["batch_id", "label"]).withColumnRenamed("embedding", "encode")
+        losses = model.reconstruction_losses(rows, "id", c.loss_func)
+        codes = model.transform(rows, "id", ["batch_id", "label"]).withColumnRenamed("embedding", "encode")
         return self._cost_of(losses, codes)
 
     def _cost_of(self, losses: DataFrame, codes: DataFrame) -> _Step:
-        """Cost from the rows' losses ``(id, loss)`` and their codes as one batch."""
+        """Cost from the rows' losses ``(id, loss)`` and their codes; the mean over batches, as in training."""
         c = self.config
         if c.triplet_strategy == "none":
             cost = losses.agg((F.sum("loss") / (F.count(F.lit(1)) + F.lit(EPS))).alias("c")).first()["c"]
             return _Step(cost, cost)
+        codes = materialize(codes, "codes")
         if c.triplet_strategy == "batch_all":
-            stats = T.batch_all(codes, tile_rows=min(c.tile_rows, T.TILE_ROWS)).first()
+            stats = T.batch_all(codes, tile_rows=min(c.tile_rows, T.TILE_ROWS))
             weights = T.batch_all_weights(codes)
         else:
-            codes = materialize(codes, "codes")
-            stats = T.batch_hard(codes, c.hard_mode, c.tile_rows).first()
+            stats = T.batch_hard(codes, c.hard_mode, c.tile_rows)
             weights = T.batch_hard_weights(codes, c.hard_mode, c.tile_rows)
-        joined = losses.join(weights, "id")
-        ae = joined.agg((F.sum(F.col("loss") * F.col("weight")) / (F.sum("weight") + F.lit(EPS))).alias("ae")).first()["ae"]
-        return _Step(ae + c.alpha * stats["loss"], ae, stats["loss"], stats["fraction"], stats["number"])
+        ae = losses.join(weights, "id").groupBy("batch_id").agg(
+            (F.sum(F.col("loss") * F.col("weight")) / (F.sum("weight") + F.lit(EPS))).alias("ae")
+        )
+        each = stats.select("batch_id", F.col("loss").alias("triplet"), "fraction", "number").join(ae, "batch_id")
+        m = each.agg(*[F.avg(n).alias(n) for n in ("ae", "triplet", "fraction", "number")]).first()
+        discard(codes)
+        return _Step(m["ae"] + c.alpha * m["triplet"], m["ae"], m["triplet"], m["fraction"], m["number"])
 
     # -- given triplets ---------------------------------------------------
 
@@ -594,30 +630,43 @@ def _slots_from_table(slots: DataFrame | None, updater: M.Updater, n_features: i
 
 
 def _fitted_blocks(
-    spark: SparkSession, c: EncoderConfig, held: BlockedParameters, metrics: list, past: DataFrame | None
+    spark: SparkSession, c: EncoderConfig, held: BlockedParameters, metrics: list, past: list
 ) -> EncoderModel:
     weights, slots, bias = held.tables()
     model = EncoderModel(
         weights, bias, held.layout.n_features, held.layout.k, c.enc_act_func, c.dec_act_func,
-        slots=slots, metrics=_history(spark, metrics, past), steps=held.updater.steps, max_broadcast=c.max_parameter_bytes,
+        slots=slots, metrics=spark.createDataFrame(past + metrics, _METRICS), steps=held.updater.steps, max_broadcast=c.max_parameter_bytes,
     )
-    discard(held.blocks)
     return model
 
 
-def _history(spark: SparkSession, metrics: list, past: DataFrame | None) -> DataFrame:
-    """The metrics after those of an earlier run."""
-    # Read now, a few rows per epoch: the folder of the earlier model may be overwritten.
-    before = [] if past is None else [tuple(r) for r in past.select(*_METRIC_NAMES).orderBy("epoch", "split").collect()]
-    return spark.createDataFrame(before + metrics, _METRICS)
+def _commit_epoch(model: EncoderModel, path: str, epoch: int, last: int) -> None:
+    """Write a model, then the row that says it is complete; then the one before it is not needed."""
+    spark = model.weights.sparkSession
+    model.save(f"{path}/epoch-{epoch}", mode="overwrite")
+    done = spark.createDataFrame([(epoch, last)], "epoch int, last int").coalesce(1)
+    done.write.mode("append").parquet(f"{path}/done")
+    remove(spark, f"{path}/epoch-{epoch - 1}")
+
+
+def _last_epoch(spark: SparkSession, path: str, c: EncoderConfig) -> tuple[EncoderModel, int, int] | None:
+    """The model of the last complete epoch under ``path``, its number, and that of the fit's last epoch."""
+    if not exists(spark, f"{path}/done"):
+        return None
+    epoch, last = spark.read.parquet(f"{path}/done").agg(F.max(F.struct("epoch", "last")).alias("m")).select("m.*").first()
+    return EncoderModel.load(spark, f"{path}/epoch-{epoch}", c.max_parameter_bytes), epoch, last
+
+
+def _rows_of_metrics(metrics: DataFrame) -> list[tuple]:
+    return [tuple(r) for r in metrics.select(*_METRIC_NAMES).orderBy("epoch", "split").collect()]
 
 
 def _fitted(
-    spark, c: EncoderConfig, params: M.Params, updater: M.Updater, metrics: list, n_features: int, past: DataFrame | None
+    spark, c: EncoderConfig, params: M.Params, updater: M.Updater, metrics: list, n_features: int, past: list
 ) -> EncoderModel:
     """The model with its tables written, so that nothing hangs on the driver."""
     slots = _slots_table(spark, updater)
-    history = _history(spark, metrics, past)
+    history = spark.createDataFrame(past + metrics, _METRICS)
     model = _model_of(
         spark, c, params,
         slots=None if slots is None else materialize(slots, "slots"),

@@ -159,9 +159,15 @@ def append_splits(train: DataFrame, validate: DataFrame) -> DataFrame:
     return train.unionByName(validate)
 
 
-def require(df: DataFrame, checks: dict[str, "F.Column"]) -> None:
+def check_results(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """``(name, holds)`` of aggregate conditions, all from one pass; a condition without rows to judge holds."""
+    row = df.agg(*[F.coalesce(cond, F.lit(True)).alias(f"_{i}") for i, cond in enumerate(checks.values())])
+    results = [F.struct(F.lit(name).alias("name"), F.col(f"_{i}").alias("holds")) for i, name in enumerate(checks)]
+    return row.select(F.explode(F.array(*results)).alias("r")).select("r.*")
+
+
+def require(df: DataFrame, checks: dict[str, Column]) -> None:
     """Evaluate all aggregate conditions in one pass; raise for the failed ones."""
-    row = df.agg(*[F.coalesce(cond, F.lit(True)).alias(name) for name, cond in checks.items()]).first()
-    failed = [name for name in checks if not row[name]]
+    failed = [r["name"] for r in check_results(df, checks).where("NOT holds").collect()]
     if failed:
         raise ValueError("input check failed: " + "; ".join(failed))

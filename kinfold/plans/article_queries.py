@@ -213,6 +213,21 @@ def append_splits(spark, sf_dir):
     return A.append_splits(train, validate)
 
 
+@query(r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS term FROM documents)
+SELECT doc_id, term, count(*) AS n FROM t WHERE term NOT IN ('The', 'Das') GROUP BY doc_id, term
+""")
+def tokens_by_hook(spark, sf_dir):
+    """Terms by a tokenizer of the caller's, with stop words of the caller's: capitalised words."""
+
+    def capitalised(content):
+        return F.regexp_extract_all(content, F.lit("[A-Z][a-z]+"), F.lit(0))
+
+    docs = I.table(spark, sf_dir, "documents")
+    found = V.tokenized(docs, "doc_id", "text", tokenizer=capitalised, stop_words=["The", "Das"])
+    return V.document_terms(found, "doc_id").where("term IS NOT NULL").select("doc_id", "term", F.col("n").cast("bigint").alias("n"))
+
+
 @query(r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents)
 SELECT doc_id, len(w) AS n_tokens,

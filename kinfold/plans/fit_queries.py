@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinfold.config import EncoderConfig
+from kinfold.encoder import training as T
 from kinfold.encoder.model import EncoderModel
 from kinfold.encoder.training import DenoisingEncoder
 from kinfold.functions.vectors import rounded
 from kinfold.operators import articles as A
+from kinfold.operators.batches import assign_batches
+from kinfold.operators.ordering import sorted_position
 from kinfold.plans import inputs as I
 from kinfold.plans import sql as Q
 from kinfold.plans.encoder_queries import _RATE, _small
@@ -320,3 +323,45 @@ t_scale AS (SELECT 1.0 / count(*) AS s FROM t_rows), {_gradients('t_', 'p1')}, {
 UNION ALL {_metrics('s_', 'train', 1, f'(SELECT sum(wt) FROM s_wt) + {_EPS}')}
 UNION ALL {_metrics('t_', 'train', 2, f'(SELECT sum(wt) FROM t_wt) + {_EPS}')}
 """
+
+
+_NARROW = 5000  # fewer terms than the vocabulary has, so that a check fails
+
+
+def input_checks(spark, sf_dir):
+    """The checks on the input of a fit, over documents of which some have no label and some the last id."""
+    labels = I.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = _small(spark, sf_dir, "count").join(labels, "doc_id", "left")
+    rows = rows.select((F.col("doc_id") - F.col("doc_id") % 2).alias("id"), F.col("quality").alias("label"), "idx", "val")
+    return A.check_results(rows, T.input_checks(rows, _NARROW))
+
+
+QUERIES["input_checks"] = input_checks
+ORACLES["input_checks"] = f"""
+WITH {Q.VECTORS}, n AS (SELECT count(*) AS docs, count(DISTINCT doc_id - doc_id % 2) AS ids, count(*) FILTER (quality IS NULL) AS bare
+  FROM documents LEFT JOIN labels USING (doc_id)),
+t AS (SELECT min(term_id) AS lo, max(term_id) AS hi FROM cnt)
+SELECT 'ids are null' AS name, true AS holds
+UNION ALL SELECT 'ids repeat', docs = ids FROM n
+UNION ALL SELECT 'rows without a label', bare = 0 FROM n
+UNION ALL SELECT 'idx and val differ in length', true
+UNION ALL SELECT 'idx: term index outside 0..{_NARROW - 1}', lo >= 0 AND hi < {_NARROW} FROM t
+"""
+
+
+def triplet_batches(spark, sf_dir):
+    """Batches of anchors that keep their positive and negative beside them."""
+    links = mined_documents(spark, sf_dir).select("doc_id", "doc_id_pos", "doc_id_neg")
+    order = sorted_position(links.select("doc_id"), [F.col("doc_id")], "number", "anchors")
+    rows = links.join(order, "doc_id")
+    placed = assign_batches(rows, "doc_id", 0.1, Q.SEED, 1, n_rows=rows.count(), number="number")
+    return placed.select("doc_id", "doc_id_pos", "doc_id_neg", "batch_id")
+
+
+QUERIES["triplet_batches"] = triplet_batches
+ORACLES["triplet_batches"] = f"""
+WITH RECURSIVE {LINKS}, {Q.permutation('pb', 'SELECT count(*) FROM links', f'{Q.SEED}:1')},
+a AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS x FROM links),
+sz AS (SELECT greatest(CAST(round_even(count(*) * 0.1, 0) AS BIGINT), 1) AS size FROM links)
+SELECT doc_id, doc_id_pos, doc_id_neg, CAST(y // size AS BIGINT) AS batch_id FROM a JOIN pb USING (x), sz
+"""

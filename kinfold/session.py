@@ -34,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     A local session without that setting gets a temporary folder; a cluster
     session without it is refused, since a machine-local folder would be lost
-    with its executor.
+    with its executor. A ``file:`` folder is taken as named: it may be a mount
+    that all machines share, which Spark cannot tell from a local disk.
     """
     sc = spark.sparkContext
     named = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY)
@@ -80,9 +81,22 @@ def discard(*tables: DataFrame | None) -> None:
     for df in tables:
         path = getattr(df, _FOLDER, None)
         if path is not None:
-            spark = df.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(df.sparkSession, path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, folder = _file_system(spark, path)
+    return system.exists(folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, folder = _file_system(spark, path)
+    system.delete(folder, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

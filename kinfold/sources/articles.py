@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.text import LABEL_PREFIX
 from kinfold.operators.articles import clean, with_story
+from kinfold.session import materialize
 from kinfold.sources.files import numbered_lines, write_matrix, write_table
 
 REQUIRED = ("article_id", "title", "main_content")
@@ -57,7 +58,8 @@ def read_embeddings(spark: SparkSession, path: str, raw: bool = False) -> DataFr
     """``(row, vec)`` from a text file of vectors, or from the raw tool output."""
     lines = numbered_lines(spark, path)
     if raw:
-        lines = trim_tool_output(lines)
+        # Written first: what follows may look at the lines before the filter, and headers are no numbers.
+        lines = materialize(trim_tool_output(lines), "trimmed")
     return lines.select("row", parse_vector(F.col("value")).alias("vec"))
 
 

@@ -255,3 +255,46 @@ def test_epochs_and_history_go_on_after_a_resume(spark):
     assert sorted(r.epoch for r in again.metrics.collect()) == [1, 2, 3, 4]
     whole = DenoisingEncoder(EncoderConfig(**{**config.params(), "num_epochs": 4})).fit(frame, 4, "id")
     assert np.allclose(again.params().w, whole.params().w)
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 1])
+def test_a_fit_that_was_killed_goes_on(spark, tmp_path, monkeypatch, limit):
+    """Killed in its second epoch, started again: the weights and metrics of a fit that was not."""
+    from kinfold.encoder import training
+
+    df = frame(spark, matrix(9))
+    settings = dict(compress_factor=3, num_epochs=2, batch_size=20, triplet_strategy="none", opt="momentum", verbose_step=2)
+    config = EncoderConfig(**settings, max_parameter_bytes=limit, block_bytes=8 * K * 5)
+    whole = DenoisingEncoder(config).fit(df, V, "id")
+    batch_of, calls = training._batch_of, []
+
+    def killed(prepared, b):
+        calls.append(b)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        return batch_of(prepared, b)
+
+    monkeypatch.setattr(training, "_batch_of", killed)
+    with pytest.raises(RuntimeError, match="killed"):
+        DenoisingEncoder(config).fit(df, V, "id", recover=str(tmp_path / "fit"))
+    again = DenoisingEncoder(config).fit(df, V, "id", recover=str(tmp_path / "fit"))
+    assert len(calls) == 3 and again.steps == whole.steps == 2  # the first epoch was not repeated
+    a, b = ({r.term_id: r.w for r in m.weights.collect()} for m in (whole, again))
+    assert all(np.allclose(a[t], b[t]) for t in a) and a.keys() == b.keys()
+    assert [tuple(r) for r in again.metrics.collect()] == [tuple(r) for r in whole.metrics.collect()]
+
+
+@pytest.mark.parametrize("strategy", ["batch_all", "batch_hard"])
+def test_validation_in_batches_is_the_mean_of_theirs(spark, strategy):
+    df = frame(spark, matrix(3), np.arange(N) % 3)
+    settings = dict(compress_factor=3, num_epochs=1, batch_size=20, triplet_strategy=strategy, verbose_step=1)
+    found = DenoisingEncoder(EncoderConfig(**settings, validation_batch=10)).fit(df, V, "id", "label", valid=df)
+    got = found.metrics.where("split = 'validate'").first()
+    placed = assign_batches(df, "id", 10).select("id", "batch_id")
+    want = []
+    for b in (0, 1):
+        part = df.join(placed.where(F.col("batch_id") == b), "id").drop("batch_id")
+        alone = DenoisingEncoder(EncoderConfig(**settings)).fit(df, V, "id", "label", valid=part)
+        want.append(alone.metrics.where("split = 'validate'").first())
+    for name in ("cost", "autoencoder", "triplet", "fraction", "number"):
+        assert got[name] == pytest.approx((want[0][name] + want[1][name]) / 2)
