@@ -249,7 +249,9 @@ def test_input_checks(spark, rows, label, match):
 def test_epochs_and_history_go_on_after_a_resume(spark):
     rows = [(i, [i % 4], [1.0]) for i in range(12)]
     frame = spark.createDataFrame(rows, "id long, idx array<int>, val array<double>")
-    config = EncoderConfig(compress_factor=2, num_epochs=2, verbose_step=1, triplet_strategy="none", opt="momentum")
+    config = EncoderConfig(
+        compress_factor=2, num_epochs=2, batch_size=6, verbose_step=1, triplet_strategy="none", opt="momentum"
+    )
     first = DenoisingEncoder(config).fit(frame, 4, "id")
     again = DenoisingEncoder(config).fit(frame, 4, "id", resume_from=first)
     assert sorted(r.epoch for r in again.metrics.collect()) == [1, 2, 3, 4]
