@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _FOLDER = "_kinfold_folder"
+_SCOPES = "_kinfold_scopes"
 
 
 def local_session(app: str = "kinfold", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -64,6 +67,8 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if scopes := getattr(spark.sparkContext, _SCOPES, None):
+        scopes[-1].add(path)
     writer.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     setattr(stored, _FOLDER, path)
@@ -76,6 +81,33 @@ def held_by(stored: DataFrame, df: DataFrame) -> DataFrame:
     return df
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete at the end, also after an error, what ``materialize`` wrote inside.
+
+    Tables passed to the function it yields stay, for the scope around this one
+    if there is one. Nothing lazy that reads another table may leave the scope.
+    """
+    scopes = getattr(spark.sparkContext, _SCOPES, [])
+    setattr(spark.sparkContext, _SCOPES, scopes)
+    written: set[str] = set()
+    scopes.append(written)
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, _FOLDER))
+        return df
+
+    try:
+        yield keep
+    finally:
+        scopes.remove(written)
+        if scopes:
+            scopes[-1].update(kept & written)
+        for path in written - kept:
+            remove(spark, path)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete the folders of tables that ``materialize`` wrote and nothing reads any more."""
     for df in tables:
