@@ -119,9 +119,9 @@ def resolved_revisits(records: DataFrame) -> DataFrame:
     or null or relative URL). Headers are merged if resolved, else the
     revisit's own. Full responses are those of status 200; of responses of one
     URL and time the greatest record_id counts; a record_id that is repeated
-    among responses counts once; repeated revisits are resolved each. A null
-    block has no headers. An empty table gives an empty result; other columns
-    are ignored.
+    among responses counts once, with the least of its header lists; repeated
+    revisits are resolved each. A null block has no headers. An empty table
+    gives an empty result; other columns are ignored.
     """
     rows = records.select(
         "record_id",
@@ -144,7 +144,7 @@ def resolved_revisits(records: DataFrame) -> DataFrame:
     known = revisits.join(found, same, "left").drop("key_url", "key_at")
     held = full.select(F.col("record_id").alias("response_id"), F.col("headers").alias("held"))
     # Written by itself: with no aggregate in its stage, the join's hot keys (and null) are split.
-    held = stored(held.dropDuplicates(["response_id"]), "responses")
+    held = stored(held.groupBy("response_id").agg(F.min("held").alias("held")), "responses")
     pairs = known.join(held, F.col("found_id") == F.col("response_id"), "left")
     tag = lambda c: F.regexp_replace(_value(c, "etag"), "^W/", "")
     # Null where one of the two lacks the validator.

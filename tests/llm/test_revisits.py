@@ -107,5 +107,13 @@ def test_as_of_over_many_ranges(spark):
     assert got == {i: None if i <= 10 else 2 if i <= 700 else 3 for i in range(1000)}
 
 
+def test_a_repeated_record_id_has_the_least_of_its_headers(spark):
+    rows = [(1, "response", f"http://e.com/{u}", 1, f"HTTP/1.1 200 OK\r\nETag: {t}\r\n\r\n") for u, t in ("ab", "ba", "cc")]
+    rows += [(2, "revisit", "http://e.com/a", 2, "HTTP/1.1 304 Not Modified\r\nETag: a\r\n\r\n")]
+    for part in (rows, rows[::-1]):
+        got = R.resolved_revisits(spark.createDataFrame(part, SCHEMA).repartition(4)).collect()
+        assert [(r.record_id, r.response_id, r.outcome) for r in got] == [(2, 1, "resolved")]
+
+
 def test_empty(spark):
     assert R.resolved_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
