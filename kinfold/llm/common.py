@@ -13,6 +13,9 @@ from kinfold.session import materialize, ship
 SPACES = "[\\x20\\x09-\\x0D]+"
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
+BITMAP = 1 << 15  # bits of one value of Spark's bitmap functions
+SIEVE = 1 << 31
+
 
 def whole_rows(docs: DataFrame) -> DataFrame:
     """Each row as one column ``row``, so that no column of it clashes with what an operator adds."""
@@ -32,6 +35,53 @@ def stored(df: DataFrame, tag: str, waves: int = 4) -> DataFrame:
     return materialize(df.coalesce(max(1, waves * df.sparkSession.sparkContext.defaultParallelism)), tag)
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """What a row is known by: its id and a hash of its whole text."""
+    return [F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash")]
+
+
+def remaining(docs: DataFrame, keys: DataFrame, stays: DataFrame, most: int = SIEVE) -> DataFrame:
+    """The rows of ``docs`` whose key stands in ``stays``, one row per key, with all their columns.
+
+    ``keys`` and ``stays`` hold ``(doc_id, text_hash)`` of ``row_key``: every
+    row's, and once each that stays. Texts are not moved: the keys that go, or
+    stand there several times, set bits of a sieve of 16 bits a key and at most
+    ``most`` bits (256 MB), which goes to the tasks. A row whose bit is not set
+    passes where it is read; only the others are shuffled and judged by their
+    key, so a sieve too small for its keys costs time, never rows. Null ids are
+    equal, null texts count as empty, columns may have any names, and an empty
+    table stays empty.
+    """
+    counted = keys.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    named = stays.select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("text_hash") == F.col("stay_hash"))
+    gone = counted.join(named, same, "left").where("stay_hash is null or n > 1")
+    gone = stored(
+        gone.select(
+            F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.col("stay_hash").isNotNull().alias("stays")
+        ),
+        "gone",
+    )
+    bits = min(most, max(BITMAP, 1 << (16 * gone.count()).bit_length()))
+
+    def place(doc_id: str, text_hash: str) -> tuple[Column, Column]:
+        slot = F.pmod(F.xxhash64(doc_id, text_hash), F.lit(bits))
+        return F.floor(slot / BITMAP), (slot % BITMAP).cast("int")
+
+    part, at = place("gone_id", "gone_hash")
+    sieve = gone.select(part.alias("part"), at.alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("map"))
+    rows = whole_rows(docs).select("row", F.struct(*row_key("row.doc_id", "row.text")).alias("key"))
+    own_part, own_at = place("key.doc_id", "key.text_hash")
+    sifted = rows.withColumn("own_part", own_part).join(F.broadcast(sieve), F.col("own_part") == F.col("part"), "left")
+    byte = F.conv(F.hex(F.substring("map", F.floor(own_at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    sifted = sifted.withColumn("met", F.coalesce(F.getbit(byte, own_at % 8) == 1, F.lit(False)))
+    met = sifted.where("met").select("row", "key.doc_id", "key.text_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash"))
+    # Keys that are not among those gone stand there once.
+    judged = met.join(gone, same, "left").where("stays is null or stays").dropDuplicates(["doc_id", "text_hash"])
+    return unpacked(sifted.where("not met").select("row").union(judged.select("row")), docs.columns)
+
+
 def new_name(df: DataFrame, *names: str) -> None:
     """Refuse to add a column under a name that is there already, in whatever case."""
     clash = {c.lower() for c in df.columns} & {n.lower() for n in names}
@@ -127,6 +177,8 @@ __all__ = [
     "logistic",
     "materialize",
     "new_name",
+    "remaining",
+    "row_key",
     "ship",
     "stored",
     "table",

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import SPACES, materialize, stored, table, text_of, unpacked, whole_rows
+from kinfold.llm.common import SPACES, materialize, remaining, row_key, stored, table, text_of
 
 RUNS = 4096
 FAN_IN = 16
@@ -69,9 +69,9 @@ def merge_runs(rows: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataF
     return merged.drop("run")
 
 
-def _digests(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, *DIGEST)``, stored, so that row numbers stay."""
-    rows = docs.select("doc_id", *digest_columns())
+def _digests(docs: DataFrame, *more: Column) -> DataFrame:
+    """``(row, doc_id, *DIGEST)`` and more columns, stored, so that row numbers stay."""
+    rows = docs.select("doc_id", *digest_columns(), *more)
     return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
 
 
@@ -109,19 +109,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     null ids last, and one of those that repeat it. An empty table stays empty;
     columns may have any names.
     """
-    groups = stored(merge_runs(_digests(docs)), "digest-groups")
-    stays = groups.select(F.col("keep_id").alias("stay_id"), *[F.col(c).alias(f"stay_{c}") for c in DIGEST])
-    keyed = whole_rows(docs).select(
-        "row",
-        F.col("row.doc_id").alias("own_id"),
-        *[c.alias(f"own_{n}") for n, c in zip(DIGEST, digest_columns("row.text"), strict=True)],
-    )
-    same = F.col("own_id").eqNullSafe(F.col("stay_id"))
-    for c in DIGEST:
-        same = same & (F.col(f"own_{c}") == F.col(f"stay_{c}"))
-    found = keyed.join(stays, same, "left_semi")
-    # Rows that repeat id and text are still there; the join has sorted by these keys.
-    return unpacked(found.dropDuplicates(["own_id", *[f"own_{c}" for c in DIGEST]]), docs.columns)
+    rows = _digests(docs, row_key()[1])
+    kept = stored(merge_runs(rows).select("keep_row"), "digest-groups")
+    stays = rows.join(kept, F.col("row") == F.col("keep_row"), "left_semi")
+    return remaining(docs, rows.select("doc_id", "text_hash"), stays)
 
 
 def op2_exact_dedup(spark, sf_dir):

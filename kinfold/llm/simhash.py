@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize, ship, stored, table, text_of, unpacked, whole_rows
+from kinfold.llm.common import materialize, remaining, row_key, ship, stored, table, text_of
 from kinfold.llm.components import components
 
 SHINGLE = 4
@@ -66,7 +66,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, text_hash, fp)`` of every row of ``docs(doc_id, text)``, stored."""
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
+    rows = docs.select(*row_key(), text_of().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(lambda it: _fingerprints(it, shingle), f"doc_id {kind}, text_hash long, fp long")
     return materialize(found, "fingerprints")
@@ -231,16 +231,11 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     and of rows that repeat both, one. Null texts count as empty; an empty table
     stays empty; columns may have any names.
     """
-    classes = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = stored(near_duplicates(docs, **options), "near-classes")
+    least = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Repeated ids: of the texts that bear the least id, the one with the least hash stays.
-    stays = classes.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
-    stays = stays.select(F.col("s.doc_id").alias("stay_id"), F.col("s.text_hash").alias("stay_hash"))
-    keyed = whole_rows(docs).select(
-        "row", F.col("row.doc_id").alias("own_id"), F.xxhash64(text_of("row.text")).alias("own_hash")
-    )
-    same = F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_hash") == F.col("stay_hash"))
-    found = keyed.join(stays, same, "left_semi")
-    return unpacked(found.dropDuplicates(["own_id", "own_hash"]), docs.columns)
+    stays = least.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("s.*")
+    return remaining(docs, classes.select("doc_id", "text_hash"), stays)
 
 
 def op8_simhash(spark, sf_dir):
