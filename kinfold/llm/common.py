@@ -55,31 +55,46 @@ def remaining(docs: DataFrame, keys: DataFrame, stays: DataFrame, most: int = SI
     counted = keys.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     named = stays.select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("text_hash") == F.col("stay_hash"))
-    gone = counted.join(named, same, "left").where("stay_hash is null or n > 1")
-    gone = stored(
-        gone.select(
-            F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.col("stay_hash").isNotNull().alias("stays")
+    marked = counted.join(named, same, "left").where("stay_hash is null or n > 1")
+    marked = stored(
+        marked.select(
+            F.col("doc_id").alias("gone_id"),
+            F.col("text_hash").alias("gone_hash"),
+            F.col("stay_hash").isNull().alias("goes"),
+            (F.col("n") > 1).alias("repeated"),
         ),
         "gone",
     )
-    bits = min(most, max(BITMAP, 1 << (16 * gone.count()).bit_length()))
+    n, n_repeated = marked.agg(F.count(F.lit(1)), F.count_if("repeated")).first()
+    bits = min(most, max(BITMAP, 1 << (16 * n).bit_length()))
 
-    def place(doc_id: str, text_hash: str) -> tuple[Column, Column]:
+    def place(doc_id: str, text_hash: str) -> list[Column]:
         slot = F.pmod(F.xxhash64(doc_id, text_hash), F.lit(bits))
-        return F.floor(slot / BITMAP), (slot % BITMAP).cast("int")
+        return [F.floor(slot / BITMAP), (slot % BITMAP).cast("int")]
+
+    def is_set(bitmap: str) -> Column:
+        byte = F.conv(F.hex(F.substring(bitmap, F.floor(F.col("own_at") / 8).cast("int") + 1, F.lit(1))), 16, 10)
+        return F.coalesce(F.getbit(byte.cast("int"), F.col("own_at") % 8) == 1, F.lit(False))
 
     part, at = place("gone_id", "gone_hash")
-    sieve = gone.select(part.alias("part"), at.alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("map"))
+    sieve = marked.select(part.alias("part"), at.alias("at"), "repeated").groupBy("part")
+    sieve = sieve.agg(
+        F.bitmap_construct_agg("at").alias("met"), F.bitmap_construct_agg(F.when(F.col("repeated"), F.col("at"))).alias("many")
+    )
     rows = whole_rows(docs).select("row", F.struct(*row_key("row.doc_id", "row.text")).alias("key"))
-    own_part, own_at = place("key.doc_id", "key.text_hash")
-    sifted = rows.withColumn("own_part", own_part).join(F.broadcast(sieve), F.col("own_part") == F.col("part"), "left")
-    byte = F.conv(F.hex(F.substring("map", F.floor(own_at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    sifted = sifted.withColumn("met", F.coalesce(F.getbit(byte, own_at % 8) == 1, F.lit(False)))
-    met = sifted.where("met").select("row", "key.doc_id", "key.text_hash")
+    part, at = place("key.doc_id", "key.text_hash")
+    sifted = rows.withColumns({"own_part": part, "own_at": at})
+    sifted = sifted.join(F.broadcast(sieve), F.col("own_part") == F.col("part"), "left")
+    sifted = sifted.select("row", "key.*", is_set("met").alias("met"), is_set("many").alias("many"))
+    gone = marked.where("goes")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash"))
-    # Keys that are not among those gone stand there once.
-    judged = met.join(gone, same, "left").where("stays is null or stays").dropDuplicates(["doc_id", "text_hash"])
-    return unpacked(sifted.where("not met").select("row").union(judged.select("row")), docs.columns)
+    found = sifted.where("not met").select("row")
+    found = found.union(sifted.where("met and not many").join(gone, same, "left_anti").select("row"))
+    if n_repeated:
+        # One row of each key leaves a task, so that a row that stands very often never meets itself.
+        once = sifted.where("met and many").dropDuplicates(["doc_id", "text_hash"])
+        found = found.union(once.join(gone, same, "left_anti").select("row"))
+    return unpacked(found, docs.columns)
 
 
 def new_name(df: DataFrame, *names: str) -> None:

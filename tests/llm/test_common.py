@@ -50,6 +50,17 @@ def test_rows_whose_bit_is_clear_are_not_shuffled(spark):
     assert found.count() == 4999
 
 
+def test_a_row_that_stands_very_often_is_reduced_before_it_is_shuffled(spark):
+    some = F.when(F.col("id") % 3 > 0, F.col("id"))
+    docs = K.materialize(spark.range(90_000).select(some.alias("doc_id"), some.cast("string").alias("text")), "docs")
+    keys = K.stored(docs.select(*K.row_key()), "keys")
+    for gone in ("doc_id = 1", "doc_id is null"):
+        found = K.remaining(docs, keys, keys.distinct().where(f"not coalesce({gone}, false)"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("partial_first(row") == 1
+        assert found.count() == 60_000 and found.where(gone).count() == 0
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     keys = docs.select(*K.row_key())
