@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,26 @@ def test_pruned_pairs_are_all_pairs(spark, sparse):
     assert empty.count() == 0
 
 
+def test_blocks_meet_without_copies_of_their_rows(spark):
+    """Every pair of blocks is one tile, and no row is copied for the tiles it is in."""
+    x, _ = data()
+    frame = dense(spark, x).select("id", "vec")
+    paired = B.block_pairs(frame, "id", 5)
+    plan = paired._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+
+    def sizes(batches):
+        for left, right, same in B.tiles(batches):
+            ids = [pa.array([B.column(side, "id").tolist()], pa.list_(pa.int64())) for side in (left, right)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array([same])], names=["a", "b", "same"])
+
+    found = paired.mapInArrow(sizes, "a array<bigint>, b array<bigint>, same boolean").collect()
+    met = [tuple(sorted((i, j))) for r in found for i in r.a for j in r.b if not r.same or i < j]
+    n = len(x)
+    assert len(met) == len(set(met)) == n * (n - 1) // 2
+    assert all(r.a == r.b for r in found if r.same)
+
+
 def test_block_count_keeps_blocks_bounded():
     assert B.block_count(10, 8, 8192) == 1
     assert B.block_count(10**6, 8, 8192) == -(-(10**6) // 8192)
