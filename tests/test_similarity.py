@@ -243,6 +243,9 @@ def test_blocks_meet_without_copies_of_their_rows(spark):
     n = len(x)
     assert len(met) == len(set(met)) == n * (n - 1) // 2
     assert all(r.a == r.b for r in found if r.same)
+    k = B.block_count(n, B.tasks_of(spark), 5)
+    block = {r.id: r.b for r in frame.select("id", F.pmod(F.xxhash64("id"), F.lit(k)).alias("b")).collect()}
+    assert all(block[r.a[0]] < block[r.b[0]] for r in found if not r.same)
 
 
 def test_block_count_keeps_blocks_bounded():
