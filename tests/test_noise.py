@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from kinfold.functions.hashing import digest_int, hash_key
 from kinfold.operators import noise as N
 
 
@@ -51,3 +53,22 @@ def test_decay_and_dispatch(packed):
     assert rows(N.corrupt(packed, "none", 0.25, 1000, "id")) == before
     with pytest.raises(ValueError, match="corr_type"):
         N.corrupt(packed, "blur", 0.25, 1000, "id")
+
+
+def test_salt_and_pepper_draws_are_the_digests(spark):
+    """The draws are those of ``hash_key``, made and merged outside of the array functions, which take them one by one."""
+    data = [(7, [3, 5, 3], [2.0, 4.0, 9.0], "a"), (None, [], [], "b"), (9, None, None, "c"), (11, [1, 2], [0.0, None], "d")]
+    df = spark.createDataFrame(data, "id long, idx array<int>, val array<double>, other string")
+    noisy = N.salt_pepper_noise(df, 40, 50, "id", extremes=(0.0, 8.0))
+    got = {r.other: r for r in noisy.collect()}
+    assert noisy.columns == df.columns and got["c"].idx is None and got["c"].val is None
+    draws = spark.range(1, 41).select(F.col("id").alias("n"), F.explode(F.array(F.lit(7), F.lit(None), F.lit(11))).alias("key"))
+    digest = hash_key("42:0", F.col("key"), F.col("n"))
+    rows = draws.select("key", "n", (digest_int(digest, 0) % 50).alias("i"), (digest_int(digest, 1) % 2).alias("c")).collect()
+    for key, other, old in ((7, "a", {3: 9.0, 5: 4.0}), (None, "b", {}), (11, "d", {})):
+        want = dict(old)
+        for r in sorted((r for r in rows if r.key == key), key=lambda r: r.n):
+            want[r.i] = 0.0 if r.c == 0 else 8.0
+        assert dict(zip(got[other].idx, got[other].val)) == {i: v for i, v in want.items() if v}
+        assert got[other].idx == sorted(got[other].idx)
+    assert "sort_array" not in noisy._jdf.queryExecution().toString()
