@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.operators.blocks import Rows
+from kinfold.operators.blocks import tasks_of
 from kinfold.session import materialize, ship
 
 SEPARATORS = {"csv": ",", "tsv": "\t"}  # fixed values
 
 _FILL_ROWS = 256
+_PARTS_PER_CORE = 4  # of a matrix that is filled up
+_ZERO = "0.0"
 
 # Quotes are doubled inside quoted fields; blanks and empty strings survive.
 _QUOTING = {
@@ -117,30 +118,31 @@ def read_matrix(spark: SparkSession, path: str, fmt: str | None = None, sparse:
     """A headerless numeric file: ``(row, vec)``, or ``(row, term_id, value)`` without zeros."""
     fmt = file_format(path, fmt, ("csv", "tsv"))
     lines = numbered_lines(spark, path).filter(F.length("value") > 0)
-    dense = lines.select("row", F.split("value", SEPARATORS[fmt]).cast("array<double>").alias("vec"))
+    cells = F.split("value", SEPARATORS[fmt])
     if not sparse:
-        return dense
-    return dense.select("row", F.posexplode("vec").alias("term_id", "value")).filter(F.col("value") != 0.0)
+        return lines.select("row", cells.cast("array<double>").alias("vec"))
+    # Most cells are plain zeros, which need no parsing.
+    found = lines.select("row", F.posexplode(cells).alias("term_id", "value")).filter(F.col("value") != _ZERO)
+    return found.withColumn("value", F.col("value").cast("double")).filter(F.col("value") != 0.0)
 
 
-def densified(packed: DataFrame, key: str, n_features: int) -> DataFrame:
-    """Packed rows as ``(key, vec)`` with explicit zeros."""
+def _filled(packed: DataFrame, n_features: int, separator: str) -> DataFrame:
+    """A line per packed row, with explicit zeros; ``val`` holds the cells as they are written."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = np.arange(n_features)
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rows, keys = Rows(table), table.column(key).combine_chunks()
-            for s in range(0, rows.n, _FILL_ROWS):
-                e = min(s + _FILL_ROWS, rows.n)
-                flat = pa.array(rows.densify(s, e, columns).ravel(), pa.float64())
-                ends = pa.array(np.arange(e - s + 1) * n_features, pa.int32())
-                vec = pa.ListArray.from_arrays(ends, flat)
-                yield pa.RecordBatch.from_arrays([keys.slice(s, e - s), vec], [key, "vec"])
+            for s in range(0, batch.num_rows, _FILL_ROWS):
+                part, lines = batch.slice(s, _FILL_ROWS), []
+                for idx, val in zip(part.column("idx").to_pylist(), part.column("val").to_pylist()):
+                    cells = [_ZERO] * n_features
+                    for i, cell in zip(idx or (), val or ()):
+                        if i is not None and 0 <= i < n_features:
+                            cells[i] = cell
+                    lines.append(separator.join(cells))
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
 
     ship(packed.sparkSession)
-    kind = packed.schema[key].dataType.simpleString()
-    return packed.select(key, "idx", "val").mapInArrow(fill, f"{key} {kind}, vec array<double>")
+    return packed.select("idx", "val").mapInArrow(fill, "value string")
 
 
 def write_matrix(
@@ -153,17 +155,22 @@ def write_matrix(
 ) -> None:
     """Rows ``vec`` (or packed ``idx``/``val``, written with their zeros) in ``order``.
 
-    One array is filled per row, some rows at a time. Files are range-sorted,
-    so that their names follow the order.
+    Files are range-sorted, so that their names follow the order. Packed rows are
+    sorted as they are, into a number of parts that their bytes do not lower, and
+    filled up where they are written, some rows at a time.
     """
     fmt = file_format(path, fmt, ("csv", "tsv"))
+    spark, separator = df.sparkSession, SEPARATORS[fmt]
+    cell = lambda x: x.cast("double").cast("string")
     if "vec" in df.columns:
-        vec = F.col("vec").cast("array<double>")
+        line = F.concat_ws(separator, F.transform("vec", cell))
+        ordered = df.select(F.col(order).alias("_order"), line.alias("value"))
+        lines = ordered.repartitionByRange("_order").sortWithinPartitions("_order").select("value")
     else:
         if n_features is None:
             raise ValueError("a packed matrix needs n_features")
-        df = densified(df, order, n_features)
-        vec = F.col("vec")
-    line = F.concat_ws(SEPARATORS[fmt], F.transform(vec, lambda x: x.cast("string")))
-    ordered = df.select(F.col(order).alias("_order"), line.alias("value"))
-    ordered.repartitionByRange("_order").sortWithinPartitions("_order").select("value").write.mode(mode).text(path)
+        cells = F.transform("val", lambda x: F.coalesce(cell(x), F.lit("NaN")))
+        parts = max(tasks_of(spark), _PARTS_PER_CORE * spark.sparkContext.defaultParallelism)
+        ordered = df.select(F.col(order).alias("_order"), "idx", cells.alias("val"))
+        lines = _filled(ordered.repartitionByRange(parts, "_order").sortWithinPartitions("_order"), n_features, separator)
+    lines.write.mode(mode).text(path)

@@ -104,3 +104,13 @@ def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [(r.row, r.value) for r in got] == list(enumerate(lines))
+
+
+def test_a_filled_matrix_is_written_by_many_tasks(spark, tmp_path):
+    """Its zeros are few bytes in a shuffle and many in a file, so the parts must not be joined by the shuffled bytes."""
+    packed = spark.range(64).select("id", F.array(F.lit(3), F.lit(0), F.lit(9)).alias("idx"), F.array(*map(F.lit, (1e10, 2.5, 7.0))).alias("val"))
+    SF.write_matrix(packed.repartition(3), str(tmp_path / "m.tsv"), "id", n_features=4)
+    assert len(list((tmp_path / "m.tsv").glob("part-*"))) >= spark.sparkContext.defaultParallelism
+    assert [r.value for r in SF.numbered_lines(spark, str(tmp_path / "m.tsv")).orderBy("row").collect()] == ["2.5\t0.0\t0.0\t1.0E10"] * 64
+    got = SF.read_matrix(spark, str(tmp_path / "m.tsv"), sparse=True).collect()
+    assert sorted(map(tuple, got)) == [(r, i, v) for r in range(64) for i, v in ((0, 2.5), (3, 1e10))]
