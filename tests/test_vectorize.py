@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,17 @@ def test_custom_tokenizer_and_stop_words(spark):
     df = spark.createDataFrame([(1, "x-y-x")], "id long, t string")
     toks = V.tokenized(df, "id", "t", tokenizer=lambda c: F.split(c, "-"), stop_words=["y"])
     assert toks.first().tokens == ["x", "x"]
+
+
+def test_terms_are_looked_up_in_bounded_parts():
+    """Parts of an Arrow batch hold a bounded number of terms; rows without terms and long rows stay whole."""
+    import pyarrow as pa
+
+    sizes = [0, 3, V._ENTRIES - 3, 1, 2 * V._ENTRIES, 0, 0, 5]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.zeros(ends[-1], np.int8)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), terms], ["id", "terms"])
+    for part in (batch, batch.slice(1, 6)):
+        found = list(V._by_entries(part, "terms"))
+        assert [i for p in found for i in p.column("id").to_pylist()] == part.column("id").to_pylist()
+        assert all(p.num_rows == 1 or len(p.column("terms").flatten()) <= V._ENTRIES for p in found)
