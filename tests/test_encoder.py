@@ -300,3 +300,59 @@ def test_validation_in_batches_is_the_mean_of_theirs(spark, strategy):
         want.append(alone.metrics.where("split = 'validate'").first())
     for name in ("cost", "autoencoder", "triplet", "fraction", "number"):
         assert got[name] == pytest.approx((want[0][name] + want[1][name]) / 2)
+
+
+def wide_rows(n, v):
+    """Sparse rows with few of many terms, some of them empty or with a repeated term, whose last value counts."""
+    rng = np.random.default_rng(5)
+    idx = [np.sort(rng.choice(v, k, replace=False)).tolist() for k in rng.integers(0, 6, n)]
+    idx[1], idx[2] = [], [7, 3, 7]
+    val = [rng.choice([0.0, 0.5, 1.0, 2.0], len(i)).tolist() for i in idx]
+    x = np.zeros((n, v))
+    for row, i, w in zip(x, idx, val):
+        for at, value in zip(i, w):
+            row[at] = value
+    return x, Rows(pa.table({"idx": pa.array(idx, pa.list_(pa.int32())), "val": pa.array(val, pa.list_(pa.float64()))}))
+
+
+def test_sparse_rows_are_not_made_dense(monkeypatch):
+    """Cross-entropy with a logistic reconstruction takes the entries of the rows alone, with the same results."""
+    n, v = 40, 600
+    rng = np.random.default_rng(6)
+    x, rows = wide_rows(n, v)
+    params = M.Params(rng.normal(size=(v, K)), rng.normal(size=K), rng.normal(size=v) * 3)
+    weight = rng.random(n)
+    a = x @ params.w + params.bh
+    h = M.sigmoid(a) - M.sigmoid(params.bh)
+    d = M.sigmoid(h @ params.w.T + params.bv)
+    losses, slope = M.loss_and_slope(x, d, "cross_entropy")
+    dz = slope * weight[:, None] * d * (1 - d)
+    dh = dz @ params.w
+    f, fb = M.sigmoid(a), M.sigmoid(params.bh)
+    da = dh * f * (1 - f)
+
+    def refuse(*args):
+        raise AssertionError("rows are made dense")
+
+    monkeypatch.setattr(Rows, "densify", refuse)
+    grad = M.Gradient(params)
+    found = M.reconstruct(params, grad, rows, rows, 0, n, weight, None, "sigmoid", "sigmoid", "cross_entropy")
+    np.testing.assert_allclose(found, losses, rtol=1e-12)
+    np.testing.assert_allclose(M.row_losses(params, rows, rows, "sigmoid", "sigmoid", "cross_entropy"), losses, rtol=1e-12)
+    np.testing.assert_allclose(grad.w, dz.T @ h + x.T @ da, atol=1e-10)
+    np.testing.assert_allclose(grad.bv, dz.sum(0), atol=1e-10)
+    np.testing.assert_allclose(grad.bh, da.sum(0) - fb * (1 - fb) * dh.sum(0), atol=1e-10)
+
+
+def test_an_epoch_has_files_for_all_tasks(spark):
+    """One batch is dealt to as many files as there are tasks, not to eight."""
+    x = np.ones((400, 3))
+    rows = frame(spark, x).withColumn("number", F.col("id"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        config = EncoderConfig(batch_size=400, triplet_strategy="none")
+        stored = DenoisingEncoder(config)._epoch_rows(rows, 1, 400, 1)
+        assert stored.count() == 400 and len(stored.inputFiles()) == 32
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
