@@ -132,7 +132,7 @@ _SPLITS = """sp AS (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id)
 
 def _bundle(spark, sf_dir):
     """Articles, labels, vocabulary and vectors in three roles, written and restored."""
-    rows = I.vectors(spark, sf_dir)
+    rows, voc, n = I.fitted_vectors(spark, sf_dir, Q.MAX_FEATURES)
     articles = A.positional_split(I.articles(spark, sf_dir), "doc_id", rows.count() // 2, rows.count())
     split = articles.select("doc_id", "split")
     features = None
@@ -141,7 +141,6 @@ def _bundle(spark, sf_dir):
         part = SB.feature_rows(moved, F.col("split"), role)
         features = part if features is None else features.unionByName(part)
     labels = A.factorize(articles.select("doc_id", "source", "split"), "source", "doc_id", "label_story")
-    _, voc, n = I.fitted(spark, sf_dir, Q.MAX_FEATURES)
     voc = voc.withColumn("idf", V.idf_of(n, F.col("df")))
     path = fresh_path(spark, "bundle")
     SB.Bundle(articles, features, labels, voc).save(path)

@@ -114,3 +114,31 @@ def test_a_filled_matrix_is_written_by_many_tasks(spark, tmp_path):
     assert [r.value for r in SF.numbered_lines(spark, str(tmp_path / "m.tsv")).orderBy("row").collect()] == ["2.5\t0.0\t0.0\t1.0E10"] * 64
     got = SF.read_matrix(spark, str(tmp_path / "m.tsv"), sparse=True).collect()
     assert sorted(map(tuple, got)) == [(r, i, v) for r in range(64) for i, v in ((0, 2.5), (3, 1e10))]
+
+
+def test_texts_are_counted_once_for_a_query(spark, tmp_path, monkeypatch):
+    """A bundle, and a resumed fit, take their vectors and vocabulary from one pass over the texts."""
+    from kinfold.plans import encoder_queries, file_queries, inputs
+
+    texts = ["alpha beta gamma", "beta gamma delta", "gamma delta alpha", "delta alpha beta"]
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    calls, fitted = [], inputs.fitted
+    monkeypatch.setattr(inputs, "fitted", lambda *args: calls.append(1) or fitted(*args))
+    assert file_queries.QUERIES["bundle_articles"](spark, str(tmp_path)).count() == 4
+    assert len(calls) == 1
+    monkeypatch.setattr(encoder_queries, "_stepped", lambda rows, *args, **kw: _Stored(rows))
+    monkeypatch.setattr(encoder_queries, "_summary", lambda model: model.rows)
+    monkeypatch.setattr(encoder_queries.EncoderModel, "load", lambda *args: None)
+    calls.clear()
+    assert encoder_queries.QUERIES["fit_resumed_momentum"](spark, str(tmp_path)).count() == 4
+    assert len(calls) == 1
+
+
+class _Stored:
+    def __init__(self, rows):
+        self.rows = rows
+
+    def save(self, path):
+        pass
