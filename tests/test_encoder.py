@@ -356,3 +356,40 @@ def test_an_epoch_has_files_for_all_tasks(spark):
         assert stored.count() == 400 and len(stored.inputFiles()) == 32
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_products_by_join_are_added_in_the_tasks(spark):
+    """No entry is exploded into components, rows may have repeated or string ids, and few Arrow records fit a batch."""
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((30, 40)) < 0.4, rng.normal(size=(30, 40)), 0.0)
+    x[4] = 0.0
+    config = EncoderConfig(compress_factor=4)
+    model = EncoderModel.initial(spark, config, 40)
+    df = frame(spark, x).select(F.concat(F.lit("d"), F.col("id")).alias("id"), "idx", "val")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        coded = model.transform_by_join(df, "id")
+        assert "posexplode" not in coded._jdf.queryExecution().optimizedPlan().toString()
+        found = {r.id: r.embedding for r in coded.collect()}
+        twice = model.transform_by_join(df.unionByName(df), "id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = {r.id: r.embedding for r in model.transform(df, "id").collect()}
+    assert found.keys() == expected.keys() and len(twice) == 60
+    for key, code in expected.items():
+        np.testing.assert_allclose(found[key], code, atol=1e-12)
+    params = model.params()
+    for r in twice:  # entries of equal ids are added up
+        a = 2 * x[int(r.id[1:])] @ params.w + params.bh
+        np.testing.assert_allclose(r.embedding, M.sigmoid(a) - M.sigmoid(params.bh), atol=1e-12)
+
+
+def test_parameters_beyond_the_limit_are_joined_by_component(spark):
+    x = matrix()
+    model = EncoderModel.initial(spark, EncoderConfig(compress_factor=3), V)
+    model.params()
+    model.max_broadcast = 1
+    found = {r.id: r.embedding for r in model.transform_by_join(frame(spark, x), "id").collect()}
+    model.max_broadcast = 1 << 30
+    for r in model.transform(frame(spark, x), "id").collect():
+        np.testing.assert_allclose(found[r.id], r.embedding, atol=1e-12)
