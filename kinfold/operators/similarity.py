@@ -245,7 +245,8 @@ def score_histogram(
                 rl = lists(rt, "_labels", np.int64)[1].reshape(rt.num_rows, -1)
             for n in range(len(every)):
                 for start, score in dot_strips(_rows_of(lt, n), _rows_of(rt, n)):
-                    bins = np.rint(score * unit).astype(np.int64)
+                    score *= unit
+                    bins = np.rint(score, out=score).astype(np.int32 if bounded else np.int64)
                     if same:
                         row = np.arange(len(bins))[:, None] + start
                         col = np.arange(bins.shape[1])[None, :]
@@ -294,14 +295,16 @@ class _Totals:
     """Counts per (related, score bin) of one task.
 
     Bounded scores are counted in an array over all bins, a few million pairs
-    at a time; unbounded ones in a sorted list that grows with distinct scores.
+    at a time at most; unbounded ones in a sorted list that grows with distinct scores.
     """
 
-    _HELD = 4_000_000
+    _HELD = 1_000_000
     _EMIT = 100_000
 
     def __init__(self, bounded: bool, span: int):
         self.bounded, self.span = bounded, span
+        # Counting takes as long as the array is, so that many pairs are held at least.
+        self.limit = max(self._HELD, 2 * (2 * span + 1)) if bounded else 4 * self._HELD
         self.held: list[np.ndarray] = []
         self.size = 0
         self.keys = np.empty(0, dtype=np.int64)
@@ -315,7 +318,7 @@ class _Totals:
             keys = keys + related
         self.held.append(keys)
         self.size += len(keys)
-        if self.size > self._HELD:
+        if self.size > self.limit:
             self.flush()
 
     def flush(self) -> None:

@@ -283,3 +283,25 @@ def test_term_join_equals_all_pairs(spark, least):
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if score[i, j] >= least}
     got = {(r.id_a, r.id_b): r.score for r in pairs_above(frame, "id", least).collect()}
     assert set(got) == want and all(np.isclose(got[p], score[p]) for p in want)
+
+
+def test_histogram_holds_few_scores(monkeypatch):
+    """Strips and held counts are bounded by a number of scores, in 32 bits where the scores are bounded."""
+    import pyarrow as pa
+
+    from kinfold.operators import blocks as B
+    from kinfold.operators import similarity as S
+
+    n = 5000
+    rows = B.Rows(pa.table({"vec": pa.array(np.ones((n, 1)).tolist(), pa.list_(pa.float64()))}))
+    assert max(score.size for _, score in B.dot_strips(rows, rows)) <= 1 << 20
+    total = S._Totals(True, 1001)
+    held = 0
+    for _ in range(3):
+        total.add(np.full(600_000, 7, np.int32))
+        assert all(keys.dtype == np.int32 for keys in total.held)
+        held = max(held, sum(len(keys) for keys in total.held))
+    assert held <= 1_600_000
+    assert sum(sum(b.column("n").to_pylist()) for b in total.batches(0)) == 1_800_000
+
+
