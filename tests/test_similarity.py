@@ -305,3 +305,45 @@ def test_histogram_holds_few_scores(monkeypatch):
     assert sum(sum(b.column("n").to_pylist()) for b in total.batches(0)) == 1_800_000
 
 
+
+
+@pytest.mark.parametrize("share, cells, products, table", [(0.008, 1 << 22, 1 << 16, 1 << 22), (2.0, 1, 7, 1), (0.0, 1, 1, 1), (0.1, 300, 50, 1)])
+def test_sparse_products_read_lists_of_rare_columns(monkeypatch, share, cells, products, table):
+    """Columns of few pairs are never made dense; kinds with equal indices share the pass, and even ones are counted."""
+    for name, value in {"_DENSE_SHARE": share, "_DENSE_CELLS": cells, "_PRODUCTS": products, "_TABLE": table, "_MIN_COLUMNS": 3}.items():
+        monkeypatch.setattr(B, name, value)
+    monkeypatch.setattr(B.Rows, "densify", lambda *_: pytest.fail("all shared columns were made dense"))
+    rng = np.random.default_rng(5)
+
+    def side(n):
+        x = rng.normal(size=(n, 60)) * (rng.random((n, 60)) < np.linspace(0.9, 0.01, 60))
+        x[3] = 0
+        even = (x != 0) * rng.random((n, 1))
+        rows = []
+        for values in (x, even):
+            idx, val = [np.flatnonzero(r).tolist() for r in x], [v[r != 0].tolist() for v, r in zip(values, x)]
+            rows.append(B.Rows(pa.table({"idx": pa.array(idx, pa.list_(pa.int32())), "val": pa.array(val, pa.list_(pa.float64()))})))
+        return (x, even), rows
+
+    (left, lrows), (right, rrows) = side(70), side(45)
+    lrows, rrows, left, right = [*lrows, lrows[0]], [*rrows, rrows[1]], [*left, left[0]], [*right, right[1]]
+    found = [np.concatenate(s) for s in zip(*[scores for _, scores in B.kind_strips(lrows, rrows, 16)])]
+    for got, a, b in zip(found, left, right):
+        assert np.allclose(got, a @ b.T, atol=1e-12)
+
+
+def test_labels_counted_together(spark):
+    """Two labels, some of them unknown, of two kinds over one column of indices: each as if it were alone."""
+    x, labels = data()
+    rows = packed(spark, x, labels).withColumn("other", F.col("id") % 5).withColumn("one", F.transform("val", lambda _: F.lit(1.0)))
+    known = rows.where("label >= 0")
+    kinds = {"plain": ("idx", "val"), "even": ("idx", "one")}
+    for some in (rows, known):
+        both = S.score_histogram(some, "id", ["label", "other"], kinds=kinds, block_rows=20).collect()
+        got = {(r.kind, r.label_kind, r.related, r.score): r.n for r in both}
+        want = {}
+        for kind, (_, values) in kinds.items():
+            for label in ("label", "other"):
+                one = some.select("id", "idx", F.col(values).alias("val"), label)
+                want |= {(kind, label, r.related, r.score): r.n for r in S.score_histogram(one, "id", [label]).collect()}
+        assert got == want
