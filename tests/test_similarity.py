@@ -347,3 +347,29 @@ def test_labels_counted_together(spark):
                 one = some.select("id", "idx", F.col(values).alias("val"), label)
                 want |= {(kind, label, r.related, r.score): r.n for r in S.score_histogram(one, "id", [label]).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("many", [-1, 1e9])
+def test_term_join_finishes_alone_or_together(spark, monkeypatch, many):
+    """Tiles where most pairs stay in the running are finished by products of the whole tile."""
+    from kinfold.operators import term_join as TJ
+
+    rng = np.random.default_rng(11)
+    x = rng.random((60, 80)) * (rng.random((60, 80)) < np.linspace(0.8, 0.02, 80))
+    x[4] = 0
+    x[9] = x[2]
+    offsets = np.append(0, np.cumsum((x != 0).sum(1)))
+    order = np.argsort((x != 0).sum(0), kind="stable")  # rising frequency
+    at = [[int(c) for c in order if r[c]] for r in x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]]
+    unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    terms = pa.array(at, pa.list_(pa.int64()))
+    rows = pa.table({"terms": terms, "val": pa.array([[r[c] for c in cols] for r, cols in zip(unit, at)], pa.list_(pa.float64()))})
+    monkeypatch.setattr(TJ, "_MANY", many, raising=True)
+    monkeypatch.setattr(TJ, "_PRODUCTS", 40)
+    strips = []
+    monkeypatch.setattr(TJ.SparseTile, "strip", lambda self, s, e, f=B.SparseTile.strip: strips.append(s) or f(self, s, e))
+    found = [np.stack(f, 1) for f in TJ._Index(rows, 0.3).above(rows, 0.3)]
+    got = {(int(i), int(j)): s for i, j, s in np.concatenate(found)}
+    score = unit @ unit.T
+    want = {(i, j): score[i, j] for i in range(60) for j in range(60) if score[i, j] >= 0.3}
+    assert got == pytest.approx(want) and bool(strips) == (many < 0) and offsets[-1] > 500
