@@ -157,11 +157,13 @@ def write_matrix(
 
     Files are range-sorted, so that their names follow the order. Packed rows are
     sorted as they are, into a number of parts that their bytes do not lower, and
-    filled up where they are written, some rows at a time.
+    filled up where they are written, some rows at a time; these lines, which are
+    zeros for the most part, are compressed.
     """
     fmt = file_format(path, fmt, ("csv", "tsv"))
     spark, separator = df.sparkSession, SEPARATORS[fmt]
     cell = lambda x: x.cast("double").cast("string")
+    options = {}
     if "vec" in df.columns:
         line = F.concat_ws(separator, F.transform("vec", cell))
         ordered = df.select(F.col(order).alias("_order"), line.alias("value"))
@@ -173,4 +175,5 @@ def write_matrix(
         parts = max(tasks_of(spark), _PARTS_PER_CORE * spark.sparkContext.defaultParallelism)
         ordered = df.select(F.col(order).alias("_order"), "idx", cells.alias("val"))
         lines = _filled(ordered.repartitionByRange(parts, "_order").sortWithinPartitions("_order"), n_features, separator)
-    lines.write.mode(mode).text(path)
+        options["compression"] = "gzip"
+    lines.write.mode(mode).options(**options).text(path)

@@ -142,3 +142,15 @@ class _Stored:
 
     def save(self, path):
         pass
+
+
+def test_zeros_of_a_packed_matrix_take_little_disk(spark, tmp_path):
+    """Lines of explicit zeros are compressed, and read back in order from all files."""
+    n, width = 300, 3000
+    rows = [(i, [i % width, width - 1 - i % 7], [1.0 + i, 0.5]) for i in range(n)]
+    packed = spark.createDataFrame(rows, "id long, idx array<int>, val array<double>").repartition(4)
+    path = tmp_path / "wide.tsv"
+    SF.write_matrix(packed, str(path), "id", n_features=width)
+    assert sum(f.stat().st_size for f in path.glob("part-*")) < n * width // 10  # 4 bytes a cell in plain text
+    got = {(r.row, r.term_id): r.value for r in SF.read_matrix(spark, str(path), sparse=True).collect()}
+    assert got == {(i, j): v for i, idx, val in rows for j, v in zip(idx, val)}
