@@ -373,3 +373,13 @@ def test_term_join_finishes_alone_or_together(spark, monkeypatch, many):
     score = unit @ unit.T
     want = {(i, j): score[i, j] for i in range(60) for j in range(60) if score[i, j] >= 0.3}
     assert got == pytest.approx(want) and bool(strips) == (many < 0) and offsets[-1] > 500
+
+
+def test_dense_blocks_are_small(spark, monkeypatch):
+    """Blocks without sparse vectors have a bound of their own, which the pairs do not depend on."""
+    monkeypatch.setattr(B, "_MIN_ROWS", 10)
+    monkeypatch.setattr(B, "_DENSE_BYTES", 2000)
+    x, _ = data(n=200, d=50)
+    frame = dense(spark, x).select("id", "vec")
+    assert B.block_pairs(frame, "id").select("_l").distinct().count() == 20
+    assert S.score_histogram(frame, "id", digits=3).agg(F.sum("n")).first()[0] == 200 * 199 // 2
