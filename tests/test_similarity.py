@@ -383,3 +383,18 @@ def test_dense_blocks_are_small(spark, monkeypatch):
     frame = dense(spark, x).select("id", "vec")
     assert B.block_pairs(frame, "id").select("_l").distinct().count() == 20
     assert S.score_histogram(frame, "id", digits=3).agg(F.sum("n")).first()[0] == 200 * 199 // 2
+
+
+def test_term_join_of_repeated_terms(monkeypatch):
+    """Rows that share an id have their terms twice; both ways of finishing score them alike."""
+    from kinfold.operators import term_join as TJ
+
+    rng = np.random.default_rng(2)
+    at = [sorted(rng.integers(0, 30, rng.integers(0, 40)).tolist()) for _ in range(50)]
+    rows = pa.table({"terms": pa.array(at, pa.list_(pa.int64())), "val": pa.array([(rng.random(len(t)) / 4).tolist() for t in at], pa.list_(pa.float64()))})
+    found = []
+    for many in (-1, 1e9):
+        monkeypatch.setattr(TJ, "_MANY", many)
+        pairs = [np.stack(f, 1) for f in TJ._Index(rows, 0.2).above(rows, 0.2)]
+        found.append({(int(i), int(j)): s for i, j, s in np.concatenate(pairs)})
+    assert len(found[0]) > 100 and found[0] == pytest.approx(found[1])
